@@ -15,6 +15,7 @@ from foldspark.llm.line_dedup import line_dedup
 from foldspark.llm.mixing import mix
 from foldspark.llm.quality_rules import quality_rules
 from foldspark.llm.sharding import shard
+from foldspark.llm.substring_dedup import substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_sharding": op6_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op10_mixing": op10_mixing,
@@ -49,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": sql.LINE_DEDUP,
+    "op3_substring_dedup": sql.SUBSTRING_DEDUP,
     "op8_quality_rules": sql.QUALITY_RULES,
 }

@@ -62,3 +62,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND coalesce(rate <= 0.5, true) AS kept
 FROM failed LEFT JOIN rates USING (source)
 """
+
+SUBSTRING_DEDUP = r"""
+WITH base AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM base WHERE len(ws) >= 13)),
+hit AS (
+  SELECT doc_id, i FROM windows QUALIFY doc_id > min(doc_id) OVER (PARTITION BY win)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM hit),
+placed AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM base),
+judged AS (
+  SELECT a.doc_id, a.w, a.p, g.p IS NOT NULL AS removed
+  FROM placed a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.p = g.p),
+digest AS (
+  SELECT doc_id, count(*) AS n_words, CAST(sum(CAST(removed AS INTEGER)) AS BIGINT) AS n_removed,
+         string_agg(w, ' ' ORDER BY p) FILTER (WHERE NOT removed) AS kept
+  FROM judged GROUP BY doc_id)
+SELECT b.doc_id, coalesce(d.n_words, 0) AS n_words, coalesce(d.n_removed, 0) AS n_removed,
+       sha256(coalesce(d.kept, '')) AS kept_sha256
+FROM base b LEFT JOIN digest d USING (doc_id)
+"""

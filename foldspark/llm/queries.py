@@ -10,12 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.llm import sql
-from foldspark.llm._common import prepare
+from foldspark.llm._common import prepare, size_of_text
 from foldspark.llm.line_dedup import line_dedup
 from foldspark.llm.mixing import mix
+from foldspark.llm.packing import pack
 from foldspark.llm.quality_rules import quality_rules
 from foldspark.llm.sharding import shard
 from foldspark.llm.substring_dedup import substring_dedup
+from foldspark.llm.token_counts import token_counts
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +42,15 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", size_of_text(F.col("text")).alias("n_bytes"), "text")
+    return token_counts(docs, vocabulary("word_bpe_49k.json")).drop("text")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -49,7 +67,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_packing": op4_packing,
     "op6_sharding": op6_sharding,
+    "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op10_mixing": op10_mixing,
 }

@@ -27,10 +27,11 @@ def before_bucket(df: DataFrame, group: list[str], total: Column) -> DataFrame:
     return sums.select(*group, "_bucket", F.coalesce(F.sum("_total").over(w), F.lit(0)).cast("long").alias("_before"))
 
 
-def ranked(df: DataFrame, group: list[str], key: Column, order: list[Column], n_rows: int, name: str) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], key: Column, order: list[Column], n_rows: Column, name: str) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... within each group, gapless, in the
-    order of (hash bucket of ``key``, ``order``).  Group columns are not null."""
-    dealt = bucketed(df, key, F.lit(n_rows))
+    order of (hash bucket of ``key``, ``order``).  Group columns are not null;
+    ``n_rows`` is about how many rows the row's group has."""
+    dealt = bucketed(df, key, n_rows)
     offsets = before_bucket(dealt, group, F.count(F.lit(1)))
     own = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)) - 1
     return dealt.withColumn(name, own.cast("long")).join(offsets, [*group, "_bucket"]).withColumn(name, F.col(name) + F.col("_before")).drop("_bucket", "_before")

@@ -65,7 +65,8 @@ def range_of(key: Column, bounds: list[str]) -> Column:
     below = lambda values: F.size(F.filter(values, lambda b: b < key))
     blocks = F.array(*(F.array(*map(F.lit, bounds[i : i + width])) for i in range(0, len(bounds), width)))
     block = below(F.array(*map(F.lit, heads)))
-    return (block * width + F.coalesce(below(F.get(blocks, block)), F.lit(0))).cast("int")
+    within = F.coalesce(below(F.get(blocks, block)), F.lit(0))
+    return F.least(block * width + within, F.lit(len(bounds))).cast("int")
 
 
 def least_loaded(sizes: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
@@ -108,5 +109,5 @@ def shard(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", text_col:
     table = F.array(*(F.array(*map(F.lit, by_range.get(r, [0]))) for r in range(len(bounds) + 1)))
     sharded = parted.withColumn("shard", F.get(F.get(table, F.col("_range")), F.col("_part")).cast("int")).drop("_range", "_part")
     order = [F.col("_id"), F.col("_key")]
-    slots = ranked(sharded, ["shard"], F.xxhash64("_key", "_id"), order, n, "slot")
+    slots = ranked(sharded, ["shard"], F.xxhash64("_key", "_id"), order, F.lit(n / shards), "slot")
     return slots.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

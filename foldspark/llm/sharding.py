@@ -30,6 +30,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.llm._common import cut
 from foldspark.llm.ranks import ranked
 
 
@@ -82,7 +83,8 @@ def least_loaded(sizes: dict[tuple[int, int], int], shards: int) -> dict[tuple[i
 
 def shard(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", samples: int = 16_384, ranges: int = 512, overfull: float = 1 / 16) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for every row."""
-    records = docs.select(F.col(id_col).alias("_id"), *(c.alias(n) for n, c in record_columns(F.col(text_col)).items()))
+    # digests are taken once; everything after reads these narrow rows
+    records = cut(docs.select(F.col(id_col).alias("_id"), *(c.alias(n) for n, c in record_columns(F.col(text_col)).items())))
     row = records.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
     n, total = row["n"], row["bytes"] or 0
     bounds = splitters(records, total, samples, ranges)

@@ -14,6 +14,7 @@ from foldspark.llm._common import prepare, size_of_text
 from foldspark.llm.language_id import identify
 from foldspark.llm.line_dedup import line_dedup
 from foldspark.llm.mixing import mix
+from foldspark.llm.ngram_join import ngram_join
 from foldspark.llm.packing import pack
 from foldspark.llm.quality_rules import quality_rules
 from foldspark.llm.sharding import shard
@@ -38,6 +39,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -73,6 +78,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op6_sharding": op6_sharding,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": sql.LINE_DEDUP,
+    "op2_ngram_join": sql.NGRAM_JOIN,
     "op3_substring_dedup": sql.SUBSTRING_DEDUP,
     "op8_quality_rules": sql.QUALITY_RULES,
 }

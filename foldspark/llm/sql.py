@@ -87,3 +87,29 @@ SELECT b.doc_id, coalesce(d.n_words, 0) AS n_words, coalesce(d.n_removed, 0) AS
        sha256(coalesce(d.kept, '')) AS kept_sha256
 FROM base b LEFT JOIN digest d USING (doc_id)
 """
+
+NGRAM_JOIN = r"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM base WHERE len(ws) > 0)),
+sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * i >= 85 * (p.n + q.n - i)),
+both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id
+FROM base d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.x = d.doc_id
+GROUP BY d.doc_id
+"""

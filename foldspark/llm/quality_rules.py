@@ -81,6 +81,10 @@ def document_rules(docs: DataFrame, text_col: str = "text", *, min_words: int =
     df = df.withColumn("_ordered", F.when(F.size(F.array_distinct(w)) < F.size(w), pairs)).drop("_windows")
     df = df.withColumn("_starts", F.when(o.isNotNull(), starts)).drop("_ordered")
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_starts")
+    # A generator of one row: a filter on the counts stays above it, where it
+    # would otherwise be pushed down with all their expressions written out.
+    others = [c for c in df.columns if c not in METRICS]
+    df = df.select(*others, F.inline(F.array(F.struct(*METRICS))))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return df.withColumn("base_failed", failed)
 

@@ -447,3 +447,17 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     least = grouped.where("_group is not null").groupBy("_group").agg(F.min("_id").alias("_least"))
     out = grouped.join(least, "_group", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_least", "_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, joined: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stand for their component: those of its least id.
+    Rows that share that id are one document and stay; so do null ids."""
+    stay = joined.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
+    kept = zipped(docs, text_col).join(stay, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    at = docs.columns.index(text_col)
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(at, text_col, unzipped(batch.column(at)))
+
+    return kept.mapInArrow(expand, docs.schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import sql
 from foldspark.llm._common import prepare, size_of_text
+from foldspark.llm.embedding_dedup import near_duplicates
 from foldspark.llm.language_id import identify
 from foldspark.llm.line_dedup import line_dedup
 from foldspark.llm.mixing import mix
@@ -57,6 +58,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, vocabulary("word_bpe_49k.json")).drop("text")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
@@ -92,5 +98,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": sql.LINE_DEDUP,
     "op2_ngram_join": sql.NGRAM_JOIN,
     "op3_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op5_embedding_dedup": sql.EMBEDDING_DEDUP,
     "op8_quality_rules": sql.QUALITY_RULES,
 }

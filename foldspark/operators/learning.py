@@ -61,7 +61,7 @@ def fit_trees(train: DataFrame, validation: DataFrame, features: Sequence[str],
     model = GBTClassifier(
         featuresCol="_features", labelCol=truth, weightCol="_weight", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(columns), seed=seed
     ).fit(weighted)
-    held = assembled_vector(validation, features).withColumn(truth, F.col(truth).cast("double"))
+    held = assembled_vector(validation, features).withColumns({truth: F.col(truth).cast("double"), "_weight": F.when(F.col(truth) == 1, weight).otherwise(1.0)})
     losses = model.evaluateEachIteration(held) if not held.isEmpty() else [0.0]
     best = 0
     for i, loss in enumerate(losses):

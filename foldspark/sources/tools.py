@@ -21,7 +21,7 @@ def pocket_properties(raw: Column) -> Column:
     bodies = F.regexp_extract_all(info, F.lit(r"(?s)Pocket \d+[^\n]*\n((?:(?!\s*Pocket \d).)*)"), F.lit(1))
 
     def props(body: Column) -> Column:
-        found = F.transform(F.filter(F.split(body, "\n"), lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).try_cast("double").alias("v")))
+        found = F.transform(F.filter(F.split(body, "\n"), lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1), F.lit(" \t\r")).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1), F.lit(" \t\r")).try_cast("double").alias("v")))
         return F.map_from_entries(F.filter(found, lambda e: e["v"].isNotNull()))
 
     return F.zip_with(heads, bodies, lambda h, b: F.struct(h.cast("int").alias("pocket"), props(b).alias("props")))

@@ -39,35 +39,35 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     print_of = F.xxhash64(text)
     lines = docs.select(
-        F.col(id_col).alias("_doc"), print_of.alias("_print"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line")
-    ).where(F.col("_doc").isNotNull() & (F.length("_line") >= min_chars))
+        F.col(id_col).alias("__ld_doc"), print_of.alias("__ld_print"), F.posexplode(F.split(text, "\n", -1)).alias("__ld_pos", "__ld_line")
+    ).where(F.col("__ld_doc").isNotNull() & (F.length("__ld_line") >= min_chars))
     keyed = (
-        lines.withColumn("_key", line_key(F.col("_line")))
-        .where(F.length("_key") >= min_chars)
+        lines.withColumn("__ld_key", line_key(F.col("__ld_line")))
+        .where(F.length("__ld_key") >= min_chars)
         # a leading constant makes the second hash independent of the first
-        .select("_doc", "_print", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
+        .select("__ld_doc", "__ld_print", "__ld_pos", F.xxhash64("__ld_key").alias("__ld_h1"), F.xxhash64(F.lit(1), "__ld_key").alias("__ld_h2"))
     )
     frequent = (
-        keyed.groupBy("_h1", "_h2")
-        .agg(F.count_distinct("_doc").alias("_n"), F.max("_doc").alias("_holder"))
-        .where(F.col("_n") >= min_docs)
-        .drop("_n")
+        keyed.groupBy("__ld_h1", "__ld_h2")
+        .agg(F.count_distinct("__ld_doc").alias("__ld_n"), F.max("__ld_doc").alias("__ld_holder"))
+        .where(F.col("__ld_n") >= min_docs)
+        .drop("__ld_n")
     )
     dropped = (
-        keyed.join(frequent, ["_h1", "_h2"])
-        .where(F.col("_doc") != F.col("_holder"))
-        .groupBy("_doc", "_print")
-        .agg(F.collect_set("_pos").alias("_dropped"))
+        keyed.join(frequent, ["__ld_h1", "__ld_h2"])
+        .where(F.col("__ld_doc") != F.col("__ld_holder"))
+        .groupBy("__ld_doc", "__ld_print")
+        .agg(F.collect_set("__ld_pos").alias("__ld_dropped"))
         .hint("shuffle_hash")
     )
-    left = docs.withColumns({"_doc": F.col(id_col), "_print": print_of})
-    joined = left.join(dropped, ["_doc", "_print"], "left").drop("_doc", "_print")
-    split = joined.withColumns({"_lines": F.split(text, "\n", -1)})
-    n = F.size("_lines").cast("long")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))
-    rebuilt = F.when(F.col("_dropped").isNull(), text).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
+    left = docs.withColumns({"__ld_doc": F.col(id_col), "__ld_print": print_of})
+    joined = left.join(dropped, ["__ld_doc", "__ld_print"], "left").drop("__ld_doc", "__ld_print")
+    split = joined.withColumns({"__ld_lines": F.split(text, "\n", -1)})
+    n = F.size("__ld_lines").cast("long")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_dropped"))
+    rebuilt = F.when(F.col("__ld_dropped").isNull(), text).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get(F.col("__ld_lines"), i)), "\n")
     )
     return split.withColumns(
-        {text_col: rebuilt, "n_lines": n, "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long")}
-    ).drop("_lines", "_dropped")
+        {text_col: rebuilt, "n_lines": n, "n_dropped": F.coalesce(F.size("__ld_dropped"), F.lit(0)).cast("long")}
+    ).drop("__ld_lines", "__ld_dropped")

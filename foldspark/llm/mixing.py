@@ -107,11 +107,11 @@ def repeated(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_
     """The mix itself: every document as often as it was taken, the last time
     perhaps in part (its first words, joined by one space).  Documents of no
     words, and those never taken, are absent."""
-    plan = mixed.where("taken > 0").groupBy(F.col(id_col).alias("_id"), F.col("_row").alias("_print")).agg(F.min("size").alias("_size"), F.max("taken").alias("_taken"))
+    plan = mixed.where("taken > 0").groupBy(F.col(id_col).alias("__mx_id"), F.col("_row").alias("__mx_print")).agg(F.min("size").alias("__mx_size"), F.max("taken").alias("__mx_taken"))
     row = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumns({"_id": F.col(id_col), "_print": row}).join(plan.hint("shuffle_hash"), ["_id", "_print"])
-    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    copies = joined.withColumn("_left", F.explode(F.transform(F.sequence(F.lit(0), times - 1), lambda i: F.least(F.col("_size"), F.col("_taken") - i * F.col("_size")))))
-    part = F.array_join(F.slice(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), F.lit(1), F.col("_left").cast("int")), " ")
-    text = F.when(F.col("_left") == F.col("_size"), F.col(text_col)).otherwise(part)
+    joined = docs.withColumns({"__mx_id": F.col(id_col), "__mx_print": row}).join(plan.hint("shuffle_hash"), ["__mx_id", "__mx_print"])
+    times = F.ceil(F.col("__mx_taken") / F.col("__mx_size")).cast("int")
+    copies = joined.withColumn("__mx_left", F.explode(F.transform(F.sequence(F.lit(0), times - 1), lambda i: F.least(F.col("__mx_size"), F.col("__mx_taken") - i * F.col("__mx_size")))))
+    part = F.array_join(F.slice(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), F.lit(1), F.col("__mx_left").cast("int")), " ")
+    text = F.when(F.col("__mx_left") == F.col("__mx_size"), F.col(text_col)).otherwise(part)
     return copies.withColumn(text_col, text).select(*docs.columns)

@@ -61,8 +61,8 @@ def document_rules(docs: DataFrame, text_col: str = "text", *, min_words: int =
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)) != "")
     hashes = F.transform(words_of(text), lambda w: F.xxhash64(w))
-    df = docs.withColumns({"_hashes": hashes, "_lines": lines})
-    h = F.col("_hashes")
+    df = docs.withColumns({"__qr_hashes": hashes, "__qr_lines": lines})
+    h = F.col("__qr_hashes")
     windows = F.when(
         F.size(h) >= WINDOW,
         F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(WINDOW)))),
@@ -72,15 +72,15 @@ def document_rules(docs: DataFrame, text_col: str = "text", *, min_words: int =
             "n_words": F.size(h).cast("long"),
             "word_chars": F.length(text) - count_chars(text, BLANKS),
             "n_symbols": count_chars(text, SYMBOLS),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": windows,
+            "n_dup_lines": (F.size("__qr_lines") - F.size(F.array_distinct("__qr_lines"))).cast("long"),
+            "__qr_windows": windows,
         }
-    ).drop("_hashes", "_lines")
-    w, o, s = F.col("_windows"), F.col("_ordered"), F.col("_starts")
+    ).drop("__qr_hashes", "__qr_lines")
+    w, o, s = F.col("__qr_windows"), F.col("__qr_ordered"), F.col("__qr_starts")
     pairs, starts, covered = repeated_words(w, o, s)
-    df = df.withColumn("_ordered", F.when(F.size(F.array_distinct(w)) < F.size(w), pairs)).drop("_windows")
-    df = df.withColumn("_starts", F.when(o.isNotNull(), starts)).drop("_ordered")
-    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_starts")
+    df = df.withColumn("__qr_ordered", F.when(F.size(F.array_distinct(w)) < F.size(w), pairs)).drop("__qr_windows")
+    df = df.withColumn("__qr_starts", F.when(o.isNotNull(), starts)).drop("__qr_ordered")
+    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__qr_starts")
     # A generator of one row: a filter on the counts stays above it, where it
     # would otherwise be pushed down with all their expressions written out.
     others = [c for c in df.columns if c not in METRICS]
@@ -128,11 +128,11 @@ def quality_rules(
     **rules: int,
 ) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``host_rate`` and ``kept``."""
-    narrow = docs.select(F.col(text_col).alias("_text"), F.col(host_col).alias("_host"))
-    hosts = host_rates(document_rules(narrow, "_text", **rules), "_host").select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
+    narrow = docs.select(F.col(text_col).alias("__qr_text"), F.col(host_col).alias("__qr_host"))
+    hosts = host_rates(document_rules(narrow, "__qr_text", **rules), "__qr_host").select(F.col("host").alias("__qr_host"), F.col("rate").alias("host_rate"))
     # names longer than 256 characters would undo the bound on the broadcast
-    fits = hosts.where(F.length("_host") > 256).isEmpty() and hosts.limit(broadcast_hosts + 1).count() <= broadcast_hosts
-    judged = document_rules(docs, text_col, **rules).drop("host_rate").withColumn("_host", F.col(host_col))
-    joined = judged.join(F.broadcast(hosts) if fits else hosts, "_host", "left").drop("_host")
+    fits = hosts.where(F.length("__qr_host") > 256).isEmpty() and hosts.limit(broadcast_hosts + 1).count() <= broadcast_hosts
+    judged = document_rules(docs, text_col, **rules).drop("host_rate").withColumn("__qr_host", F.col(host_col))
+    joined = judged.join(F.broadcast(hosts) if fits else hosts, "__qr_host", "left").drop("__qr_host")
     host_ok = F.coalesce(F.col("host_rate") <= max_host_rate, F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & host_ok)

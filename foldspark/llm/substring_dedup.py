@@ -186,7 +186,7 @@ def repeated_anchors(groups: int):
             again = (np.maximum.reduceat(settled, at) > 0) | (doc[at] != doc[at + size - 1])
             out = np.repeat(again, size) & (settled == 0)
             anchor, doc = anchor[out], doc[out]
-        return pa.table({"_doc": pa.array(doc, pa.int64()), "_anchor": pa.array(anchor.view(np.int64), pa.int64())})
+        return pa.table({"__sd_doc": pa.array(doc, pa.int64()), "__sd_anchor": pa.array(anchor.view(np.int64), pa.int64())})
 
     return run
 
@@ -285,7 +285,7 @@ def removals(groups: int):
             of, at = of[out], at[out]
             new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)]) if len(out) else np.zeros(0, np.int64)
             doc, owner, start, size = doc[of[new]], owner[of[new]], at[new], np.diff(np.r_[new, len(out)]) if len(out) else new
-        return pa.table({"_doc": pa.array(doc, pa.int64()), "_print": pa.array(owner, pa.int64()), "_start": pa.array(start, pa.int64()), "_size": pa.array(size, pa.int64())})
+        return pa.table({"__sd_doc": pa.array(doc, pa.int64()), "__sd_print": pa.array(owner, pa.int64()), "__sd_start": pa.array(start, pa.int64()), "__sd_size": pa.array(size, pa.int64())})
 
     return run
 
@@ -311,7 +311,7 @@ def reducer(columns: list[str], text_col: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = unzipped(batch.column(at))
-            spans = [None if x is None else [(y["_start"], y["_size"]) for y in x] for x in batch.column(len(columns)).to_pylist()]
+            spans = [None if x is None else [(y["__sd_start"], y["__sd_size"]) for y in x] for x in batch.column(len(columns)).to_pylist()]
             kept, total, removed = [], [], []
             for block in blocks(texts):
                 w = words(block)
@@ -334,29 +334,29 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``n_words``, ``n_removed``.  ``id_col`` holds whole numbers."""
     prepare(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed")
-    owned = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
-    total = owned.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    owned = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("__sd_doc"), F.col(text_col).alias("__sd_text"))
+    total = owned.agg(F.sum(F.octet_length("__sd_text"))).first()[0] or 0
     groups = max(64, -(-total // GROUP_BYTES))
     found = (
         owned.mapInArrow(anchor_blobs(k, groups), "g int, a binary, d binary, s binary")
         .groupBy("g")
-        .applyInArrow(repeated_anchors(groups), "_doc long, _anchor long")
-        .groupBy("_doc")
-        .agg(F.collect_list("_anchor").alias("_anchors"))
+        .applyInArrow(repeated_anchors(groups), "__sd_doc long, __sd_anchor long")
+        .groupBy("__sd_doc")
+        .agg(F.collect_list("__sd_anchor").alias("__sd_anchors"))
     )
-    with_print = owned.select("_doc", F.xxhash64("_text").alias("_print"), "_text")
+    with_print = owned.select("__sd_doc", F.xxhash64("__sd_text").alias("__sd_print"), "__sd_text")
     spans = (
-        zipped(with_print, "_text")
-        .join(found, "_doc")
-        .select("_doc", "_print", "_text", "_anchors")
+        zipped(with_print, "__sd_text")
+        .join(found, "__sd_doc")
+        .select("__sd_doc", "__sd_print", "__sd_text", "__sd_anchors")
         .mapInArrow(window_blobs(k, groups), "g int, a binary, d binary, p binary, s binary, n binary, w binary")
         .groupBy("g")
-        .applyInArrow(removals(groups), "_doc long, _print long, _start long, _size long")
-        .groupBy("_doc", "_print")
-        .agg(F.collect_list(F.struct("_start", "_size")).alias("_spans"))
+        .applyInArrow(removals(groups), "__sd_doc long, __sd_print long, __sd_start long, __sd_size long")
+        .groupBy("__sd_doc", "__sd_print")
+        .agg(F.collect_list(F.struct("__sd_start", "__sd_size")).alias("__sd_spans"))
     )
     columns = docs.columns
-    keyed = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_print": F.xxhash64(text_col)})
-    joined = zipped(keyed, text_col).join(spans, ["_doc", "_print"], "left").select(*columns, "_spans")
+    keyed = docs.withColumns({"__sd_doc": F.col(id_col).cast("long"), "__sd_print": F.xxhash64(text_col)})
+    joined = zipped(keyed, text_col).join(spans, ["__sd_doc", "__sd_print"], "left").select(*columns, "__sd_spans")
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     return joined.mapInArrow(reducer(columns, text_col, k), f"{schema}, n_words long, n_removed long")

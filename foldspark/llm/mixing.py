@@ -77,10 +77,11 @@ def takes(sized: DataFrame, source: str, id_col: str, seed: int) -> DataFrame:
     """``taken`` for rows with size, source_size, target and _n (documents of the source)."""
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     # words of the fractional repetition, over the whole source
-    extra = F.greatest(F.lit(0).cast("long"), F.round(F.col("target")).cast("long") - (whole * F.col("source_size")).cast("long"))
-    draw = F.xxhash64(F.lit(seed), id_col)
+    extra = F.greatest(F.lit(0).cast("long"), F.floor(F.col("target") + 0.5).cast("long") - (whole * F.col("source_size")).cast("long"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     dealt = sized.withColumns({"_draw": draw, "_src": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("?"))})
-    dealt = bucketed(dealt, F.shiftrightunsigned(draw, 20), F.col("_n"))
+    dealt = bucketed(dealt, F.shiftright(F.col("_draw"), 20), F.col("_n"))
     before = before_bucket(dealt, ["_src"], F.sum("size"))
     w = Window.partitionBy("_src", "_bucket").orderBy("_draw", id_col, "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum("size").over(w), F.lit(0))

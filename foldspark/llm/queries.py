@@ -100,4 +100,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": sql.SUBSTRING_DEDUP,
     "op5_embedding_dedup": sql.EMBEDDING_DEDUP,
     "op8_quality_rules": sql.QUALITY_RULES,
+    "op10_mixing": sql.MIXING,
 }

@@ -132,3 +132,34 @@ SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.m, e.ve
        e.vec_id = least(e.vec_id, coalesce(l.m, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN counted c ON c.x = e.vec_id LEFT JOIN least_of l ON l.x = e.vec_id
 """
+
+MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 3 * source_size AS cap FROM sources),
+filled AS (
+  SELECT *, CAST((sum(source_size) OVER ()) - coalesce(sum(cap) OVER up, 0) AS DOUBLE)
+              / CAST((sum(w) OVER ()) - coalesce(sum(w) OVER up, 0) AS DOUBLE) AS level
+  FROM weighed WINDOW up AS (ORDER BY cap / CAST(w AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+final AS (
+  SELECT (SELECT arg_min(level, cap / CAST(w AS DOUBLE)) FROM filled WHERE cap > w * level) AS level),
+targets AS (
+  SELECT f.source, source_size, n, least(CAST(cap AS DOUBLE), coalesce(w * final.level, CAST(cap AS DOUBLE))) AS target FROM filled f, final),
+drawn AS (
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
+         CAST('0x' || substr(md5('11:' || CAST(s.doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS draw,
+         CAST(greatest(1, ceil(n / greatest(128, least(65536, floor(sqrt(n)))))) AS BIGINT) AS parts
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY (draw >> 20) % parts, draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         floor(target / greatest(source_size, 1)) AS whole
+  FROM drawn)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size > 0 THEN CAST(whole * size AS BIGINT) + greatest(0, least(size,
+         greatest(0, CAST(floor(target + 0.5) AS BIGINT) - CAST(whole * source_size AS BIGINT)) - CAST(before AS BIGINT))) ELSE 0 END AS taken
+FROM placed
+"""

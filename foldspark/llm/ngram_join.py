@@ -22,9 +22,10 @@ size and its connected component.
     further order.  Pairs that pass all are verified on their whole sets.
 5.  Long lists again, exactly: with the components so far, every member
     outside a list's main component is compared, bitmap by bitmap, with all
-    members of other components; survivors are verified as before.  Members
-    of one component need no comparison, so a tight group of any size costs
-    as much as it has members.
+    members of other components and proposes the nearest; these are verified
+    as before.  This repeats, with more proposals each time, until none is
+    left.  Members of one component need no comparison, so a tight group of
+    any size costs as much as it has members.
 
 Defined cases: a null text or one without words has an empty set, links with
 nothing and is its own component; fewer than ``k`` words make one shingle of
@@ -34,8 +35,8 @@ other input columns are ignored, whatever their names.
 
 Shape at scale: four scans; texts of nodes that passed the bitmap filter are
 shuffled once, compressed.  Tokens of a task are combined before they are
-sent and packed by exchange group; the sketch (``1 << SKETCH_BITS`` classes of
-one byte) is all that is broadcast.
+sent and packed by exchange group; the sketch (``1 << MOST_BITS`` classes of
+one byte at most) is all that is broadcast.
 """
 
 from __future__ import annotations
@@ -52,10 +53,18 @@ from foldspark.llm.components import components
 from foldspark.llm.substring_dedup import heads, packed, runs_of, squeezed, unpacked, unzipped, zipped
 from foldspark.llm.words import Block, blocks, mixed, windows, word_hashes, words
 
-SKETCH_BITS = 22
+#: The sketch has about one counter for each shingle it counts, within these
+#: powers of two: its size is bounded whatever the corpus.
+LEAST_BITS, MOST_BITS = 14, 24
 SKETCH_PARTS = 64
+#: The sketch counts shingles whose hash under the first order is in the first
+#: quarter: prefixes hardly reach further.
+SKETCH_SHARE = 4
 ORDERS = (0, 1, 2)
-SHORT_LIST, HUBS = 24, 8
+SHORT_LIST, HUBS = 6, 3
+#: Pairs that a member of a long list proposes at first, and by how much more
+#: in each further round.
+PROPOSED, MORE = 2, 4
 TOKENS_AT_ONCE = 1 << 20
 GROUP_BYTES = 32 << 20
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -143,16 +152,21 @@ def describe(k: int):
 # ---- orders -----------------------------------------------------------------
 
 
-def counting(k: int):
+def sketch_bits(tokens: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (tokens // SKETCH_SHARE).bit_length()))
+
+
+def counting(k: int, size: int):
     """Task side of the sketch: counts of all shingles by hash, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(size, np.uint32)
         some = False
         for batch in batches:
             for block in blocks(batch.column(0)):
                 tokens, _ = shingle_sets(block, k)
-                np.add.at(total, counter(tokens), 1)
+                tokens = tokens[place_in(tokens, 0) < np.uint64((1 << 59) // SKETCH_SHARE)]
+                np.add.at(total, counter(tokens, size), 1)
                 some = True
         if some:
             parts = total.reshape(SKETCH_PARTS, -1)
@@ -161,8 +175,8 @@ def counting(k: int):
     return run
 
 
-def counter(tokens: np.ndarray) -> np.ndarray:
-    return (mixed(tokens ^ _SALTS[2]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def counter(tokens: np.ndarray, size: int) -> np.ndarray:
+    return (mixed(tokens ^ _SALTS[2]) & np.uint64(size - 1)).astype(np.int64)
 
 
 def adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,20 +184,24 @@ def adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = unpacked([counts], np.int64)
+            own = unpacked([counts], np.uint32).astype(np.int64)
             total[part] = total[part] + own if part in total else own
     for part, own in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([squeezed(own.tobytes())], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([squeezed(np.minimum(own, 2**32 - 1).astype(np.uint32).tobytes())], pa.binary())], ["part", "counts"])
 
 
-def commonness(texts: DataFrame, k: int) -> np.ndarray:
-    """For each counter, the power of two by which it exceeds twice the mean."""
-    rows = texts.mapInArrow(counting(k), "part int, counts binary").repartition(SKETCH_PARTS, "part").mapInArrow(adding, "part int, counts binary").collect()
-    total = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
+def commonness(texts: DataFrame, k: int, size: int) -> np.ndarray:
+    """For each counter, how many powers of two lie between twice the mean
+    count and its own."""
+    rows = texts.mapInArrow(counting(k, size), "part int, counts binary").repartition(SKETCH_PARTS, "part").mapInArrow(adding, "part int, counts binary").collect()
+    total = np.zeros((SKETCH_PARTS, size // SKETCH_PARTS), np.uint32)
     for row in rows:
-        total[row["part"]] += unpacked([pa.scalar(bytes(row["counts"]), pa.binary())], np.int64)
+        total[row["part"]] = unpacked([pa.scalar(bytes(row["counts"]), pa.binary())], np.uint32)
     level = max(8.0, 2.0 * float(total.mean()))
-    return np.floor(np.log2(1 + total.ravel() / level)).astype(np.uint8)
+    out = np.zeros(total.size, np.uint8)
+    for power in range(32):
+        out += (total.ravel() >= level * (2.0**power)).astype(np.uint8)
+    return out
 
 
 def prefix_size(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -191,11 +209,14 @@ def prefix_size(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def place_in(tokens: np.ndarray, order: int) -> np.ndarray:
+    """59 bits: the place of tokens among equally common ones."""
+    return mixed(tokens + np.uint64((order + 1) * int(_SALTS[0]) % (1 << 64))) >> np.uint64(5)
+
+
 def ordered(tokens: np.ndarray, common: np.ndarray, order: int) -> np.ndarray:
     """Sort keys of tokens under a global order."""
-    salt = np.uint64((order + 1) * int(_SALTS[0]) % (1 << 64))
-    key = mixed(tokens + salt) >> np.uint64(5)
-    return key | (common[counter(tokens)].astype(np.uint64) << np.uint64(59))
+    return place_in(tokens, order) | (common[counter(tokens, len(common))].astype(np.uint64) << np.uint64(59))
 
 
 def posting_blobs(k: int, percent: int, groups: int, common):
@@ -274,7 +295,8 @@ def list_pairs(table: pa.Table) -> pa.Table:
 
 
 def bitmap_filter(percent: int):
-    """(a, b, n_a, n_b, bits_a, bits_b) to the pairs that may link."""
+    """(a, b, n_a, n_b, bits_a, bits_b) to the pairs that may link, with the
+    distance of their bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +304,7 @@ def bitmap_filter(percent: int):
             bits = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
             apart = np.array([difference(x, y) for x, y in bits], np.int64)
             keep = pa.array(may_link(apart, both, percent))
-            yield batch.select([0, 1]).filter(keep)
+            yield batch.select([0, 1]).append_column("apart", pa.array(apart)).filter(keep)
 
     return run
 
@@ -295,7 +317,7 @@ def filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         .where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
     )
     both = near.join(side("a").select("a", "bits_a"), "a").join(side("b").select("b", "bits_b"), "b")
-    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bitmap_filter(percent), "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bitmap_filter(percent), "a long, b long, apart long")
 
 
 def token_sets(k: int):
@@ -344,12 +366,13 @@ def verification(percent: int, common):
     return run
 
 
-def outliers_against_members(percent: int):
+def outliers_against_members(percent: int, most: int):
     """(token, node, comp, n, bits, outlier) of one list's block: pairs of
-    different components that may link, with an outlier on one side."""
+    different components that may link, with an outlier on one side; for each
+    outlier and tile the ``most`` nearest, and whether there were more."""
 
     def run(table: pa.Table) -> pa.Table:
-        left, right = [], []
+        left, right, gap, cut_short = [], [], [], []
         node, comp, n, out = (table[c].to_numpy() for c in ("node", "comp", "n", "outlier"))
         sizes = np.array([n_bits(int(x)) for x in n])
         raw = [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]
@@ -359,19 +382,21 @@ def outliers_against_members(percent: int):
             rows = np.flatnonzero(out & (sizes == size))
             for other in (size, 2 * size):
                 cols = np.flatnonzero(sizes == other)
-                left, right = matched(left, right, rows, cols, node, comp, n, raw, size, percent)
+                matched(left, right, gap, cut_short, rows, cols, node, comp, n, raw, size, percent, most)
             cols = np.flatnonzero((sizes == size // 2) & ~out)
-            left, right = matched(left, right, rows, cols, node, comp, n, raw, size // 2, percent)
+            matched(left, right, gap, cut_short, rows, cols, node, comp, n, raw, size // 2, percent, most)
         a = np.concatenate(left) if left else np.zeros(0, np.int64)
         b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        short = np.concatenate(cut_short) if cut_short else np.zeros(0, bool)
+        far = np.concatenate(gap) if gap else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "apart": pa.array(far, pa.int64()), "more": pa.array(short, pa.bool_())})
 
     return run
 
 
-def matched(left, right, rows, cols, node, comp, n, raw, size, percent):
+def matched(left, right, gap, cut_short, rows, cols, node, comp, n, raw, size, percent, most) -> None:
     if not len(rows) or not len(cols):
-        return left, right
+        return
     sign = lambda which: 1.0 - 2.0 * np.unpackbits(np.stack([folded(raw[i], size) for i in which]), axis=1).astype(np.float32)
     for c in range(0, len(cols), 512):
         own = cols[c : c + 512]
@@ -380,10 +405,79 @@ def matched(left, right, rows, cols, node, comp, n, raw, size, percent):
             these = rows[r : r + 512]
             apart = ((size - sign(these) @ right_bits.T) / 2).astype(np.int64)
             ok = may_link(apart, n[these][:, None] + n[own][None, :], percent) & (comp[these][:, None] != comp[own][None, :])
-            i, j = np.nonzero(ok)
+            many = ok.sum(axis=1)
+            far = np.where(ok, apart, np.iinfo(np.int64).max)
+            nearest = np.argsort(far, axis=1, kind="stable")[:, :most]
+            i, j = np.nonzero(np.take_along_axis(ok, nearest, axis=1))
             left.append(node[these[i]])
-            right.append(node[own[j]])
-    return left, right
+            right.append(node[own[nearest[i, j]]])
+            gap.append(apart[i, nearest[i, j]])
+            cut_short.append((many > most)[i])
+
+
+def proposals(members: DataFrame, nodes: DataFrame, first: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b, apart, more) between components within long lists.  Only members
+    outside their list's main component propose."""
+    labelled = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    sizes = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.sum("size").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    open_lists = labelled.join(main, "token").withColumn("outlier", F.col("comp") != F.col("main")).join(nodes, "node")
+    parts = F.ceil(F.col("_n") / 2048).cast("int")
+    dealt = open_lists.withColumn(
+        "_part", F.explode(F.when(F.col("outlier"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.col("node"), parts).cast("int"))))
+    )
+    return (
+        dealt.select("token", "_part", "node", "comp", "n", "bits", "outlier")
+        .groupBy("token", "_part")
+        .applyInArrow(outliers_against_members(percent, most), "a long, b long, apart long, more boolean")
+        .groupBy("a", "b")
+        .agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
+    )
+
+
+class Links:
+    """Components of the links verified so far."""
+
+    def __init__(self, none: DataFrame, verify):
+        self.tested = none
+        self.verify = verify
+        self.labels = none.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+    def named(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with the components of both sides."""
+        side = lambda x: self.labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return both.withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")})
+
+    def open(self, pool: DataFrame) -> DataFrame:
+        """Pairs of the pool between components, not tested before."""
+        fresh = pool.join(self.tested, ["a", "b"], "left_anti")
+        return self.named(fresh).where("c_a <> c_b").select("a", "b", "apart")
+
+    def test(self, pairs: DataFrame) -> None:
+        """Only the graph between components grows: its own components rename
+        those so far."""
+        self.tested = self.tested.unionByName(pairs)
+        links = self.named(self.verify(pairs)).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        found = components(links)
+        renamed = found.select(F.col("node").alias("component"), F.col("component").alias("new"))
+        old = self.labels.join(renamed, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+        self.labels = cut(old.unionByName(found.join(self.labels, "node", "left_anti")))
+
+    def settle(self, pool: DataFrame) -> bool:
+        """Verifies pairs until none is left between components.  A node's
+        nearest partner goes first: what that connects needs no more tests,
+        so a group costs about as many verifications as it has members."""
+        some = False
+        for nearest in (True, False):
+            pairs = self.open(pool)
+            if nearest:
+                pairs = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
+            pairs = cut(pairs.select("a", "b"))
+            if not pairs.isEmpty():
+                self.test(pairs)
+                some = True
+        return some
 
 
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -395,8 +489,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     described = cut(own.mapInArrow(describe(k), f"_id {kind}, node long, n long, bits binary"))
     nodes = described.where("node is not null and _id is not null").groupBy("node").agg(F.min("n").alias("n"), F.first("bits").alias("bits"))
     texts = own.where(F.col("_text").isNotNull() & F.col("_id").isNotNull()).select("_text")
-    common = spark.sparkContext.broadcast(commonness(texts, k))
     total = described.agg(F.sum("n")).first()[0] or 0
+    common = spark.sparkContext.broadcast(commonness(texts, k, 1 << sketch_bits(total)))
     groups = max(48, -(-total * 8 // GROUP_BYTES))
     found = cut(
         texts.mapInArrow(posting_blobs(k, percent, groups, common), "g int, t binary, v binary")
@@ -420,27 +514,15 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     sets = sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
     side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}"))
     verified = lambda pairs: cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(verification(percent, common), "a long, b long"))
-    links = verified(near)
-    first = components(links)
-    labelled = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    sizes = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.sum("size").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    open_lists = labelled.join(main, "token").withColumn("outlier", F.col("comp") != F.col("main")).join(nodes, "node")
-    parts = F.ceil(F.col("_n") / 2048).cast("int")
-    dealt = open_lists.withColumn(
-        "_part", F.explode(F.when(F.col("outlier"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.col("node"), parts).cast("int"))))
-    )
-    more = (
-        dealt.select("token", "_part", "node", "comp", "n", "bits", "outlier")
-        .groupBy("token", "_part")
-        .applyInArrow(outliers_against_members(percent), "a long, b long")
-        .distinct()
-        .join(near, ["a", "b"], "left_anti")
-    )
-    more = cut(more)
-    if not more.isEmpty():
-        links = links.unionByName(verified(more))
-        first = components(links)
+    graph = Links(near.select("a", "b").limit(0), verified)
+    graph.settle(near)
+    most = PROPOSED
+    while True:
+        proposed = cut(proposals(members, nodes, graph.labels, percent, most))
+        if not graph.settle(proposed) and proposed.where("more").isEmpty():
+            break
+        most *= MORE
+    first = graph.labels
     labels = described.select("_id", "n", F.when(F.col("_id").isNotNull(), F.col("node")).alias("node")).join(first, "node", "left")
     group = F.coalesce(F.col("component"), F.col("node"))
     grouped = labels.withColumn("_group", group)
@@ -452,8 +534,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(docs: DataFrame, joined: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stand for their component: those of its least id.
     Rows that share that id are one document and stay; so do null ids."""
-    stay = joined.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    kept = zipped(docs, text_col).join(stay, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    stay = joined.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("__nj_id")).distinct()
+    kept = zipped(docs, text_col).join(stay, F.col(id_col).eqNullSafe(F.col("__nj_id"))).drop("__nj_id")
     at = docs.columns.index(text_col)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,52 +66,64 @@ def piece_rows(path: str, length: int, end_id: int):
 # ---- the linear program -----------------------------------------------------
 
 
-def best_pattern(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the most valuable multiset of classes in ``room``."""
+def best_patterns(value: np.ndarray, size: np.ndarray, room: int, most: int) -> tuple[float, list[np.ndarray]]:
+    """Unbounded knapsack: the most valuable multiset of classes in ``room``,
+    and the best ones that hold some other class, from one table."""
     worth, taken = np.zeros(room + 1), np.full(room + 1, -1)
+    fits = np.searchsorted(size, np.arange(room + 1), "right")
     for w in range(1, room + 1):
-        worth[w], taken[w] = worth[w - 1], -1
-        fit = np.searchsorted(size, w, "right")
-        if fit:
-            with_one = value[:fit] + worth[w - size[:fit]]
-            i = int(np.argmax(with_one))
+        worth[w] = worth[w - 1]
+        if fits[w]:
+            with_one = value[: fits[w]] + worth[w - size[: fits[w]]]
+            i = int(with_one.argmax())
             if with_one[i] > worth[w] + 1e-12:
                 worth[w], taken[w] = with_one[i], i
-    pattern, w = np.zeros(len(size), np.int64), room
-    while w > 0:
-        if taken[w] < 0:
-            w -= 1
-        else:
-            pattern[taken[w]] += 1
-            w -= int(size[taken[w]])
-    return float(worth[room]), pattern
-
-
-def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int, *, gap: float = 2e-3, rounds: int = 20_000) -> list[tuple[np.ndarray, float]]:
+    found: dict[bytes, np.ndarray] = {}
+    for first in np.argsort(-(value + worth[room - size]), kind="stable")[:most].tolist():
+        pattern, w = np.zeros(len(size), np.int64), room - int(size[first])
+        pattern[first] = 1
+        while w > 0:
+            if taken[w] < 0:
+                w -= 1
+            else:
+                pattern[taken[w]] += 1
+                w -= int(size[taken[w]])
+        found.setdefault(pattern.tobytes(), pattern)
+    return float(worth[room]), list(found.values())
+
+
+def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int, *, gap: float = 2e-3, rounds: int = 20_000, columns: int = 24) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often each is used, by the revised simplex method.
-    Sizes ascend.  Stops when Farley's bound is within ``gap``."""
-    m = len(size)
+    Sizes ascend.  Stops when Farley's bound, or the bound by content, is
+    within ``gap``."""
+    m, least = len(size), float(size @ demand) / room
     patterns = np.diag(room // size).astype(np.float64)
     inverse = np.diag(1.0 / (room // size))
     used = inverse @ demand
     for _ in range(rounds):
-        value = inverse.sum(axis=0)
-        worth, pattern = best_pattern(np.maximum(value, 0.0), size, room)
-        if worth <= 1 + gap:
+        worth, found = best_patterns(np.maximum(inverse.sum(axis=0), 0.0), size, room, columns)
+        if worth <= 1 + gap or used.sum() <= (1 + gap) * least:
             break
-        change = inverse @ pattern
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(change > 1e-9, used / change, np.inf)
-        leave = int(np.argmin(ratio))
-        if not np.isfinite(ratio[leave]):
+        moved = False
+        for pattern in found:
+            change = inverse @ pattern
+            if change.sum() <= 1 + gap / 2:  # what it is worth by now
+                continue
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.where(change > 1e-9, used / change, np.inf)
+            leave = int(np.argmin(ratio))
+            if not np.isfinite(ratio[leave]):
+                continue
+            step = ratio[leave]
+            used -= step * change
+            used[leave] = step
+            row = inverse[leave] / change[leave]
+            inverse -= np.outer(change, row)
+            inverse[leave] = row
+            patterns[:, leave] = pattern
+            moved = True
+        if not moved:
             break
-        step = ratio[leave]
-        used -= step * change
-        used[leave] = step
-        row = inverse[leave] / change[leave]
-        inverse -= np.outer(change, row)
-        inverse[leave] = row
-        patterns[:, leave] = pattern
     return [(patterns[:, j].astype(np.int64), max(0.0, float(used[j]))) for j in range(m)]
 
 

@@ -3,6 +3,7 @@ lineage in the shared folder, and small column helpers."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from pathlib import Path
@@ -66,3 +67,19 @@ def n_words_of(text: Column) -> Column:
 def put(df: DataFrame, **columns: Column) -> DataFrame:
     """Computed columns take the place of input columns of the same name."""
     return df.withColumns(columns)
+
+
+#: Narrow rows that one task takes in the rounds of an iterative operator.
+ROWS_A_TASK = 200_000
+
+
+def slim(df: DataFrame, n_rows: int) -> DataFrame:
+    """As few partitions as that many narrow rows need, without a shuffle."""
+    return df.coalesce(max(1, -(-n_rows // ROWS_A_TASK)))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and checkpoints of rounds that are
+    over: it does so when the driver's references to them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

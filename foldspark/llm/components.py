@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import cut
+from foldspark.llm._common import cut, release, slim
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -20,20 +20,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     seen = mark(now)
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        n = seen[0]
+        now = slim(now, n)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))) if n else now
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = slim(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), n)
         down = large.where("u > v")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = cut(small.distinct())
+        now = cut(slim(small, n).distinct())
         new = mark(now)
         if new == seen:
             break
         seen = new
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    now = slim(now, seen[0])
+    heads = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    out = cut(slim(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads), 2 * seen[0]))
+    release(edges.sparkSession)
+    return out
 
 
 def mark(edges: DataFrame) -> tuple:

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import cut, prepare
+from foldspark.llm._common import cut, prepare, slim
 from foldspark.llm.components import components
 from foldspark.llm.substring_dedup import heads, packed, runs_of, squeezed, unpacked, unzipped, zipped
 from foldspark.llm.words import Block, blocks, mixed, windows, word_hashes, words
@@ -64,7 +64,7 @@ ORDERS = (0, 1, 2)
 SHORT_LIST, HUBS = 6, 3
 #: Pairs that a member of a long list proposes at first, and by how much more
 #: in each further round.
-PROPOSED, MORE = 2, 4
+PROPOSED, MORE = 4, 16
 TOKENS_AT_ONCE = 1 << 20
 GROUP_BYTES = 32 << 20
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -194,14 +194,15 @@ def commonness(texts: DataFrame, k: int, size: int) -> np.ndarray:
     """For each counter, how many powers of two lie between twice the mean
     count and its own."""
     rows = texts.mapInArrow(counting(k, size), "part int, counts binary").repartition(SKETCH_PARTS, "part").mapInArrow(adding, "part int, counts binary").collect()
-    total = np.zeros((SKETCH_PARTS, size // SKETCH_PARTS), np.uint32)
+    # one part at a time: the driver holds the classes, never all counts
+    counts = lambda row: unpacked([pa.scalar(bytes(row["counts"]), pa.binary())], np.uint32)
+    level = max(8.0, 2.0 * sum(int(counts(row).sum(dtype=np.int64)) for row in rows) / size)
+    out = np.zeros((SKETCH_PARTS, size // SKETCH_PARTS), np.uint8)
     for row in rows:
-        total[row["part"]] = unpacked([pa.scalar(bytes(row["counts"]), pa.binary())], np.uint32)
-    level = max(8.0, 2.0 * float(total.mean()))
-    out = np.zeros(total.size, np.uint8)
-    for power in range(32):
-        out += (total.ravel() >= level * (2.0**power)).astype(np.uint8)
-    return out
+        own = counts(row)
+        for power in range(32):
+            out[row["part"]] += own >= level * (2.0**power)
+    return out.ravel()
 
 
 def prefix_size(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -442,6 +443,7 @@ class Links:
         self.tested = none
         self.verify = verify
         self.labels = none.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        self.n_tested = 0
 
     def named(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` with the components of both sides."""
@@ -454,15 +456,17 @@ class Links:
         fresh = pool.join(self.tested, ["a", "b"], "left_anti")
         return self.named(fresh).where("c_a <> c_b").select("a", "b", "apart")
 
-    def test(self, pairs: DataFrame) -> None:
+    def test(self, pairs: DataFrame, n: int) -> None:
         """Only the graph between components grows: its own components rename
         those so far."""
-        self.tested = self.tested.unionByName(pairs)
-        links = self.named(self.verify(pairs)).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        self.n_tested += n
+        self.tested = slim(self.tested.unionByName(pairs), self.n_tested)
+        links = slim(self.named(slim(self.verify(pairs), n)).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), n)
         found = components(links)
         renamed = found.select(F.col("node").alias("component"), F.col("component").alias("new"))
         old = self.labels.join(renamed, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
-        self.labels = cut(old.unionByName(found.join(self.labels, "node", "left_anti")))
+        # every node was in a tested pair
+        self.labels = cut(slim(old.unionByName(found.join(self.labels, "node", "left_anti")), 2 * self.n_tested))
 
     def settle(self, pool: DataFrame) -> bool:
         """Verifies pairs until none is left between components.  A node's
@@ -474,8 +478,8 @@ class Links:
             if nearest:
                 pairs = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
             pairs = cut(pairs.select("a", "b"))
-            if not pairs.isEmpty():
-                self.test(pairs)
+            if n := pairs.count():
+                self.test(slim(pairs, n), n)
                 some = True
         return some
 
@@ -501,6 +505,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .drop("_")
     )
     near = cut(filtered(found.where("b is not null").select("a", "b"), nodes, percent))
+    near = slim(near, near.count())
     members = found.where("b is null").select("token", F.col("a").alias("node"))
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
     # one row stands for all documents of a node

@@ -42,21 +42,42 @@ def clustering(nodes: DataFrame, edges: DataFrame, entity: str) -> DataFrame:
     return out.withColumn("clustering", F.when(F.col("k") >= 2, 2.0 * F.col("triangles") / pairs).otherwise(0.0)).drop("k")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, entity: str, *, damping: float = 0.85, rounds: int = 10, cut=lambda df, k: df) -> DataFrame:
-    """(entity, i, rank) after fixed rounds; dangling mass is spread evenly.
-    ``cut`` may checkpoint between rounds on long runs."""
-    links = ends(edges, entity)
+def checkpointed(df: DataFrame, k: int) -> DataFrame:
+    """Cut in the folder of spark.checkpoint.dir; where the session has none, under the warehouse."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, entity: str, *, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, every: int = 4, cut=checkpointed) -> DataFrame:
+    """(entity, i, rank), iterated until in every entity the last round moved
+    the ranks by less than ``tolerance`` times its nodes in sum, or for
+    ``rounds``; with ``tolerance=0`` for exactly ``rounds``, uncut.
+
+    Dangling mass is spread evenly.  Links go both ways, so a node without
+    links gets nothing over them either: all such nodes of an entity have one
+    rank, carried as ``_lone``.  ``cut`` materializes what it is given; rounds
+    are cut, and the change is tested, ``every`` so many."""
+    held = cut if tolerance else lambda df, k: df
+    links = held(ends(edges, entity), -1)
     deg = links.groupBy(entity, "i").agg(F.count(F.lit(1)).alias("k"))
     size = nodes.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
-    base = nodes.select(entity, "i").join(size, entity).join(deg, [entity, "i"], "left")
-    now = base.withColumn("rank", 1.0 / F.col("_n"))
-    for r in range(rounds):
-        loose = now.where("k is null").groupBy(entity).agg(F.sum("rank").alias("_loose"))
+    known = nodes.select(entity, "i").join(deg, [entity, "i"], "left")
+    loose = known.where("k is null").groupBy(entity).agg(F.count(F.lit(1)).alias("_d"))
+    base = held(known.join(size.join(loose, entity, "left"), entity).withColumn("_d", F.coalesce("_d", F.lit(0))), -1)
+    now = base.withColumns({"rank": 1.0 / F.col("_n"), "_lone": 1.0 / F.col("_n"), "_was": F.lit(None).cast("double")})
+    for r in range(1, rounds + 1):
         sent = links.join(now.where("k is not null").select(entity, "i", (F.col("rank") / F.col("k")).alias("_s")), [entity, "i"])
         got = sent.groupBy(entity, F.col("j").alias("i")).agg(F.sum("_s").alias("_g"))
-        step = base.join(got, [entity, "i"], "left").join(loose, entity, "left")
-        new = (1 - damping) / F.col("_n") + damping * (F.coalesce("_g", F.lit(0.0)) + F.coalesce("_loose", F.lit(0.0)) / F.col("_n"))
-        now = cut(step.withColumn("rank", new).select(*base.columns, "rank"), r)
+        even = (1 - damping) / F.col("_n") + damping * F.col("_d") * F.col("_lone") / F.col("_n")
+        step = now.join(got, [entity, "i"], "left").withColumns({"_was": F.col("rank"), "_lone": even, "rank": even + damping * F.coalesce("_g", F.lit(0.0))})
+        now = step.select(*base.columns, "rank", "_lone", "_was")
+        if tolerance and (r % every == 0 or r == rounds):
+            now = cut(now, r)
+            moved = now.groupBy(entity).agg((F.sum(F.abs(F.col("rank") - F.col("_was"))) / F.first("_n")).alias("m")).agg(F.max("m")).first()[0]
+            if moved is None or moved < tolerance:
+                break
     return now.select(entity, "i", "rank")
 
 

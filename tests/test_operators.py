@@ -168,6 +168,32 @@ def test_graph_tables(spark):
     assert sum(rank) == pytest.approx(1.0)
 
 
+def dense_pagerank(n, links, rounds=1000):
+    a = np.zeros((n, n))
+    for i, j in links:
+        a[i, j] = a[j, i] = 1.0
+    k = a.sum(axis=1)
+    move = np.where(k[:, None] > 0, a / np.maximum(k, 1)[:, None], 1.0 / n)
+    r = np.full(n, 1.0 / n)
+    for _ in range(rounds):
+        r = 0.15 / n + 0.85 * r @ move
+    return r
+
+
+def test_pagerank_converges(spark):
+    path = [(i, i + 1) for i in range(39)]
+    star = [(0, i) for i in range(1, 30)] + [(29, 30), (30, 31)]
+    sizes = {0: (45, path), 1: (33, star)}  # 5 and 1 nodes without links
+    nodes = spark.createDataFrame([(e, i) for e, (n, _) in sizes.items() for i in range(n)], "e int, i int")
+    links = spark.createDataFrame([(e, i, j) for e, (_, own) in sizes.items() for i, j in own], "e int, i int, j int")
+    got = {(r["e"], r["i"]): r["rank"] for r in graph.pagerank(nodes, links, "e").collect()}
+    for e, (n, own) in sizes.items():
+        want = dense_pagerank(n, own)
+        assert np.abs(np.array([got[e, i] for i in range(n)]) - want).sum() < 1e-6 * n * 0.85 / 0.15
+    cut_short = [r["rank"] for r in graph.pagerank(nodes.where("e = 1"), links.where("e = 1"), "e", rounds=4, tolerance=0).orderBy("i").collect()]
+    assert np.abs(np.array(cut_short) - dense_pagerank(33, star, 4)).sum() < 1e-12
+
+
 def test_kernels_on_known_shapes():
     xyz = np.random.default_rng(3).normal(0, 6, (40, 3))
     flow = kernels.transfer_entropy(xyz)

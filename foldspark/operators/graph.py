@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.session import keep_checkpoints
+
 
 def ends(edges: DataFrame, entity: str) -> DataFrame:
     return edges.select(entity, F.inline(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))))
@@ -43,10 +45,7 @@ def clustering(nodes: DataFrame, edges: DataFrame, entity: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame, k: int) -> DataFrame:
-    """Cut in the folder of spark.checkpoint.dir; where the session has none, under the warehouse."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    keep_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 

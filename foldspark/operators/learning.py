@@ -6,6 +6,7 @@ import math
 import random
 from collections.abc import Mapping, Sequence
 
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import clean
 from foldspark.operators.metrics import ranking
+from foldspark.session import keep_checkpoints
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -53,23 +55,55 @@ def assembled_vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep").transform(df)
 
 
-def fit_trees(train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, rounds: int = 50, depth: int = 5, rate: float = 0.05, subsample: float = 0.8, columns: float = 0.8, patience: int = 30, seed: int = 42) -> tuple[GBTClassificationModel, int]:
-    """Boosted trees, and how many of them to use: all rounds are fitted, then
-    the prefix of least validation loss before ``patience`` rounds without gain."""
+def fit_trees(train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, rounds: int = 1000, depth: int = 5, rate: float = 0.05, subsample: float = 0.8, columns: float = 0.8, patience: int = 30, seed: int = 42) -> tuple[GBTClassificationModel, int]:
+    """Boosted trees cut to the prefix to use, and its length: the prefix of
+    least validation loss before ``patience`` rounds without gain.  Twice as
+    many rounds are fitted each time until patience ends or all are fitted."""
+    keep_checkpoints(train.sparkSession)
     weight = class_weight(train, truth)
-    weighted = assembled_vector(train, features).withColumn("_weight", F.when(F.col(truth) == 1, weight).otherwise(1.0))
-    model = GBTClassifier(
-        featuresCol="_features", labelCol=truth, weightCol="_weight", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(columns), seed=seed
-    ).fit(weighted)
-    held = assembled_vector(validation, features).withColumns({truth: F.col(truth).cast("double"), "_weight": F.when(F.col(truth) == 1, weight).otherwise(1.0)})
-    losses = model.evaluateEachIteration(held) if not held.isEmpty() else [0.0]
+    put = lambda df: assembled_vector(df, features).select("_features", F.col(truth).cast("double").alias("_truth"), F.when(F.col(truth) == 1, weight).otherwise(1.0).alias("_weight"))
+    weighted, held = (few_parts(put(df)).cache() for df in (train, validation))
+    fitted = rounds if held.isEmpty() else min(rounds, 2 * patience)
+    while True:
+        model = GBTClassifier(
+            featuresCol="_features", labelCol="_truth", weightCol="_weight", maxIter=fitted, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(columns), seed=seed
+        ).fit(weighted)
+        best, over = (fitted, True) if held.isEmpty() else best_prefix(model.evaluateEachIteration(held), patience)
+        if over or fitted == rounds:
+            break
+        fitted = min(rounds, 2 * fitted)
+    weighted.unpersist()
+    held.unpersist()
+    return first_trees(model, best), best
+
+
+def few_parts(df: DataFrame, rows_a_task: int = 10_000) -> DataFrame:
+    """As few partitions as the rows need: each level of each tree is a job."""
+    return df.coalesce(max(1, -(-df.count() // rows_a_task)))
+
+
+def best_prefix(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Length of the prefix of least loss, and whether patience ended in it."""
     best = 0
     for i, loss in enumerate(losses):
         if loss < losses[best]:
             best = i
         elif i - best >= patience:
-            break
-    return model, best + 1
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` trees with their weights."""
+    if n >= model.getNumTrees:
+        return model
+    whole, context = model._java_obj, SparkContext._active_spark_context
+    trees = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = context._gateway.new_array(context._jvm.double, n)
+    for k in range(n):
+        trees[k], weights[k] = whole.trees()[k], model.treeWeights[k]
+    made = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{n}", trees, weights, model.numFeatures, model.numClasses)
+    return model._copyValues(GBTClassificationModel(made))
 
 
 def tree_scores(df: DataFrame, model: GBTClassificationModel, features: Sequence[str], name: str = "y_prob") -> DataFrame:
@@ -82,11 +116,11 @@ def importances(df: DataFrame, model: GBTClassificationModel, features: Sequence
     return df.sparkSession.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(rows)], "rank int, feature string, importance double")
 
 
-def search(train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, trials: int = 4, rounds: int = 5, seed: int = 42) -> DataFrame:
+def search(train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, trials: int = 100, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """Seeded search that first draws at random, then near the best trial so
     far, for the greatest validation average precision: one row a trial."""
     rng = random.Random(seed)
-    rows: list[tuple[int, float, int, float, float]] = []
+    rows: list[tuple[int, float, int, float, float, int]] = []
     for t in range(trials):
         best = max(rows, key=lambda r: r[1], default=None)
         if best is None or t < trials // 2:
@@ -94,7 +128,13 @@ def search(train: DataFrame, validation: DataFrame, features: Sequence[str], tru
         else:
             depth = min(5, max(2, best[2] + rng.choice((-1, 0, 1))))
             rate, sub = best[3] * 10 ** rng.gauss(0, 0.15), min(1.0, max(0.5, best[4] + rng.gauss(0, 0.05)))
-        model, _ = fit_trees(train, validation, features, truth, rounds=rounds, depth=depth, rate=rate, subsample=sub, seed=seed)
+        model, n = fit_trees(train, validation, features, truth, rounds=rounds, depth=depth, rate=rate, subsample=sub, seed=seed)
         value = ranking(tree_scores(validation, model, features).withColumn("_all", F.lit(0)), ["_all"], "y_prob", truth, 1).first()["ap"]
-        rows.append((t, value if value is not None else 0.0, depth, rate, sub))
-    return train.sparkSession.createDataFrame(rows, "trial int, ap double, depth int, rate double, subsample double")
+        rows.append((t, value if value is not None else 0.0, depth, rate, sub, n))
+    return train.sparkSession.createDataFrame(rows, "trial int, ap double, depth int, rate double, subsample double, n_trees int")
+
+
+def retrained(train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, trials: DataFrame, *, rounds: int = 1000, seed: int = 42) -> tuple[GBTClassificationModel, int]:
+    """The trees of the best trial, the first of equals, fitted again."""
+    best = trials.orderBy(F.col("ap").desc(), "trial").first()
+    return fit_trees(train, validation, features, truth, rounds=rounds, depth=best["depth"], rate=best["rate"], subsample=best["subsample"], seed=seed)

@@ -408,7 +408,7 @@ def learnable(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows, features = learnable(spark, sf)
     rows = rows.cache()
-    model, _ = learning.fit_trees(rows.where("split = 'train'"), rows.where("split = 'val'"), features, "quality", rounds=4, depth=3)
+    model, _ = learning.fit_trees(rows.where("split = 'train'"), rows.where("split = 'val'"), features, "quality")
     return learning.tree_scores(rows, model, features).select("doc_id", "split", "quality", "y_prob")
 
 
@@ -416,4 +416,13 @@ def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
 def tree_search(spark: SparkSession, sf: str) -> DataFrame:
     rows, features = learnable(spark, sf)
     rows = rows.cache()
-    return learning.search(rows.where("split = 'train'"), rows.where("split = 'val'"), features, "quality", trials=2, rounds=2)
+    return learning.search(rows.where("split = 'train'"), rows.where("split = 'val'"), features, "quality")
+
+
+@query("tuned_scores")
+def tuned_scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows, features = learnable(spark, sf)
+    rows = rows.cache()
+    parts = rows.where("split = 'train'"), rows.where("split = 'val'")
+    model, _ = learning.retrained(*parts, features, "quality", learning.search(*parts, features, "quality"))
+    return learning.tree_scores(rows, model, features).select("doc_id", "split", "quality", "y_prob")

@@ -21,3 +21,9 @@ def session(app: str = "foldspark", master: str | None = None, **settings: str)
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def keep_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to spark.checkpoint.dir; where the session has none, under the warehouse."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")

@@ -250,3 +250,26 @@ def test_projection_is_centred(spark):
     model, mean = learning.fit_projection(df, "v", 2)
     axes = np.array([r["p"] for r in learning.projected(df, "v", model, mean, "p").collect()])
     assert np.allclose(axes.mean(axis=0), 0, atol=1e-9)
+
+
+def test_trees_stop_where_validation_loss_turns(spark):
+    rows = [(i, float(i % 20), int(i % 20 >= 10)) for i in range(200)]
+    train = spark.createDataFrame(rows, "id int, x double, t int")
+    turned = train.withColumn("t", 1 - F.col("t"))
+    model, n = learning.fit_trees(train, turned, ["x"], "t", rounds=6, depth=2, patience=2, columns=1.0)
+    assert n == 1 and model.getNumTrees == 1
+    whole, m = learning.fit_trees(train, train, ["x"], "t", rounds=6, depth=2, patience=2, columns=1.0)
+    assert m == 6 and whole.getNumTrees == 6
+    cut = learning.first_trees(whole, 2)
+    one, two = ({r["id"]: r["y_prob"] for r in learning.tree_scores(train, x, ["x"]).collect()} for x in (model, cut))
+    assert cut.treeWeights == whole.treeWeights[:2] and len(set(one.values())) == 2 and max(two.values()) > 0.5
+    assert two != {r["id"]: r["y_prob"] for r in learning.tree_scores(train, whole, ["x"]).collect()}
+
+
+def test_search_counts_trees_and_its_best_trial_is_fitted_again(spark):
+    train = spark.createDataFrame([(i, float(i % 20), int(i % 20 >= 10)) for i in range(100)], "id int, x double, t int")
+    trials = learning.search(train, train, ["x"], "t", trials=2, rounds=3)
+    best = max(trials.collect(), key=lambda r: (r["ap"], -r["trial"]))
+    model, n = learning.retrained(train, train, ["x"], "t", trials, rounds=3)
+    assert n == best["n_trees"] == model.getNumTrees
+    assert model.getOrDefault("maxDepth") == best["depth"]

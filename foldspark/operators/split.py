@@ -1,14 +1,16 @@
-"""Leakage-safe splits by cluster, and approximate sequence clustering."""
+"""Leakage-safe splits by cluster, and clustering by shared word k-grams."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import HashingTF, MinHashLSH, NGram, RegexTokenizer
+from pyspark.ml.feature import NGram, RegexTokenizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.operators.graph import checkpointed
+
 
 def cluster_split(members: DataFrame, cluster: str, shares: Sequence[tuple[str, float]] = (("train", 0.70), ("val", 0.15), ("test", 0.15)), seed: str = "42") -> DataFrame:
     """``members`` with ``split``.  Clusters are ordered by a seeded digest and
@@ -38,20 +40,54 @@ def shuffled_split(clusters: Sequence[str], seed: int = 42, train: float = 0.70,
     return {c: "train" if i < a else "val" if i < b else "test" for i, c in enumerate(order)}
 
 
-def shingled(df: DataFrame, text: str, k: int, features: int = 1 << 18) -> DataFrame:
-    """``df`` with ``_grams`` (binary hashed k-grams of words); too short texts are left out."""
+#: Rows of about 30 bytes.
+BROADCAST_GRAMS = 500_000
+
+
+def shingled(df: DataFrame, text: str, k: int) -> DataFrame:
+    """``df`` with ``_grams``, the distinct k-grams of words; too short texts are left out."""
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+").transform(df.where(F.col(text).isNotNull()))
     grams = NGram(n=k, inputCol="_words", outputCol="_ngrams").transform(words).where(F.size("_ngrams") > 0)
-    return HashingTF(numFeatures=features, binary=True, inputCol="_ngrams", outputCol="_grams").transform(grams).drop("_words", "_ngrams")
+    return grams.withColumn("_grams", F.array_distinct("_ngrams")).drop("_words", "_ngrams")
+
+
+def similar_pairs(a: DataFrame, b: DataFrame, text: str, ids: tuple[str, str], *, k: int = 3, distance: float = 0.8) -> DataFrame:
+    """(id_a, id_b, distance): all pairs within a Jaccard distance over word
+    k-grams, exactly, by a join on grams.
+
+    A gram is a 128-bit digest.  Only grams that both sides have are counted;
+    what a set has besides is in its size.  ``b`` is the small side: a gram
+    meets as many rows as texts of ``b`` have it, and up to a counted
+    ``BROADCAST_GRAMS`` its grams are broadcast."""
+    left, right = (shingled(df, text, k).select(F.col(i).alias("id"), F.size("_grams").alias("n"), F.explode("_grams").alias("_g")) for df, i in ((a, ids[0]), (b, ids[1])))
+    left, right = (df.select("id", "n", F.xxhash64("_g").alias("g"), F.xxhash64(F.reverse("_g")).alias("h")) for df in (left, right))
+    right = F.broadcast(right) if right.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else right
+    met = left.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "g", "h").join(right.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "g", "h"), ["g", "h"])
+    shared = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
+    apart = 1.0 - F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))
+    return shared.select("id_a", "id_b", apart.alias("distance")).where(F.col("distance") <= distance)
 
 
-def similar_pairs(a: DataFrame, b: DataFrame, text: str, ids: tuple[str, str], *, k: int = 3, distance: float = 0.8, tables: int = 8, seed: int = 42) -> DataFrame:
-    """(id_a, id_b, distance) by min-hashing: approximate recall, exact
-    distances over hashed k-grams."""
-    left, right = shingled(a, text, k), shingled(b, text, k)
-    model = MinHashLSH(inputCol="_grams", outputCol="_hash", numHashTables=tables, seed=seed).fit(left)
-    pairs = model.approxSimilarityJoin(left.select(F.col(ids[0]).alias("id"), "_grams"), right.select(F.col(ids[1]).alias("id"), "_grams"), distance, "distance")
-    return pairs.select(F.col("datasetA.id").alias("id_a"), F.col("datasetB.id").alias("id_b"), "distance")
+def clusters(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(side, id, component) for the texts of ``similar_pairs``: the parts of
+    the graph of pairs, named by their least id of ``a``.  Each round a text
+    of ``b`` takes the least name of its texts, and these the least of theirs."""
+    links = checkpointed(pairs.select("id_a", "id_b").distinct(), 0)
+    now = links.select("id_a", F.col("id_a").alias("c")).distinct()
+    for r in range(max_rounds):
+        by_b = links.join(now, "id_a").groupBy("id_b").agg(F.min("c").alias("c"))
+        by_a = links.join(by_b, "id_b").groupBy("id_a").agg(F.min("c").alias("c"))
+        hop = by_a.select(F.col("id_a").alias("c"), F.col("c").alias("further"))
+        new = by_a.join(hop, "c").select("id_a", F.col("further").alias("c"))
+        new = checkpointed(new.join(now.select("id_a", F.col("c").alias("was")), "id_a"), r)
+        settled = new.where("c <> was").isEmpty()
+        now = new.drop("was")
+        if settled:
+            break
+    else:
+        raise RuntimeError("clusters did not settle")
+    by_b = links.join(now, "id_a").groupBy("id_b").agg(F.min("c").alias("component"))
+    return now.select(F.lit("a").alias("side"), F.col("id_a").cast("string").alias("id"), F.col("c").alias("component")).unionByName(by_b.select(F.lit("b").alias("side"), F.col("id_b").cast("string").alias("id"), "component"))
 
 
 def best_hits(hits: DataFrame) -> DataFrame:

@@ -378,6 +378,11 @@ def minhash_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return split.similar_pairs(read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark"), "text", ("doc_id", "item_id"))
 
 
+@query("similar_clusters")
+def similar_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return split.clusters(minhash_pairs(spark, sf))
+
+
 @query(
     "standardize",
     f"SELECT c_custkey, {_f6('(c_acctbal - m) / s')} AS c_acctbal, {_f6('(c_nationkey - mn) / sn')} AS c_nationkey FROM customer, "

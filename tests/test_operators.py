@@ -273,3 +273,24 @@ def test_search_counts_trees_and_its_best_trial_is_fitted_again(spark):
     model, n = learning.retrained(train, train, ["x"], "t", trials, rounds=3)
     assert n == best["n_trees"] == model.getNumTrees
     assert model.getOrDefault("maxDepth") == best["depth"]
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    host = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(30)]
+    # passages of a text of 60 words: Jaccard from below 0.2 to 1
+    part = [" ".join(t.split()[: 10 + 2 * k % 50]) for k, t in enumerate(host)]
+    a = spark.createDataFrame([*enumerate(host), (98, None), (99, "too short")], "x int, text string")
+    b = spark.createDataFrame([*enumerate(part), (40, host[0] + " " + host[1])], "y int, text string")
+    grams = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    own, other = {i: grams(t) for i, t in enumerate(host)}, {i: grams(t) for i, t in enumerate(part)} | {40: grams(host[0] + " " + host[1])}
+    apart = {(i, j): 1 - len(x & y) / len(x | y) for i, x in own.items() for j, y in other.items()}
+    want = {p: d for p, d in apart.items() if d <= 0.8}
+    pairs = split.similar_pairs(a, b, "text", ("x", "y"))
+    got = {(r["id_a"], r["id_b"]): r["distance"] for r in pairs.collect()}
+    assert got == pytest.approx(want) and 15 < len(want) < len(own) + 2
+    parts = {(r["side"], r["id"]): r["component"] for r in split.clusters(pairs).collect()}
+    assert parts["a", "0"] == parts["a", "1"] == parts["b", "40"] == 0
+    assert {(s, i) for s, i in parts} == {("a", str(i)) for i, _ in want} | {("b", str(j)) for _, j in want}
+    chain = spark.createDataFrame([(i, i + d) for i in range(40) for d in (0, 1)] + [(70, 90)], "id_a int, id_b int")
+    assert {(r["side"], r["id"]): r["component"] for r in split.clusters(chain).collect()} == {("a", str(i)): 0 for i in range(40)} | {("b", str(i)): 0 for i in range(41)} | {("a", "70"): 70, ("b", "90"): 70}

@@ -398,7 +398,8 @@ def standardize(spark: SparkSession, sf: str) -> DataFrame:
 @query("pca_project")
 def pca_project(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    model, mean = learning.fit_projection(rows.where("label < 7"), "embedding", 8)
+    train = split.cluster_split(rows, "label").where("split = 'train'")
+    model, mean = learning.fit_projection(train, "embedding", 8)
     return learning.projected(rows, "embedding", model, mean, "axes").select("vec_id", "axes")
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from foldspark.operators import split
 from foldspark.plans import catalog
 from tests.oracle import connection, same
 
@@ -29,3 +30,11 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_projection_is_fitted_on_the_train_part(spark, tmp_path):
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").selectExpr("vec_id", "label + 5 AS label", "embedding")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    train = split.cluster_split(rows, "label").where("split = 'train'").select("vec_id")
+    axes = [r["axes"] for r in catalog.QUERIES["pca_project"](spark, str(tmp_path)).join(train, "vec_id").collect()]
+    assert len(axes) > 8 and all(abs(sum(a[k] for a in axes) / len(axes)) < 1e-9 for k in range(8))

@@ -3,15 +3,17 @@
 A document's set holds its distinct word shingles; two documents link when the
 Jaccard similarity of their sets is at least ``percent``.  Links themselves
 are many in large groups of copies; what is returned is each document's set
-size and its connected component.
+size and its connected component.  Neither links nor their number are
+produced: a pair inside one component is never verified.
 
 1.  Sets.  One scan gives each document its set size, a digest of the set
     (equal sets are one node from here on) and a parity bitmap of about four
     bits a shingle.
 2.  Orders.  A global token order ranks shingles by how common they are and
-    then by a hash.  How common is read from a count sketch over all
-    shingles of all documents, of fixed size; it is rounded to powers of two,
-    so that it only sinks shingles of widely shared passages.  Orders of the
+    then by a hash.  How common is read from a count sketch of fixed size over
+    the shingles of all documents whose hash is in the first quarter; the
+    others get the counts of shingles that share a counter.  It is rounded to
+    powers of two, so that it only sinks shingles of widely shared passages.  Orders of the
     same kind with other hashes are independent of the first.
 3.  Candidates.  Linked sets share a token among their prefixes under any one
     order.  Prefixes under the first order are exchanged by token.  Short
@@ -157,7 +159,7 @@ def sketch_bits(tokens: int) -> int:
 
 
 def counting(k: int, size: int):
-    """Task side of the sketch: counts of all shingles by hash, in parts."""
+    """Task side of the sketch: counts of the first quarter of shingles by hash, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from foldspark.llm import queries
+from tests.llm import cases
 from tests.oracle import connection, same
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,3 +34,19 @@ def test_pipeline_stages(spark):
             assert 0 < docs.count() <= n
             n = docs.count()
     assert docs.agg({"length": "max"}).first()[0] <= 4096
+
+
+def test_pipeline_equals_brute_force_up_to_the_mixture(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    pairs = lambda df: sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    clean = stages["quality rules"](spark, docs, FOLDER).cache()
+    kept = pairs(clean)
+    assert set(kept) <= {p for p in pairs(docs) if not cases.quality(p[1])[-1]}
+    lined = stages["line dedup"](spark, clean, FOLDER).cache()
+    rows = pairs(lined)
+    assert sorted((i, cases.sha(t or "")) for i, t in rows) == sorted((i, sha) for i, _, _, sha in cases.line_dedup(kept))
+    stay = {i for i, _, least in cases.ngram_join(rows, 5, 80) if i == least}
+    assert pairs(stages["n-gram Jaccard join"](spark, lined, FOLDER)) == [p for p in rows if p[0] in stay]

@@ -1,44 +1,47 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
 A document's set holds its distinct word shingles; two documents link when the
-Jaccard similarity of their sets is at least ``percent``.  Links themselves
-are many in large groups of copies; what is returned is each document's set
-size and its connected component.  Neither links nor their number are
-produced: a pair inside one component is never verified.
-
-1.  Sets.  One scan gives each document its set size, a digest of the set
-    (equal sets are one node from here on) and a parity bitmap of about four
-    bits a shingle.
-2.  Orders.  A global token order ranks shingles by how common they are and
-    then by a hash.  How common is read from a count sketch of fixed size over
-    the shingles of all documents whose hash is in the first quarter; the
-    others get the counts of shingles that share a counter.  It is rounded to
-    powers of two, so that it only sinks shingles of widely shared passages.  Orders of the
-    same kind with other hashes are independent of the first.
-3.  Candidates.  Linked sets share a token among their prefixes under any one
-    order.  Prefixes under the first order are exchanged by token.  Short
-    lists give all their pairs; a long list compares every member with a few
-    hubs only, the same ones in all lists of a group.
-4.  Filters, each of which a linked pair passes: the bitmaps' distance (at
-    most the symmetric difference), then shared prefix tokens under each
-    further order.  Pairs that pass all are verified on their whole sets.
-5.  Long lists again, exactly: with the components so far, every member
-    outside a list's main component is compared, bitmap by bitmap, with all
-    members of other components and proposes the nearest; these are verified
-    as before.  This repeats, with more proposals each time, until none is
-    left.  Members of one component need no comparison, so a tight group of
-    any size costs as much as it has members.
-
-Defined cases: a null text or one without words has an empty set, links with
-nothing and is its own component; fewer than ``k`` words make one shingle of
-the whole; rows that share an id stay rows of their own but share their least
-id as documents do when their sets link; an empty table gives an empty table;
-other input columns are ignored, whatever their names.
-
-Shape at scale: four scans; texts of nodes that passed the bitmap filter are
-shuffled once, compressed.  Tokens of a task are combined before they are
-sent and packed by exchange group; the sketch (``1 << MOST_BITS`` classes of
-one byte at most) is all that is broadcast.
+Jaccard similarity of their sets is at least ``percent``.  What is returned is
+each document's set size and its connected component.  Links are not listed:
+a pair inside one component needs no verification, and a large group of
+copies has more pairs than any table can hold.
+
+1.  Orders.  A global token order ranks shingles by how common they are and
+    then by a hash.  How common is read from a count sketch over all shingles
+    of all documents, rounded to powers of two, so that it only sinks shingles
+    of widely shared passages.  Three orders with other hashes are independent
+    of each other.
+2.  Sets.  One scan gives each document its set size, a digest of the set
+    (equal sets are one node from here on), a parity bitmap of four to eight
+    bits a shingle, and its prefix under each order.  Linked sets share a
+    token among their prefixes under every one of the orders.
+3.  Lists.  Prefix tokens under the first order that two nodes hold are lists;
+    every linked pair is in one.  Lists of the same members are one list.  A
+    list is dealt into parts of about ``part`` members, and within a part all
+    pairs are compared by bitmap (the distance of bitmaps is at most the
+    symmetric difference).
+4.  Forests.  Of the pairs that may link, a task sends on a spanning forest,
+    nearest pairs first: as many pairs as it has members at most, whatever the
+    size of a group.  Pairs of the forests must share prefix tokens under the
+    further orders too; those that do are verified on their whole sets, and
+    verified links give components.
+5.  Rounds.  Lists of several parts, and lists that had more pairs than their
+    forest, go on while they have members of several components: each member
+    outside a list's main component is compared with all members of other
+    components, in blocks, and more forests are sent each round, until no
+    pair that may link is left between components.
+
+Defined cases: a document without words has size 0 and links with nothing; a
+row with a null id links with nothing and has a null component; a very long
+text is handled whole; rows that share an id stay rows of their own but share
+their least id as documents do when their sets link; an empty table gives an
+empty table; other input columns are ignored, whatever their names.
+
+Shape at scale: three scans.  Tokens of a task are combined before they are
+sent, so that a token in a third of all documents is one record a task, and
+packed by exchange group.  Blocks of a list are bounded on both sides.  Texts
+of nodes that a candidate pair holds are shuffled once, compressed; the sketch
+(``1 << MOST_BITS`` classes of one byte at most) is all that is broadcast.
 """
 
 from __future__ import annotations
@@ -52,23 +55,25 @@ from pyspark.sql import functions as F
 
 from foldspark.llm._common import cut, prepare, slim
 from foldspark.llm.components import components
-from foldspark.llm.substring_dedup import heads, packed, runs_of, squeezed, unpacked, unzipped, zipped
+from foldspark.llm.substring_dedup import combined, heads, repeated_keys, runs_of, squeezed, unpacked, unzipped, zipped
 from foldspark.llm.words import Block, blocks, mixed, windows, word_hashes, words
 
-#: The sketch has about one counter for each shingle it counts, within these
-#: powers of two: its size is bounded whatever the corpus.
+#: The sketch has about one counter for each shingle, within these powers of
+#: two: its size is bounded whatever the corpus.
 LEAST_BITS, MOST_BITS = 14, 24
 SKETCH_PARTS = 64
-#: The sketch counts shingles whose hash under the first order is in the first
-#: quarter: prefixes hardly reach further.
-SKETCH_SHARE = 4
+#: Tasks that each send a sketch; more partitions than that are read by fewer
+#: tasks, so that sketches stay a small part of what is moved.
+SKETCH_TASKS = 4096
 ORDERS = (0, 1, 2)
-SHORT_LIST, HUBS = 6, 3
-#: Pairs that a member of a long list proposes at first, and by how much more
-#: in each further round.
-PROPOSED, MORE = 4, 16
+#: Members in a part of a list.
+PART = 1024
+#: Forests that a round sends, as a multiple of the round before.
+MORE = 16
 TOKENS_AT_ONCE = 1 << 20
 GROUP_BYTES = 32 << 20
+#: Bytes of bitmaps in one exchange group, and pairs compared at once.
+BLOCK_BYTES, PAIRS_AT_ONCE = 8 << 20, 1 << 20
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -112,20 +117,11 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=size) & 1).tobytes()
 
 
-def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap (as bytes) for fewer bits; parity survives folding.  Bit i of
-    the larger belongs to bit i modulo ``size`` of the smaller."""
-    while len(bits) * 8 > size:
-        half = len(bits) // 2
-        bits = bits[:half] ^ bits[half:]
-    return bits
-
-
-def difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = 8 * min(len(x), len(y))
-    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows of bytes) of half the size; parity survives folding.  Bit
+    i of the larger belongs to bit i modulo the smaller size."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
 
 
 def may_link(difference: np.ndarray | int, both: np.ndarray | int, percent: int) -> np.ndarray | bool:
@@ -133,33 +129,15 @@ def may_link(difference: np.ndarray | int, both: np.ndarray | int, percent: int)
     return 100 * (both - difference) >= percent * (both + difference)
 
 
-def describe(k: int):
-    """(doc, text) to (doc, node, n, bits)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, bits = [], [], []
-            for block in blocks(batch.column(1)):
-                tokens, at = shingle_sets(block, k)
-                for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    own = tokens[i:j]
-                    nodes.append(digest(own) if j > i else None)
-                    bits.append(bitmap(own) if j > i else None)
-                    sizes.append(j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["_id", "node", "n", "bits"])
-
-    return run
-
-
 # ---- orders -----------------------------------------------------------------
 
 
 def sketch_bits(tokens: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, (tokens // SKETCH_SHARE).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, tokens.bit_length()))
 
 
 def counting(k: int, size: int):
-    """Task side of the sketch: counts of the first quarter of shingles by hash, in parts."""
+    """Task side of the sketch: counts of all shingles, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
@@ -167,8 +145,7 @@ def counting(k: int, size: int):
         for batch in batches:
             for block in blocks(batch.column(0)):
                 tokens, _ = shingle_sets(block, k)
-                tokens = tokens[place_in(tokens, 0) < np.uint64((1 << 59) // SKETCH_SHARE)]
-                np.add.at(total, counter(tokens, size), 1)
+                np.add.at(total, counter(tokens, size), np.uint32(1))
                 some = True
         if some:
             parts = total.reshape(SKETCH_PARTS, -1)
@@ -195,7 +172,8 @@ def adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def commonness(texts: DataFrame, k: int, size: int) -> np.ndarray:
     """For each counter, how many powers of two lie between twice the mean
     count and its own."""
-    rows = texts.mapInArrow(counting(k, size), "part int, counts binary").repartition(SKETCH_PARTS, "part").mapInArrow(adding, "part int, counts binary").collect()
+    few = texts.coalesce(SKETCH_TASKS)
+    rows = few.mapInArrow(counting(k, size), "part int, counts binary").repartition(SKETCH_PARTS, "part").mapInArrow(adding, "part int, counts binary").collect()
     # one part at a time: the driver holds the classes, never all counts
     counts = lambda row: unpacked([pa.scalar(bytes(row["counts"]), pa.binary())], np.uint32)
     level = max(8.0, 2.0 * sum(int(counts(row).sum(dtype=np.int64)) for row in rows) / size)
@@ -217,41 +195,69 @@ def place_in(tokens: np.ndarray, order: int) -> np.ndarray:
     return mixed(tokens + np.uint64((order + 1) * int(_SALTS[0]) % (1 << 64))) >> np.uint64(5)
 
 
-def ordered(tokens: np.ndarray, common: np.ndarray, order: int) -> np.ndarray:
-    """Sort keys of tokens under a global order."""
-    return place_in(tokens, order) | (common[counter(tokens, len(common))].astype(np.uint64) << np.uint64(59))
+# ---- documents --------------------------------------------------------------
 
 
-def posting_blobs(k: int, percent: int, groups: int, common):
-    """Task side: (token, node) of prefixes under the first order."""
-
-    def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        token, node = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        order = np.lexsort((node, token))
-        one = order[heads(token[order], node[order])]
-        token, node = token[one], node[one]
-        rows = list(packed({"t": token, "v": node}, (mixed(token.copy()) % np.uint64(groups)).astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), *(pa.array([c[i] for _, c in rows], pa.binary()) for i in (0, 1))], ["g", "t", "v"])
+def described(k: int, percent: int, common):
+    """(id, text) to (id, node, n, bits, p0, p1, p2): the prefixes under the
+    orders, whole tokens under the first and 32 bits of them under the others
+    (equal tokens stay equal)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
         for batch in batches:
-            for block in blocks(batch.column(0)):
+            nodes, sizes, bits = [], [], []
+            prefixes: list[list[bytes | None]] = [[] for _ in ORDERS]
+            for block in blocks(batch.column(1)):
                 tokens, at = shingle_sets(block, k)
                 size = np.diff(at)
                 row = np.repeat(np.arange(len(size)), size)
-                key = ordered(tokens, common.value, 0)
-                order = np.lexsort((key, row))
                 place = np.arange(len(tokens)) - np.repeat(at[:-1], size)
-                chosen = order[place < prefix_size(size, percent)[row]]
-                node = np.array([digest(tokens[i:j]) if j > i else 0 for i, j in zip(at[:-1], at[1:], strict=True)], np.int64)
-                held.append((tokens[chosen], node[row[chosen]]))
-                n += len(chosen)
-                if n >= TOKENS_AT_ONCE:
-                    yield from send(held)
-                    held, n = [], 0
+                first = place < prefix_size(size, percent)[row]
+                rank = common.value[counter(tokens, len(common.value))].astype(np.uint64) << np.uint64(59)
+                bounds = np.r_[0, np.cumsum(np.where(size > 0, prefix_size(size, percent), 0))]
+                for order, out in zip(ORDERS, prefixes, strict=True):
+                    chosen = tokens[np.lexsort((place_in(tokens, order) | rank, row))[first]]
+                    if order:
+                        chosen = (chosen >> np.uint64(32)).astype(np.uint32)
+                    out += [chosen[i:j].tobytes() if j > i else None for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = tokens[i:j]
+                    nodes.append(digest(own) if j > i else None)
+                    bits.append(bitmap(own) if j > i else None)
+                    sizes.append(j - i)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), *(pa.array(p, pa.binary()) for p in prefixes)],
+                ["_id", "node", "n", "bits", "p0", "p1", "p2"],
+            )
+
+    return run
+
+
+def posting_blobs(groups: int):
+    """Task side: (node, p0) to (token, node), combined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            node, prefix = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            token = np.frombuffer(b"".join(prefix), np.uint64)
+            held.append((token, np.repeat(node, [len(x) // 8 for x in prefix])))
+            n += len(token)
+            if n >= TOKENS_AT_ONCE:
+                yield combined(held, groups)
+                held, n = [], 0
         if n:
-            yield from send(held)
+            yield combined(held, groups)
+
+    return run
+
+
+def members_of_lists(groups: int):
+    """Group side: (token, node) of the tokens that two nodes hold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        token, node = repeated_keys(table, groups)
+        return pa.table({"token": pa.array(token.view(np.int64)), "node": pa.array(node, pa.int64())})
 
     return run
 
@@ -259,68 +265,190 @@ def posting_blobs(k: int, percent: int, groups: int, common):
 # ---- candidates -------------------------------------------------------------
 
 
-def list_pairs(table: pa.Table) -> pa.Table:
-    """Group side: pairs (a < b) to compare, and (token, node) of long lists,
-    as rows (token, a, b) with token null for pairs, b null for members."""
-    token, node = unpacked(table["t"], np.uint64), unpacked(table["v"], np.int64)
-    order = np.lexsort((node, token))
-    one = order[heads(token[order], node[order])]
-    token, node = token[one], node[one]
-    at, size = heads(token), runs_of(token)
-    left, right = [], []
-    for n in np.unique(size[(size > 1) & (size <= SHORT_LIST)]).tolist():
-        lists = node[at[size == n][:, None] + np.arange(n)]
+class Forest:
+    """Components as they would be if all pairs accepted so far were links."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while True:
+            higher = self.up[self.up]
+            if (higher == self.up).all():
+                return higher
+            self.up = higher
+
+    def accept(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs in their order, those of a spanning forest (Boruvka)."""
+        accepted, live, none = np.zeros(len(a), bool), np.arange(len(a)), len(a)
+        while True:
+            root = self.roots()
+            live = live[root[a[live]] != root[b[live]]]
+            if not len(live):
+                return accepted
+            nearest = np.full(len(root), none)
+            np.minimum.at(nearest, root[a[live]], live)
+            np.minimum.at(nearest, root[b[live]], live)
+            for pair in np.unique(nearest[nearest < none]).tolist():
+                x, y = a[pair], b[pair]
+                while self.up[x] != x:
+                    x = self.up[x]
+                while self.up[y] != y:
+                    y = self.up[y]
+                if x != y:
+                    self.up[max(x, y)] = min(x, y)
+                    accepted[pair] = True
+
+
+def pairs_in(at: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within stretches, in portions."""
+    for n in np.unique(size[size > 1]).tolist():
         i, j = np.triu_indices(n, 1)
-        left.append(lists[:, i].ravel())
-        right.append(lists[:, j].ravel())
-    long = size > SHORT_LIST
-    for first, n in zip(at[long].tolist(), size[long].tolist(), strict=True):
-        # nodes are digests: the least of a list are its hubs, the same ones
-        # in every list of a group of copies
-        for hub in range(HUBS):
-            own = node[first + hub + 1 : first + n]
-            left.append(np.full(len(own), node[first + hub]))
-            right.append(own)
-    a = np.concatenate(left) if left else np.zeros(0, np.int64)
-    b = np.concatenate(right) if right else np.zeros(0, np.int64)
-    order = np.lexsort((b, a))
-    one = order[heads(a[order], b[order])]
-    a, b = a[one], b[one]
-    member = np.repeat(long, size)
-    none = pa.nulls(len(a), pa.int64())
-    return pa.table(
-        {
-            "token": pa.concat_arrays([none, pa.array(token[member].view(np.int64))]),
-            "a": pa.concat_arrays([pa.array(a, pa.int64()), pa.array(node[member], pa.int64())]),
-            "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(int(member.sum()), pa.int64())]),
-        }
-    )
+        own = at[size == n]
+        step = max(1, PAIRS_AT_ONCE // len(i))
+        for s in range(0, len(own), step):
+            yield (own[s : s + step, None] + i).ravel(), (own[s : s + step, None] + j).ravel()
+
+
+class Bitmaps:
+    """Bitmaps of rows, by size, with the distances of pairs of rows."""
+
+    def __init__(self, raw: list[bytes]):
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.place = np.zeros(len(raw), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == size)
+            self.place[own] = np.arange(len(own))
+            self.rows[size] = np.frombuffer(b"".join(raw[i] for i in own.tolist()), np.uint8).reshape(-1, size)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Lower bounds of symmetric differences; the larger bitmap is folded."""
+        out = np.zeros(len(i), np.int64)
+        swap = self.size[i] > self.size[j]
+        low, high = np.where(swap, j, i), np.where(swap, i, j)
+        for other in self.rows:
+            against = self.rows[other]
+            for size in sorted((x for x in self.rows if x <= other), reverse=True):
+                own = np.flatnonzero((self.size[low] == size) & (self.size[high] == other))
+                if not len(own):
+                    continue
+                while against.shape[1] > size:
+                    against = folded(against)
+                step = max(1, (4 << 20) // size)
+                for s in range(0, len(own), step):
+                    some = own[s : s + step]
+                    differ = self.rows[size][self.place[low[some]]] ^ against[self.place[high[some]]]
+                    out[some] = np.bitwise_count(differ.view(np.uint64)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def forest_pairs(percent: int, layers: int):
+    """(token, block, side, node, comp, n, bits) to rows (token, a, b, apart):
+    pairs of forests, and (token, null, null, null) for lists with more pairs
+    that may link.  Rows of a block are compared with each other if one has
+    side 1 (outlier) or 2 (both), and the other 0 (member) or 2."""
+
+    def run(table: pa.Table) -> pa.Table:
+        token, block, side, node, comp, n = (table[c].to_numpy() for c in ("token", "block", "side", "node", "comp", "n"))
+        order = np.lexsort((node, block, token))
+        token, block, side, node, comp, n = (x[order] for x in (token, block, side, node, comp, n))
+        raw = table["bits"].to_pylist()
+        bitmaps = Bitmaps([raw[i] for i in order.tolist()])
+        labels, comp = np.unique(comp, return_inverse=True)
+        forests = [Forest(len(labels)) for _ in range(layers)]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        more: list[np.ndarray] = []
+        for i, j in pairs_in(heads(token, block), runs_of(token, block)):
+            ok = (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+            ok &= ((side[i] > 0) & (side[j] != 1)) | ((side[j] > 0) & (side[i] != 1))
+            i, j = i[ok], j[ok]
+            # what the last forest connects, all forests connect
+            root = forests[-1].roots()
+            through = root[comp[i]] == root[comp[j]]
+            more.append(np.unique(token[i[through]]))
+            i, j = i[~through], j[~through]
+            apart = bitmaps.apart(i, j)
+            may = may_link(apart, n[i] + n[j], percent)
+            i, j, apart = i[may], j[may], apart[may]
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            nearest = np.lexsort((token[i], b, a, apart))
+            nearest = nearest[heads(apart[nearest], a[nearest], b[nearest])]
+            i, j, a, b, apart = i[nearest], j[nearest], a[nearest], b[nearest], apart[nearest]
+            left = np.ones(len(i), bool)
+            for forest in forests:
+                own = np.flatnonzero(left)
+                sent = own[forest.accept(comp[i[own]], comp[j[own]])]
+                found.append((a[sent], b[sent], apart[sent]))
+                left[sent] = False
+            more.append(np.unique(token[i[left]]))
+        a, b, apart = (np.concatenate([f[x] for f in found]) if found else np.zeros(0, np.int64) for x in range(3))
+        again = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
+        none = pa.nulls(len(again), pa.int64())
+        column = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), none])
+        return pa.table({"token": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(again, pa.int64())]), "a": column(a), "b": column(b), "apart": column(apart)})
 
+    return run
 
-def bitmap_filter(percent: int):
-    """(a, b, n_a, n_b, bits_a, bits_b) to the pairs that may link, with the
-    distance of their bitmaps."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            bits = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
-            apart = np.array([difference(x, y) for x, y in bits], np.int64)
-            keep = pa.array(may_link(apart, both, percent))
-            yield batch.select([0, 1]).append_column("apart", pa.array(apart)).filter(keep)
+PROPOSED = "token long, a long, b long, apart long"
 
-    return run
 
+def distinct_lists(rows: DataFrame) -> DataFrame:
+    """(token, node) to (token, node, size), with one token for all that have
+    the same members: near copies of a long text share most of its tokens."""
+    print_of = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"print_{seed}") for seed in (1, 2)]
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *print_of)
+    return rows.join(lists.groupBy("print_1", "print_2", "size").agg(F.min("token").alias("token")).select("token", "size"), "token")
 
-def filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    near = (
-        pairs.join(side("a").select("a", "n_a"), "a")
-        .join(side("b").select("b", "n_b"), "b")
-        .where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
+
+def part_of(n: str):
+    """The part of a list that a node is in."""
+    return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+
+
+def compared(dealt: DataFrame, records: DataFrame, percent: int, layers: int, groups: int) -> DataFrame:
+    """Proposals from rows (token, block, side, node, comp)."""
+    rows = dealt.join(records.select("node", "n", "bits"), "node")
+    return cut(
+        rows.withColumn("_g", F.pmod(F.xxhash64("token", "block"), F.lit(groups)))
+        .select("_g", "token", "block", "side", "node", "comp", "n", "bits")
+        .groupBy("_g")
+        .applyInArrow(lambda table: forest_pairs(percent, layers)(table), PROPOSED)
     )
-    both = near.join(side("a").select("a", "bits_a"), "a").join(side("b").select("b", "bits_b"), "b")
-    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bitmap_filter(percent), "a long, b long, apart long")
+
+
+def first_round(members: DataFrame, records: DataFrame, percent: int, groups: int, part: int) -> DataFrame:
+    """Proposals from every part of every list."""
+    dealt = members.withColumn("parts", F.ceil(F.col("size") / part)).withColumn("block", part_of("parts").cast("long"))
+    return compared(dealt.select("token", "block", F.lit(2).alias("side"), "node", F.col("node").alias("comp")), records, percent, 1, groups)
+
+
+def next_round(members: DataFrame, todo: DataFrame, labels: DataFrame, records: DataFrame, percent: int, layers: int, groups: int, part: int) -> DataFrame:
+    """Proposals from the lists ``todo`` that have several components: members
+    outside the main one against all, in blocks of parts on both sides."""
+    own = members.join(todo, "token", "left_semi").join(labels, "node", "left")
+    own = own.select("token", "node", "size", F.coalesce("component", "node").alias("comp"))
+    main = own.groupBy("token", "size", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token", "size").agg(F.max(F.struct("n", "comp")).alias("m")).where("m.n < size")
+    main = main.select("token", F.col("m.comp").alias("main"), *(F.ceil(n / part).cast("int").alias(x) for n, x in ((F.col("size"), "parts"), (F.col("size") - F.col("m.n"), "outer"))))
+    both = own.join(main, "token").withColumns({"out": F.col("comp") != F.col("main"), "mine": part_of("parts"), "row": part_of("outer")})
+    block = lambda i, j: (F.col(i).cast("long") * F.col("parts") + F.col(j)).alias("block")
+    others = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).select("token", block("i", "mine"), F.lit(0).alias("side"), "node", "comp")
+    outer = both.where("out").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", block("row", "j"), F.lit(1).alias("side"), "node", "comp")
+    return compared(others.unionByName(outer), records, percent, layers, groups)
+
+
+# ---- verification -----------------------------------------------------------
+
+
+def shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, p1, p2 of a, p1, p2 of b) to the pairs with a common prefix
+    token under each further order."""
+    share = lambda x, y: len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)))
+    for batch in batches:
+        sides = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+        keep = [bool(share(x1, y1) and share(x2, y2)) for x1, x2, y1, y2 in sides]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def token_sets(k: int):
@@ -340,104 +468,22 @@ def token_sets(k: int):
     return run
 
 
-def verification(percent: int, common):
+def verification(percent: int):
     """(a, b, tokens_a, tokens_b) to the linked pairs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes: dict[tuple[int, int], np.ndarray] = {}
-
-        def prefix(node: int, tokens: np.ndarray, order: int) -> np.ndarray:
-            if (node, order) not in prefixes:
-                if len(prefixes) > 4096:
-                    prefixes.clear()
-                key = ordered(tokens, common.value, order)
-                n = prefix_size(len(tokens), percent)
-                prefixes[node, order] = tokens[np.argpartition(key, n - 1)[:n]] if n < len(tokens) else tokens
-            return prefixes[node, order]
+    def linked(x: bytes, y: bytes) -> bool:
+        n, m = len(x) // 8, len(y) // 8
+        shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        return 100 * shared >= percent * (n + m - shared)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                linked = all(len(np.intersect1d(prefix(a, x, o), prefix(b, y, o), assume_unique=True)) for o in ORDERS[1:])
-                if linked:
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    linked = 100 * shared >= percent * (len(x) + len(y) - shared)
-                keep.append(linked)
+            keep = [linked(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def outliers_against_members(percent: int, most: int):
-    """(token, node, comp, n, bits, outlier) of one list's block: pairs of
-    different components that may link, with an outlier on one side; for each
-    outlier and tile the ``most`` nearest, and whether there were more."""
-
-    def run(table: pa.Table) -> pa.Table:
-        left, right, gap, cut_short = [], [], [], []
-        node, comp, n, out = (table[c].to_numpy() for c in ("node", "comp", "n", "outlier"))
-        sizes = np.array([n_bits(int(x)) for x in n])
-        raw = [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]
-        for size in np.unique(sizes[out]).tolist():
-            # linked sets differ by less than a factor of two in bitmap size
-            # or by one step; the larger is folded
-            rows = np.flatnonzero(out & (sizes == size))
-            for other in (size, 2 * size):
-                cols = np.flatnonzero(sizes == other)
-                matched(left, right, gap, cut_short, rows, cols, node, comp, n, raw, size, percent, most)
-            cols = np.flatnonzero((sizes == size // 2) & ~out)
-            matched(left, right, gap, cut_short, rows, cols, node, comp, n, raw, size // 2, percent, most)
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        short = np.concatenate(cut_short) if cut_short else np.zeros(0, bool)
-        far = np.concatenate(gap) if gap else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "apart": pa.array(far, pa.int64()), "more": pa.array(short, pa.bool_())})
-
-    return run
-
-
-def matched(left, right, gap, cut_short, rows, cols, node, comp, n, raw, size, percent, most) -> None:
-    if not len(rows) or not len(cols):
-        return
-    sign = lambda which: 1.0 - 2.0 * np.unpackbits(np.stack([folded(raw[i], size) for i in which]), axis=1).astype(np.float32)
-    for c in range(0, len(cols), 512):
-        own = cols[c : c + 512]
-        right_bits = sign(own)
-        for r in range(0, len(rows), 512):
-            these = rows[r : r + 512]
-            apart = ((size - sign(these) @ right_bits.T) / 2).astype(np.int64)
-            ok = may_link(apart, n[these][:, None] + n[own][None, :], percent) & (comp[these][:, None] != comp[own][None, :])
-            many = ok.sum(axis=1)
-            far = np.where(ok, apart, np.iinfo(np.int64).max)
-            nearest = np.argsort(far, axis=1, kind="stable")[:, :most]
-            i, j = np.nonzero(np.take_along_axis(ok, nearest, axis=1))
-            left.append(node[these[i]])
-            right.append(node[own[nearest[i, j]]])
-            gap.append(apart[i, nearest[i, j]])
-            cut_short.append((many > most)[i])
-
-
-def proposals(members: DataFrame, nodes: DataFrame, first: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b, apart, more) between components within long lists.  Only members
-    outside their list's main component propose."""
-    labelled = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    sizes = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.sum("size").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    open_lists = labelled.join(main, "token").withColumn("outlier", F.col("comp") != F.col("main")).join(nodes, "node")
-    parts = F.ceil(F.col("_n") / 2048).cast("int")
-    dealt = open_lists.withColumn(
-        "_part", F.explode(F.when(F.col("outlier"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.col("node"), parts).cast("int"))))
-    )
-    return (
-        dealt.select("token", "_part", "node", "comp", "n", "bits", "outlier")
-        .groupBy("token", "_part")
-        .applyInArrow(outliers_against_members(percent, most), "a long, b long, apart long, more boolean")
-        .groupBy("a", "b")
-        .agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
-    )
-
-
 class Links:
     """Components of the links verified so far."""
 
@@ -470,11 +516,10 @@ class Links:
         # every node was in a tested pair
         self.labels = cut(slim(old.unionByName(found.join(self.labels, "node", "left_anti")), 2 * self.n_tested))
 
-    def settle(self, pool: DataFrame) -> bool:
+    def settle(self, pool: DataFrame) -> None:
         """Verifies pairs until none is left between components.  A node's
         nearest partner goes first: what that connects needs no more tests,
         so a group costs about as many verifications as it has members."""
-        some = False
         for nearest in (True, False):
             pairs = self.open(pool)
             if nearest:
@@ -482,57 +527,58 @@ class Links:
             pairs = cut(pairs.select("a", "b"))
             if n := pairs.count():
                 self.test(slim(pairs, n), n)
-                some = True
-        return some
 
 
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, part: int = PART) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
     spark = docs.sparkSession
     prepare(spark)
     kind = dict(docs.dtypes)[id_col]
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    described = cut(own.mapInArrow(describe(k), f"_id {kind}, node long, n long, bits binary"))
-    nodes = described.where("node is not null and _id is not null").groupBy("node").agg(F.min("n").alias("n"), F.first("bits").alias("bits"))
-    texts = own.where(F.col("_text").isNotNull() & F.col("_id").isNotNull()).select("_text")
-    total = described.agg(F.sum("n")).first()[0] or 0
-    common = spark.sparkContext.broadcast(commonness(texts, k, 1 << sketch_bits(total)))
+    # a word has six bytes or so
+    total = (own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // 6
+    common = spark.sparkContext.broadcast(commonness(own.where("_text is not null").select("_text"), k, 1 << sketch_bits(total)))
+    documents = cut(own.mapInArrow(described(k, percent, common), f"_id {kind}, node long, n long, bits binary, p0 binary, p1 binary, p2 binary"))
+    named = documents.where("node is not null and _id is not null")
     groups = max(48, -(-total * 8 // GROUP_BYTES))
-    found = cut(
-        texts.mapInArrow(posting_blobs(k, percent, groups, common), "g int, t binary, v binary")
+    listed = cut(
+        named.select("node", "p0")
+        .mapInArrow(posting_blobs(groups), "g int, a binary, d binary, s binary")
         .groupBy("g")
-        .applyInArrow(list_pairs, "token long, a long, b long")
-        .groupBy("token", "a", "b")
-        .agg(F.lit(1).alias("_"))
-        .drop("_")
-    )
-    near = cut(filtered(found.where("b is not null").select("a", "b"), nodes, percent))
-    near = slim(near, near.count())
-    members = found.where("b is null").select("token", F.col("a").alias("node"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
-    # one row stands for all documents of a node
-    keepers = described.where("_id is not null").join(wanted, "node").groupBy("node").agg(F.min("_id").alias("_id"))
-    sets = cut(
-        zipped(own, "_text")
-        .join(keepers, "_id")
-        .select("node", "_text")
-        .mapInArrow(token_sets(k), "node long, tokens binary")
+        .applyInArrow(members_of_lists(groups), "token long, node long")
+        .distinct()
     )
+    members = cut(distinct_lists(listed))
+    records = named.join(listed.select("node").distinct(), "node").groupBy("node").agg(F.min("_id").alias("keeper"), F.first(F.struct("n", "bits", "p1", "p2")).alias("r"))
+    records = cut(records.select("node", "keeper", "r.*"))
+    held = members.join(records.select("node", F.octet_length("bits").alias("bytes")), "node").agg(F.sum("bytes")).first()[0] or 0
+    groups = max(48, -(-held // BLOCK_BYTES))
+    proposed = first_round(members, records, percent, groups, part)
+    flagged = lambda rows: rows.where("a is null").select("token").distinct()
+    todo = cut(flagged(proposed).unionByName(members.where(F.col("size") > part).select("token")).distinct())
+    # one document stands for all of a node
+    wanted = proposed.where("a is not null").select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.join(todo, "token", "left_semi").select("node")).distinct()
+    keepers = records.join(wanted, "node", "left_semi").select("node", F.col("keeper").alias("_id"))
+    sets = cut(zipped(own, "_text").join(keepers, "_id").select("node", "_text").mapInArrow(token_sets(k), "node long, tokens binary"))
     sets = sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}"))
-    verified = lambda pairs: cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(verification(percent, common), "a long, b long"))
-    graph = Links(near.select("a", "b").limit(0), verified)
-    graph.settle(near)
-    most = PROPOSED
-    while True:
-        proposed = cut(proposals(members, nodes, graph.labels, percent, most))
-        if not graph.settle(proposed) and proposed.where("more").isEmpty():
-            break
-        most *= MORE
-    first = graph.labels
-    labels = described.select("_id", "n", F.when(F.col("_id").isNotNull(), F.col("node")).alias("node")).join(first, "node", "left")
-    group = F.coalesce(F.col("component"), F.col("node"))
-    grouped = labels.withColumn("_group", group)
+    of = lambda table, x, *columns: table.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(of(records, "a", "p1", "p2"), "a").join(of(records, "b", "p1", "p2"), "b")
+        passed = both.select("a", "b", "p1_a", "p2_a", "p1_b", "p2_b").mapInArrow(shared_prefixes, "a long, b long")
+        whole = passed.join(of(sets, "a", "tokens"), "a").join(of(sets, "b", "tokens"), "b")
+        return cut(whole.select("a", "b", "tokens_a", "tokens_b").mapInArrow(verification(percent), "a long, b long"))
+
+    graph = Links(proposed.select("a", "b").limit(0), verify)
+    pool = lambda rows: rows.where("a is not null").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    graph.settle(pool(proposed))
+    layers = 1
+    while not todo.isEmpty():
+        proposed = next_round(members, todo, graph.labels, records, percent, layers, groups, part)
+        graph.settle(pool(proposed))
+        todo, layers = cut(flagged(proposed)), layers * MORE
+    labels = documents.select("_id", "n", F.when(F.col("_id").isNotNull(), F.col("node")).alias("node")).join(graph.labels, "node", "left")
+    grouped = labels.withColumn("_group", F.coalesce(F.col("component"), F.col("node")))
     least = grouped.where("_group is not null").groupBy("_group").agg(F.min("_id").alias("_least"))
     out = grouped.join(least, "_group", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_least", "_id").alias("component_id"))

@@ -133,26 +133,40 @@ def unzipped(column: pa.Array) -> pa.Array:
 # ---- first exchange: anchors ------------------------------------------------
 
 
+def combined(held: list[tuple[np.ndarray, np.ndarray]], groups: int) -> pa.RecordBatch:
+    """(key, holder) pairs of a task as packed rows (g, a, d, s).  Groups 0 to
+    groups - 1 have, by key, one holder of each key and whether the key is
+    repeated already; groups above have all holders of those that are."""
+    key = np.concatenate([a for a, _ in held])
+    holder = np.concatenate([d for _, d in held])
+    order = np.lexsort((holder, key))
+    key, holder = key[order], holder[order]
+    one = heads(key, holder)
+    key, holder = key[one], holder[one]
+    at, size = heads(key), runs_of(key)
+    several = np.repeat(size > 1, size)
+    first = key[at]
+    sent = {"a": first, "d": holder[at], "s": (size > 1).astype(np.uint8)}
+    known = {"a": key[several], "d": holder[several], "s": np.ones(int(several.sum()), np.uint8)}
+    rows = [*packed(sent, (first % np.uint64(groups)).astype(np.int64)), *packed(known, groups + (mixed(known["d"].astype(np.uint64)) % np.uint64(groups)).astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), *(pa.array([c[i] for _, c in rows], pa.binary()) for i in range(3))], ["g", "a", "d", "s"])
+
+
+def repeated_keys(table: pa.Table, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group side of ``combined``: (key, holder) of the keys that two hold."""
+    key, holder, settled = unpacked(table["a"], np.uint64), unpacked(table["d"], np.int64), unpacked(table["s"], np.uint8)
+    if table["g"][0].as_py() < groups:
+        order = np.lexsort((holder, key))
+        key, holder, settled = key[order], holder[order], settled[order]
+        at, size = heads(key), runs_of(key)
+        again = (np.maximum.reduceat(settled, at) > 0) | (holder[at] != holder[at + size - 1])
+        out = np.repeat(again, size) & (settled == 0)
+        key, holder = key[out], holder[out]
+    return key, holder
+
+
 def anchor_blobs(k: int, groups: int):
-    """Task side.  Groups 0 to groups - 1 hold (anchor, doc, settled) by
-    anchor; groups above hold (anchor, doc) already known to be repeated."""
-
-    def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        anchor = np.concatenate([a for a, _ in held])
-        doc = np.concatenate([d for _, d in held])
-        order = np.lexsort((doc, anchor))
-        anchor, doc = anchor[order], doc[order]
-        one = heads(anchor, doc)
-        anchor, doc = anchor[one], doc[one]
-        at, size = heads(anchor), runs_of(anchor)
-        several = np.repeat(size > 1, size)
-        first = anchor[at]
-        sent = {"a": first, "d": doc[at], "s": (size > 1).astype(np.uint8)}
-        known = {"a": anchor[several], "d": doc[several], "s": np.ones(int(several.sum()), np.uint8)}
-        rows = [*packed(sent, (first % np.uint64(groups)).astype(np.int64)), *packed(known, groups + (mixed(known["d"].astype(np.uint64)) % np.uint64(groups)).astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([g for g, _ in rows], pa.int32()), *(pa.array([c[i] for _, c in rows], pa.binary()) for i in range(3))], ["g", "a", "d", "s"]
-        )
+    """Task side: (anchor, doc), combined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -166,10 +180,10 @@ def anchor_blobs(k: int, groups: int):
                 held.append((anchor[at], doc[at].astype(np.int64)))
                 n += len(at)
                 if n >= ANCHORS_AT_ONCE:
-                    yield from send(held)
+                    yield combined(held, groups)
                     held, n = [], 0
         if n:
-            yield from send(held)
+            yield combined(held, groups)
 
     return run
 
@@ -178,14 +192,7 @@ def repeated_anchors(groups: int):
     """Group side: (doc, anchor) of the anchors found in two documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        anchor, doc, settled = unpacked(table["a"], np.uint64), unpacked(table["d"], np.int64), unpacked(table["s"], np.uint8)
-        if table["g"][0].as_py() < groups:
-            order = np.lexsort((doc, anchor))
-            anchor, doc, settled = anchor[order], doc[order], settled[order]
-            at, size = heads(anchor), runs_of(anchor)
-            again = (np.maximum.reduceat(settled, at) > 0) | (doc[at] != doc[at + size - 1])
-            out = np.repeat(again, size) & (settled == 0)
-            anchor, doc = anchor[out], doc[out]
+        anchor, doc = repeated_keys(table, groups)
         return pa.table({"__sd_doc": pa.array(doc, pa.int64()), "__sd_anchor": pa.array(anchor.view(np.int64), pa.int64())})
 
     return run

@@ -3,7 +3,7 @@
 A batch's texts are cut into blocks of about a megabyte (a longer text is a
 block of its own), and every step runs over the whole block in numpy: no
 Python code runs per word.  Words are keyed by 64-bit polynomial hashes of
-their bytes, windows by Rabin-Karp combinations of word hashes, mixed so that
+their bytes, windows by Rabin-Karp polynomials of word hashes, mixed so that
 their order is a pseudo-random one.
 """
 
@@ -27,17 +27,18 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(int(_rng.integers(1, 2**62)) * 2 + 1)
 _STEPS = [np.uint64(int(x) * 2 + 1) for x in _rng.integers(1, 2**62, 64)]
-_powers = np.ones(1, np.uint64)
+#: What takes back a multiplication by the base, which is odd.
+_UNDO = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers = {_BASE: np.ones(1, np.uint64), _UNDO: np.ones(1, np.uint64)}
 
 
-def powers(n: int) -> np.ndarray:
+def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     """The first n powers of the base, modulo 2^64."""
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)
+    if len(_powers[base]) < n:
+        grown = np.full(max(n, 2 * len(_powers[base])), base, np.uint64)
         grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers[:n]
+        _powers[base] = np.multiply.accumulate(grown)
+    return _powers[base][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -130,13 +131,15 @@ def word_hashes(data: np.ndarray, w: Words, lower: bool = False) -> np.ndarray:
 
 
 def windows(hashes: np.ndarray, w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of k words inside a row, and their first words."""
+    """Rabin-Karp hashes of all windows of k words inside a row, and their
+    first words: of words h the polynomial h[0] B^(k-1) + ... + h[k-1].  All
+    windows roll at once: differences of one running sum of h[j] B^-j, each
+    lifted to its place; so any k costs the same."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = hashes[:n] * _STEPS[0]
-    for j in range(1, k):
-        total += hashes[j : j + n] * _STEPS[j]
+    running = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers(len(hashes), _UNDO), out=running[1:])
     row = w.row
     inside = np.flatnonzero(row[:n] == row[k - 1 :])
-    return mixed(total[inside]), inside
+    return mixed((running[inside + k] - running[inside]) * powers(len(hashes))[inside + (k - 1)]), inside

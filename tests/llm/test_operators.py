@@ -12,7 +12,7 @@ from foldspark.llm.embedding_dedup import near_duplicates
 from foldspark.llm.language_id import identify
 from foldspark.llm.line_dedup import line_dedup
 from foldspark.llm.mixing import mix, repeated
-from foldspark.llm.ngram_join import ngram_join, one_of_each
+from foldspark.llm.ngram_join import Bitmaps, Forest, bitmap, ngram_join, one_of_each
 from foldspark.llm.packing import cutting_stock, pack, whole_patterns
 from foldspark.llm.queries import vocabulary
 from foldspark.llm.sharding import shard
@@ -67,8 +67,34 @@ def test_ngram_join_in_a_large_loose_group(spark):
             own[p] = f"e{i}x{p}"
         rows.append((i, " ".join(own)))
     rows += [(100 + i, " ".join(f"u{i}v{j}" for j in range(40)) + " " + " ".join(base[:40])) for i in range(30)]
-    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert bag(got.collect()) == bag(cases.ngram_join(rows, 4, 85))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (1024, 7):  # lists whole, and in parts that meet in later rounds
+        assert bag(ngram_join(df, part=part).collect()) == bag(cases.ngram_join(rows, 4, 85))
+
+
+def test_forests_span_what_may_link_and_no_more():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 60, 500), rng.integers(60, 120, 500)
+    accepted = Forest(120).accept(a, b)
+    roots = list(range(120))
+
+    def find(x: int) -> int:
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    for x, y, taken in zip(a.tolist(), b.tolist(), accepted.tolist(), strict=True):
+        assert taken == (find(x) != find(y))  # the nearest pairs first
+        roots[find(x)] = find(y)
+
+
+def test_bitmaps_bound_the_symmetric_difference():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 40, int(rng.integers(1, 400))).astype(np.uint64)) for _ in range(60)]
+    i, j = np.triu_indices(60, 1)
+    apart = Bitmaps([bitmap(x) for x in sets]).apart(i, j)
+    assert all(d <= len(np.setxor1d(sets[x], sets[y])) for d, x, y in zip(apart.tolist(), i.tolist(), j.tolist(), strict=True))
+    assert (Bitmaps([bitmap(x) for x in sets[:1] * 2]).apart(np.array([0]), np.array([1])) == 0).all()
 
 
 def test_one_of_each_keeps_columns_and_texts(docs):

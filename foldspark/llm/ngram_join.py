@@ -50,7 +50,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.llm._common import cut, prepare, slim
@@ -67,13 +67,15 @@ SKETCH_PARTS = 64
 SKETCH_TASKS = 4096
 ORDERS = (0, 1, 2)
 #: Members in a part of a list.
-PART = 1024
+PART = 512
 #: Forests that a round sends, as a multiple of the round before.
 MORE = 16
 TOKENS_AT_ONCE = 1 << 20
 GROUP_BYTES = 32 << 20
 #: Bytes of bitmaps in one exchange group, and pairs compared at once.
-BLOCK_BYTES, PAIRS_AT_ONCE = 8 << 20, 1 << 20
+BLOCK_BYTES, PAIRS_AT_ONCE = 8 << 20, 1 << 18
+#: Nodes whose ids are broadcast to pick their texts; more are joined plainly.
+BROADCAST_ROWS = 200_000
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -198,43 +200,39 @@ def place_in(tokens: np.ndarray, order: int) -> np.ndarray:
 # ---- documents --------------------------------------------------------------
 
 
+def prefixes(tokens: np.ndarray, at: np.ndarray, order: int, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of every row under an order; where rows begin in it."""
+    size = np.diff(at)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(tokens)) - np.repeat(at[:-1], size)
+    key = place_in(tokens, order) | (common[counter(tokens, len(common))].astype(np.uint64) << np.uint64(59))
+    first = place < prefix_size(size, percent)[row]
+    return tokens[np.lexsort((key, row))[first]], np.r_[0, np.cumsum(np.where(size > 0, prefix_size(size, percent), 0))]
+
+
 def described(k: int, percent: int, common):
-    """(id, text) to (id, node, n, bits, p0, p1, p2): the prefixes under the
-    orders, whole tokens under the first and 32 bits of them under the others
-    (equal tokens stay equal)."""
+    """(id, text, keys) to (id, keys, node, n, bits, prefix under the first order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, bits = [], [], []
-            prefixes: list[list[bytes | None]] = [[] for _ in ORDERS]
+            nodes, sizes, bits, prefix = [], [], [], []
             for block in blocks(batch.column(1)):
                 tokens, at = shingle_sets(block, k)
-                size = np.diff(at)
-                row = np.repeat(np.arange(len(size)), size)
-                place = np.arange(len(tokens)) - np.repeat(at[:-1], size)
-                first = place < prefix_size(size, percent)[row]
-                rank = common.value[counter(tokens, len(common.value))].astype(np.uint64) << np.uint64(59)
-                bounds = np.r_[0, np.cumsum(np.where(size > 0, prefix_size(size, percent), 0))]
-                for order, out in zip(ORDERS, prefixes, strict=True):
-                    chosen = tokens[np.lexsort((place_in(tokens, order) | rank, row))[first]]
-                    if order:
-                        chosen = (chosen >> np.uint64(32)).astype(np.uint32)
-                    out += [chosen[i:j].tobytes() if j > i else None for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                chosen, of = prefixes(tokens, at, ORDERS[0], percent, common.value)
+                for i, j, p, q in zip(at[:-1].tolist(), at[1:].tolist(), of[:-1].tolist(), of[1:].tolist(), strict=True):
                     own = tokens[i:j]
                     nodes.append(digest(own) if j > i else None)
                     bits.append(bitmap(own) if j > i else None)
+                    prefix.append(chosen[p:q].tobytes() if j > i else None)
                     sizes.append(j - i)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), *(pa.array(p, pa.binary()) for p in prefixes)],
-                ["_id", "node", "n", "bits", "p0", "p1", "p2"],
-            )
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], ["_id", "_key_1", "_key_2", "node", "n", "bits", "prefix"])
 
     return run
 
 
 def posting_blobs(groups: int):
-    """Task side: (node, p0) to (token, node), combined."""
+    """Task side: (node, prefix) to (token, node), combined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -441,39 +439,45 @@ def next_round(members: DataFrame, todo: DataFrame, labels: DataFrame, records:
 # ---- verification -----------------------------------------------------------
 
 
-def shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, p1, p2 of a, p1, p2 of b) to the pairs with a common prefix
-    token under each further order."""
-    share = lambda x, y: len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)))
-    for batch in batches:
-        sides = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
-        keep = [bool(share(x1, y1) and share(x2, y2)) for x1, x2, y1, y2 in sides]
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-def token_sets(k: int):
-    """(node, zipped text) to (node, tokens as 8-byte values).  Rows that
-    share an id may have other sets; the digest tells."""
+def token_sets(k: int, percent: int, common):
+    """(node, zipped text) to (node, tokens as 8-byte values, prefixes under
+    the further orders).  Rows that share an id may have other sets; the
+    digest tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, out = batch.column(0).to_pylist(), []
             for block in blocks(unzipped(batch.column(1))):
                 tokens, at = shingle_sets(block, k)
-                sets = [tokens[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                out += [own.tobytes() if digest(own) == node else None for own, node in zip(sets, names[block.first : block.last], strict=True)]
-            sent = pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "tokens"])
-            yield sent.filter(sent.column(1).is_valid())
+                further = [prefixes(tokens, at, order, percent, common.value) for order in ORDERS[1:]]
+                for row, node in enumerate(names[block.first : block.last]):
+                    own = tokens[at[row] : at[row + 1]]
+                    if digest(own) == node:
+                        out.append((node, own.tobytes(), *(chosen[of[row] : of[row + 1]].tobytes() for chosen, of in further)))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.binary()] * 3], strict=True)], ["node", "tokens", "p1", "p2"])
 
     return run
 
 
+def common_tokens(x: bytes, y: bytes) -> int:
+    return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+
+
+def shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, p1 and p2 of a, p1 and p2 of b) to the pairs with a common
+    prefix token under each further order."""
+    for batch in batches:
+        sides = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+        yield batch.select([0, 1]).filter(pa.array([bool(common_tokens(x1, y1) and common_tokens(x2, y2)) for x1, x2, y1, y2 in sides], pa.bool_()))
+
+
 def verification(percent: int):
     """(a, b, tokens_a, tokens_b) to the linked pairs."""
 
     def linked(x: bytes, y: bytes) -> bool:
         n, m = len(x) // 8, len(y) // 8
-        shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        shared = common_tokens(x, y)
         return 100 * shared >= percent * (n + m - shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -531,25 +535,37 @@ class Links:
 
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, part: int = PART) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
+    return joined(docs, id_col, text_col, k, percent, part).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_least", "_id").alias("component_id"))
+
+
+def row_keys(id_col: str, text_col: str) -> list:
+    """128 bits that rows of equal id and text share."""
+    return [F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(id_col), F.col(text_col)).alias(f"_key_{seed}") for seed in (1, 2)]
+
+
+def joined(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, part: int = PART) -> DataFrame:
+    """(_id, _key_1, _key_2, n, _group, _least) for every row: its component,
+    which is null without words, and the least id there.  A row without an id
+    is in the component of equal sets, but connects nothing."""
     spark = docs.sparkSession
     prepare(spark)
     kind = dict(docs.dtypes)[id_col]
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *row_keys(id_col, text_col))
     # a word has six bytes or so
     total = (own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // 6
     common = spark.sparkContext.broadcast(commonness(own.where("_text is not null").select("_text"), k, 1 << sketch_bits(total)))
-    documents = cut(own.mapInArrow(described(k, percent, common), f"_id {kind}, node long, n long, bits binary, p0 binary, p1 binary, p2 binary"))
+    documents = cut(own.mapInArrow(described(k, percent, common), f"_id {kind}, _key_1 long, _key_2 long, node long, n long, bits binary, prefix binary"))
     named = documents.where("node is not null and _id is not null")
     groups = max(48, -(-total * 8 // GROUP_BYTES))
     listed = cut(
-        named.select("node", "p0")
+        named.select("node", "prefix")
         .mapInArrow(posting_blobs(groups), "g int, a binary, d binary, s binary")
         .groupBy("g")
         .applyInArrow(members_of_lists(groups), "token long, node long")
         .distinct()
     )
     members = cut(distinct_lists(listed))
-    records = named.join(listed.select("node").distinct(), "node").groupBy("node").agg(F.min("_id").alias("keeper"), F.first(F.struct("n", "bits", "p1", "p2")).alias("r"))
+    records = named.select("_id", "node", "n", "bits").join(listed.select("node").distinct(), "node").groupBy("node").agg(F.min("_id").alias("keeper"), F.first(F.struct("n", "bits")).alias("r"))
     records = cut(records.select("node", "keeper", "r.*"))
     held = members.join(records.select("node", F.octet_length("bits").alias("bytes")), "node").agg(F.sum("bytes")).first()[0] or 0
     groups = max(48, -(-held // BLOCK_BYTES))
@@ -558,13 +574,17 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     todo = cut(flagged(proposed).unionByName(members.where(F.col("size") > part).select("token")).distinct())
     # one document stands for all of a node
     wanted = proposed.where("a is not null").select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.join(todo, "token", "left_semi").select("node")).distinct()
-    keepers = records.join(wanted, "node", "left_semi").select("node", F.col("keeper").alias("_id"))
-    sets = cut(zipped(own, "_text").join(keepers, "_id").select("node", "_text").mapInArrow(token_sets(k), "node long, tokens binary"))
-    sets = sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    keepers = cut(records.join(wanted, "node", "left_semi").select("node", F.col("keeper").alias("_id")))
+    if kind not in ("string", "binary") and keepers.count() <= BROADCAST_ROWS:  # picked where they are read
+        picked = zipped(own.join(F.broadcast(keepers), "_id").select("node", "_text"), "_text")
+    else:
+        picked = zipped(own, "_text").join(keepers, "_id").select("node", "_text")
+    sets = picked.mapInArrow(token_sets(k, percent, common), "node long, tokens binary, p1 binary, p2 binary")
+    sets = cut(sets.groupBy("node").agg(F.first(F.struct("tokens", "p1", "p2")).alias("s")).select("node", "s.*"))
     of = lambda table, x, *columns: table.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(of(records, "a", "p1", "p2"), "a").join(of(records, "b", "p1", "p2"), "b")
+        both = pairs.join(of(sets, "a", "p1", "p2"), "a").join(of(sets, "b", "p1", "p2"), "b")
         passed = both.select("a", "b", "p1_a", "p2_a", "p1_b", "p2_b").mapInArrow(shared_prefixes, "a long, b long")
         whole = passed.join(of(sets, "a", "tokens"), "a").join(of(sets, "b", "tokens"), "b")
         return cut(whole.select("a", "b", "tokens_a", "tokens_b").mapInArrow(verification(percent), "a long, b long"))
@@ -577,18 +597,25 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         proposed = next_round(members, todo, graph.labels, records, percent, layers, groups, part)
         graph.settle(pool(proposed))
         todo, layers = cut(flagged(proposed)), layers * MORE
-    labels = documents.select("_id", "n", F.when(F.col("_id").isNotNull(), F.col("node")).alias("node")).join(graph.labels, "node", "left")
-    grouped = labels.withColumn("_group", F.coalesce(F.col("component"), F.col("node")))
-    least = grouped.where("_group is not null").groupBy("_group").agg(F.min("_id").alias("_least"))
-    out = grouped.join(least, "_group", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_least", "_id").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, joined: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stand for their component: those of its least id.
-    Rows that share that id are one document and stay; so do null ids."""
-    stay = joined.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("__nj_id")).distinct()
-    kept = zipped(docs, text_col).join(stay, F.col(id_col).eqNullSafe(F.col("__nj_id"))).drop("__nj_id")
+    labels = documents.select("_id", "_key_1", "_key_2", "n", "node").join(graph.labels, "node", "left")
+    grouped = labels.select("_id", "_key_1", "_key_2", "n", F.coalesce("component", "node").alias("_group"))
+    least = grouped.where("_group is not null and _id is not null").groupBy(F.col("_group").alias("_of")).agg(F.min("_id").alias("_least"))
+    return grouped.join(least, (F.col("_group") == F.col("_of")) & F.col("_id").isNotNull(), "left").drop("_of")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component stays: the one of the least id, ids
+    before nulls; of rows that share it one by a digest of the text, and one
+    of equal rows.  Documents without words stay."""
+    labels = joined(docs, id_col, text_col, k, percent)
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_key_1", "_key_2")).alias("w")
+    winners = labels.where("_group is not null").groupBy("_group").agg(first).select("w._key_1", "w._key_2", F.lit(True).alias("_single"))
+    wordless = labels.where("_group is null").select("_key_1", "_key_2", F.lit(False).alias("_single")).distinct()
+    keyed = docs.select("*", *row_keys(id_col, text_col))
+    kept = zipped(keyed, text_col).join(winners.unionByName(wordless), ["_key_1", "_key_2"])
+    # equal rows lie side by side behind the join
+    place = F.row_number().over(Window.partitionBy("_key_1", "_key_2").orderBy("_key_1"))
+    kept = kept.withColumn("_place", place).where(~F.col("_single") | (F.col("_place") == 1)).select(*docs.columns)
     at = docs.columns.index(text_col)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

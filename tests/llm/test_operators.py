@@ -97,13 +97,22 @@ def test_bitmaps_bound_the_symmetric_difference():
     assert (Bitmaps([bitmap(x) for x in sets[:1] * 2]).apart(np.array([0]), np.array([1])) == 0).all()
 
 
-def test_one_of_each_keeps_columns_and_texts(docs):
-    kept = one_of_each(docs, ngram_join(docs))
+def test_one_of_each_keeps_columns_and_texts(docs, empty):
+    kept = one_of_each(docs, k=4, percent=85)
     assert kept.columns == docs.columns
     want = {i for i, _, c in cases.ngram_join(PAIRS, 4, 85) if i == c}
-    assert {r["doc_id"] for r in kept.collect()} == want
+    rows = kept.collect()
+    assert bag((r["doc_id"],) for r in rows) == bag((i,) for i in want)  # the repeated row once
     texts = dict(PAIRS)
-    assert all(r["text"] == texts[r["doc_id"]] for r in kept.collect() if r["doc_id"] is not None)
+    assert all(r["text"] == texts[r["doc_id"]] for r in rows)
+    assert one_of_each(empty).count() == 0
+
+
+def test_one_of_each_among_rows_without_ids_or_with_one_id(spark):
+    a, b, c = (cases.text_of(seed, 40) for seed in (21, 22, 23))
+    rows = [(None, a), (None, a), (None, b), (7, b + " more"), (7, b + " more"), (7, c), (8, c + " z"), (9, None), (None, ""), (None, " ")]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85).collect()
+    assert bag(got) == bag([(None, a), (None, b), (7, b + " more"), (7, c), (9, None), (None, ""), (None, " ")])
 
 
 def test_substring_dedup(docs, empty):

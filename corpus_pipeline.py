@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foldspark.llm._common import prepare, shared_folder
 from foldspark.llm.line_dedup import line_dedup
 from foldspark.llm.mixing import mix, repeated
-from foldspark.llm.ngram_join import ngram_join, one_of_each
+from foldspark.llm.ngram_join import one_of_each
 from foldspark.llm.packing import pack
 from foldspark.llm.quality_rules import quality_rules
 from foldspark.llm.queries import vocabulary
@@ -39,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that link by five-word shingles at 0.8 or more, one stays."""
     prepare(spark)
-    return one_of_each(docs, ngram_join(docs, k=5, percent=80))
+    return one_of_each(docs, k=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

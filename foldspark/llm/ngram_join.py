@@ -16,8 +16,8 @@ copies has more pairs than any table can hold.
     bits a shingle, and its prefix under each order.  Linked sets share a
     token among their prefixes under every one of the orders.
 3.  Lists.  Prefix tokens under the first order that two nodes hold are lists;
-    every linked pair is in one.  Lists of the same members are one list.  A
-    list is dealt into parts of about ``part`` members, and within a part all
+    every linked pair is in one.  Lists of nearly the same members (by
+    min-hash) are united.  A list is dealt into parts of about ``part`` members, and within a part all
     pairs are compared by bitmap (the distance of bitmaps is at most the
     symmetric difference).
 4.  Forests.  Of the pairs that may link, a task sends on a spanning forest,
@@ -67,9 +67,9 @@ SKETCH_PARTS = 64
 SKETCH_TASKS = 4096
 ORDERS = (0, 1, 2)
 #: Members in a part of a list.
-PART = 512
+PART = 1024
 #: Forests that a round sends, as a multiple of the round before.
-MORE = 16
+MORE = 256
 TOKENS_AT_ONCE = 1 << 20
 GROUP_BYTES = 32 << 20
 #: Bytes of bitmaps in one exchange group, and pairs compared at once.
@@ -392,12 +392,16 @@ def forest_pairs(percent: int, layers: int):
 PROPOSED = "token long, a long, b long, apart long"
 
 
-def distinct_lists(rows: DataFrame) -> DataFrame:
-    """(token, node) to (token, node, size), with one token for all that have
-    the same members: near copies of a long text share most of its tokens."""
-    print_of = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"print_{seed}") for seed in (1, 2)]
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *print_of)
-    return rows.join(lists.groupBy("print_1", "print_2", "size").agg(F.min("token").alias("token")).select("token", "size"), "token")
+def united(rows: DataFrame) -> DataFrame:
+    """(token, node) to (token, node, size) with one token for lists of nearly
+    the same members: those that agree in two min-hashes of their members.
+    Near copies share most of their tokens, so that such lists would compare
+    the same pairs again and again; a union holds every pair of its lists."""
+    least = [F.min(F.xxhash64(F.lit(seed), "node")).alias(f"least_{seed}") for seed in (1, 2)]
+    lists = rows.groupBy("token").agg(*least)
+    names = lists.join(lists.groupBy("least_1", "least_2").agg(F.min("token").alias("name")), ["least_1", "least_2"]).select("token", "name")
+    members = cut(rows.join(names, "token").select(F.col("name").alias("token"), "node").distinct())
+    return members.join(members.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "token")
 
 
 def part_of(n: str):
@@ -512,7 +516,7 @@ class Links:
         """Only the graph between components grows: its own components rename
         those so far."""
         self.n_tested += n
-        self.tested = slim(self.tested.unionByName(pairs), self.n_tested)
+        self.tested = cut(slim(self.tested.unionByName(pairs), self.n_tested))
         links = slim(self.named(slim(self.verify(pairs), n)).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), n)
         found = components(links)
         renamed = found.select(F.col("node").alias("component"), F.col("component").alias("new"))
@@ -520,11 +524,11 @@ class Links:
         # every node was in a tested pair
         self.labels = cut(slim(old.unionByName(found.join(self.labels, "node", "left_anti")), 2 * self.n_tested))
 
-    def settle(self, pool: DataFrame) -> None:
+    def settle(self, pool: DataFrame, nearest_first: bool) -> None:
         """Verifies pairs until none is left between components.  A node's
-        nearest partner goes first: what that connects needs no more tests,
+        nearest partner may go first: what that connects needs no more tests,
         so a group costs about as many verifications as it has members."""
-        for nearest in (True, False):
+        for nearest in (True, False) if nearest_first else (False,):
             pairs = self.open(pool)
             if nearest:
                 pairs = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
@@ -564,7 +568,7 @@ def joined(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, pa
         .applyInArrow(members_of_lists(groups), "token long, node long")
         .distinct()
     )
-    members = cut(distinct_lists(listed))
+    members = cut(united(listed))
     records = named.select("_id", "node", "n", "bits").join(listed.select("node").distinct(), "node").groupBy("node").agg(F.min("_id").alias("keeper"), F.first(F.struct("n", "bits")).alias("r"))
     records = cut(records.select("node", "keeper", "r.*"))
     held = members.join(records.select("node", F.octet_length("bits").alias("bytes")), "node").agg(F.sum("bytes")).first()[0] or 0
@@ -591,11 +595,11 @@ def joined(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, pa
 
     graph = Links(proposed.select("a", "b").limit(0), verify)
     pool = lambda rows: rows.where("a is not null").groupBy("a", "b").agg(F.min("apart").alias("apart"))
-    graph.settle(pool(proposed))
+    graph.settle(pool(proposed), True)
     layers = 1
     while not todo.isEmpty():
         proposed = next_round(members, todo, graph.labels, records, percent, layers, groups, part)
-        graph.settle(pool(proposed))
+        graph.settle(pool(proposed), layers == 1)
         todo, layers = cut(flagged(proposed)), layers * MORE
     labels = documents.select("_id", "_key_1", "_key_2", "n", "node").join(graph.labels, "node", "left")
     grouped = labels.select("_id", "_key_1", "_key_2", "n", F.coalesce("component", "node").alias("_group"))

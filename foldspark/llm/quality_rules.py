@@ -2,21 +2,24 @@
 
 Document rules give counts and ``base_failed``.  Failures are aggregated by
 host (``host_col``), host rates are shrunk with a beta prior whose parameters
-are estimated from all hosts by the method of moments, and the verdict on a
+are estimated from all hosts by the method of moments (beta-binomial: what
+hosts differ by beyond the sampling of their documents), and the verdict on a
 host is joined back to its documents: a document is kept if it passes its own
 rules and its host's shrunken failure rate is at most ``max_host_rate``.
 
 Defined cases: a null or blank text has no words and fails; a null host is no
-host and is never judged; with a single host, or hosts of equal rates, the
-prior falls back to the pooled rate with the weight of ``flat_weight``
-documents; an empty table gives an empty table; rows that share an id are
+host and is never judged; with a single host, hosts of one document each, or
+none or all of the documents failing, spread cannot be told and the prior is
+the pooled rate with the weight of ``flat_weight`` documents; hosts that differ
+by no more than sampling does get the greatest weight, 1e6 documents; an empty table gives an empty table; rows that share an id are
 judged row by row; input columns named like computed ones are replaced.
 
-Shape at scale: the rules are computed row by row inside the scan, once for
-the host statistics (from which only one row per task and host leaves a task)
-and once for the result.  Nothing wide is shuffled unless the host table is
-too large to broadcast: its rows are counted, and above ``broadcast_hosts``
-hosts a plain join is used, which AQE splits for a hot host.
+Shape at scale: the rules are computed once, row by row inside the scan, and
+written to the shared folder; without ``keep_text`` that table is narrow.  Of
+the host statistics one row per task and host leaves a task.  Nothing wide is
+shuffled unless the host table is too large to broadcast: its rows are counted,
+and above ``broadcast_hosts`` hosts a plain join is used, which AQE splits for
+a hot host.
 """
 
 from __future__ import annotations
@@ -92,29 +95,36 @@ def document_rules(docs: DataFrame, text_col: str = "text", *, min_words: int =
 def host_rates(judged: DataFrame, host_col: str, *, flat_weight: float = 10.0) -> DataFrame:
     """One row per host: host, documents, failures, shrunken failure rate.
 
-    Moments over hosts: m the pooled rate, v the variance of host rates about
-    m, weighted by documents; a + b = m (1 - m) / v - 1.
+    Moments over hosts of n_i documents, f_i failed: the pooled rate m, and
+    what sum n_i (f_i / n_i - m)^2 exceeds its expectation under one rate by.
     """
     hosts = cut(
         judged.where(F.col(host_col).isNotNull())
         .groupBy(F.col(host_col).alias("host"))
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     )
-    n, f = F.sum("n_docs").cast("double"), F.sum("n_failed").cast("double")
-    sq = F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs"))
-    row = hosts.agg(n.alias("n"), f.alias("f"), sq.alias("sq")).first()
-    a, b = beta_prior(row["n"], row["f"], row["sq"], flat_weight)
+    sums = {"n": F.col("n_docs"), "f": F.col("n_failed"), "nn": F.col("n_docs") * F.col("n_docs"), "ff": F.col("n_failed") * F.col("n_failed") / F.col("n_docs"), "k": F.lit(1)}
+    row = hosts.agg(*(F.sum(x.cast("double")).alias(name) for name, x in sums.items())).first()
+    a, b = beta_prior(*row, flat_weight=flat_weight)
     return hosts.withColumn("rate", (F.col("n_failed") + F.lit(a)) / (F.col("n_docs") + F.lit(a + b)))
 
 
-def beta_prior(n: float | None, f: float | None, sq: float | None, flat_weight: float) -> tuple[float, float]:
-    """Parameters from sums over hosts of n_i, f_i and f_i^2 / n_i."""
+def beta_prior(n: float | None, f: float, nn: float, ff: float, k: float, *, flat_weight: float) -> tuple[float, float]:
+    """Parameters from sums over k hosts of n_i, f_i, n_i^2 and f_i^2 / n_i.
+
+    With rates drawn from a beta distribution of weight a + b, the expectation
+    of S = sum n_i (f_i / n_i - m)^2 is m (1 - m) (k - 1 + r (n - nn / n - k + 1))
+    for r = 1 / (a + b + 1).
+    """
     if not n:
         return 0.0, flat_weight
     m = f / n
-    v = sq / n - m * m
-    weight = m * (1 - m) / v - 1 if v > 1e-12 else flat_weight
-    weight = min(max(weight, 1.0), 1e6)
+    binomial, room = m * (1 - m), n - nn / n - (k - 1)
+    if binomial <= 0 or room <= 1e-9:
+        weight = flat_weight
+    else:
+        r = ((ff - n * m * m) / binomial - (k - 1)) / room
+        weight = min(max(1 / r - 1, 1.0), 1e6) if r > 1e-6 else 1e6
     return m * weight, (1 - m) * weight
 
 
@@ -123,16 +133,18 @@ def quality_rules(
     *,
     text_col: str = "text",
     host_col: str = "source",
+    keep_text: bool = True,
     max_host_rate: float = 0.5,
     broadcast_hosts: int = 50_000,
     **rules: int,
 ) -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``host_rate`` and ``kept``."""
-    narrow = docs.select(F.col(text_col).alias("__qr_text"), F.col(host_col).alias("__qr_host"))
-    hosts = host_rates(document_rules(narrow, "__qr_text", **rules), "__qr_host").select(F.col("host").alias("__qr_host"), F.col("rate").alias("host_rate"))
+    """``docs`` (without the text, unless ``keep_text``) with the counts,
+    ``base_failed``, ``host_rate`` and ``kept``."""
+    judged = document_rules(docs.withColumn("__qr_host", F.col(host_col)), text_col, **rules).drop("host_rate")
+    judged = cut(judged if keep_text else judged.drop(text_col))
+    hosts = host_rates(judged, "__qr_host").select(F.col("host").alias("__qr_host"), F.col("rate").alias("host_rate"))
     # names longer than 256 characters would undo the bound on the broadcast
     fits = hosts.where(F.length("__qr_host") > 256).isEmpty() and hosts.limit(broadcast_hosts + 1).count() <= broadcast_hosts
-    judged = document_rules(docs, text_col, **rules).drop("host_rate").withColumn("__qr_host", F.col(host_col))
     joined = judged.join(F.broadcast(hosts) if fits else hosts, "__qr_host", "left").drop("__qr_host")
     host_ok = F.coalesce(F.col("host_rate") <= max_host_rate, F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & host_ok)

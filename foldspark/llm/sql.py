@@ -50,12 +50,15 @@ counts AS (
 failed AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
 hosts AS (
-  SELECT source, count(*) AS n, CAST(sum(CAST(base_failed AS INTEGER)) AS DOUBLE) AS f
+  SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(base_failed AS INTEGER)) AS DOUBLE) AS f
   FROM failed WHERE source IS NOT NULL GROUP BY source),
+sums AS (
+  SELECT sum(f) / sum(n) AS m, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room,
+         sum(f * f / n) - sum(f) * sum(f) / sum(n) AS spread, count(*) - 1 AS k1 FROM hosts),
 moments AS (
-  SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) AS v FROM hosts),
+  SELECT m, CASE WHEN m > 0 AND m < 1 AND room > 1e-9 THEN (spread / (m * (1 - m)) - k1) / room END AS r FROM sums),
 prior AS (
-  SELECT m, least(greatest(CASE WHEN v > 1e-12 THEN m * (1 - m) / v - 1 ELSE 10.0 END, 1.0), 1e6) AS s FROM moments),
+  SELECT m, CASE WHEN r IS NULL THEN 10.0 WHEN r > 1e-6 THEN least(greatest(1 / r - 1, 1.0), 1e6) ELSE 1e6 END AS s FROM moments),
 rates AS (
   SELECT source, (f + m * s) / (n + s) AS rate FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

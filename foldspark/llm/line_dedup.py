@@ -13,11 +13,13 @@ own text; a row with a null id is never counted and loses nothing; an empty
 table gives an empty table; input columns named like computed ones are
 replaced.
 
-Shape at scale: lines travel as (id, position, two longs), never as text.
-The count of distinct documents is a two-step aggregate, so that a line held
-by a third of all documents is pre-aggregated in every task; the join that
-brings verdicts back is a plain sort-merge join which AQE may split.  Texts
-are shuffled once, by document.
+Shape at scale: lines travel as (id, position, two longs), never as text, and
+are exploded and hashed once, into a written table.  Distinct documents are
+counted in two exchanges, by (line, document) and then by line, so that a line
+held by a third of all documents is one row a task in the second.  Frequent
+lines are counted, and broadcast up to ``BROADCAST_LINES`` of them (32 bytes
+each); more are joined plainly, which AQE splits for a hot line.  Texts are
+shuffled once, by document.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import BLANKS
+from foldspark.llm._common import BLANKS, cut
 
+BROADCAST_LINES = 200_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -41,20 +44,23 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lines = docs.select(
         F.col(id_col).alias("__ld_doc"), print_of.alias("__ld_print"), F.posexplode(F.split(text, "\n", -1)).alias("__ld_pos", "__ld_line")
     ).where(F.col("__ld_doc").isNotNull() & (F.length("__ld_line") >= min_chars))
-    keyed = (
+    keyed = cut(
         lines.withColumn("__ld_key", line_key(F.col("__ld_line")))
         .where(F.length("__ld_key") >= min_chars)
         # a leading constant makes the second hash independent of the first
         .select("__ld_doc", "__ld_print", "__ld_pos", F.xxhash64("__ld_key").alias("__ld_h1"), F.xxhash64(F.lit(1), "__ld_key").alias("__ld_h2"))
     )
-    frequent = (
-        keyed.groupBy("__ld_h1", "__ld_h2")
-        .agg(F.count_distinct("__ld_doc").alias("__ld_n"), F.max("__ld_doc").alias("__ld_holder"))
+    frequent = cut(
+        keyed.select("__ld_h1", "__ld_h2", "__ld_doc")
+        .distinct()
+        .groupBy("__ld_h1", "__ld_h2")
+        .agg(F.count(F.lit(1)).alias("__ld_n"), F.max("__ld_doc").alias("__ld_holder"))
         .where(F.col("__ld_n") >= min_docs)
         .drop("__ld_n")
     )
+    few = dict(docs.dtypes)[id_col] not in ("string", "binary") and frequent.count() <= BROADCAST_LINES
     dropped = (
-        keyed.join(frequent, ["__ld_h1", "__ld_h2"])
+        keyed.join(F.broadcast(frequent) if few else frequent, ["__ld_h1", "__ld_h2"])
         .where(F.col("__ld_doc") != F.col("__ld_holder"))
         .groupBy("__ld_doc", "__ld_print")
         .agg(F.collect_set("__ld_pos").alias("__ld_dropped"))

@@ -4,23 +4,27 @@ Records have a key, the digest of their text, so equal texts share one.  A
 size-weighted sample of keys is drawn, its quantiles become the boundaries of
 many more key ranges than shards, and records are range-partitioned by them.
 The exact bytes of every range are then summed; a range fuller than
-``overfull`` of a shard's share (a hot text, say) is subdivided by a hash of
-the record id.  Whole ranges, fullest first, go to the shard with the fewest
-bytes, so shard sizes are nearly equal.
+``overfull`` of a shard's share is subdivided: keys that are half as large by
+themselves become parts of their own, and the rest is dealt by further digits
+of the key, so that equal texts stay together.  Only a single key that is
+itself overfull (a hot text) is dealt by a hash of the record id.  Parts,
+fullest first, go to the shard with the fewest bytes, so shard sizes are
+nearly equal.
 
 The law that holds is ``bytes``.  Groups of equal texts stay in one shard
-unless their range was overfull.
+unless they are larger than ``overfull`` of a shard's share.
 
 Defined cases: a null text has size 1 and counts as empty; rows that repeat
-each get a slot of their own; a null id is a record like any other; an empty
-table gives an empty table; input columns named like computed ones are
-replaced.
+each get a slot of their own; a null id is a record like any other; rows of a
+hot text that share an id too are dealt by their place in the table, as no
+column tells them apart; an empty table gives an empty table; input columns
+named like computed ones are replaced.
 
 Shape at scale: the driver sees the sample (``samples`` keys, a documented
-bound) and one sum per range (``ranges`` plus the subdivisions, bounded by
-``shards * 2 / overfull``).  Records are shuffled narrow, by fine buckets;
-slots come from ranks in those buckets plus offsets, not from one task per
-shard.
+bound), one sum per range and part, and the keys and (key, id) pairs that are
+large by themselves (at most ``shards * 2 / overfull`` of each).  Records are
+shuffled narrow, by fine buckets; slots come from ranks in those buckets plus
+offsets, not from one task per shard.
 """
 
 from __future__ import annotations
@@ -70,6 +74,10 @@ def range_of(key: Column, bounds: list[str]) -> Column:
     return F.least(block * width + within, F.lit(len(bounds))).cast("int")
 
 
+def literal_map(values: dict) -> Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+
+
 def least_loaded(sizes: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
     """Each part to the least loaded shard, largest part first."""
     heap = [(0, s) for s in range(shards)]
@@ -84,32 +92,53 @@ def least_loaded(sizes: dict[tuple[int, int], int], shards: int) -> dict[tuple[i
 def shard(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", samples: int = 16_384, ranges: int = 512, overfull: float = 1 / 16) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for every row."""
     # digests are taken once; everything after reads these narrow rows
-    records = cut(docs.select(F.col(id_col).alias("_id"), *(c.alias(n) for n, c in record_columns(F.col(text_col)).items())))
+    place = F.monotonically_increasing_id().alias("_place")
+    records = cut(docs.select(F.col(id_col).alias("_id"), place, *(c.alias(n) for n, c in record_columns(F.col(text_col)).items())))
     row = records.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
     n, total = row["n"], row["bytes"] or 0
     bounds = splitters(records, total, samples, ranges)
     ranged = records.withColumn("_range", range_of(F.col("_key"), bounds))
-    sizes = {(r["_range"], 0): r["bytes"] for r in ranged.groupBy("_range").agg(F.sum("size").alias("bytes")).collect()}
+    bytes_by = lambda rows, *by: rows.groupBy(*by).agg(F.sum("size").alias("bytes"))
+    sizes = {(r["_range"], 0): r["bytes"] for r in bytes_by(ranged, "_range").collect()}
     limit = overfull * total / shards
-    full = {k: -(-v // max(1, int(limit / 2))) for (k, _), v in sizes.items() if v > limit}
-    part = F.lit(0)
+    half = max(1, int(limit / 2))
+    full = {k: v for (k, _), v in sizes.items() if v > limit}
+    # a row's part within its range, and what deals rows that nothing tells apart
+    part, spread = F.lit(0), F.lit(0).cast("long")
     if full:
-        ways = F.create_map(*(F.lit(x) for pair in full.items() for x in pair))
-        n_ways = F.coalesce(F.try_element_at(ways, F.col("_range")), F.lit(1))
-        part = F.pmod(F.xxhash64(F.lit(29), "_id", "_key"), n_ways).cast("int")
-    parted = ranged.withColumn("_part", part)
+        within = ranged.where(F.col("_range").isin(list(full)))
+        large = [(r["_range"], r["_key"], r["bytes"]) for r in bytes_by(within, "_range", "_key").where(F.col("bytes") > half).collect()]
+        hot = [key for _, key, size in large if size > limit]
+        named = F.concat_ws(":", F.col("_key"), F.col("_id").cast("string"))
+        if hot and (same := [r["_name"] for r in bytes_by(within.where(F.col("_key").isin(hot)), named.alias("_name")).where(F.col("bytes") > half).collect()]):
+            spread = F.when(F.col("_key").isin(hot) & named.isin(same), F.col("_place")).otherwise(spread)
+        first: dict[int, int] = {}  # the part that is free next
+        parts: dict[str, tuple[int, int]] = {}
+        for r, size in full.items():
+            rest = size - sum(b for q, _, b in large if q == r)
+            first[r] = max(1, -(-rest // half))
+        ways = dict(first)
+        for r, key, size in sorted(large):
+            n_ways = -(-size // half) if size > limit else 1
+            parts[key], first[r] = (first[r], n_ways), first[r] + n_ways
+        digits = F.conv(F.substring("_key", 17, 15), 16, 10).cast("long")
+        part = F.pmod(digits, F.coalesce(F.try_element_at(literal_map(ways), F.col("_range")), F.lit(1)))
+        if parts:
+            own = F.try_element_at(literal_map({k: v[0] for k, v in parts.items()}), F.col("_key"))
+            n_ways = F.try_element_at(literal_map({k: v[1] for k, v in parts.items()}), F.col("_key"))
+            part = F.when(own.isNotNull(), own + F.pmod(F.xxhash64(F.lit(29), "_id", "_key", "_spread"), n_ways)).otherwise(part)
+    parted = ranged.withColumn("_spread", spread).withColumn("_part", part.cast("int"))
     if full:
-        fine = parted.where(F.col("_range").isin(list(full))).groupBy("_range", "_part").agg(F.sum("size").alias("bytes")).collect()
+        fine = bytes_by(parted.where(F.col("_range").isin(list(full))), "_range", "_part").collect()
         sizes = {k: v for k, v in sizes.items() if k[0] not in full} | {(r["_range"], r["_part"]): r["bytes"] for r in fine}
     placed = least_loaded(sizes, shards)
     by_range: dict[int, list[int]] = {}
-    for (r, _), s in sorted(placed.items()):
-        by_range.setdefault(r, [])
-    for r in by_range:
-        top = max(p for q, p in placed if q == r)
-        by_range[r] = [placed.get((r, p), 0) for p in range(top + 1)]
+    for r, p in sorted(placed):
+        row_of = by_range.setdefault(r, [])
+        row_of += [0] * (p + 1 - len(row_of))
+        row_of[p] = placed[r, p]
     table = F.array(*(F.array(*map(F.lit, by_range.get(r, [0]))) for r in range(len(bounds) + 1)))
     sharded = parted.withColumn("shard", F.get(F.get(table, F.col("_range")), F.col("_part")).cast("int")).drop("_range", "_part")
-    order = [F.col("_id"), F.col("_key")]
-    slots = ranked(sharded, ["shard"], F.xxhash64("_key", "_id"), order, F.lit(n / shards), "slot")
+    order = [F.col("_id"), F.col("_key"), F.col("_spread")]
+    slots = ranked(sharded, ["shard"], F.xxhash64("_key", "_id", "_spread"), order, F.lit(n / shards), "slot")
     return slots.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -21,10 +21,12 @@ sources without words have target 0; rows that repeat are documents of their
 own (equal rows may exchange their takes); an empty table gives an empty
 table; input columns named like computed ones are replaced.
 
-Shape at scale: one aggregate by source gives the source table.  Its rounds
-are aggregates that return two numbers.  Source positions and the words
-before a document are two-step ranks (``ranks``), so a source that holds a
-third of all rows is dealt over all tasks.
+Shape at scale: words are counted once, into a written table of narrow rows.
+One aggregate by source gives the source table.  Its rounds are aggregates
+that return two numbers.  Source positions and the words before a document
+are two-step ranks (``ranks``), so a source that holds a third of all rows is
+dealt over all tasks.  ``mixture`` carries the documents through the same
+steps, so that no take has to find its document again.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import cut, n_words_of
+from foldspark.llm._common import cut, n_words_of, words_of
 from foldspark.llm.ranks import before_bucket, bucketed
 
 WEIGHTS = (5, 2, 1)
@@ -73,46 +75,60 @@ def fill(sources: DataFrame, max_epochs: int) -> DataFrame:
     return sources.withColumn("target", target)
 
 
-def takes(sized: DataFrame, source: str, id_col: str, seed: int) -> DataFrame:
-    """``taken`` for rows with size, source_size, target and _n (documents of the source)."""
+def drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, carry: list[str]) -> DataFrame:
+    """(carried columns, _id, _source, size, _row, _draw) of every document."""
+    text, own = F.col(text_col), F.col(id_col)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(own.cast("string"), F.lit(""))).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    return docs.select(
+        *(F.col(c).alias(f"_c_{c}") for c in carry), own.alias("_id"), F.col(source_col).alias("_source"), n_words_of(text).alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_row"), draw.alias("_draw")
+    )
+
+
+def dealt(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with what their source has, and their bucket."""
+    named = rows.join(sources, F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
+    named = named.withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("?")))
+    return bucketed(named, F.shiftright(F.col("_draw"), 20), F.col("_n"))
+
+
+def takes(rows: DataFrame, before: DataFrame) -> DataFrame:
+    """``taken`` for dealt rows, from the words before their buckets."""
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     # words of the fractional repetition, over the whole source
     extra = F.greatest(F.lit(0).cast("long"), F.floor(F.col("target") + 0.5).cast("long") - (whole * F.col("source_size")).cast("long"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    draw = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-    dealt = sized.withColumns({"_draw": draw, "_src": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("?"))})
-    dealt = bucketed(dealt, F.shiftright(F.col("_draw"), 20), F.col("_n"))
-    before = before_bucket(dealt, ["_src"], F.sum("size"))
-    w = Window.partitionBy("_src", "_bucket").orderBy("_draw", id_col, "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.coalesce(F.sum("size").over(w), F.lit(0))
-    placed = dealt.withColumn("_own", own).join(before, ["_src", "_bucket"])
+    w = Window.partitionBy("_src", "_bucket").orderBy("_draw", "_id", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_own", F.coalesce(F.sum("size").over(w), F.lit(0))).join(before, ["_src", "_bucket"])
     more = F.greatest(F.lit(0), F.least(F.col("size"), extra - F.col("_own") - F.col("_before")))
-    taken = F.coalesce(F.when(F.col("source_size") > 0, whole * F.col("size") + more), F.lit(0)).cast("long")
-    return placed.withColumn("taken", taken).drop("_draw", "_bucket", "_src", "_own", "_before")
+    return placed.withColumn("taken", F.coalesce(F.when(F.col("source_size") > 0, whole * F.col("size") + more), F.lit(0)).cast("long"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = 3, seed: int = 11) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, taken, and
-    ``_row``, a digest that tells rows with one id apart."""
-    text = F.col(text_col)
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words_of(text).alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_row"))
+def planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Narrow rows, the source table, and the words before each bucket."""
+    narrow = cut(drawn(docs, id_col, text_col, source_col, seed, []))
     sources = cut(narrow.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n")))
     cycle: Column = F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("_at"), F.lit(len(weights))).cast("int"))
-    filled = fill(cut(positions(sources, "_source").withColumn("_weight", cycle.cast("long"))), max_epochs).select(F.col("_source").alias("_name"), "source_size", "target", "_n")
-    sized = narrow.join(filled, F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
-    out = takes(sized, "_source", "_id", seed)
-    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", "taken", "_row")
+    filled = fill(cut(positions(sources, "_source").withColumn("_weight", cycle.cast("long"))), max_epochs)
+    filled = cut(filled.select(F.col("_source").alias("_name"), "source_size", "target", "_n"))
+    return narrow, filled, cut(before_bucket(dealt(narrow, filled), ["_src"], F.sum("size")))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = 3, seed: int = 11) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, taken."""
+    narrow, sources, before = planned(docs, id_col, text_col, source_col, weights, max_epochs, seed)
+    out = takes(dealt(narrow, sources), before)
+    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", "taken")
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: every document as often as it was taken, the last time
+def mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = 3, seed: int = 11) -> DataFrame:
+    """The mix itself: every document as often as it is taken, the last time
     perhaps in part (its first words, joined by one space).  Documents of no
     words, and those never taken, are absent."""
-    plan = mixed.where("taken > 0").groupBy(F.col(id_col).alias("__mx_id"), F.col("_row").alias("__mx_print")).agg(F.min("size").alias("__mx_size"), F.max("taken").alias("__mx_taken"))
-    row = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumns({"__mx_id": F.col(id_col), "__mx_print": row}).join(plan.hint("shuffle_hash"), ["__mx_id", "__mx_print"])
-    times = F.ceil(F.col("__mx_taken") / F.col("__mx_size")).cast("int")
-    copies = joined.withColumn("__mx_left", F.explode(F.transform(F.sequence(F.lit(0), times - 1), lambda i: F.least(F.col("__mx_size"), F.col("__mx_taken") - i * F.col("__mx_size")))))
-    part = F.array_join(F.slice(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), F.lit(1), F.col("__mx_left").cast("int")), " ")
-    text = F.when(F.col("__mx_left") == F.col("__mx_size"), F.col(text_col)).otherwise(part)
-    return copies.withColumn(text_col, text).select(*docs.columns)
+    _, sources, before = planned(docs, id_col, text_col, source_col, weights, max_epochs, seed)
+    taken = takes(dealt(drawn(docs, id_col, text_col, source_col, seed, docs.columns), sources), before).where("taken > 0")
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    copies = taken.withColumn("_left", F.explode(F.transform(F.sequence(F.lit(0), times - 1), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))))
+    text = F.col(f"_c_{text_col}")
+    part = F.array_join(F.slice(words_of(text), F.lit(1), F.col("_left").cast("int")), " ")
+    whole_or_part = F.when(F.col("_left") == F.col("size"), text).otherwise(part)
+    return copies.select(*((whole_or_part if c == text_col else F.col(f"_c_{c}")).alias(c) for c in docs.columns))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import quality_rules as rules
 from foldspark.llm.components import components
-from foldspark.llm.embedding_dedup import near_duplicates
+from foldspark.llm.embedding_dedup import axes_of, near_duplicates, near_leaves, turned, unit
 from foldspark.llm.language_id import identify
 from foldspark.llm.line_dedup import line_dedup
-from foldspark.llm.mixing import mix, repeated
+from foldspark.llm.mixing import mix, mixture
 from foldspark.llm.ngram_join import Bitmaps, Forest, bitmap, ngram_join, one_of_each
 from foldspark.llm.packing import cutting_stock, pack, whole_patterns
 from foldspark.llm.queries import vocabulary
@@ -194,6 +194,43 @@ def test_embeddings(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_clustered_vectors_are_mostly_skipped():
+    rng = np.random.default_rng(13)
+    centre = rng.normal(size=(40, 64)) * np.linspace(3, 0.2, 64)
+    points = unit(centre[rng.integers(0, 40, 8192)] + rng.normal(scale=0.05, size=(8192, 64)))
+    axes = {64: axes_of(points[:2048])}
+    at = turned(points, axes)
+    eps = (2 - 2 * 0.95) ** 0.5
+    at = at[np.lexsort(np.floor(at[:, :8] / (eps / 2)).T[::-1])]
+    near = near_leaves(at, at, eps, True, 64)
+    assert near.sum() < 0.15 * 128 * 129 / 2
+    # and what is skipped is far apart
+    for i, j in zip(*np.nonzero(~near & (np.arange(128)[:, None] < np.arange(128))), strict=True):
+        x, y = at[64 * i : 64 * i + 64, :13], at[64 * j : 64 * j + 64, :13]
+        assert ((x[:, None] - y[None]) ** 2).sum(axis=2).min() > eps**2
+
+
+def test_embeddings_over_many_leaves_and_blocks(spark):
+    rng = np.random.default_rng(14)
+    centre = rng.normal(size=(60, 24))
+    own = centre[rng.integers(0, 60, 3000)] + rng.normal(scale=0.28, size=(3000, 24))
+    own[:300, 20:] = 0
+    rows = [(i, [float(x) for x in v[: 20 if i < 300 else 24]]) for i, v in enumerate(own)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=700).collect()}
+    u = unit(own)
+    linked = u @ u.T >= 0.95
+    linked[:300, 300:] = linked[300:, :300] = False
+    np.fill_diagonal(linked, False)
+    least = np.arange(3000)
+    while True:
+        new = np.minimum(least, np.where(linked, least[None, :], 3000).min(axis=1))
+        if (new == least).all():
+            break
+        least = new
+    assert linked.sum() > 3000
+    assert got == {i: (int(n), int(c)) for i, (n, c) in enumerate(zip(linked.sum(axis=1), least, strict=True))}
+
+
 def test_sharding(docs, empty):
     out = shard(docs, samples=64, ranges=16).toPandas()
     assert len(out) == len(PAIRS) and set(out.law) == {"bytes"} and out.grown_shard.isna().all()
@@ -213,6 +250,24 @@ def test_shards_are_near_equal_with_a_hot_text(spark):
     assert out.set_index("doc_id").shard.to_dict() == again.set_index("doc_id").shard.to_dict()
 
 
+def test_only_a_text_that_is_overfull_itself_is_torn(spark):
+    rows = [(i, "hot text " * 20) for i in range(2000)] + [(10_000 + i, f"group {i // 4} " * 15) for i in range(4000)]
+    out = shard(spark.createDataFrame(rows, "doc_id long, text string"), ranges=32).toPandas()
+    torn = out.groupby("text_crc32").shard.nunique()
+    assert (torn > 1).sum() == 1 and out["size"].groupby(out.shard).sum().max() <= 1.02 * out["size"].sum() / 8
+    for _, own in out.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+
+
+def test_a_hot_text_under_one_id_is_spread_too(spark):
+    rows = [(None, "hot text " * 20)] * 1500 + [(5, "warm text " * 20)] * 1500 + [(i, f"text {i} " * 15) for i in range(100, 2100)]
+    out = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).toPandas()
+    loads = out.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() <= 1.03 * loads.mean()
+    for _, own in out.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+
+
 def test_token_counts(docs, empty, vocab):
     out = token_counts(docs, vocab, limit=100)
     library = Compiled(vocab).whole
@@ -251,6 +306,20 @@ def test_host_verdicts(spark):
     assert plain == kept
 
 
+def test_host_prior_leaves_out_sampling():
+    """Hosts of one failure rate are shrunk hard, those that differ little."""
+    rng = np.random.default_rng(12)
+
+    def weight(rates: np.ndarray, n: np.ndarray) -> float:
+        f = rng.binomial(n, rates)
+        return sum(rules.beta_prior(float(n.sum()), float(f.sum()), float((n * n).sum()), float((f * f / n).sum()), float(len(n)), flat_weight=10.0))
+
+    n = rng.integers(5, 20, 400)
+    assert weight(np.full(400, 0.3), n) > 100
+    assert weight(rng.beta(1.5, 3.5, 400), n) == pytest.approx(5, rel=0.4)
+    assert rules.beta_prior(10.0, 4.0, 100.0, 1.6, 1.0, flat_weight=10.0) == (4.0, 6.0)
+
+
 def test_language_id(spark, docs, empty):
     rows = [(i, ("der die das und nicht ein schule " if i % 2 else "the and of that with is school ") * (1 + i % 5), "de" if i % 2 else "en") for i in range(120)]
     rows += [(500, None, "de"), (501, "123 !!", "en"), (502, "", None)]
@@ -298,15 +367,51 @@ def test_mixing(docs, empty):
 def test_mixed_documents_have_the_words_taken(spark):
     rows = [(i, " ".join(f"a{i}b{j}" for j in range(1 + i % 17)), f"s{i % 4}") for i in range(200)] + [(900, None, "s0"), (901, "", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    mixed = mix(df).cache()
-    copies = repeated(df, mixed).collect()
     got: Counter = Counter()
-    for r in copies:
+    for r in mixture(df).collect():
         got[r["doc_id"]] += len(cases.words(r["text"]))
-    assert got == Counter({r["doc_id"]: r["taken"] for r in mixed.collect() if r["taken"]})
+    assert got == Counter({r["doc_id"]: r["taken"] for r in mix(df).collect() if r["taken"]})
+
+
+def test_mixed_words_are_those_taken_on_odd_rows(spark, docs, empty):
+    """Null ids and sources, repeated rows with unequal takes, no words."""
+    text = cases.text_of(4, 13)
+    rows = [(None, text, "a")] * 3 + [(5, text, "a")] * 4 + [(5, text, "b"), (5, text + " x", "b"), (None, text, None), (6, None, "b"), (7, " ", None)]
+    rows += [(100 + i, cases.text_of(i, 11), "c") for i in range(30)]
+    for df in (docs, spark.createDataFrame(rows, "doc_id long, text string, source string")):
+        plan = mix(df).collect()
+        out = mixture(df)
+        assert out.columns == df.columns
+        want, got = Counter(), Counter()
+        for r in plan:
+            want[r["doc_id"], r["source"]] += r["taken"]
+        for r in out.collect():
+            got[r["doc_id"], r["source"]] += len(cases.words(r["text"]))
+        assert got == +want
+        assert sum(got.values()) == sum(r["taken"] for r in plan) > 0
+    assert mixture(empty).count() == 0
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101 + i) for i in range(40)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {100 + i: 100 for i in range(41)}
+
+
+def test_components_over_several_tasks(spark, monkeypatch):
+    from foldspark.llm import _common
+    from foldspark.llm import components as module
+
+    for where in (_common, module):
+        monkeypatch.setattr(where, "ROWS_A_TASK", 40)
+    rng = np.random.default_rng(11)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, 500) for i in range(501, 560)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+    nodes, least = module.least_reachable(np.array([a for a, b in edges if a != b]), np.array([b for a, b in edges if a != b]))
+    assert got == dict(zip(nodes.tolist(), least.tolist(), strict=True))
+    root = {n: n for n in nodes.tolist()}
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == root

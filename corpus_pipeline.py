@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foldspark.llm._common import prepare, shared_folder
 from foldspark.llm.line_dedup import line_dedup
-from foldspark.llm.mixing import mix, repeated
+from foldspark.llm.mixing import mixture as mixed
 from foldspark.llm.ngram_join import one_of_each
 from foldspark.llm.packing import pack
 from foldspark.llm.quality_rules import quality_rules
@@ -45,7 +45,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them."""
     prepare(spark)
-    return measured(repeated(docs, mix(docs)), docs.columns)
+    return measured(mixed(docs), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

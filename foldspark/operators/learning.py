@@ -1,21 +1,24 @@
-"""Scaling, projection, boosted trees and their search, on pyspark.ml."""
+"""Scaling, projection, boosted trees and their search."""
 
 from __future__ import annotations
 
 import math
+import pickle
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark import SparkContext
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foldspark.functions.scalar import clean
-from foldspark.operators.metrics import ranking
-from foldspark.session import keep_checkpoints
+from foldspark.operators import boosting
+from foldspark.session import checkpointed, ship_package
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -51,90 +54,145 @@ def class_weight(df: DataFrame, truth: str) -> float:
     return math.sqrt((row["n"] - row["p"]) / row["p"]) if row["p"] else 1.0
 
 
-def assembled_vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep").transform(df)
-
-
-def fit_trees(train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, rounds: int = 1000, depth: int = 5, rate: float = 0.05, subsample: float = 0.8, columns: float = 0.8, patience: int = 30, seed: int = 42) -> tuple[GBTClassificationModel, int]:
-    """Boosted trees cut to the prefix to use, and its length: the prefix of
-    least validation loss before ``patience`` rounds without gain.  Twice as
-    many rounds are fitted each time until patience ends or all are fitted."""
-    keep_checkpoints(train.sparkSession)
-    weight = class_weight(train, truth)
-    put = lambda df: assembled_vector(df, features).select("_features", F.col(truth).cast("double").alias("_truth"), F.when(F.col(truth) == 1, weight).otherwise(1.0).alias("_weight"))
-    weighted, held = (few_parts(put(df)).cache() for df in (train, validation))
-    fitted = rounds if held.isEmpty() else min(rounds, 2 * patience)
-    while True:
-        model = GBTClassifier(
-            featuresCol="_features", labelCol="_truth", weightCol="_weight", maxIter=fitted, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(columns), seed=seed
-        ).fit(weighted)
-        best, over = (fitted, True) if held.isEmpty() else best_prefix(model.evaluateEachIteration(held), patience)
-        if over or fitted == rounds:
-            break
-        fitted = min(rounds, 2 * fitted)
-    weighted.unpersist()
-    held.unpersist()
-    return first_trees(model, best), best
-
-
-def few_parts(df: DataFrame, rows_a_task: int = 10_000) -> DataFrame:
-    """As few partitions as the rows need: each level of each tree is a job."""
-    return df.coalesce(max(1, -(-df.count() // rows_a_task)))
-
-
-def best_prefix(losses: Sequence[float], patience: int) -> tuple[int, bool]:
-    """Length of the prefix of least loss, and whether patience ended in it."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The model of the first ``n`` trees with their weights."""
-    if n >= model.getNumTrees:
-        return model
-    whole, context = model._java_obj, SparkContext._active_spark_context
-    trees = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = context._gateway.new_array(context._jvm.double, n)
-    for k in range(n):
-        trees[k], weights[k] = whole.trees()[k], model.treeWeights[k]
-    made = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{n}", trees, weights, model.numFeatures, model.numClasses)
-    return model._copyValues(GBTClassificationModel(made))
-
-
-def tree_scores(df: DataFrame, model: GBTClassificationModel, features: Sequence[str], name: str = "y_prob") -> DataFrame:
-    out = model.transform(assembled_vector(df, features))
-    return out.withColumn(name, F.get(vector_to_array("probability"), 1)).drop("_features", "rawPrediction", "probability", "prediction")
-
-
-def importances(df: DataFrame, model: GBTClassificationModel, features: Sequence[str]) -> DataFrame:
-    rows = sorted(zip(features, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+# ---- boosted trees ----------------------------------------------------------
+
+
+def gathered(df: DataFrame, features: Sequence[str], truth: str, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features (single precision, ``clean``) and truth of at most about
+    ``max_rows`` rows, drawn by a hash of the row, in an order that does not
+    depend on partitions."""
+    values = [clean(F.col(c)).alias(f"_f{k}") for k, c in enumerate(features)]
+    rows = df.where(F.col(truth).isNotNull()).select(*values, F.col(truth).cast("int").alias("_t"))
+    n = rows.count()
+    draw = F.pmod(F.xxhash64(F.lit(9), *(F.col(c) for c in rows.columns)), F.lit(1_000_000))
+    table = rows.where(draw < F.lit(int(1e6 * min(1.0, max_rows / max(n, 1))))).toArrow()
+    held = np.column_stack([table[c].to_numpy() for c in table.column_names]) if table.num_rows else np.zeros((0, len(features) + 1))
+    held = held[np.lexsort(held.T[::-1])]
+    return held[:, :-1].astype(np.float32), held[:, -1].astype(np.int64)
+
+
+def fit_trees(
+    train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, max_rows: int = 1_000_000, weight: float | None = None, **params
+) -> tuple[boosting.Trees, int]:
+    """Boosted trees cut to the prefix to use, and its length: that of greatest
+    validation average precision before ``patience`` rounds without gain.
+
+    They are fitted in one task on at most about ``max_rows`` rows, a
+    documented bound; scoring (``tree_scores``) covers all rows.  Positives
+    weigh sqrt(negatives / positives) of all rows unless ``weight`` is given."""
+    if weight is None:
+        weight = class_weight(train, truth)
+    data = [*gathered(train, features, truth, max_rows), *gathered(validation, features, truth, max_rows)]
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast(data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            model = boosting.fit(*shared.value, weight=weight, **params)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    ship_package(spark)
+    model = pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "model binary").first()["model"])
+    return model, len(model.trees)
+
+
+def tree_scores(df: DataFrame, model: boosting.Trees, features: Sequence[str], name: str = "y_prob") -> DataFrame:
+    """``df`` with the model's probability, by batches."""
+    ship_package(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(*columns: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.probability(np.column_stack(columns).astype(np.float32)))
+
+    return df.withColumn(name, score(*(clean(F.col(c)) for c in features)))
+
+
+def importances(df: DataFrame, model: boosting.Trees, features: Sequence[str]) -> DataFrame:
+    """(rank, feature, importance): shares of the gain of all splits."""
+    rows = sorted(zip(features, model.importances(len(features)).tolist(), strict=True), key=lambda x: (-x[1], x[0]))
     return df.sparkSession.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(rows)], "rank int, feature string, importance double")
 
 
-def search(train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, trials: int = 100, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """Seeded search that first draws at random, then near the best trial so
-    far, for the greatest validation average precision: one row a trial."""
-    rng = random.Random(seed)
-    rows: list[tuple[int, float, int, float, float, int]] = []
-    for t in range(trials):
-        best = max(rows, key=lambda r: r[1], default=None)
-        if best is None or t < trials // 2:
-            depth, rate, sub = rng.randint(2, 5), 10 ** rng.uniform(-2, -0.5), rng.uniform(0.6, 1.0)
-        else:
-            depth = min(5, max(2, best[2] + rng.choice((-1, 0, 1))))
-            rate, sub = best[3] * 10 ** rng.gauss(0, 0.15), min(1.0, max(0.5, best[4] + rng.gauss(0, 0.05)))
-        model, n = fit_trees(train, validation, features, truth, rounds=rounds, depth=depth, rate=rate, subsample=sub, seed=seed)
-        value = ranking(tree_scores(validation, model, features).withColumn("_all", F.lit(0)), ["_all"], "y_prob", truth, 1).first()["ap"]
-        rows.append((t, value if value is not None else 0.0, depth, rate, sub, n))
-    return train.sparkSession.createDataFrame(rows, "trial int, ap double, depth int, rate double, subsample double, n_trees int")
-
-
-def retrained(train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, trials: DataFrame, *, rounds: int = 1000, seed: int = 42) -> tuple[GBTClassificationModel, int]:
+# ---- search -----------------------------------------------------------------
+
+#: Name, bounds, kind: log scale, linear, or whole numbers.
+SPACE = [
+    ("depth", 3, 8, "whole"),
+    ("rate", 0.005, 0.3, "log"),
+    ("min_child", 5, 100, "whole"),
+    ("gamma", 0.0, 1.0, "linear"),
+    ("subsample", 0.5, 1.0, "linear"),
+    ("columns", 0.3, 1.0, "linear"),
+    ("alpha", 1e-8, 10.0, "log"),
+    ("lam", 1e-8, 10.0, "log"),
+]
+TRIALS = "trial int, ap double, auroc double, n_trees int, " + ", ".join(f"{n} {'int' if kind == 'whole' else 'double'}" for n, _, _, kind in SPACE) + ", weight double"
+
+
+def proposed(trial: int, done: list[dict], heaviest: float, trials: int, seed: int) -> dict:
+    """Parameters of a trial: the first half at random, then a kernel draw
+    around one of the best tenth of the trials done, favouring the better."""
+    rng = random.Random(f"{seed}:{trial}")
+    space = [*SPACE, ("weight", 1.0, max(1.0, heaviest), "linear")]
+    ranked = sorted(done, key=lambda r: (-r["ap"], r["trial"]))
+    near = None if trial < trials // 2 or not ranked else ranked[min(len(ranked) - 1, int(rng.random() ** 2 * max(1, len(ranked) // 10)))]
+    out = {}
+    for name, low, high, kind in space:
+        to, back = (math.log, math.exp) if kind == "log" else (float, float)
+        a, b = to(low), to(high)
+        x = rng.uniform(a, b) if near is None else min(b, max(a, rng.gauss(to(near[name]), 0.12 * (b - a))))
+        out[name] = round(back(x)) if kind == "whole" else min(high, max(low, back(x)))
+    return out
+
+
+def search(
+    train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, trials: int = 100, at_once: int = 20, rounds: int = 2000, patience: int = 50, seed: int = 42, max_rows: int = 1_000_000, study: str | None = None
+) -> DataFrame:
+    """One row a trial: a seeded search over nine parameters for the greatest
+    validation average precision.  ``at_once`` trials run side by side, one a
+    task, and later ones learn from all before them.
+
+    ``study`` is a folder of Parquet to which every batch of trials is
+    appended; a search that finds trials there goes on behind them."""
+    spark = train.sparkSession
+    data = [*gathered(train, features, truth, max_rows), *gathered(validation, features, truth, max_rows)]
+    positives = int(data[1].sum())
+    heaviest = (len(data[1]) - positives) / max(positives, 1)
+    shared = spark.sparkContext.broadcast(data)
+    ship_package(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                params = {n: row[n] for n in ("depth", "rate", "min_child", "gamma", "subsample", "columns", "alpha", "lam", "weight")}
+                model = boosting.fit(*shared.value, rounds=rounds, patience=patience, seed=seed, **params)
+                scores = model.probability(shared.value[2])
+                truth_of = shared.value[3]
+                out.append(row | {"ap": boosting.average_precision(truth_of, scores), "auroc": boosting.auroc(truth_of, scores), "n_trees": len(model.trees)})
+            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(layout))
+
+    layout = spark.createDataFrame([], TRIALS).schema
+    done = [r.asDict() for r in spark.read.schema(layout).parquet(study).orderBy("trial").collect()] if study and stored(spark, study) else []
+    while len(done) < trials:
+        batch = [proposed(t, done, heaviest, trials, seed) | {"trial": t, "ap": None, "auroc": None, "n_trees": None} for t in range(len(done), min(trials, len(done) + at_once))]
+        asked = spark.createDataFrame(batch, layout).repartitionByRange(len(batch), "trial")
+        new = checkpointed(asked.mapInArrow(run, layout))
+        if study:
+            new.coalesce(1).write.mode("append").parquet(study)
+        done += [r.asDict() for r in new.orderBy("trial").collect()]
+    return spark.createDataFrame(done[:trials], layout)
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def retrained(train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, trials: DataFrame, *, rounds: int = 2000, patience: int = 50, seed: int = 42) -> tuple[boosting.Trees, int]:
     """The trees of the best trial, the first of equals, fitted again."""
     best = trials.orderBy(F.col("ap").desc(), "trial").first()
-    return fit_trees(train, validation, features, truth, rounds=rounds, depth=best["depth"], rate=best["rate"], subsample=best["subsample"], seed=seed)
+    params = {n: best[n] for n in ("depth", "rate", "min_child", "gamma", "subsample", "columns", "alpha", "lam", "weight")}
+    return fit_trees(train, validation, features, truth, rounds=rounds, patience=patience, seed=seed, **params)

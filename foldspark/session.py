@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -23,6 +26,21 @@ def session(app: str = "foldspark", master: str | None = None, **settings: str)
     return builder.getOrCreate()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Computed once, and read back from the shared folder."""
+    keep_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    path = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+
+
 def keep_checkpoints(spark: SparkSession) -> None:
     """Checkpoints go to spark.checkpoint.dir; where the session has none, under the warehouse."""
     if not spark.sparkContext.getCheckpointDir():

@@ -8,10 +8,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldspark.operators.boosting import Tree, Trees
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -60,13 +61,15 @@ def nested(df: DataFrame, keys: Sequence[str], order: str, fields: dict[str, str
     return df.groupBy(*keys).agg(F.transform(rows, lambda x: x["_r"]).alias(name))
 
 
-def save_model(model: PipelineModel, value: float, path: str) -> None:
-    """The model with the threshold that belongs to it."""
-    model.write().overwrite().save(f"{path}/model")
-    from pyspark.sql import SparkSession as Session
-
-    Session.active().createDataFrame([(float(value),)], "threshold double").write.mode("overwrite").parquet(f"{path}/threshold")
+def save_model(spark: SparkSession, model: Trees, value: float, path: str) -> None:
+    """Boosted trees with the threshold that belongs to them: one row a tree."""
+    rows = [(k, t.feature.tolist(), t.threshold.tolist(), t.value.tolist(), t.gain.tolist()) for k, t in enumerate(model.trees)]
+    spark.createDataFrame(rows, "tree int, feature array<int>, threshold array<double>, value array<double>, gain array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+    spark.createDataFrame([(float(model.base), float(value))], "base double, threshold double").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, float]:
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/threshold").first()["threshold"]
+def load_model(spark: SparkSession, path: str) -> tuple[Trees, float]:
+    head = spark.read.parquet(f"{path}/model").first()
+    rows = spark.read.parquet(f"{path}/trees").orderBy("tree").collect()
+    trees = [Tree(np.array(r["feature"]), np.array(r["threshold"], np.float32), np.array(r["value"]), np.array(r["gain"])) for r in rows]
+    return Trees(head["base"], trees), head["threshold"]

@@ -123,3 +123,25 @@ def half_up(x: Column, digits: int = 6) -> Column:
     """Rounding by floor: the same bits in any engine."""
     scale = float(10**digits)
     return F.floor(x * scale + 0.5) / scale
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """Rounding to nearest on the binary value, as a language with correctly
+    rounded decimals does it: ties, which are exact, go to the even digit.
+    The product with 10^digits is kept with its error (Dekker's splitting), so
+    a value that only looks like a tie falls on its true side."""
+    scale = float(10**digits)
+
+    def halves(v: Column | float) -> tuple:
+        c = v * 134217729.0
+        high = c - (c - v)
+        return high, v - high
+
+    product = x * scale
+    (xh, xl), (sh, sl) = halves(x), halves(scale)
+    error = ((xh * sh - product) + xh * sl + xl * sh) + xl * sl
+    low = F.floor(product).cast("double")
+    side = (product - low - 0.5) + error
+    even = F.when(F.pmod(low, F.lit(2.0)) == 0, low).otherwise(low + 1)
+    rounded = F.when(side > 0, low + 1).when(side < 0, low).otherwise(even)
+    return F.when(F.abs(product) < 2.0**52, rounded / scale).otherwise(x)

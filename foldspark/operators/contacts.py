@@ -25,8 +25,9 @@ def side_chain_centre(atoms: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of side-chain atoms; the CA for glycine or without any; residues
     with neither are left out."""
     side = ~F.col("atom").isin("N", "CA", "C", "O", "OXT") & ~F.col("atom").startswith("H") & (F.col("resname") != "GLY")
-    mean = lambda c: F.coalesce(F.avg(F.when(side, F.col(c))), F.max(F.when(F.col("atom") == "CA", F.col(c)))).alias(c)
-    return atoms.groupBy(*keys).agg(*(mean(c) for c in "xyz")).where("x is not null")
+    ca = F.max_by(F.struct("x", "y", "z"), F.when(F.col("atom") == "CA", 1)).alias("_ca")  # one atom, never a mix
+    means = atoms.groupBy(*keys).agg(ca, *(F.avg(F.when(side, F.col(c))).alias(f"_{c}") for c in "xyz"))
+    return means.select(*keys, *(F.coalesce(f"_{c}", f"_ca.{c}").alias(c) for c in "xyz")).where("x is not null")
 
 
 def contacts(residues: DataFrame, entity: str, ident: str, radius: float = CONTACT_RADIUS) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.session import keep_checkpoints
+from foldspark import session
 
 
 def ends(edges: DataFrame, entity: str) -> DataFrame:
@@ -45,26 +45,25 @@ def clustering(nodes: DataFrame, edges: DataFrame, entity: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame, k: int) -> DataFrame:
-    keep_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    return session.checkpointed(df)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, entity: str, *, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, every: int = 4, cut=checkpointed) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, entity: str, *, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, every: int = 2, cut=checkpointed) -> DataFrame:
     """(entity, i, rank), iterated until in every entity the last round moved
     the ranks by less than ``tolerance`` times its nodes in sum, or for
-    ``rounds``; with ``tolerance=0`` for exactly ``rounds``, uncut.
+    ``rounds``; with ``tolerance=0`` for exactly ``rounds``.
 
     Dangling mass is spread evenly.  Links go both ways, so a node without
     links gets nothing over them either: all such nodes of an entity have one
     rank, carried as ``_lone``.  ``cut`` materializes what it is given; rounds
-    are cut, and the change is tested, ``every`` so many."""
-    held = cut if tolerance else lambda df, k: df
-    links = held(ends(edges, entity), -1)
+    are cut, and the change is tested, ``every`` so many: a round reads the
+    one before it twice."""
+    links = cut(ends(edges, entity), -1)
     deg = links.groupBy(entity, "i").agg(F.count(F.lit(1)).alias("k"))
     size = nodes.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
     known = nodes.select(entity, "i").join(deg, [entity, "i"], "left")
     loose = known.where("k is null").groupBy(entity).agg(F.count(F.lit(1)).alias("_d"))
-    base = held(known.join(size.join(loose, entity, "left"), entity).withColumn("_d", F.coalesce("_d", F.lit(0))), -1)
+    base = cut(known.join(size.join(loose, entity, "left"), entity).withColumn("_d", F.coalesce("_d", F.lit(0))), -1)
     now = base.withColumns({"rank": 1.0 / F.col("_n"), "_lone": 1.0 / F.col("_n"), "_was": F.lit(None).cast("double")})
     for r in range(1, rounds + 1):
         sent = links.join(now.where("k is not null").select(entity, "i", (F.col("rank") / F.col("k")).alias("_s")), [entity, "i"])
@@ -72,8 +71,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, entity: str, *, damping: float
         even = (1 - damping) / F.col("_n") + damping * F.col("_d") * F.col("_lone") / F.col("_n")
         step = now.join(got, [entity, "i"], "left").withColumns({"_was": F.col("rank"), "_lone": even, "rank": even + damping * F.coalesce("_g", F.lit(0.0))})
         now = step.select(*base.columns, "rank", "_lone", "_was")
-        if tolerance and (r % every == 0 or r == rounds):
+        if r % every == 0 or r == rounds:
             now = cut(now, r)
+        if tolerance and (r % every == 0 or r == rounds):
             moved = now.groupBy(entity).agg((F.sum(F.abs(F.col("rank") - F.col("_was"))) / F.first("_n")).alias("m")).agg(F.max("m")).first()[0]
             if moved is None or moved < tolerance:
                 break

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foldspark.operators.running import running_totals
 
 
-def score_table(df: DataFrame, group: Sequence[str], score: str, truth: str, buckets: int = 32) -> DataFrame:
+def score_table(df: DataFrame, group: Sequence[str], score: str, truth: str, buckets: int | None = None) -> DataFrame:
     """(group, score, n, pos, before_n, before_pos), scores descending."""
     distinct = df.groupBy(*group, F.col(score).cast("double").alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(truth).cast("long")).alias("pos")
@@ -22,7 +22,7 @@ def score_table(df: DataFrame, group: Sequence[str], score: str, truth: str, buc
     return running_totals(distinct, group, "score", ["n", "pos"], buckets)
 
 
-def ranking(df: DataFrame, group: Sequence[str], score: str, truth: str, buckets: int = 32) -> DataFrame:
+def ranking(df: DataFrame, group: Sequence[str], score: str, truth: str, buckets: int | None = None) -> DataFrame:
     """(group, n, positives, auroc, ap); null metrics for a single class."""
     t = score_table(df, group, score, truth, buckets)
     neg = F.col("n") - F.col("pos")
@@ -46,10 +46,11 @@ def confusion(df: DataFrame, group: Sequence[str], truth: str, predicted: Column
     return df.groupBy(*group).agg(count(0, 0).alias("tn"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(1, 1).alias("tp"))
 
 
-def threshold_scores(tn: Column, fp: Column, fn: Column, tp: Column) -> dict[str, Column]:
-    """Precision, recall, F1 and MCC; 0 where a denominator is 0."""
+def threshold_scores(tn: Column, fp: Column, fn: Column, tp: Column, *, undefined: float | None = 0.0) -> dict[str, Column]:
+    """Precision, recall, F1 and MCC; ``undefined`` (0, or null for a report
+    that must not show a number) where a denominator is 0."""
     tn, fp, fn, tp = (x.cast("double") for x in (tn, fp, fn, tp))
-    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(undefined))
     spread = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
     return {
         "precision": ratio(tp, tp + fp),
@@ -59,7 +60,7 @@ def threshold_scores(tn: Column, fp: Column, fn: Column, tp: Column) -> dict[str
     }
 
 
-def best_threshold(df: DataFrame, group: Sequence[str], score: str, truth: str, buckets: int = 32) -> DataFrame:
+def best_threshold(df: DataFrame, group: Sequence[str], score: str, truth: str, buckets: int | None = None) -> DataFrame:
     """(group, threshold, f1): the score of greatest F1, the lowest of equals."""
     keys = list(group) or ["_all"]
     t = score_table(df if group else df.withColumn("_all", F.lit(0)), keys, score, truth, buckets)
@@ -93,7 +94,7 @@ def summary(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(rows))
 
 
-def rolled_up(df: DataFrame, levels: Sequence[Sequence[str]], score: str, truth: str, buckets: int = 32) -> DataFrame:
+def rolled_up(df: DataFrame, levels: Sequence[Sequence[str]], score: str, truth: str, buckets: int | None = None) -> DataFrame:
     """``ranking`` at several groupings at once (grouping sets): rows are
     expanded once, with nulls for what a level leaves out."""
     names = list(dict.fromkeys(c for level in levels for c in level))

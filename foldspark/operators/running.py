@@ -7,15 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.session import checkpointed
 
-def running_totals(df: DataFrame, group: Sequence[str], order: str, values: Sequence[str], buckets: int = 32) -> DataFrame:
+
+ROWS_A_TASK = 200_000
+
+
+def running_totals(df: DataFrame, group: Sequence[str], order: str, values: Sequence[str], buckets: int | None = None) -> DataFrame:
     """``df`` with ``before_<v>``: the sum of ``v`` over the group's rows of
     greater ``order``.  (group, order) is unique.
 
-    The order is cut into ``buckets`` ranges at approximate quantiles; a range
-    is summed by one task, and ranges above it come as one total each.  Wrong
-    quantiles would cost balance, never correctness.
+    The table is written once, counted, and its order cut into ranges of about
+    ``ROWS_A_TASK`` rows (or ``buckets`` ranges) at approximate quantiles; a
+    range is summed by one task, and ranges above it come as one total each.
+    Wrong quantiles would cost balance, never correctness.
     """
+    df = checkpointed(df)
+    if buckets is None:
+        buckets = -(-df.count() // ROWS_A_TASK)
     cuts: list[float] = []
     if buckets > 1:
         marks = [i / buckets for i in range(1, buckets)]

@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.session import checkpointed
+
 
 def distance(coords: Sequence[str], a: str = "a", b: str = "b") -> Column:
     total = None
@@ -61,18 +63,47 @@ def class_shares(edges: DataFrame, entity: str, label: str, classes: Sequence, p
     return near.groupBy(entity, "i").agg(*((F.sum((F.col(f"b.{label}") == c).cast("long")) / n).alias(f"{prefix}_{c}") for c in classes))
 
 
+def near_points(some: DataFrame, points: DataFrame, dims: int) -> DataFrame:
+    """(_e, i, d, j) for points ``a`` against all points ``b`` within ``_r``, by
+    cells of side ``_r``; both tables have (_e, _r, row)."""
+    cells = lambda row: [F.floor(F.get(F.col(row)["at"], k) / F.col("_r")).cast("long").alias(f"_c{k}") for k in range(dims)]
+    shifts = F.array(*(F.array(*(F.lit(x).cast("long") for x in s)) for s in product((-1, 0, 1), repeat=dims)))
+    left = some.select("_e", "_r", F.col("row").alias("a"), *cells("row")).withColumn("_s", F.explode(shifts))
+    left = left.select("_e", "_r", "a", *((F.col(f"_c{k}") + F.get("_s", k)).alias(f"_c{k}") for k in range(dims)))
+    right = points.select("_e", F.col("row").alias("b"), *cells("row"))
+    met = left.join(right, ["_e", *(f"_c{k}" for k in range(dims))]).where("a.id <> b.id")
+    gap = F.aggregate(F.zip_with("a.all", "b.all", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return met.withColumn("d", F.sqrt(gap)).where("d <= _r").select("_e", F.col("a.id").alias("i"), "d", F.col("b.id").alias("j"))
+
+
 def packing_density(points: DataFrame, entity: str, ident: str, coords: Sequence[str], k: int = 12) -> DataFrame:
     """1 / (mean distance of the k nearest + 1e-8), by entity.
 
-    Entities are bounded (a protein); each point keeps its k nearest in a
-    partial top-k before anything is averaged.
+    Neighbours are looked for in grid cells of a radius that holds about twice
+    k points at an even density; points with fewer than k that near look again
+    at twice the radius, until each has k or all the others of its entity.
     """
-    row = F.struct(F.col(ident).alias("id"), *coords)
-    a = points.select(F.col(entity).alias("_e"), row.alias("a"))
-    near = a.join(a.select("_e", F.col("a").alias("b")), "_e").where("a.id <> b.id").select("_e", F.col("a.id").alias("i"), distance(coords).alias("d"), F.col("b.id").alias("j"))
-    w = Window.partitionBy("_e", "i").orderBy("d", "j")
-    nearest = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    return nearest.groupBy(F.col("_e").alias(entity), "i").agg((1.0 / (F.avg("d") + 1e-8)).alias("density"))
+    dims = min(3, len(coords))
+    row = F.struct(F.col(ident).alias("id"), F.array(*coords[:dims]).alias("at"), F.array(*coords).alias("all"))
+    spread = [F.max(c) - F.min(c) for c in coords[:dims]]
+    longest = F.greatest(*spread, F.lit(1e-9)) if dims > 1 else F.greatest(spread[0], F.lit(1e-9))
+    sizes = points.groupBy(F.col(entity).alias("_e")).agg(F.count(F.lit(1)).alias("_n"), longest.alias("_l"))
+    sizes = sizes.withColumn("_r", F.col("_l") * F.pow(F.lit(2.0 * k) / F.col("_n"), F.lit(1.0 / dims)) / 2)
+    todo = all_points = checkpointed(points.select(F.col(entity).alias("_e"), row.alias("row")).join(sizes, "_e").where("_n > 1"))
+    found = None
+    while not todo.isEmpty():
+        w = Window.partitionBy("_e", "i").orderBy("d", "j")
+        near = near_points(todo, all_points, dims).withColumns({"_k": F.row_number().over(w), "_m": F.count(F.lit(1)).over(Window.partitionBy("_e", "i"))}).where(F.col("_k") <= k)
+        means = near.groupBy(F.col("_e").alias("_of"), "i").agg(F.avg("d").alias("d"), F.first("_m").alias("_m"))
+        judged = checkpointed(todo.join(means, (F.col("_e") == F.col("_of")) & (F.col("row.id") == F.col("i")), "left").select("_e", "row", "_n", "_l", "_r", "d", "_m"))
+        done = (F.coalesce("_m", F.lit(0)) >= F.least(F.lit(k), F.col("_n") - 1))
+        part = judged.where(done).select("_e", F.col("row.id").alias("i"), "d")
+        found = part if found is None else found.unionByName(part)
+        todo = judged.where(~done).select("_e", "row", "_n", "_l", (2 * F.col("_r")).alias("_r"))
+        all_points = all_points.withColumn("_r", 2 * F.col("_r"))
+    if found is None:
+        return points.select(entity, F.col(ident).alias("i"), F.lit(None).cast("double").alias("density")).limit(0)
+    return found.select(F.col("_e").alias(entity), "i", (1.0 / (F.col("d") + 1e-8)).alias("density"))
 
 
 def centroid_distance(points: DataFrame, entity: str, coords: Sequence[str]) -> DataFrame:

@@ -15,11 +15,15 @@ from foldspark.operators.graph import checkpointed
 def cluster_split(members: DataFrame, cluster: str, shares: Sequence[tuple[str, float]] = (("train", 0.70), ("val", 0.15), ("test", 0.15)), seed: str = "42") -> DataFrame:
     """``members`` with ``split``.  Clusters are ordered by a seeded digest and
     cut by count, rounded down; the last part takes the rest.  Only the
-    cluster table (one row a cluster) is ordered."""
+    cluster table (one row a cluster) is ordered, by the first digits of the
+    digest in 4096 parts, each with the clusters of earlier parts before it."""
     clusters = members.select(cluster).distinct().withColumn("_h", F.md5(F.concat(F.col(cluster).cast("string"), F.lit(":" + seed))))
-    w = Window.orderBy("_h", cluster)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    numbered = clusters.withColumns({"_r": F.row_number().over(w) - 1, "_n": n})
+    dealt = clusters.withColumn("_b", F.substring("_h", 1, 3))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))  # 4096 rows at most
+    parts = parts.select("_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_o"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy("_h", cluster)) - 1
+    numbered = dealt.withColumn("_own", own).join(F.broadcast(parts), "_b").withColumn("_r", F.col("_own") + F.col("_o"))
     split, reach = F.lit(shares[-1][0]), 0.0
     bounds = []
     for _, share in shares[:-1]:
@@ -68,24 +72,21 @@ def similar_pairs(a: DataFrame, b: DataFrame, text: str, ids: tuple[str, str], *
     return shared.select("id_a", "id_b", apart.alias("distance")).where(F.col("distance") <= distance)
 
 
-def clusters(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def clusters(pairs: DataFrame) -> DataFrame:
     """(side, id, component) for the texts of ``similar_pairs``: the parts of
     the graph of pairs, named by their least id of ``a``.  Each round a text
     of ``b`` takes the least name of its texts, and these the least of theirs."""
     links = checkpointed(pairs.select("id_a", "id_b").distinct(), 0)
     now = links.select("id_a", F.col("id_a").alias("c")).distinct()
-    for r in range(max_rounds):
+    settled, r = False, 0
+    while not settled:  # names only ever sink
         by_b = links.join(now, "id_a").groupBy("id_b").agg(F.min("c").alias("c"))
         by_a = links.join(by_b, "id_b").groupBy("id_a").agg(F.min("c").alias("c"))
         hop = by_a.select(F.col("id_a").alias("c"), F.col("c").alias("further"))
         new = by_a.join(hop, "c").select("id_a", F.col("further").alias("c"))
         new = checkpointed(new.join(now.select("id_a", F.col("c").alias("was")), "id_a"), r)
         settled = new.where("c <> was").isEmpty()
-        now = new.drop("was")
-        if settled:
-            break
-    else:
-        raise RuntimeError("clusters did not settle")
+        now, r = new.drop("was"), r + 1
     by_b = links.join(now, "id_a").groupBy("id_b").agg(F.min("c").alias("component"))
     return now.select(F.lit("a").alias("side"), F.col("id_a").cast("string").alias("id"), F.col("c").alias("component")).unionByName(by_b.select(F.lit("b").alias("side"), F.col("id_b").cast("string").alias("id"), "component"))
 

@@ -11,7 +11,9 @@ from foldspark.operators.align import first_of_each, flagged
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.ANNOTATIONS).csv(path, header=True, escape='"', multiLine=True)
+    rows = spark.read.schema(schema.ANNOTATIONS).csv(path, header=True, escape='"', multiLine=True)
+    # multi-line files are never split, so a row's place follows from its file
+    return rows.withColumn("_at", F.struct(F.input_file_name().alias("file"), (F.monotonically_increasing_id() % (1 << 33)).alias("row")))
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
@@ -47,7 +49,8 @@ def residue_numbers(text: Column) -> Column:
 def entities(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Allosteric keys (pdb_id, chain, resnum), active numbers (pdb_id,
     resnum), and the metadata of each entity's first row, over all its cases."""
-    ids = rows.withColumns({"pdb_id": normal_id(F.col("allosteric_pdb")), "_at": F.monotonically_increasing_id()}).where("pdb_id is not null")
+    at = F.col("_at") if "_at" in rows.columns else F.monotonically_increasing_id()
+    ids = rows.withColumns({"pdb_id": normal_id(F.col("allosteric_pdb")), "_at": at}).where("pdb_id is not null")
     sites = ids.select("pdb_id", F.inline(residue_keys(F.col("allosteric_site_residue")))).distinct()
     active = ids.select("pdb_id", F.explode(residue_numbers(F.col("active_site_residue"))).alias("resnum")).distinct()
     meta = first_of_each(ids.select("pdb_id", "_at", "sequence", "organism", "target_gene"), ["pdb_id"], ["_at"]).drop("_at")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from foldspark.functions.scalar import is_residue, one_letter, standard_residue
 
 # Columns of the published text format (first, length), 1-based.
-FIELDS = {"atom": (13, 4), "resname": (18, 3), "chain": (22, 1), "resnum": (23, 4), "icode": (27, 1), "x": (31, 8), "y": (39, 8), "z": (47, 8), "bfactor": (61, 6)}
-NUMBERS = {"resnum": "int", "x": "double", "y": "double", "z": "double", "bfactor": "double"}
+FIELDS = {"atom": (13, 4), "altloc": (17, 1), "resname": (18, 3), "chain": (22, 1), "resnum": (23, 4), "icode": (27, 1), "x": (31, 8), "y": (39, 8), "z": (47, 8), "occupancy": (55, 6), "bfactor": (61, 6)}
+NUMBERS = {"resnum": "int", "x": "double", "y": "double", "z": "double", "occupancy": "double", "bfactor": "double"}
 
 
 def entity_of(path: Column) -> Column:
@@ -37,12 +37,22 @@ def atoms(spark: SparkSession, path: str) -> DataFrame:
     return parsed_atoms(lines(spark, path))
 
 
+def one_location(atom_rows: DataFrame) -> DataFrame:
+    """Of an atom's alternate locations the one of greatest occupancy, the
+    first of equals; an aggregate, so that it is partly done in each task."""
+    keys = ["pdb_id", "chain", "resnum", "icode", "resname", "atom"]
+    rest = [c for c in atom_rows.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.struct(F.coalesce("occupancy", F.lit(0.0)), -F.col("ord")))
+    return atom_rows.groupBy(*keys).agg(best.alias("_a")).select(*keys, "_a.*").select(*atom_rows.columns)
+
+
 def residues(atom_rows: DataFrame) -> DataFrame:
     """One row a residue (insertion codes stay apart), hetero stand-ins mapped,
-    with mean B-factor and a CA position, else the atoms' mean."""
-    known = atom_rows.where(is_residue(F.col("het"), F.col("resname"))).withColumn("resname", standard_residue(F.col("resname")))
-    place = lambda c: F.coalesce(F.max(F.when(F.col("atom") == "CA", F.col(c))), F.avg(c), F.lit(99999.0)).alias(c)
-    grouped = known.groupBy("pdb_id", "chain", "resnum", "icode", "resname").agg(F.min("ord").alias("_first"), F.avg("bfactor").alias("bfactor"), *(place(c) for c in "xyz"))
+    with mean B-factor and the position of its CA atom, else the atoms' mean."""
+    known = one_location(atom_rows.where(is_residue(F.col("het"), F.col("resname"))).withColumn("resname", standard_residue(F.col("resname"))))
+    ca = F.min_by(F.struct("x", "y", "z"), F.when(F.col("atom") == "CA", F.col("ord"))).alias("_ca")
+    grouped = known.groupBy("pdb_id", "chain", "resnum", "icode", "resname").agg(F.min("ord").alias("_first"), F.avg("bfactor").alias("bfactor"), ca, *(F.avg(c).alias(f"_{c}") for c in "xyz"))
+    grouped = grouped.select("pdb_id", "chain", "resnum", "icode", "resname", "_first", "bfactor", *(F.coalesce(f"_ca.{c}", f"_{c}", F.lit(99999.0)).alias(c) for c in "xyz"))
     w = Window.partitionBy("pdb_id").orderBy("_first")
     return grouped.withColumn("ord", F.row_number().over(w) - 1).drop("_first")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import subprocess
 import tempfile
+import time
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
@@ -88,9 +89,16 @@ def run_tool(files: DataFrame, command: Sequence[str], collect: Callable[[Path],
     return files.mapInPandas(run, "pdb_id string, raw string, status string")
 
 
-def fetch(ids: DataFrame, get: Callable[[str], bytes], *, least: int = 1000) -> DataFrame:
+def fetch(ids: DataFrame, get: Callable[[str], bytes], *, least: int = 1000, there: DataFrame | None = None, pause: float = 0.0, tasks: int | None = None) -> DataFrame:
     """(pdb_id) to (pdb_id, content, status) with a given downloader; ids that
-    are not four characters long are refused, short answers fail."""
+    are not four characters long are refused, short answers fail.  Ids whose
+    content in ``there`` (pdb_id, content) is long enough are not asked for
+    again; ``tasks`` at most ask at once, each with a ``pause`` in between."""
+    wanted = ids.select("pdb_id").distinct()
+    if there is not None:
+        wanted = wanted.join(there.where(F.octet_length("content") > least).select("pdb_id"), "pdb_id", "left_anti")
+    if tasks:
+        wanted = wanted.repartition(tasks, "pdb_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -98,13 +106,14 @@ def fetch(ids: DataFrame, get: Callable[[str], bytes], *, least: int = 1000) ->
             for name in batch["pdb_id"]:
                 try:
                     content = get(name) if len(name) == 4 else None
+                    time.sleep(pause if len(name) == 4 else 0.0)
                     ok = content is not None and len(content) > least
                     rows.append((name, content if ok else None, "ok" if ok else "refused" if content is None else "too short"))
                 except Exception as e:  # any failure of a foreign downloader is a status
                     rows.append((name, None, f"failed: {type(e).__name__}"))
             yield pd.DataFrame(rows, columns=["pdb_id", "content", "status"])
 
-    return ids.select("pdb_id").distinct().mapInPandas(run, "pdb_id string, content binary, status string")
+    return wanted.mapInPandas(run, "pdb_id string, content binary, status string")
 
 
 def embedded(sequences: DataFrame, model: Callable[[list[str]], list[list[list[float]]]], size: int = 1022, stride: int = 512) -> DataFrame:
@@ -122,7 +131,7 @@ def embedded(sequences: DataFrame, model: Callable[[list[str]], list[list[list[f
                 yield pd.DataFrame({"pdb_id": name, "pos": range(start, start + len(emb)), "emb": list(emb)})
 
     parts = windows.mapInPandas(run, "pdb_id string, pos int, emb array<float>")
-    dims = parts.select("pdb_id", "pos", F.posexplode("emb").alias("k", "v"))
-    means = dims.groupBy("pdb_id", "pos", "k").agg(F.avg("v").alias("v"))
-    rows = F.array_sort(F.collect_list(F.struct("k", "v")))
-    return means.groupBy("pdb_id", "pos").agg(F.transform(rows, lambda r: r["v"].cast("float")).alias("emb"))
+    # ceil(size / stride) windows at most hold a residue
+    held = parts.groupBy("pdb_id", "pos").agg(F.collect_list("emb").alias("held"))
+    total = F.aggregate(F.slice("held", 2, F.size("held")), F.transform(F.get("held", 0), lambda x: x.cast("double")), lambda s, e: F.zip_with(s, e, lambda x, y: x + y))
+    return held.select("pdb_id", "pos", F.transform(total, lambda x: (x / F.size("held")).cast("float")).alias("emb"))

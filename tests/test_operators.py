@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldspark import schema
 from foldspark.functions import scalar as S
-from foldspark.operators import align, contacts, graph, kernels, learning, metrics, running, sequence, spatial, split
+from foldspark.operators import align, assembly, boosting, contacts, evaluation, graph, kernels, learning, metrics, running, sequence, spatial, split
+from foldspark.sources import tables
 
 
 def test_leading_int_and_ids(spark):
@@ -99,7 +101,15 @@ def test_single_class_and_ties(spark):
 
 @pytest.mark.parametrize(
     ("matrix", "f1", "mcc"),
-    [((361322, 6233, 3851, 3997), 0.442195, 0.432635), ((361592, 5963, 3706, 4142), 0.461427, 0.452211), ((0, 0, 0, 0), 0.0, 0.0)],
+    [
+        ((1130336, 14766, 6380, 12284), 0.537428, 0.537968),
+        ((243869, 3847, 2385, 1460), 0.319056, 0.310907),
+        ((361322, 6233, 3851, 3997), 0.442195, 0.432635),
+        ((1126345, 18757, 55, 18609), 0.664251, 0.698818),
+        ((243819, 3897, 2284, 1561), 0.335591, 0.328619),
+        ((361592, 5963, 3706, 4142), 0.461427, 0.452211),
+        ((0, 0, 0, 0), 0.0, 0.0),
+    ],
 )
 def test_published_confusion_matrices(spark, matrix, f1, mcc):
     made = metrics.threshold_scores(*map(F.lit, matrix))
@@ -252,27 +262,75 @@ def test_projection_is_centred(spark):
     assert np.allclose(axes.mean(axis=0), 0, atol=1e-9)
 
 
-def test_trees_stop_where_validation_loss_turns(spark):
+def test_trees_stop_where_validation_turns(spark):
     rows = [(i, float(i % 20), int(i % 20 >= 10)) for i in range(200)]
     train = spark.createDataFrame(rows, "id int, x double, t int")
     turned = train.withColumn("t", 1 - F.col("t"))
-    model, n = learning.fit_trees(train, turned, ["x"], "t", rounds=6, depth=2, patience=2, columns=1.0)
-    assert n == 1 and model.getNumTrees == 1
-    whole, m = learning.fit_trees(train, train, ["x"], "t", rounds=6, depth=2, patience=2, columns=1.0)
-    assert m == 6 and whole.getNumTrees == 6
-    cut = learning.first_trees(whole, 2)
-    one, two = ({r["id"]: r["y_prob"] for r in learning.tree_scores(train, x, ["x"]).collect()} for x in (model, cut))
-    assert cut.treeWeights == whole.treeWeights[:2] and len(set(one.values())) == 2 and max(two.values()) > 0.5
-    assert two != {r["id"]: r["y_prob"] for r in learning.tree_scores(train, whole, ["x"]).collect()}
-
-
-def test_search_counts_trees_and_its_best_trial_is_fitted_again(spark):
-    train = spark.createDataFrame([(i, float(i % 20), int(i % 20 >= 10)) for i in range(100)], "id int, x double, t int")
-    trials = learning.search(train, train, ["x"], "t", trials=2, rounds=3)
-    best = max(trials.collect(), key=lambda r: (r["ap"], -r["trial"]))
-    model, n = learning.retrained(train, train, ["x"], "t", trials, rounds=3)
-    assert n == best["n_trees"] == model.getNumTrees
-    assert model.getOrDefault("maxDepth") == best["depth"]
+    model, n = learning.fit_trees(train, turned, ["x"], "t", rounds=30, depth=2, patience=2, columns=1.0, min_child=1.0)
+    assert n == len(model.trees) < 5
+    whole, m = learning.fit_trees(train, train.limit(0), ["x"], "t", rounds=6, depth=2, patience=2, columns=1.0, min_child=1.0)
+    assert m == 6 == len(whole.trees)
+    scores = {r["x"]: r["y_prob"] for r in learning.tree_scores(train, whole, ["x"]).collect()}
+    assert all((p > 0.5) == (x >= 10) for x, p in scores.items())
+
+
+def test_boosted_trees_learn_and_their_loss_falls():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 5)).astype(np.float32)
+    truth = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(np.int64)
+    model = boosting.fit(x[:2000], truth[:2000], x[2000:], truth[2000:], rounds=200, depth=4, rate=0.2)
+    assert boosting.auroc(truth[2000:], model.probability(x[2000:])) > 0.98
+    share = model.importances(5)
+    assert share.sum() == pytest.approx(1.0) and set(np.argsort(-share)[:2].tolist()) == {0, 1}
+    loss = []
+    for n in (1, 5, 20):
+        p = boosting.Trees(0.0, model.trees[:n]).probability(x[:2000])
+        loss.append(-(truth[:2000] * np.log(p) + (1 - truth[:2000]) * np.log(1 - p)).mean())
+    assert loss[0] > loss[1] > loss[2]
+
+
+def test_a_single_split_is_the_one_of_greatest_gain():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2)).astype(np.float32)
+    truth = rng.integers(0, 2, 300)
+    tree = boosting.fit(x, truth, x[:0], truth[:0], rounds=1, depth=1, rate=1.0, subsample=1.0, columns=1.0, min_child=5.0, gamma=0.0, lam=2.0, alpha=0.1).trees[0]
+    g, h = 0.5 - truth, np.full(300, 0.25)
+    part = lambda m: max(0.0, abs(g[m].sum()) - 0.1) ** 2 / (h[m].sum() + 2.0)
+    best = -1.0
+    for f in range(2):
+        for edge in boosting.edges_of(x[:, f]):
+            low = x[:, f] < edge
+            if min(h[low].sum(), h[~low].sum()) >= 5.0:
+                best = max(best, 0.5 * (part(low) + part(~low) - part(np.ones(300, bool))))
+    assert tree.gain[0] == pytest.approx(best)
+    low = x[:, tree.feature[0]] < tree.threshold[0]
+    s = g[low].sum()
+    assert tree.value[1] == pytest.approx(-np.sign(s) * max(0.0, abs(s) - 0.1) / (h[low].sum() + 2.0))
+
+
+def test_metrics_of_trees_equal_the_engine(spark):
+    rng = np.random.default_rng(7)
+    truth, score = rng.integers(0, 2, 200), np.round(rng.uniform(0, 1, 200), 2)
+    df = spark.createDataFrame([("a", int(t), float(s)) for t, s in zip(truth, score, strict=True)], "g string, t int, p double")
+    got = metrics.ranking(df, ["g"], "p", "t").first()
+    assert boosting.auroc(truth, score) == pytest.approx(got["auroc"]) and boosting.average_precision(truth, score) == pytest.approx(got["ap"])
+
+
+def test_search_resumes_its_study_and_its_best_trial_is_fitted_again(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(b), int(a + 0.3 * b > 0)) for i, (a, b) in enumerate(rng.normal(size=(2500, 2)))]
+    train = spark.createDataFrame(rows, "id int, x double, y double, t int")
+    study = str(tmp_path / "study")
+    args = (train, train, ["x", "y"], "t")
+    first = learning.search(*args, trials=4, at_once=2, rounds=20, study=study).collect()
+    more = learning.search(*args, trials=6, at_once=2, rounds=20, study=study).collect()
+    assert more[:4] == first and len(more) == 6 and spark.read.parquet(study).count() == 6
+    assert all(3 <= r["depth"] <= 8 and 0.3 <= r["columns"] <= 1 and 1 <= r["weight"] for r in more)
+    best = max(more, key=lambda r: (r["ap"], -r["trial"]))
+    model, n = learning.retrained(*args, spark.createDataFrame(more), rounds=20)
+    assert n == best["n_trees"] == len(model.trees)
+    top = learning.importances(train, model, ["x", "y"]).collect()
+    assert [r["rank"] for r in top] == [1, 2] and sum(r["importance"] for r in top) == pytest.approx(1.0)
 
 
 def test_similar_pairs_are_all_pairs(spark):
@@ -294,3 +352,142 @@ def test_similar_pairs_are_all_pairs(spark):
     assert {(s, i) for s, i in parts} == {("a", str(i)) for i, _ in want} | {("b", str(j)) for _, j in want}
     chain = spark.createDataFrame([(i, i + d) for i in range(40) for d in (0, 1)] + [(70, 90)], "id_a int, id_b int")
     assert {(r["side"], r["id"]): r["component"] for r in split.clusters(chain).collect()} == {("a", str(i)): 0 for i in range(40)} | {("b", str(i)): 0 for i in range(41)} | {("a", "70"): 70, ("b", "90"): 70}
+
+
+def test_rounding_to_even_on_the_binary_value(spark):
+    rng = np.random.default_rng(9)
+    values = [2.675, 0.125, 0.375, -2.5, 2.5, 1.005, 0.45, 1e-9, 12345.6785, -0.00005, 1e17, *rng.uniform(-50, 50, 400).round(4).tolist(), *(k / 32 for k in range(-64, 64))]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for digits in (0, 1, 2, 4):
+        got = [tuple(r) for r in df.select("v", S.half_even(F.col("v"), digits).alias("r")).collect()]
+        assert all(r == round(v, digits) for v, r in got)
+
+
+def test_transfer_entropy_by_determinants():
+    """Ratios of determinants of covariances, element by element."""
+    k = np.arange(16)
+    xyz = np.column_stack([4 * np.cos(1.7 * k), 4 * np.sin(1.7 * k), 1.5 * k])  # a coil: one connected network
+    values, vectors = kernels.modes(xyz, 7.0)
+    now = sum(np.outer(v, v) / w for w, v in zip(values, vectors.T, strict=True))
+    later = sum(np.outer(v, v) * np.exp(-0.2 * w) / w for w, v in zip(values, vectors.T, strict=True))
+    flow = np.zeros((16, 16))
+    for i in range(16):
+        for j in range(16):
+            if i != j:
+                pair = np.array([[now[j, j], now[i, j]], [now[i, j], now[i, i]]])
+                own = np.array([[now[j, j], later[j, j]], [later[j, j], now[j, j]]])
+                three = np.array([[now[j, j], later[j, j], later[i, j]], [later[j, j], now[j, j], now[i, j]], [later[i, j], now[i, j], now[i, i]]])
+                flow[i, j] = max(0.0, 0.5 * np.log(np.linalg.det(own) * np.linalg.det(pair) / (now[j, j] * np.linalg.det(three))))
+    got = kernels.transfer_entropy(xyz, tau=0.2)
+    assert flow.sum() > 0.01 and np.allclose(got[:, 1], flow.sum(axis=1), atol=1e-6) and np.allclose(got[:, 2], flow.sum(axis=0), atol=1e-6)
+
+
+def test_perturbation_response_by_loops():
+    xyz = np.random.default_rng(16).normal(0, 5, (9, 3))
+    hessian = np.zeros((27, 27))
+    for i in range(9):
+        for j in range(9):
+            r = xyz[i] - xyz[j]
+            if i != j and r @ r <= 225:
+                block = np.outer(r, r) / (r @ r)
+                hessian[3 * i : 3 * i + 3, 3 * j : 3 * j + 3] -= block
+                hessian[3 * i : 3 * i + 3, 3 * i : 3 * i + 3] += block
+    cov = np.linalg.pinv(hessian, rcond=1e-9)
+    strength = np.array([[(cov[3 * i : 3 * i + 3, 3 * j : 3 * j + 3] ** 2).sum() for j in range(9)] for i in range(9)])
+    response = strength / np.diag(strength)[:, None]
+    np.fill_diagonal(response, 0.0)
+    got = kernels.perturbation_response(xyz)
+    assert np.allclose(got[:, 0], response.sum(axis=1) / 8) and np.allclose(got[:, 1], response.sum(axis=0) / 8)
+
+
+def test_secondary_structure_by_loops():
+    """Bonds, turns and bridges written out, on crowded random backbones."""
+    seen = set()
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        n, ca, c, o = (rng.uniform(0, 6, (18, 3)) for _ in range(4))
+        h = n.copy()
+        for i in range(1, 18):
+            h[i] = n[i] + (c[i - 1] - o[i - 1]) / np.linalg.norm(c[i - 1] - o[i - 1])
+        far = lambda a, b: 1 / (np.linalg.norm(a - b) + 1e-9)
+        bond = {(i, j) for i in range(1, 18) for j in range(18) if abs(i - j) > 1 and 27.9 * (far(n[i], o[j]) + far(h[i], c[j]) - far(h[i], o[j]) - far(n[i], c[j])) < -0.5}
+        want = ["-"] * 18
+        for s in range(1, 14):
+            if (s + 4, s) in bond and (s + 3, s - 1) in bond:
+                want[s : s + 4] = ["H"] * len(want[s : s + 4])
+        for i in range(1, 17):
+            for j in range(1, 17):
+                if abs(i - j) > 2 and want[i] == "-":
+                    side = ((j, i - 1) in bond and (i + 1, j) in bond) or ((i, j - 1) in bond and (j + 1, i) in bond)
+                    across = ((i, j) in bond and (j, i) in bond) or ((i + 1, j - 1) in bond and (j + 1, i - 1) in bond)
+                    if side or across:
+                        want[i] = "E"
+        assert kernels.secondary_structure(n, ca, c, o).tolist() == want
+        seen |= set(want)
+    assert seen == {"-", "H", "E"}
+
+
+def test_projection_equals_the_singular_vectors(spark):
+    rng = np.random.default_rng(17)
+    v = rng.normal(size=(80, 5)) * [5, 3, 1, 0.5, 0.1]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id int, v array<double>")
+    model, mean = learning.fit_projection(df, "v", 3)
+    got = np.array([r["p"] for r in learning.projected(df, "v", model, mean, "p").orderBy("id").collect()])
+    centred = v - v.mean(axis=0)
+    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(centred @ axes[:3].T), atol=1e-8)
+
+
+def test_kernels_say_what_is_too_small(spark):
+    rows = [("a", i, float(i), 0.0, 0.0) for i in range(3)] + [("b", i, float(i), float(i % 3), float(i % 2)) for i in range(9)]
+    df = spark.createDataFrame(rows, "e string, i int, x double, y double, z double")
+    got = kernels.per_entity(df, "e", "i", ["x", "y", "z"], kernels.fluctuations, ["f", "s", "h", "k", "r"], least=5).collect()
+    assert {(r["e"], r["status"], r["f"] is None) for r in got} == {("a", "too small", True), ("b", "ok", False)}
+
+
+def test_nearest_neighbours_equal_brute_force_at_any_density(spark):
+    rng = np.random.default_rng(18)
+    xyz = np.concatenate([rng.normal(0, 0.01, (60, 3)), rng.uniform(-50, 50, (40, 3)), np.zeros((3, 3))])
+    rows = [("a", i, *map(float, p)) for i, p in enumerate(xyz)] + [("b", 0, 0.0, 0.0, 0.0), ("b", 1, 3.0, 4.0, 0.0), ("c", 0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "e string, i int, x double, y double, z double")
+    got = {(r["e"], r["i"]): r["density"] for r in spatial.packing_density(df, "e", "i", ["x", "y", "z"], 5).collect()}
+    d = np.sort(np.linalg.norm(xyz[:, None] - xyz[None], axis=2) + np.diag(np.full(103, np.inf)), axis=1)[:, :5].mean(axis=1)
+    want = {("a", i): 1 / (x + 1e-8) for i, x in enumerate(d)} | {("b", i): 1 / (5.0 + 1e-8) for i in (0, 1)}
+    assert got == pytest.approx(want)
+
+
+def test_data_set_from_blocks_to_files(spark, tmp_path):
+    base = spark.createDataFrame([(e, i) for e in "abcdefghij" for i in range(6)], "pdb_id string, resnum int")
+    wide = lambda n, drop="": base.where(f"pdb_id <> '{drop}'").select("*", *((F.col("resnum") * (k + 1)).cast("double").alias(f"{n}_{k}") for k in range(4 if n == "frustration" else schema.BLOCKS[n])))
+    blocks = {n: wide(n, "b" if n == "energy" else "") for n in schema.BLOCKS if n != "pocket"}
+    rows = assembly.assemble(base, blocks, ["pdb_id", "resnum"], "pdb_id")
+    got = {(r["pdb_id"], r["resnum"]): r for r in rows.collect()}
+    assert len(got) == 60 and got["a", 2]["frustration_3"] == 8.0 and got["a", 2]["frustration_6"] == 0.0
+    assert not got["a", 1]["has_pocket"] and not got["b", 1]["has_energy"] and got["b", 3]["energy_1"] == 0.0 and got["a", 3]["energy_1"] == 6.0
+    assert {r["pdb_id"] for r in assembly.covered(rows, "pdb_id", 0.8).collect()} == set("acdefghij")
+    splits = split.cluster_split(base.select("pdb_id").distinct(), "pdb_id")
+    out, metadata = assembly.build(rows, splits, "pdb_id", ["structural_0", "energy_0"])
+    assembly.write_dataset(out, metadata, str(tmp_path / "set"))
+    back = spark.read.parquet(str(tmp_path / "set/data"))
+    assert back.count() == 60 and {r["split"] for r in back.select("split").distinct().collect()} == {"train", "val", "test"}
+    held = spark.read.parquet(str(tmp_path / "set/metadata")).first()
+    assert held["features"] == ["structural_0", "energy_0"] and held["scaler"][0]["mean"] == 2.5
+    plan = tables.read_split(spark, str(tmp_path / "set/data"), "val")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan
+
+
+def test_lift_counts_and_zip(spark):
+    table = spark.createDataFrame([("a", 10, 2, 0.5), ("b", 4, 0, None)], "g string, n long, positives long, ap double")
+    got = {r["g"]: (r["baseline"], r["lift"]) for r in evaluation.with_baseline(table).collect()}
+    assert got == {"a": (0.2, 2.5), "b": (0.0, None)}
+    rows = spark.createDataFrame([(x,) for x in (0.1, 0.3, 0.3, 0.9, None)], "v double")
+    assert [tuple(r) for r in evaluation.counts_by_threshold(rows, "v", [0.3, 0.5]).collect()] == [(0.3, 1, 3), (0.5, 3, 1)]
+    a = spark.createDataFrame([("p", 1, "x"), ("p", 2, "y"), ("q", 1, "z")], "e string, o int, t string")
+    b = spark.createDataFrame([("p", 5, 0.1), ("p", 9, 0.2), ("q", 1, 0.3), ("q", 2, 0.4), ("r", 1, 0.5)], "e string, k int, s double")
+    rows, checked = evaluation.zipped(a, b, "e", ["o"], ["k"], ["s"])
+    assert {(r["e"], r["t"], r["s"]) for r in rows.collect()} == {("p", "x", 0.1), ("p", "y", 0.2)}
+    assert {tuple(r) for r in checked.collect()} == {("p", 2, 2, "ok"), ("q", 1, 2, "length mismatch"), ("r", 0, 1, "length mismatch")}
+    hits = spark.createDataFrame([("p", 0.4), ("p", 0.6)], "e string, max_identity double")
+    assert {(r["e"], r["max_identity"]) for r in evaluation.with_homology(a, hits, "e").collect()} == {("p", 0.6), ("q", 0.0)}
+    undefined = spark.range(1).select(metrics.threshold_scores(*map(F.lit, (5, 0, 0, 0)), undefined=None)["precision"].alias("p")).first()
+    assert undefined["p"] is None

@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from foldspark import schema
-from foldspark.sources import annotations, structures, tables, tools
+from foldspark.operators import boosting
+from foldspark.sources import annotations, documents, structures, tables, tools
 from foldspark.streaming import resume
 
 
@@ -118,3 +119,57 @@ def test_stream_skips_what_is_done(spark, tmp_path):
     df.withColumn("k", F.col("k") + 10).write.mode("append").parquet(src)
     run(mark)
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == [1, 2, 11, 12]
+
+
+def test_documents_manifest_and_log(spark, tmp_path):
+    rows = spark.createDataFrame([("1ABC", i, "A", 10 + i, "GLY", int(i == 1), 0, 0.123456 * i) for i in range(3)] + [("2DEF", 0, "B", -5, "ALA", 0, 1, 0.5)], "pdb_id string, ord int, chain string, resnum int, resname string, y_true int, is_active_site int, y_prob double")
+    documents.write_documents(rows, str(tmp_path))
+    back = spark.read.schema(documents.DOCUMENT).json(str(tmp_path / "documents")).collect()
+    held = {r["pdb_id"]: r for r in back}
+    assert held["1ABC"]["n_true_allosteric"] == 1 and [x["n"] for x in held["1ABC"]["residues"]] == [10, 11, 12]
+    assert held["1ABC"]["residues"][2]["p"] == 0.2469 and held["2DEF"]["n_active_site"] == 1
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "x.json").write_text('{"pdb_id": "1ABC", "n_residues": 1,\n "residues": [{"c": "A", "n": 7, "r": "GLY", "t": 1, "a": 0, "p": 0.5}]}')
+    flat = documents.residue_rows(documents.read_documents(spark, str(tmp_path / "one"))).collect()
+    assert [(r["pdb_id"], r["ord"], r["resnum"], r["y_true"], r["y_prob"]) for r in flat] == [("1ABC", 0, 7, 1, 0.5)]
+    (tmp_path / "manifest.json").write_text('{"threshold": 0.25, "proteins": [{"pdb_id": "1ABC", "category": "win", "n_residues": 3}]}')
+    entry = documents.read_manifest(spark, str(tmp_path / "manifest.json")).first()
+    assert (entry["threshold"], entry["pdb_id"], entry["category"], entry["title"]) == (0.25, "1ABC", "win", None)
+    with documents.logged(str(tmp_path / "log.txt")) as log:
+        log.info("one %d", 1)
+    log.info("not kept")
+    assert (tmp_path / "log.txt").read_text().strip().endswith("one 1")
+
+
+def test_models_and_metrics_at_rest(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3)).astype(np.float32)
+    model = boosting.fit(x, (x[:, 0] > 0).astype(int), x[:0], np.zeros(0, int), rounds=8, min_child=1.0)
+    tables.save_model(spark, model, 0.4, str(tmp_path / "m"))
+    back, threshold = tables.load_model(spark, str(tmp_path / "m"))
+    assert threshold == 0.4 and np.allclose(back.probability(x), model.probability(x)) and len(back.trees) == 8
+    tables.write_metrics(spark.createDataFrame([(0.5, 0.25)], "optimal_threshold double, ap double"), str(tmp_path / "metrics"))
+    assert tables.threshold(spark, str(tmp_path / "metrics")) == 0.5
+
+
+def test_of_alternate_locations_one_atom_counts(spark):
+    line = lambda k, alt, x, y, occ: f"ATOM  {k:5d}  CA {alt}ALA A   7    {x:8.3f}{y:8.3f}{0.0:8.3f}{occ:6.2f}{10.0:6.2f}"
+    rows = spark.createDataFrame([("p", k, text) for k, text in enumerate([line(1, "A", 5, -3, 0.4), line(2, "B", 1, 7, 0.6)])], "pdb_id string, ord int, line string")
+    got = structures.residues(structures.parsed_atoms(rows)).first()
+    assert (got["x"], got["y"], got["z"]) == (1.0, 7.0, 0.0)
+
+
+def test_fetch_skips_what_is_there(spark):
+    ids = spark.createDataFrame([("1abc",), ("2abc",), ("toolong",), ("3abc",)], "pdb_id string")
+    there = spark.createDataFrame([("1abc", bytearray(b"x" * 2000)), ("2abc", bytearray(b"x"))], "pdb_id string, content binary")
+    got = {r["pdb_id"]: r["status"] for r in tools.fetch(ids, lambda name: b"y" * (2000 if name == "2abc" else 5), there=there, tasks=2).collect()}
+    assert got == {"2abc": "ok", "toolong": "refused", "3abc": "too short"}
+
+
+def test_embeddings_are_means_over_windows(spark):
+    sequences = spark.createDataFrame([("p", "ABCDEFGHIJ")], "pdb_id string, sequence string")
+    model = lambda parts: [[[float(ord(c)), float(len(part))] for c in part] for part in parts]
+    rows = {r["pos"]: list(r["emb"]) for r in tools.embedded(sequences, model, size=6, stride=3).collect()}
+    assert {i: emb[0] for i, emb in rows.items()} == {i: float(ord(c)) for i, c in enumerate("ABCDEFGHIJ")}
+    # windows start at 0, 3 and 6; the last has four letters
+    assert {i: emb[1] for i, emb in rows.items()} == {0: 6, 1: 6, 2: 6, 3: 6, 4: 6, 5: 6, 6: 5, 7: 5, 8: 5, 9: 4}

@@ -106,7 +106,8 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int, *, gap: float
             break
         moved = False
         for pattern in found:
-            change = inverse @ pattern
+            held = np.flatnonzero(pattern)
+            change = inverse[:, held] @ pattern[held]
             if change.sum() <= 1 + gap / 2:  # what it is worth by now
                 continue
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -118,7 +119,11 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int, *, gap: float
             used -= step * change
             used[leave] = step
             row = inverse[leave] / change[leave]
-            inverse -= np.outer(change, row)
+            moving, wide = np.flatnonzero(change), np.flatnonzero(row)
+            if 2 * len(moving) < m or 2 * len(wide) < m:  # most of the inverse stays
+                inverse[np.ix_(moving, wide)] -= change[moving, None] * row[wide]
+            else:
+                inverse -= change[:, None] * row
             inverse[leave] = row
             patterns[:, leave] = pattern
             moved = True

@@ -14,8 +14,9 @@ two deterministic transducers:
     rolling hash; such states compose over a word as affine maps do, so a
     word's final state is a sum over its characters.  The transitions at word
     ends are annotated with the emitted tokens.  Annotations are compiled from
-    the model's merges when a spelling is first met and kept in a direct-mapped
-    table of fixed size; a spelling that was displaced is compiled again.
+    the file's merges (``Merges``) when a spelling is first met and kept in a
+    direct-mapped table of fixed size; a spelling that was displaced is
+    compiled again.
 
 Character classes and case folding are tabulated by asking the tokenizer
 itself, once for each code point.  Texts with characters that do not normalise
@@ -120,23 +121,67 @@ def prefix(maps: np.ndarray) -> np.ndarray:
     return before
 
 
+class Merges:
+    """The merges of a file: a pair of tokens to its rank and the token made."""
+
+    def __init__(self, model: dict):
+        if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+            raise ValueError("not a plain merge model")
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        # printable bytes spell themselves, the others follow above 255 in order
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        above = iter(range(0x100, 0x200))
+        spelt = [chr(b) if b in plain else chr(next(above)) for b in range(256)]
+        self.inner = [vocab[c] for c in spelt]
+        self.last = [vocab[c + end] for c in spelt]
+        self.made: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            self.made.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+
+    def tokens(self, word: str) -> list[int]:
+        """The word's bytes, merged by rank, the first of equals first."""
+        raw = word.encode()
+        own = [self.inner[b] for b in raw[:-1]]
+        own.append(self.last[raw[-1]])
+        made = self.made
+        while len(own) > 1:
+            found = [made[p] for p in zip(own, own[1:], strict=False) if p in made]
+            if not found:
+                break
+            rank, token = min(found)
+            out, i, end = [], 0, len(own) - 1
+            while i < end:
+                hit = made.get((own[i], own[i + 1]))
+                if hit is not None and hit[0] == rank:
+                    out.append(token)
+                    i += 2
+                else:
+                    out.append(own[i])
+                    i += 1
+            if i == end:
+                out.append(own[end])
+            own = out
+        return own
+
+
 class Compiled:
     """The transducers of one tokenizer file, with the tables filled so far."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.whole.model)
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.whole = Tokenizer.from_file(path)  # normaliser and character classes
         with open(path, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
+            file = json.load(f)
+        self.merges, added = Merges(file["model"]), file["added_tokens"]
+        ids = [*file["model"]["vocab"].values(), *(x["id"] for x in added)]
+        self.kind = np.uint16 if max(ids) < 1 << 16 else np.uint32
         self.special = {x["content"]: x["id"] for x in added}
-        self.special_ids = np.array([x["id"] for x in added], np.uint16)
+        self.special_ids = np.array([x["id"] for x in added], np.uint32)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         self.special_at = {x["content"]: i for i, x in enumerate(added)}
-        self.heads = {x["content"][:2].encode() for x in added}
         self.classes = np.full(_SPECIAL + len(added), _UNKNOWN, np.uint8)
         self.classes[_BREAK] = BREAK
         self.classes[_SPECIAL:] = SPECIAL
@@ -146,7 +191,7 @@ class Compiled:
             self.folded[c] = ord(out) if len(out) == 1 else 0
         self.keys = np.zeros(SLOTS, np.uint64)
         self.sizes = np.zeros(SLOTS, np.uint8)
-        self.tokens = np.zeros((SLOTS, HELD), np.uint16)
+        self.tokens = np.zeros((SLOTS, HELD), self.kind)
 
     # -- characters
 
@@ -213,7 +258,7 @@ class Compiled:
         row_at = np.searchsorted(start, at)
         n = len(start)
         if not n:
-            return np.zeros(0, np.int64), np.zeros((0, HELD), np.uint16), row_at, {}, start
+            return np.zeros(0, np.int64), np.zeros((0, HELD), self.kind), row_at, {}, start
         size = end - start
         first = np.cumsum(size) - size
         index = np.arange(int(first[-1] + size[-1])) - np.repeat(first, size)
@@ -226,16 +271,16 @@ class Compiled:
         missed = np.flatnonzero(~hit)
         if len(missed):
             names, one, back = np.unique(key[missed], return_index=True, return_inverse=True)
-            compiled = [self.compile(chars[start[i] : end[i]]) for i in missed[one].tolist()] if len(one) < 8 else self.compile_all(chars, start[missed[one]], end[missed[one]])
+            compiled = [self.compile(chars[start[i] : end[i]]) for i in missed[one].tolist()]
             sizes = np.array([len(x) for x in compiled], np.int64)
-            table = np.zeros((len(compiled), HELD), np.uint16)
+            table = np.zeros((len(compiled), HELD), self.kind)
             for i, x in enumerate(compiled):
                 table[i, : min(len(x), HELD)] = x[:HELD]
             counts[missed], tokens[missed] = sizes[back], table[back]
             if (sizes > HELD).any():
                 for place, i in zip(missed.tolist(), back.tolist(), strict=True):
                     if sizes[i] > HELD:
-                        long[place] = np.array(compiled[i], np.uint16)
+                        long[place] = np.array(compiled[i], self.kind)
             keep = sizes <= HELD
             where = ((names >> np.uint64(20)) & np.uint64(SLOTS - 1))[keep]
             self.keys[where], self.sizes[where], self.tokens[where] = names[keep], sizes[keep], table[keep]
@@ -244,18 +289,7 @@ class Compiled:
     def compile(self, chars: np.ndarray) -> list[int]:
         if len(chars) == 1 and chars[0] >= _SPECIAL:
             return [int(self.special_ids[chars[0] - _SPECIAL])]
-        return self.model.encode(chars.tobytes().decode("utf-32-le"), add_special_tokens=False).ids
-
-    def compile_all(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
-        special = chars[start] >= _SPECIAL
-        plain = np.flatnonzero(~special).tolist()
-        spelt = [chars[start[i] : end[i]].tobytes().decode("utf-32-le") for i in plain]
-        out: list[list[int]] = [[]] * len(start)
-        for i, x in zip(plain, self.model.encode_batch_fast(spelt, add_special_tokens=False), strict=True):
-            out[i] = x.ids
-        for i in np.flatnonzero(special).tolist():
-            out[i] = self.compile(chars[start[i] : end[i]])
-        return out
+        return self.merges.tokens(chars.tobytes().decode("utf-32-le"))
 
     def count(self, texts: list[str]) -> np.ndarray:
         counts, _, row_at, _, _ = self.emit(texts)

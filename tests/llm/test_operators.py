@@ -18,6 +18,7 @@ from foldspark.llm.queries import vocabulary
 from foldspark.llm.sharding import shard
 from foldspark.llm.substring_dedup import substring_dedup
 from foldspark.llm.token_counts import Compiled, token_counts
+from foldspark.llm.words import _STEPS, mixed
 from tests.llm import cases
 
 
@@ -137,10 +138,10 @@ def test_substring_dedup_on_random_texts(spark):
 
 
 def test_packing(docs, empty, vocab):
-    transducers = Compiled(vocab)
+    library = Compiled(vocab).whole
     want = Counter()
     for i, t in PAIRS:
-        want[i, tuple(transducers.ids([t or ""])[0].tolist() + [2])] += 1
+        want[i, tuple(library.encode(t or "", add_special_tokens=False).ids + [2])] += 1
     out = pack(docs, vocab, length=64, unit=4).toPandas()
     assert out.length.sum() == sum(len(ids) * n for (_, ids), n in want.items())
     for _, own in out.sort_values("offset").groupby("sequence_id"):
@@ -287,6 +288,35 @@ def test_transducers_equal_the_library_on_odd_texts(vocab):
         assert ids.tolist() == want.ids
 
 
+def test_texts_of_many_blocks(spark, vocab):
+    """Texts above a block's bytes: cut at blanks, or without any blank."""
+    rng = np.random.default_rng(19)
+    letters = np.array(list("abcdefgh'Éü 1") + ["<|endoftext|>"])
+    spaced = "".join(rng.choice(letters, 1_500_000).tolist()) + "\n" + " ".join(f"w{i}" for i in range(60_000))
+    solid = "xy" * 700_000
+    rows = [(1, spaced), (2, solid), (3, "short one"), (4, spaced)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    library = Compiled(vocab).whole
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(df, vocab).collect()} == {i: len(x) for i, x in ids.items()}
+    pieces = pack(df, vocab).collect()
+    assert {(r["doc_id"], r["start"], r["ids_crc32"]) for r in pieces} == {(i, s, cases.crc(np.array([*x, 2][s : s + 4096], "<u4").tobytes())) for i, x in ids.items() for s in range(0, len(x) + 1, 4096)}
+    got = line_dedup(df, min_docs=2).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256))
+    counted = {i: n for i, n, *_ in got.collect()}
+    assert counted == {1: 2, 2: 1, 3: 1, 4: 2}
+    assert bag(ngram_join(df).select("doc_id", "component_id").collect()) == bag([(1, 1), (2, 2), (3, 3), (4, 1)])
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup(df).collect()}
+    assert removed == {1: 0, 2: 0, 3: 0, 4: len(cases.words(spaced))}
+
+
+def test_windows_of_many_words(spark):
+    rows = [(i, cases.text_of(30 + i // 2, 200) + (" tail" if i % 2 else "")) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup(df, k=90).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256))
+    assert bag(got.collect()) == bag(cases.substring_dedup(rows, 90))
+    assert bag(ngram_join(df, k=70).collect()) == bag(cases.ngram_join(rows, 70, 85))
+
+
 def test_quality_rules(docs, empty):
     out = rules.document_rules(docs.select("doc_id", "text"))
     got = [tuple(r) for r in out.select("doc_id", *rules.METRICS, "base_failed").collect()]
@@ -333,6 +363,38 @@ def test_language_id(spark, docs, empty):
     assert identify(empty, F.lit(True)).count() == 0
 
 
+def test_language_scores_equal_naive_bayes_in_plain_python(spark):
+    rng = np.random.default_rng(20)
+    letters = {"xx": "aabbccdd éß", "yy": "aaccddee fñ", "zz": "abcdefgh 🙂"}
+    rows = [(i, "".join(rng.choice(list(letters[lang]), int(rng.integers(0, 60)))), lang) for i, lang in enumerate(rng.choice(list(letters), 90).tolist())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(df, F.col("doc_id") < 60).collect()}
+
+    def grams(text: str) -> list[int]:
+        t, out = text.lower(), []
+        for n in (1, 2, 3):
+            for s in range(len(t) - n + 1):
+                h = n
+                for j in range(n):
+                    h = (h + ord(t[s + j]) * int(_STEPS[j])) % (1 << 64)
+                out.append(int(mixed(np.array([h], np.uint64))[0]) >> 49)
+        return out
+
+    counts, docs_of = {lang: Counter() for lang in letters}, Counter()
+    for i, t, lang in rows:
+        if i < 60:
+            counts[lang].update(grams(t))
+            docs_of[lang] += 1
+    total = {lang: sum(c.values()) + 32768 for lang, c in counts.items()}
+    for i, t, _ in rows:
+        score = {lang: np.log(docs_of[lang] / 60) + sum(np.log((counts[lang][b] + 1) / total[lang]) for b in grams(t)) for lang in sorted(letters)}
+        best = max(sorted(letters), key=lambda x: score[x])
+        if any(c.isalpha() for c in t):
+            assert got[i][0] == best and got[i][1] == pytest.approx(1 / sum(np.exp(x - score[best]) for x in score.values()))
+        else:
+            assert got[i] == ("und", 0.0)
+
+
 def fill(sizes: dict, cap: int = 3) -> dict:
     """Water-filling by rounds, in plain Python."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])

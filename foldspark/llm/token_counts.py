@@ -38,6 +38,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -140,29 +141,31 @@ class Merges:
             self.made.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
 
     def tokens(self, word: str) -> list[int]:
-        """The word's bytes, merged by rank, the first of equals first."""
+        """The word's bytes, merged by rank, the first of equals first.  Pairs
+        wait in a heap, so that a word of any length takes n log n steps."""
         raw = word.encode()
         own = [self.inner[b] for b in raw[:-1]]
         own.append(self.last[raw[-1]])
-        made = self.made
-        while len(own) > 1:
-            found = [made[p] for p in zip(own, own[1:], strict=False) if p in made]
-            if not found:
-                break
-            rank, token = min(found)
-            out, i, end = [], 0, len(own) - 1
-            while i < end:
-                hit = made.get((own[i], own[i + 1]))
-                if hit is not None and hit[0] == rank:
-                    out.append(token)
-                    i += 2
-                else:
-                    out.append(own[i])
-                    i += 1
-            if i == end:
-                out.append(own[end])
-            own = out
-        return own
+        made, n = self.made, len(own)
+        waiting = [(*made[p], i) for i, p in enumerate(zip(own, own[1:], strict=False)) if p in made]
+        if not waiting:
+            return own
+        heapify(waiting)
+        before, behind = list(range(-1, n - 1)), list(range(1, n + 1))
+        while waiting:
+            rank, token, i = heappop(waiting)
+            j = behind[i]
+            if own[i] < 0 or j == n or made.get((own[i], own[j])) != (rank, token):
+                continue  # one of the two has been merged since
+            own[i], own[j] = token, -1
+            after = behind[i] = behind[j]
+            if after < n:
+                before[after] = i
+                if (found := made.get((token, own[after]))) is not None:
+                    heappush(waiting, (*found, i))
+            if (left := before[i]) >= 0 and (found := made.get((own[left], token))) is not None:
+                heappush(waiting, (*found, left))
+        return [t for t in own if t >= 0]
 
 
 class Compiled:

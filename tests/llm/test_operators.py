@@ -288,6 +288,14 @@ def test_transducers_equal_the_library_on_odd_texts(vocab):
         assert ids.tolist() == want.ids
 
 
+def test_a_word_of_any_length_equals_the_library(vocab):
+    rng = np.random.default_rng(23)
+    words = ["".join(rng.choice(list("etaoinshrdlucmfw"), n).tolist()) for n in (1, 2, 7, 400, 200_000)] + ["ab" * 50_000, "e" * 99_999, "é" * 3001]
+    c = Compiled(vocab)
+    for ids, want in zip(c.ids(words), c.whole.encode_batch(words, add_special_tokens=False), strict=True):
+        assert ids.tolist() == want.ids
+
+
 def test_texts_of_many_blocks(spark, vocab):
     """Texts above a block's bytes: cut at blanks, or without any blank."""
     rng = np.random.default_rng(19)
@@ -368,7 +376,9 @@ def test_language_scores_equal_naive_bayes_in_plain_python(spark):
     letters = {"xx": "aabbccdd éß", "yy": "aaccddee fñ", "zz": "abcdefgh 🙂"}
     rows = [(i, "".join(rng.choice(list(letters[lang]), int(rng.integers(0, 60)))), lang) for i, lang in enumerate(rng.choice(list(letters), 90).tolist())]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(df, F.col("doc_id") < 60).collect()}
+    got, parted = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(df, F.col("doc_id") < 60, languages=k).collect()} for k in (64, 2))
+    assert {i: lang for i, (lang, _) in got.items()} == {i: lang for i, (lang, _) in parted.items()}
+    assert all(parted[i][1] == pytest.approx(score) for i, (_, score) in got.items())
 
     def grams(text: str) -> list[int]:
         t, out = text.lower(), []

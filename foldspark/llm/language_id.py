@@ -19,8 +19,9 @@ replaced.
 
 Shape at scale: fitting sums (language, bucket) counts in Spark from a
 bounded sample and brings at most ``languages * buckets`` numbers to the
-driver; the number of languages is checked against ``max_languages``.
-Scoring is one scan without a shuffle.
+driver at a time: languages go in blocks of ``languages``, each with its own
+matrix, and a row carries its best language, score and sum from block to
+block.  Scoring is one scan without a shuffle.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import prepare
+from foldspark.llm._common import cut, prepare
 from foldspark.llm.token_counts import portions
 from foldspark.llm.words import _STEPS, mixed
 
@@ -100,35 +101,35 @@ def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], ["language", "bucket", "n"])
 
 
-def fit(labelled: DataFrame, max_languages: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log priors, and log probabilities (bucket by language), from
-    rows (text, language)."""
-    classes = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()
-    if len(classes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages; the matrix is broadcast only within that bound")
-    names = sorted(r["language"] for r in classes)
+def languages_of(labelled: DataFrame) -> list[tuple[str, float]]:
+    """Languages and log priors, in order."""
+    classes = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in classes)
+    return sorted((r["language"], float(np.log(r["n"] / total))) for r in classes)
+
+
+def fit(counts: DataFrame, names: list[str]) -> np.ndarray:
+    """Log probabilities (bucket by language) of some languages, from rows
+    (language, bucket, n)."""
     at = {name: i for i, name in enumerate(names)}
-    prior = np.zeros(len(names))
-    for r in classes:
-        prior[at[r["language"]]] = r["n"]
-    counts = np.zeros((BUCKETS + 1, len(names)))
-    found = labelled.mapInArrow(bucket_counts, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    for name, bucket, n in zip(*(found[c].to_pylist() for c in ("language", "bucket", "n")), strict=True):
-        counts[bucket, at[name]] = n
-    smooth = counts[:BUCKETS] + 1
-    matrix = np.zeros((BUCKETS + 1, len(names)))
-    matrix[:BUCKETS] = np.log(smooth / smooth.sum(axis=0))
-    return names, np.log(prior / prior.sum()) if names else prior, matrix
-
-
-def predict(texts: list[str], names: list[str], prior: np.ndarray, matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+    found = counts.where(F.col("language").isin(names)).toArrow()
+    total = np.zeros((BUCKETS + 1, len(names)))
+    named = found["language"].combine_chunks().dictionary_encode() if found.num_rows else None
+    if named is not None:
+        column = np.array([at[x] for x in named.dictionary.to_pylist()])[named.indices.to_numpy()]
+        total[found["bucket"].to_numpy(), column] = found["n"].to_numpy()
+    smooth = total[:BUCKETS] + 1
+    total[:BUCKETS] = np.log(smooth / smooth.sum(axis=0))
+    return total
+
+
+def scores(texts: list[str], prior: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log scores (text by language), and which texts have a letter."""
     buckets, at, lettered = features(texts)
     score = np.repeat(prior[None, :], len(texts), axis=0)
     for b in buckets:
         score += sums(matrix[b], at)
-    best = score.argmax(axis=1)
-    share = 1.0 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
-    return [names[i] if known else UNDETERMINED for i, known in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, share, 0.0)
+    return score, lettered
 
 
 def identify(
@@ -139,7 +140,7 @@ def identify(
     text_col: str = "text",
     lang_col: str = "lang",
     max_rows: int = 60_000,
-    max_languages: int = 512,
+    languages: int = 64,
 ) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
     spark = docs.sparkSession
@@ -148,25 +149,47 @@ def identify(
     n = usable.count()
     draw = F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(1_000_000))
     labelled = usable.where(draw < F.lit(int(1e6 * min(1.0, max_rows / max(n, 1))))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("language"))
-    names, prior, matrix = fit(labelled, max_languages)
-    model = spark.sparkContext.broadcast((names, prior, matrix))
+    names = languages_of(labelled)
+    counts = labelled.mapInArrow(bucket_counts, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    if len(names) > languages:  # read once for each block
+        counts = cut(counts)
     docs = docs.drop("lang_pred", "score")
-    at = docs.columns.index(text_col)
+    at, width = docs.columns.index(text_col), len(docs.columns)
+
+    def scored(model):
+        """Rows with the best language so far, its log score (null before the
+        first block), and the sum of all scores relative to it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, prior, matrix = model.value
-        for batch in batches:
-            found, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-            if names:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, prior, matrix = model.value
+            for batch in batches:
+                best, top, total = (batch.column(width + i).to_pylist() for i in range(3))
                 for rows, own in joined_portions(batch.column(at)):
-                    langs, shares = predict(own, names, prior, matrix)
-                    for row, lang in zip(rows, langs, strict=True):
-                        found[row] = lang
-                    score[rows] = shares
-            yield batch.append_column("lang_pred", pa.array(found, pa.string())).append_column("score", pa.array(score))
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+                    score, lettered = scores(own, prior, matrix)
+                    peak, high = score.argmax(axis=1), score.max(axis=1)
+                    share = np.exp(score - high[:, None]).sum(axis=1)
+                    for k, row in enumerate(rows):
+                        if not lettered[k]:
+                            continue
+                        if top[row] is None:
+                            best[row], top[row], total[row] = names[peak[k]], float(high[k]), float(share[k])
+                        elif high[k] > top[row]:  # of equals, the one that sorts first
+                            best[row], total[row] = names[peak[k]], float(share[k] + total[row] * np.exp(top[row] - high[k]))
+                            top[row] = float(high[k])
+                        else:
+                            total[row] += float(share[k] * np.exp(high[k] - top[row]))
+                carried = [pa.array(best, pa.string()), pa.array(top, pa.float64()), pa.array(total, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *carried], batch.schema.names)
+
+        return run
+
+    out = docs.withColumns({"__lid_best": F.lit(UNDETERMINED), "__lid_top": F.lit(None).cast("double"), "__lid_total": F.lit(None).cast("double")})
+    schema = ", ".join(f"`{n}` {t}" for n, t in out.dtypes)
+    for first in range(0, len(names), languages):
+        block = names[first : first + languages]
+        own = [name for name, _ in block]
+        out = out.mapInArrow(scored(spark.sparkContext.broadcast((own, np.array([p for _, p in block]), fit(counts, own)))), schema)
+    return out.select(*(F.col(f"`{n}`") for n in docs.columns), F.col("__lid_best").alias("lang_pred"), F.coalesce(1 / F.col("__lid_total"), F.lit(0.0)).alias("score"))
 
 
 def joined_portions(texts: pa.Array) -> Iterator[tuple[list[int], list[str]]]:

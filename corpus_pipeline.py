@@ -2,6 +2,14 @@
 
 Each stage takes what the one before it kept, and all but the last return the
 columns of ``documents``.  ``n_chars`` follows the text.
+
+Defined cases: a null or empty text fails the quality rules; texts that reach a
+later stage without words pass line dedup as they are, link with nothing, are
+not taken by the mixture (it has no word of theirs to take), and pack as an end
+token alone.  A null source is a host and a source of its own.  Rows that repeat
+are judged row by row, until the near-copy stage keeps one of them.  Rows with a
+null id stay documents of their own, of which equal texts keep one.  Empty
+tables give empty tables, and columns named like computed ones stay as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import prepare, shared_folder
+from foldspark.llm._common import prepare, remove, shared_folder
 from foldspark.llm.line_dedup import line_dedup
 from foldspark.llm.mixing import mixture as mixed
 from foldspark.llm.ngram_join import one_of_each
@@ -73,4 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # written whole, so nothing reads the table before any more
+            remove(spark, f"{folder}/{k - 1}")
     return docs

@@ -41,6 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder by Spark's own file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint: computed once, read back from the shared folder, so that a
     lost executor costs a re-read and not a recomputation."""
@@ -64,11 +70,6 @@ def n_words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def put(df: DataFrame, **columns: Column) -> DataFrame:
-    """Computed columns take the place of input columns of the same name."""
-    return df.withColumns(columns)
-
-
 #: Narrow rows that one task takes in the rounds of an iterative operator.
 ROWS_A_TASK = 200_000
 

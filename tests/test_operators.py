@@ -363,6 +363,19 @@ def test_rounding_to_even_on_the_binary_value(spark):
         assert all(r == round(v, digits) for v, r in got)
 
 
+def test_mode_shares_by_a_general_solver():
+    k = np.arange(30)
+    xyz = np.column_stack([4 * np.cos(1.7 * k), 4 * np.sin(1.7 * k), 1.5 * k])  # a coil: no two modes of one value
+    near = np.array([[i != j and np.linalg.norm(xyz[i] - xyz[j]) <= 10 for j in range(30)] for i in range(30)])
+    values, vectors = np.linalg.eig(np.diag(near.sum(axis=1)) - near.astype(float))
+    order = np.argsort(values.real)[1:]
+    assert values.real[order[0]] > 1e-3 and np.diff(values.real[order]).min() > 1e-6
+    share = vectors.real[:, order] ** 2 / values.real[order]
+    total, slow, fast = share.sum(axis=1), share[:, :3].sum(axis=1), share[:, -2:].sum(axis=1)
+    want = np.column_stack([total, slow, fast, 1 / (total + 1e-8), slow / (fast + 1e-8)])
+    assert np.allclose(kernels.fluctuations(xyz), want)
+
+
 def test_transfer_entropy_by_determinants():
     """Ratios of determinants of covariances, element by element."""
     k = np.arange(16)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foldspark.llm import sql
 from foldspark.llm._common import prepare, size_of_text
 from foldspark.llm.embedding_dedup import near_duplicates
+from foldspark.llm.filter_audit import filter_audit
 from foldspark.llm.language_id import identify
 from foldspark.llm.line_dedup import line_dedup
 from foldspark.llm.mixing import mix
@@ -19,6 +20,7 @@ from foldspark.llm.ngram_join import ngram_join
 from foldspark.llm.packing import pack
 from foldspark.llm.quality_rules import quality_rules
 from foldspark.llm.sharding import shard
+from foldspark.llm.spelling import spelling_variants
 from foldspark.llm.substring_dedup import substring_dedup
 from foldspark.llm.token_counts import token_counts
 
@@ -81,6 +83,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -92,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -101,4 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_dedup": sql.EMBEDDING_DEDUP,
     "op8_quality_rules": sql.QUALITY_RULES,
     "op10_mixing": sql.MIXING,
+    "op12_spelling_variants": sql.SPELLING_VARIANTS,
+    "op13_filter_audit": sql.FILTER_AUDIT,
 }

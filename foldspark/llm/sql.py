@@ -166,3 +166,83 @@ SELECT doc_id, size, source_size, target,
          greatest(0, CAST(floor(target + 0.5) AS BIGINT) - CAST(whole * source_size AS BIGINT)) - CAST(before AS BIGINT))) ELSE 0 END AS taken
 FROM placed
 """
+
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(
+           list_prepend(CAST(b AS BIGINT), [CAST(i AS BIGINT) FOR i IN range(8)]),
+           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents),
+counted AS (
+  SELECT id, run, count(*) AS n, hex(encode(coalesce(id, '') || ':' || run)) AS bytes
+  FROM runs WHERE length(run) >= 7 GROUP BY id, run),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substr(bytes, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT) FOR i IN range(length(bytes) // 2)]),
+           lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS h
+  FROM counted, crc_table),
+edited AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n
+  FROM hashed),
+vocabulary AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+deleted AS (
+  SELECT word, n, word AS key FROM vocabulary
+  UNION SELECT word, n, left(word, i - 1) || substr(word, i + 1) FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM vocabulary)),
+near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n
+  FROM deleted a JOIN deleted b ON a.key = b.key AND a.word <> b.word
+  WHERE a.key = b.word OR b.key = a.word OR (length(a.word) = length(b.word) AND list_sum([
+          CAST(substr(a.word, CAST(i AS INTEGER), 1) <> substr(b.word, CAST(i AS INTEGER), 1) AS INTEGER) FOR i IN range(1, length(a.word) + 1)]) = 1)),
+best AS (
+  SELECT word, any_value(n) AS n, count(*) AS n_near, first(other ORDER BY other_n DESC, hex(encode(other))) AS form, max(other_n) AS form_n
+  FROM near GROUP BY word),
+told AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN form_n >= 10 * v.n THEN form END AS form, CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n
+  FROM vocabulary v LEFT JOIN best b ON v.word = b.word),
+follow AS (
+  SELECT word, word AS root FROM told
+  UNION ALL SELECT f.word, t.form FROM follow f JOIN told t ON t.word = f.root WHERE t.form IS NOT NULL)
+SELECT t.word, t.n, t.n_near, t.form, t.form_n, f.root
+FROM told t JOIN follow f ON f.word = t.word JOIN told e ON e.word = f.root AND e.form IS NULL
+"""
+
+FILTER_AUDIT = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+judged AS (
+  SELECT part, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+         100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e,
+         coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM split LEFT JOIN labels USING (doc_id)),
+fails AS (
+  SELECT part, good, toxic, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS f, count(*) AS n FROM judged GROUP BY ALL),
+orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(o) < 5 AND NOT contains(o, x)),
+steps AS (
+  SELECT o, CAST(k AS INTEGER) AS step, CAST(1 << strpos('ABCDE', o[k]) - 1 AS INTEGER) AS own,
+         CAST(coalesce(list_sum([1 << strpos('ABCDE', o[CAST(j AS INTEGER)]) - 1 FOR j IN range(1, k)]), 0) AS INTEGER) AS earlier
+  FROM (SELECT o, CAST(unnest(range(1, 6)) AS INTEGER) AS k FROM orders WHERE length(o) = 5)),
+told AS (
+  SELECT part, o AS filter_order, step, own,
+         sum(CASE WHEN f & (earlier | own) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN f & earlier = 0 AND f & own > 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN f & earlier > 0 AND f & own > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN f = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN f & earlier = 0 AND f & own > 0 AND good THEN n ELSE 0 END) AS good_lost,
+         sum(CASE WHEN f & earlier = 0 AND f & own > 0 AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM fails, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM told
+"""

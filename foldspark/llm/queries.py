@@ -22,6 +22,7 @@ from foldspark.llm.quality_rules import quality_rules
 from foldspark.llm.sharding import shard
 from foldspark.llm.spelling import spelling_variants
 from foldspark.llm.substring_dedup import substring_dedup
+from foldspark.llm.suffix_dedup import suffix_dedup
 from foldspark.llm.token_counts import token_counts
 
 
@@ -83,6 +84,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -113,6 +120,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_dedup": sql.EMBEDDING_DEDUP,
     "op8_quality_rules": sql.QUALITY_RULES,
     "op10_mixing": sql.MIXING,
+    "op11_suffix_dedup": sql.SUFFIX_DEDUP,
     "op12_spelling_variants": sql.SPELLING_VARIANTS,
     "op13_filter_audit": sql.FILTER_AUDIT,
 }

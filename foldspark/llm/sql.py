@@ -246,3 +246,29 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM told
 """
+
+SUFFIX_DEDUP = r"""
+WITH base AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+strings AS (
+  SELECT doc_id, CAST(i AS INTEGER) AS i, substr(h, CAST(2 * i + 1 AS INTEGER), 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM base WHERE length(h) >= 100)),
+hit AS (
+  SELECT doc_id, i FROM strings QUALIFY doc_id > min(doc_id) OVER (PARTITION BY s)),
+begun AS (
+  SELECT doc_id, i, max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hit),
+spans AS (
+  SELECT doc_id, i AS a, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next_a,
+         lead(reach) OVER (PARTITION BY doc_id ORDER BY i) AS b, max(i + 50) OVER (PARTITION BY doc_id) AS last_b,
+         coalesce(max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, reach
+  FROM begun WHERE reach IS NULL OR i > reach),
+ends AS (
+  SELECT s.doc_id, s.a, (SELECT max(h.i + 50) FROM hit h WHERE h.doc_id = s.doc_id AND (s.next_a IS NULL OR h.i < s.next_a)) AS b, s.next_a FROM spans s),
+kept AS (
+  SELECT e.doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+         string_agg(substr(h, CAST(2 * b + 1 AS INTEGER), CAST(2 * (coalesce(next_a, length(h) // 2) - b) AS INTEGER)), '' ORDER BY a) AS rest, min(a) AS first_a
+  FROM ends e JOIN base USING (doc_id) GROUP BY e.doc_id)
+SELECT b.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE left(h, CAST(2 * first_a AS INTEGER)) || rest END)) AS kept_sha256
+FROM base b LEFT JOIN kept k USING (doc_id)
+"""

@@ -25,11 +25,11 @@ document count as one if any says so; an empty table gives no rows; other
 columns, whatever their names, are left behind.
 
 Shape at scale: texts are read once and never shuffled.  What is shuffled are
-ids, digests and flags; only texts that two documents hold are joined back,
-one row for each, so a text in a third of all documents is one row there and
-its documents are a skewed stream side that AQE splits.  Counts are combined
-in the task, by part and by flags, before they are shuffled: at most 128 rows
-a part and task.  The 600 steps are made from 32 counts, a part at a time.
+ids, digests and flags, by id to meet the labels, then by text: documents of
+one text that are alike in part, flags and labels are one row a task there,
+with the least id among them, so a text in a third of all documents is a few
+rows.  Counts by part and flags are combined in the task again: at most 128
+rows a part and task.  The 600 steps are made from 32 counts, a part at a time.
 """
 
 from __future__ import annotations
@@ -37,20 +37,22 @@ from __future__ import annotations
 from itertools import permutations
 from math import factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.llm._common import words_of
 
 FILTERS = "ABCDE"
 SETS = range(1 << len(FILTERS))
-#: What of a document is counted: each is 0 or 1.
+#: What is counted: all documents, those of quality 1, toxic ones.
 WEIGHTS = ("docs", "good", "toxic")
 
 
 def flags(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, part_col: str) -> DataFrame:
-    """(part, f0 to f4, good, toxic) of every document; all but part are 0 or 1."""
+    """(part, f0 to f4, good, toxic, n): documents alike in all of these, and
+    how many; f0 to f4, good and toxic are 0 or 1."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    n = F.size("words")
     judged = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
@@ -60,39 +62,32 @@ def flags(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, par
         words_of(text).alias("words"),
         (F.lit(100) * F.regexp_count(text, F.lit("[A-Z]")) > F.lit(10) * F.length(text)).cast("int").alias("f2"),
         text.rlike(r"[#$%&*|]").cast("int").alias("f3"),
-    )
-    n = F.size("words")
-    narrow = judged.select(
-        "id", "part", "h1", "h2",
+    ).select(
+        "id", "part", "h1", "h2", "f2", "f3",
         (n < 100).cast("int").alias("f0"),
         (F.lit(100) * F.size(F.array_distinct("words")) < F.lit(80) * n).cast("int").alias("f1"),
-        "f2", "f3",
     )
-    firsts = (
-        docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
-        .groupBy("h1", "h2")
-        .agg(F.min("id").alias("least"), F.max("id").alias("most"))
-        .where("least < most")
-        .drop("most")
-    )
     one = F.lit(1).eqNullSafe
     known = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(one(F.col("quality")).cast("int")).alias("good"), F.max(one(F.col("toxic")).cast("int")).alias("toxic"))
-    return (
-        narrow.join(firsts, ["h1", "h2"], "left")
-        .join(known, "id", "left")
-        .select(
-            "part", "f0", "f1", "f2", "f3",
-            F.coalesce((F.col("id") > F.col("least")).cast("int"), F.lit(0)).alias("f4"),
-            F.coalesce("good", F.lit(0)).alias("good"),
-            F.coalesce("toxic", F.lit(0)).alias("toxic"),
-        )
-    )
+    marks = ["part", "f0", "f1", "f2", "f3", "good", "toxic"]
+    labelled = judged.join(known, "id", "left").withColumns({"good": F.coalesce("good", F.lit(0)), "toxic": F.coalesce("toxic", F.lit(0))})
+    held = labelled.groupBy("id", "h1", "h2", *marks).agg(F.count(F.lit(1)).alias("n"))
+    # of each text and all marks: rows, rows with an id, the least id and its rows
+    alike = held.groupBy("h1", "h2", *marks).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("id").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
+        F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n"))).alias("first"),
+    )
+    least = F.min("first.id").over(Window.partitionBy("h1", "h2"))
+    copies = F.col("known") - F.when(F.col("first.id") == F.col("least"), F.col("first.n")).otherwise(0)
+    split = alike.withColumn("least", least).withColumn("copies", F.coalesce(copies, F.lit(0)))
+    each = F.array(F.struct(F.lit(0).alias("f4"), (F.col("n") - F.col("copies")).alias("n")), F.struct(F.lit(1).alias("f4"), F.col("copies").alias("n")))
+    return split.select(*marks, F.explode(each).alias("e")).select(*marks, "e.*")
 
 
 def joint_failures(flagged: DataFrame) -> DataFrame:
     """(part, docs, good, toxic): each an array of the 32 joint counts."""
-    alike = flagged.groupBy("part", *(f"f{k}" for k in range(len(FILTERS))), "good", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    alike = flagged.groupBy("part", *(f"f{k}" for k in range(len(FILTERS))), "good", "toxic").agg(F.sum("n").alias("n"))
 
     def product(members: int) -> Column:
         out = F.col("n")

@@ -134,3 +134,93 @@ def quality(text: str | None) -> tuple:
     covered = {p for starts in at.values() if len(starts) > 1 for s in starts for p in range(s, s + 8)}
     failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered), failed
+
+
+def suffix_dedup(docs: list[tuple], k: int) -> list[tuple]:
+    """(id, n_bytes, n_removed, n_spans, sha)"""
+    first: dict[bytes, int] = {}
+    texts = [(i, (t or "").encode()) for i, t in docs]
+    for i, b in texts:
+        for s in range(len(b) - k + 1):
+            if i is not None:
+                first[b[s : s + k]] = min(first.get(b[s : s + k], i), i)
+    out = []
+    for i, b in texts:
+        gone = bytearray(len(b))
+        for s in range(len(b) - k + 1):
+            if i is not None and first[b[s : s + k]] < i:
+                gone[s : s + k] = b"\1" * k
+        spans = sum(x and not y for x, y in zip(gone, b"\0" + gone, strict=False))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, y in zip(b, gone, strict=True) if not y)).hexdigest()))
+    return out
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelling(docs: list[tuple]) -> list[tuple]:
+    """(word, n, n_near, form, form_n, root)"""
+    count: dict[str, int] = {}
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = run.translate({c: c + 32 for c in range(65, 91)})
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= 7:
+                count[run] = count.get(run, 0) + 1
+    words = {w: n for w, n in count.items() if n >= 2}
+    told = {}
+    for w, n in words.items():
+        near = sorted((-m, v) for v, m in words.items() if abs(len(v) - len(w)) <= 1 and one_edit(v, w))
+        best = near[0] if near and -near[0][0] >= 10 * n else None
+        told[w] = (n, len(near), best and best[1], best and -best[0])
+    out = []
+    for w, (n, m, form, form_n) in told.items():
+        root = w
+        while told[root][2]:
+            root = told[root][2]
+        out.append((w, n, m, form, form_n, root))
+    return out
+
+
+def filter_audit(docs: list[tuple], labels: dict[int, tuple[int, int]]) -> list[tuple]:
+    """docs: (id, text, part); labels: id to (quality, toxic)."""
+    from itertools import permutations
+
+    least: dict[str, int] = {}
+    for i, t, _ in docs:
+        if i is not None:
+            least[t or ""] = min(least.get(t or "", i), i)
+    judged: dict[str, list[tuple]] = {}
+    for i, t, part in docs:
+        t = t or ""
+        w = words(t)
+        fails = (
+            len(w) < 100,
+            100 * len(set(w)) < 80 * len(w),
+            100 * len(re.findall("[A-Z]", t)) > 10 * len(t),
+            bool(re.search(r"[#$%&*|]", t)),
+            i is not None and i > least[t],
+        )
+        quality, toxic = labels.get(i, (0, 0))
+        judged.setdefault(part or "", []).append((dict(zip("ABCDE", fails, strict=True)), quality == 1, toxic == 1))
+    out = []
+    for part, rows in judged.items():
+        value = dict.fromkeys("ABCDE", 0)
+        mine = []
+        for order in permutations("ABCDE"):
+            left = rows
+            for k, f in enumerate(order, 1):
+                gone = [r for r in left if r[0][f]]
+                redundant = sum(r[0][f] for r in rows) - len(gone)
+                left = [r for r in left if not r[0][f]]
+                unique = sum(r[0][f] and sum(r[0].values()) == 1 for r in rows)
+                value[f] += len(gone)
+                mine.append((part, "".join(order), k, len(left), len(gone), redundant, unique, sum(r[1] for r in gone), sum(r[2] for r in gone)))
+        out += [(*r, value[r[1][r[2] - 1]]) for r in mine]
+    return out

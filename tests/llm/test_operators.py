@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foldspark.llm import quality_rules as rules
 from foldspark.llm.components import components
 from foldspark.llm.embedding_dedup import axes_of, near_duplicates, near_leaves, turned, unit
+from foldspark.llm.filter_audit import filter_audit
 from foldspark.llm.language_id import identify
 from foldspark.llm.line_dedup import line_dedup
 from foldspark.llm.mixing import mix, mixture
@@ -16,7 +17,9 @@ from foldspark.llm.ngram_join import Bitmaps, Forest, bitmap, ngram_join, one_of
 from foldspark.llm.packing import cutting_stock, pack, whole_patterns
 from foldspark.llm.queries import vocabulary
 from foldspark.llm.sharding import shard
+from foldspark.llm.spelling import spelling_variants
 from foldspark.llm.substring_dedup import substring_dedup
+from foldspark.llm.suffix_dedup import classes, suffix_dedup
 from foldspark.llm.token_counts import Compiled, token_counts
 from foldspark.llm.words import _STEPS, mixed
 from tests.llm import cases
@@ -487,3 +490,74 @@ def test_components_over_several_tasks(spark, monkeypatch):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+DIGEST = ["doc_id", "n_bytes", "n_removed", "n_spans", "sha2(text, 256)"]
+
+
+def test_suffixes_by_difference_cover():
+    rng = np.random.default_rng(1)
+    for trial in range(60):
+        k = int(rng.choice([8, 9, 20, 50]))
+        data = rng.integers(97, 97 + int(rng.choice([1, 2, 26])), int(rng.integers(60, 400))).astype(np.uint8)
+        data = np.concatenate([data, data[5:55], data[:30], data])
+        starts = np.arange(len(data) - k + 1)[:: 1 + trial % 2]
+        order, new = classes(data, starts, k)
+        strings = [data[i : i + k].tobytes() for i in order]
+        assert sorted(order) == sorted(starts) and strings == sorted(strings)
+        assert new.tolist() == [i for i, x in enumerate(strings) if i == 0 or x != strings[i - 1]]
+
+
+def test_suffix_dedup(docs, empty, spark):
+    out = suffix_dedup(docs)
+    assert out.columns == [*docs.columns, "n_bytes", "n_removed", "n_spans"]
+    want = bag(cases.suffix_dedup(PAIRS, 50))
+    assert bag(out.selectExpr(*DIGEST).collect()) == want
+    assert bag(suffix_dedup(docs, hot=2).selectExpr(*DIGEST).collect()) == want  # every anchor is hot
+    assert bag(suffix_dedup(docs, k=20).selectExpr(*DIGEST).collect()) == bag(cases.suffix_dedup(PAIRS, 20))
+    assert suffix_dedup(empty).count() == 0
+
+
+def test_suffix_dedup_of_long_texts_and_cut_characters(spark):
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared = word(400_000)
+    rows = [(1, "\u00e9" * 40 + "a" * 30), (2, "\u00e8" + "\u00a9" * 39 + "a" * 30), (3, "ab" * 700_000), (4, "ab" * 600 + word(50))]
+    rows += [(10 + i, word(900_000) + shared[i * 1000 :] + word(10)) for i in range(3)]  # over a block each
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: tuple(r) for r in suffix_dedup(df).selectExpr(*DIGEST).collect()}
+    assert all(got[r[0]] == r for r in cases.suffix_dedup(rows[:4], 50))
+    assert [got[10 + i][1:4] for i in range(3)] == [(1_300_010, 0, 0), (1_299_010, 399_000, 1), (1_298_010, 398_000, 1)]
+
+
+def test_spelling_variants(docs, empty, spark):
+    rng = np.random.default_rng(4)
+    rows = [(r[0], r[1]) for r in cases.rows()]
+    base = ["abcdefgh", "\u00c9tudiants", "Stra\u00dfenbahn", "mmmmmmmmm", "conversation", "x" * 3000]
+    for i in range(400):
+        out = []
+        for w in rng.choice(base, 12):
+            if rng.random() < 0.2:
+                p = int(rng.integers(0, len(w)))
+                w = [w[:p] + w[p + 1 :], w[:p] + "z" + w[p:], w[:p] + "\u00fe" + w[p + 1 :]][int(rng.integers(0, 3))]
+            out.append(w)
+        rows.append((1000 + i, "-".join(out)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'n' AS n", "'w' AS word", "'k' AS key")
+    got = spelling_variants(df)
+    assert got.columns == ["word", "n", "n_near", "form", "form_n", "root"]
+    assert bag(got.collect()) == bag(cases.spelling(rows))
+    assert bag(spelling_variants(docs).collect()) == bag(cases.spelling(PAIRS))
+    assert spelling_variants(empty).count() == 0
+
+
+def test_filter_audit(docs, empty, spark):
+    table = cases.rows() + [(20, "Word " * 120, "en", "s", 0, "s", "n", "d", "t"), (21, None, None, "s", 0, "s", "n", "d", "t"), (22, "LOUD # " * 60, "en", "s", 0, "s", "n", "d", "t")]
+    df = spark.createDataFrame(table, cases.SCHEMA).withColumn("first", F.lit("x"))
+    marks = [(1, 1, 0), (2, 0, 1), (2, 1, 0), (4, None, 1), (10, 1, 1), (None, 1, 1), (20, 0, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int").withColumn("part", F.lit("p"))
+    known = {1: (1, 0), 2: (1, 1), 4: (0, 1), 10: (1, 1)}
+    got = filter_audit(df, labels)
+    assert got.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    assert bag(got.collect()) == bag(cases.filter_audit([(r[0], r[1], r[2]) for r in table], known))
+    assert filter_audit(empty, labels).count() == 0
+    assert filter_audit(df, labels.limit(0)).agg(F.sum("good_lost")).first()[0] == 0

@@ -97,7 +97,7 @@ def test_clusters_are_a_set_cover_of_found_links(spark, families, truth):
     rows = [*families, families[7], (9001, families[3][1]), (9002, ""), (9003, None)]  # repeated rows, equal and empty sequences
     df = spark.createDataFrame(rows, "id long, seq string")
     seqs = homology.residues(df, "id", "seq")
-    got = dict(homology.sequence_clusters(seqs).collect())
+    got = dict(homology.sequence_clusters(seqs, k=5, seeds=40).collect())
     assert set(got) == {r[0] for r in rows}
     assert got[9001] == got[families[3][0]] and got[9002] == got[9003] == 9002
     # links are what plain alignment says, and most of its links are kept together
@@ -105,9 +105,12 @@ def test_clusters_are_a_set_cover_of_found_links(spark, families, truth):
     together = {(a, b) for a, b in truth if got[a] == got[b]}
     assert len(together & linked) >= 0.9 * len(linked)
     differ, _ = homology.distinct_sequences(seqs)
-    links = {tuple(sorted((r["a"], r["b"]))): r for r in homology.cluster_links(differ).collect()}
+    links = {tuple(sorted((r["a"], r["b"]))): r for r in homology.cluster_links(differ, k=5, seeds=40).collect()}
     assert set(links) <= linked
-    assert all(links[p]["identity"] == pytest.approx(truth[p][0]) for p in links)
+    seq = dict(families)
+    for r in links.values():  # equal scores may lie elsewhere the other way round
+        by_hand = plain(seq[r["a"]], seq[r["b"]], Scoring())
+        assert (r["score"], r["identity"]) == (by_hand["score"], pytest.approx(by_hand["equal"] / by_hand["columns"]))
     # the greedy cover, one sequence at a time
     length, near = dict((i, len(s)) for i, s in families), {}
     for a, b in links:
@@ -123,7 +126,7 @@ def test_clusters_are_a_set_cover_of_found_links(spark, families, truth):
 @pytest.mark.parametrize("hot,few", [(100_000, 500_000), (3, 0)])
 def test_search_finds_the_best_hits_of_plain_alignment(spark, families, truth, hot, few):
     queries = [f for f in families if f[0] % 100 in (1, 3) or f[0] >= 5000]
-    targets = [f for f in families if f[0] % 100 in (0, 2, 4)]
+    targets = [f for f in families if f[0] % 100 in (0, 2, 4) and f[0] < 5000]
     tables = [homology.residues(spark.createDataFrame(x, "id long, seq string"), "id", "seq") for x in (queries, targets)]
     found = {(r["a"], r["b"]): r for r in homology.search(*tables, hot=hot, few=few).collect()}
     seq = dict(families)
@@ -135,7 +138,8 @@ def test_search_finds_the_best_hits_of_plain_alignment(spark, families, truth, h
                 want[a, b] = i
     assert len(found.keys() & want.keys()) >= 0.9 * len(want) > 30
     best = lambda hits: {a: max(b for (x, b), i in hits.items() if x == a and i == max(i for (x, _), i in hits.items() if x == a)) for a, _ in hits}
-    got = {p: plain(seq[p[0]], seq[p[1]], Scoring())["equal"] / plain(seq[p[0]], seq[p[1]], Scoring())["columns"] for p in found}
+    by_hand = {p: plain(seq[p[0]], seq[p[1]], Scoring()) for p in found}
+    got = {p: r["equal"] / r["columns"] for p, r in by_hand.items()}
     assert {p: r["identity"] for p, r in found.items()} == pytest.approx(got)
     assert best({p: i for p, i in got.items() if p in want}) == best(want)
 

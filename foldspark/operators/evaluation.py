@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.operators.metrics import ranking, strata
+from foldspark.operators.metrics import nested_strata
 from foldspark.operators.sequence import positions
 
 
@@ -28,8 +28,7 @@ def with_baseline(table: DataFrame) -> DataFrame:
 def report(rows: DataFrame, homology: DataFrame, entity: str, score: str, truth: str, limits: Sequence[float]) -> DataFrame:
     """(stratum, n, positives, auroc, ap, baseline, lift) of nested strata by
     identity to the training data."""
-    nested = strata(with_homology(rows, homology, entity), "max_identity", limits)
-    return with_baseline(ranking(nested, ["stratum"], score, truth))
+    return with_baseline(nested_strata(with_homology(rows, homology, entity), "max_identity", limits, score, truth))
 
 
 def counts_by_threshold(rows: DataFrame, value: str, limits: Sequence[float]) -> DataFrame:

@@ -14,17 +14,23 @@ from pyspark.sql import functions as F
 from foldspark.operators.running import running_totals
 
 
+def counted(df: DataFrame, keys: Sequence[str], score: str, truth: str) -> DataFrame:
+    """(keys, score, n, pos): rows and positives of each distinct score."""
+    return df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(truth).cast("long")).alias("pos"))
+
+
 def score_table(df: DataFrame, group: Sequence[str], score: str, truth: str, buckets: int | None = None) -> DataFrame:
     """(group, score, n, pos, before_n, before_pos), scores descending."""
-    distinct = df.groupBy(*group, F.col(score).cast("double").alias("score")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(truth).cast("long")).alias("pos")
-    )
-    return running_totals(distinct, group, "score", ["n", "pos"], buckets)
+    return running_totals(counted(df, group, score, truth), group, "score", ["n", "pos"], buckets)
 
 
 def ranking(df: DataFrame, group: Sequence[str], score: str, truth: str, buckets: int | None = None) -> DataFrame:
     """(group, n, positives, auroc, ap); null metrics for a single class."""
-    t = score_table(df, group, score, truth, buckets)
+    return ranked(score_table(df, group, score, truth, buckets), group)
+
+
+def ranked(t: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``ranking`` of a score table."""
     neg = F.col("n") - F.col("pos")
     # pairs won, doubled: whole numbers until the last division
     won = F.sum(neg * (2 * F.col("before_pos") + F.col("pos")))
@@ -72,9 +78,17 @@ def best_threshold(df: DataFrame, group: Sequence[str], score: str, truth: str,
     return t.withColumn("_f1", f1).where("_f1 is not null").groupBy(*keys).agg(best.alias("_b")).select(*group, "_b.threshold", "_b.f1")
 
 
-def strata(df: DataFrame, by: str, limits: Sequence[float]) -> DataFrame:
-    """Rows once for every limit above them: nested strata ``by < limit``."""
-    return df.withColumn("stratum", F.explode(F.filter(F.array(*map(F.lit, limits)), lambda t: F.col(by) < t)))
+def nested_strata(df: DataFrame, by: str, limits: Sequence[float], score: str, truth: str, buckets: int | None = None) -> DataFrame:
+    """``ranking`` by ``stratum``, each limit having the rows with ``by`` below
+    it.  Rows become distinct scores of the narrowest stratum before they are
+    expanded to the wider ones."""
+    bounds = F.array(*map(F.lit, sorted(map(float, limits))))
+    above = F.filter(bounds, lambda t: F.col(by) < t)
+    narrow = df.select(F.get(above, F.lit(0)).alias("_narrowest"), F.col(score).alias("_score"), F.col(truth).alias("_truth")).where("_narrowest is not null")
+    finest = counted(narrow, ["_narrowest"], "_score", "_truth")
+    wide = finest.withColumn("stratum", F.explode(F.filter(bounds, lambda t: t >= F.col("_narrowest"))))
+    merged = wide.groupBy("stratum", "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    return ranked(running_totals(merged, ["stratum"], "score", ["n", "pos"], buckets), ["stratum"])
 
 
 def binned(col: Column, edges: Sequence[float]) -> Column:
@@ -95,17 +109,19 @@ def summary(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def rolled_up(df: DataFrame, levels: Sequence[Sequence[str]], score: str, truth: str, buckets: int | None = None) -> DataFrame:
-    """``ranking`` at several groupings at once (grouping sets): rows are
-    expanded once, with nulls for what a level leaves out."""
+    """``ranking`` at several groupings at once (grouping sets): distinct
+    scores are expanded, with nulls for what a level leaves out."""
     names = list(dict.fromkeys(c for level in levels for c in level))
     kinds = dict(df.dtypes)
     sets = F.array(
         *(F.struct(F.lit(i).alias("level"), *(F.col(c).alias(c) if c in level else F.lit(None).cast(kinds[c]).alias(c) for c in names)) for i, level in enumerate(levels))
     )
-    wide = df.select(F.col(score).alias("_score"), F.col(truth).alias("_truth"), F.inline(sets))
+    # rows become distinct scores of the finest grouping before they are expanded
+    finest = counted(df, names, score, truth).select("score", "n", "pos", F.inline(sets))
     # keys with nulls join null-safely as one text
-    keyed = wide.withColumn("_key", F.to_json(F.struct("level", *names)))
-    out = ranking(keyed, ["_key"], "_score", "_truth", buckets)
+    keyed = finest.withColumn("_key", F.to_json(F.struct("level", *names)))
+    merged = keyed.groupBy("_key", "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    out = ranked(running_totals(merged, ["_key"], "score", ["n", "pos"], buckets), ["_key"])
     shape = f"level int, {', '.join(f'`{c}` {kinds[c]}' for c in names)}"
     return out.withColumn("_k", F.from_json("_key", shape)).select("_k.*", "n", "positives", "auroc", "ap")
 

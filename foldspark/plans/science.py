@@ -345,8 +345,7 @@ def f1_threshold(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT stratum, n, positives, {_f6('auroc')} AS auroc, {_f6('ap')} AS ap FROM m",
 )
 def stratified(spark: SparkSession, sf: str) -> DataFrame:
-    nested = metrics.strata(scored(spark, sf), "identity", [1.01, 0.7, 0.5, 0.3])
-    out = metrics.ranking(nested, ["stratum"], "n_chars", "quality")
+    out = metrics.nested_strata(scored(spark, sf), "identity", [1.01, 0.7, 0.5, 0.3], "n_chars", "quality")
     return out.select("stratum", "n", "positives", half_up(F.col("auroc")).alias("auroc"), half_up(F.col("ap")).alias("ap"))
 
 

@@ -84,6 +84,32 @@ def test_running_totals_do_not_depend_on_buckets(spark):
     assert one == {tuple(r) for r in running.running_totals(df, ["g"], "s", ["v"], 16).collect()}
 
 
+def test_running_totals_over_two_thousand_ranges(spark):
+    """One group in half of all ranges, and no expression that grows with them."""
+    df = spark.range(8000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 50).alias("g"), F.col("id").cast("double").alias("s"), (F.col("id") % 7).alias("v"))
+    out = running.running_totals(df, ["g"], "s", ["v"], 2000)
+    got = {(r["g"], r["s"]): r["before_v"] for r in out.collect()}
+    total: dict[int, int] = {}
+    for i in range(7999, -1, -1):
+        g = -1 if i % 2 == 0 else i % 50
+        assert got[g, float(i)] == total.get(g, 0)
+        total[g] = total.get(g, 0) + i % 7
+    assert len(out._jdf.queryExecution().toString()) < 50_000
+
+
+def test_rankings_by_strata_and_levels_equal_those_of_expanded_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(i), float(s), int(t), "ab"[int(g)]) for i, s, t, g in zip(rng.random(400), rng.integers(0, 40, 400), rng.integers(0, 2, 400), rng.integers(0, 2, 400), strict=True)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1, "a")], "near double, s double, t int, g string")
+    got = {r["stratum"]: tuple(r)[1:] for r in metrics.nested_strata(df, "near", [0.9, 0.3, 0.6], "s", "t", 3).collect()}
+    for limit in (0.3, 0.6, 0.9):
+        own = df.where(F.col("near") < limit).withColumn("stratum", F.lit(limit))
+        assert got[limit] == pytest.approx(tuple(metrics.ranking(own, ["stratum"], "s", "t").first())[1:])
+    levels = {(r["level"], r["g"]): r["auroc"] for r in metrics.rolled_up(df, [["g"], []], "s", "t").collect()}
+    assert levels[1, None] == pytest.approx(metrics.ranking(df.withColumn("x", F.lit(0)), ["x"], "s", "t").first()["auroc"])
+    assert {k for k in levels} == {(0, "a"), (0, "b"), (1, None)}
+
+
 def test_ranking_flips_with_the_score(spark):
     rng = np.random.default_rng(2)
     rows = [(int(t), float(s)) for t, s in zip(rng.integers(0, 2, 200), rng.permutation(200), strict=True)]

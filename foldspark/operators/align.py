@@ -41,18 +41,32 @@ def flagged(df: DataFrame, members: DataFrame, keys: Sequence[str], name: str) -
     return df.join(there, list(keys), "left").withColumn(name, F.coalesce("_there", F.lit(0))).drop("_there")
 
 
-def assembled(base: DataFrame, blocks: Mapping[str, tuple[DataFrame, Mapping[str, object]]], keys: Sequence[str], entity: str) -> DataFrame:
-    """Many blocks on one base.  A block whose rows do not number the entity's
-    rows is filled for the whole entity; ``has_<block>`` tells."""
-    out, counted = base, base.groupBy(entity).agg(F.count(F.lit(1)).alias("_rows"))
+def assembled(base: DataFrame, blocks: Mapping[str, tuple[DataFrame, Mapping[str, object]]], keys: Sequence[str], entity: str, order: str | None = None) -> DataFrame:
+    """Many blocks on one base.  A block fits an entity if its keys there are
+    the base's, no fewer and no others; where it does not, it is filled for the
+    whole entity, and ``has_<block>`` tells.  Of a block's duplicate keys the
+    last counts (of greatest ``order``, or else of greatest values).
+
+    All blocks and the base's keys meet in one union and one aggregate by key,
+    so each block is read and shuffled once, however many there are; whether
+    they fit is one more aggregate, by entity, over its result.
+    """
+    ident = list(dict.fromkeys([*keys, entity]))
+    known = base.select(*ident, F.lit(1).alias("_in_base"))
     for name, (block, values) in blocks.items():
-        fits = (
-            block.groupBy(entity).agg(F.count(F.lit(1)).alias("_own")).join(counted, entity).where("_own = _rows").select(entity, F.lit(True).alias("_fits"))
-        )
-        right = block.join(fits, entity).select(*keys, *values)
-        out = out.join(right, list(keys), "left").join(fits.select(entity, F.col("_fits").alias(f"has_{name}")), entity, "left")
-        out = out.withColumns({f"has_{name}": F.coalesce(f"has_{name}", F.lit(False))} | {n: F.coalesce(F.col(n), F.lit(v)) for n, v in values.items()})
-    return out
+        last = F.col(order) if order else F.struct(*values)
+        rows = block.select(*ident, F.struct(last.alias("last"), F.struct(*values).alias("row")).alias(f"_b_{name}"))
+        known = known.unionByName(rows, allowMissingColumns=True)
+    picked = [F.max_by(f"_b_{n}.row", f"_b_{n}.last").alias(f"_b_{n}") for n in blocks]
+    met = known.groupBy(*ident).agg(F.max("_in_base").alias("_in_base"), *picked, *(F.count(f"_b_{n}").alias(f"_c_{n}") for n in blocks))
+    here = F.col("_in_base").isNotNull()
+    same = [F.bool_and(here == (F.col(f"_c_{n}") > 0)).alias(f"_fits_{n}") for n in blocks]
+    fits = met.groupBy(entity).agg(*same)
+    out = base.join(met.where(here).drop("_in_base", *(f"_c_{n}" for n in blocks)), ident, "left").join(fits, entity, "left")
+    made = {f"has_{n}": F.coalesce(f"_fits_{n}", F.lit(False)) for n in blocks}
+    for n, (_, values) in blocks.items():
+        made |= {c: F.when(F.col(f"_fits_{n}"), F.coalesce(F.col(f"_b_{n}.{c}"), F.lit(v))).otherwise(F.lit(v)) for c, v in values.items()}
+    return out.select(*base.columns, *(c.alias(n) for n, c in made.items()))
 
 
 def not_done(todo: DataFrame, done: DataFrame, keys: Sequence[str], version: str | None = None) -> DataFrame:

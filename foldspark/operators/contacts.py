@@ -23,11 +23,14 @@ def energy_table(spark: SparkSession, path: str) -> DataFrame:
 
 def side_chain_centre(atoms: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of side-chain atoms; the CA for glycine or without any; residues
-    with neither are left out."""
+    with neither are left out.  Of an atom's alternate locations the one of
+    greatest occupancy counts, the first of equals, then the least position."""
+    ranks = [F.coalesce("occupancy", F.lit(0.0))] if "occupancy" in atoms.columns else []
+    ranks += [-F.col("ord")] if "ord" in atoms.columns else []
+    one = atoms.groupBy(*dict.fromkeys([*keys, "resname", "atom"])).agg(F.max_by(F.struct("x", "y", "z"), F.struct(*ranks, *(-F.col(c) for c in "xyz"))).alias("at")).select("*", "at.*")
     side = ~F.col("atom").isin("N", "CA", "C", "O", "OXT") & ~F.col("atom").startswith("H") & (F.col("resname") != "GLY")
-    ca = F.max_by(F.struct("x", "y", "z"), F.when(F.col("atom") == "CA", 1)).alias("_ca")  # one atom, never a mix
-    means = atoms.groupBy(*keys).agg(ca, *(F.avg(F.when(side, F.col(c))).alias(f"_{c}") for c in "xyz"))
-    return means.select(*keys, *(F.coalesce(f"_{c}", f"_ca.{c}").alias(c) for c in "xyz")).where("x is not null")
+    means = one.groupBy(*keys).agg(*(f for c in "xyz" for f in (F.avg(F.when(side, F.col(c))).alias(f"_{c}"), F.max(F.when(F.col("atom") == "CA", F.col(c))).alias(f"_ca_{c}"))))
+    return means.select(*keys, *(F.coalesce(f"_{c}", f"_ca_{c}").alias(c) for c in "xyz")).where("x is not null")
 
 
 def contacts(residues: DataFrame, entity: str, ident: str, radius: float = CONTACT_RADIUS) -> DataFrame:

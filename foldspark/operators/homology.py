@@ -91,50 +91,47 @@ def aligned_pairs(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarr
     order = np.argsort(-n_a, kind="stable")
     n, m, begin_a, begin_b, off = n_a[order], n_b[order], a_at[:-1][order], b_at[:-1][order], diagonal[order] - s.band
     width, pairs = 2 * s.band + 1, len(order)
-    steps = np.arange(width)
-    score, equal, columns, from_a, from_b = (np.zeros((pairs, width), np.int64) for _ in range(5))
-    best = {c: np.zeros(pairs, np.int64) for c in ("score", "equal", "columns", "a_start", "a_end", "b_start", "b_end")}
-    live = pairs
+    steps, one = np.arange(width), 1 << 32
+    tilt, bits = s.gap * steps, width.bit_length()
+    # cells of the row before: score, columns and equal letters, first position in b and in a
+    score, passed, begun = (np.zeros((pairs, width), np.int64) for _ in range(3))
+    top_score, top_passed, top_begun, top_ended = (np.zeros(pairs, np.int64) for _ in range(4))
+    live, rows = pairs, np.arange(pairs)
     for i in range(int(n.max(initial=0))):
         live = int(np.searchsorted(-n[:live], -i, "left"))  # pairs with more than i letters
-        if not live:
-            break
         at = (off[:live] + i)[:, None] + steps
         inside = (at >= 0) & (at < m[:live, None])
         same = inside & (a[begin_a[:live] + i][:, None] == b[np.where(inside, begin_b[:live, None] + at, 0)])
-        h, e, c, fa, fb = (x[:live] for x in (score, equal, columns, from_a, from_b))
-        new = h + np.where(same, s.match, -s.mismatch)
-        fresh = h == 0
-        ne, nc, nfa, nfb = e + same, np.where(fresh, 1, c + 1), np.where(fresh, i, fa), np.where(fresh, at, fb)
-        ne = np.where(fresh, same, ne)
+        h, c, f = score[:live], passed[:live], begun[:live]
+        new, new_c, new_f = h + np.where(same, s.match, -s.mismatch), c + same, np.where(h == 0, (at << 32) + i, f)
         up = h[:, 1:] - s.gap  # a gap in b: the same column, one row before
-        better = np.zeros_like(inside)
-        better[:, :-1] = up > new[:, :-1]
-        if better.any():
-            r, k = np.nonzero(better)
-            new[r, k] = up[r, k]
-            ne[r, k], nc[r, k], nfa[r, k], nfb[r, k] = e[r, k + 1], c[r, k + 1] + 1, fa[r, k + 1], fb[r, k + 1]
-        new = np.where(inside & (new > 0), new, 0)
+        better = up > new[:, :-1]
+        np.copyto(new[:, :-1], up, where=better)
+        np.copyto(new_c[:, :-1], c[:, 1:], where=better)
+        np.copyto(new_f[:, :-1], f[:, 1:], where=better)
+        new_c += one
+        filled = inside & (new > 0)
+        new *= filled
+        new_c *= filled
         # gaps in a: the best of all earlier columns less its distance
-        reach = np.maximum.accumulate((new + s.gap * steps) * width + steps, axis=1)
-        source = reach % width
-        moved = (source != steps) & inside
-        if moved.any():
-            r, k = np.nonzero(moved)
-            f = source[r, k]
-            new[r, k] = reach[r, k] // width - s.gap * k
-            ne[r, k], nc[r, k], nfa[r, k], nfb[r, k] = ne[r, f], nc[r, f] + k - f, nfa[r, f], nfb[r, f]
-        h[:], e[:], c[:], fa[:], fb[:] = new, ne, nc, nfa, nfb
-        top = new.argmax(1)
-        rows = np.arange(live)
-        won = np.flatnonzero(new[rows, top] > best["score"][:live])
-        k = top[won]
-        best["score"][won], best["equal"][won], best["columns"][won] = new[won, k], ne[won, k], nc[won, k]
-        best["a_start"][won], best["b_start"][won], best["a_end"][won], best["b_end"][won] = nfa[won, k], nfb[won, k], i + 1, at[won, k] + 1
-    out = {c: np.empty_like(v) for c, v in best.items()}
-    for c, v in best.items():
-        out[c][order] = v
-    return out
+        reach = np.maximum.accumulate((new + tilt << bits) + steps, axis=1)
+        source = np.where(inside, reach & ((1 << bits) - 1), steps)
+        new = np.where(inside, (reach >> bits) - tilt, 0)
+        cell = source + rows[:live, None] * width
+        new_c = new_c.ravel()[cell] + (steps - source << 32)
+        new_f = new_f.ravel()[cell]
+        h[:], c[:], f[:] = new, new_c, new_f
+        best = new.argmax(1)
+        won = np.flatnonzero(new[rows[:live], best] > top_score[:live])
+        k = best[won]
+        top_score[won], top_passed[won], top_begun[won], top_ended[won] = new[won, k], new_c[won, k], new_f[won, k], (at[won, k] + 1) * one + i + 1
+    found = {
+        "score": top_score, "equal": top_passed % one, "columns": top_passed // one,
+        "a_start": top_begun % one, "a_end": top_ended % one, "b_start": top_begun // one, "b_end": top_ended // one,
+    }
+    back = np.empty(pairs, np.int64)
+    back[order] = rows
+    return {c: v[back] for c, v in found.items()}
 
 
 def aligner(s: Scoring):
@@ -172,7 +169,8 @@ def aligned(pairs: DataFrame, left: DataFrame, right: DataFrame, scoring: Scorin
     kinds = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
     with_a = pairs.join(left.select(F.col("id").alias("a"), F.col("letters").alias("a_letters")), "a")
     both = with_a.join(right.select(F.col("id").alias("b"), F.col("letters").alias("b_letters")), "b")
-    rows = both.select("a", "b", "a_letters", "b_letters", "diagonal")
+    # like lengths side by side, as a batch takes as many steps as its longest pair
+    rows = both.select("a", "b", "a_letters", "b_letters", "diagonal").sortWithinPartitions(F.size("a_letters"))
     return rows.mapInArrow(aligner(scoring), f"a {kinds[0]}, b {kinds[1]}, score long, identity double, cover_a double, cover_b double")
 
 
@@ -241,8 +239,12 @@ def candidate_pairs(sequences: DataFrame, k: int, seeds: int, cover: float) -> D
     first = F.struct(-F.col("n"), F.col("id"))
     longest = sent.where("kind = own").groupBy("h", "kind").agg(F.min_by(F.struct("id", "p"), first).alias("top"))
     met = sent.join(longest, ["h", "kind"]).where(F.col("id") != F.col("top.id"))
-    lines = met.groupBy(F.col("id").alias("a"), F.col("top.id").alias("b"), (F.col("top.p") - F.col("p")).alias("diagonal")).agg(F.count(F.lit(1)).alias("c"))
-    return lines.groupBy("a", "b").agg(F.max_by("diagonal", F.struct("c", -F.abs("diagonal"), "diagonal")).alias("diagonal"))
+    lines = met.groupBy(F.col("id").alias("a"), F.col("top.id").alias("b"), F.col("n"), (F.col("top.p") - F.col("p")).alias("diagonal")).agg(F.count_distinct("h").alias("c"))
+    pairs = lines.groupBy("a", "b").agg(
+        F.max_by("diagonal", F.struct("c", -F.abs("diagonal"), "diagonal")).alias("diagonal"), F.sum("c").alias("c"), F.first("n").alias("n")
+    )
+    # one common k-mer says little, unless the sequence has no more of them
+    return pairs.where(F.col("c") >= F.least(F.lit(2), F.col("n") - k + 1)).select("a", "b", "diagonal")
 
 
 def set_cover(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -60,16 +60,19 @@ def similar_pairs(a: DataFrame, b: DataFrame, text: str, ids: tuple[str, str], *
     k-grams, exactly, by a join on grams.
 
     A gram is a 128-bit digest.  Only grams that both sides have are counted;
-    what a set has besides is in its size.  ``b`` is the small side: a gram
+    what a set has besides is in its size.  Repeated rows count once; of several
+    texts under one id the nearest counts.  ``b`` is the small side: a gram
     meets as many rows as texts of ``b`` have it, and up to a counted
     ``BROADCAST_GRAMS`` its grams are broadcast."""
     left, right = (shingled(df, text, k).select(F.col(i).alias("id"), F.size("_grams").alias("n"), F.explode("_grams").alias("_g")) for df, i in ((a, ids[0]), (b, ids[1])))
     left, right = (df.select("id", "n", F.xxhash64("_g").alias("g"), F.xxhash64(F.reverse("_g")).alias("h")) for df in (left, right))
     right = F.broadcast(right) if right.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else right
     met = left.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "g", "h").join(right.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "g", "h"), ["g", "h"])
-    shared = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    apart = 1.0 - F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))
-    return shared.select("id_a", "id_b", apart.alias("distance")).where(F.col("distance") <= distance)
+    # distinct grams, as rows may be repeated on either side
+    shared = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count_distinct("g", "h").alias("c"))
+    apart = F.lit(1.0) - F.try_divide(F.col("c").cast("double"), (F.col("n_a") + F.col("n_b") - F.col("c")).cast("double"))
+    near = shared.select("id_a", "id_b", apart.alias("distance")).where(F.col("distance") <= distance)
+    return near.groupBy("id_a", "id_b").agg(F.min("distance").alias("distance"))  # several texts under one id
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

@@ -91,12 +91,12 @@ def predictions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Scored rows by source, and a homology table that lacks some sources and
     repeats others."""
     rows = read(spark, sf, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("s")).join(read(spark, sf, "labels").select("doc_id", F.col("quality").alias("t")), "doc_id")
-    hits = read(spark, sf, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("source"), (F.col("p_size") / 100.0).alias("max_identity"))
-    return rows, hits.where(~F.col("source").isin("src3", "src6"))
+    hits = read(spark, sf, "part").select(F.concat(F.lit("src"), F.col("p_size").cast("string")).alias("source"), (F.col("p_size") * 7 % 50 / 50.0).alias("max_identity"))
+    return rows, hits
 
 
 _EVALUATED_SQL = (
-    "WITH h AS (SELECT 'src' || (p_partkey % 20) AS source, max(p_size / 100.0::DOUBLE) AS identity FROM part WHERE p_partkey % 3 <> 0 AND 'src' || (p_partkey % 20) NOT IN ('src3', 'src6') GROUP BY 1), "
+    "WITH h AS (SELECT 'src' || p_size AS source, max((p_size * 7 % 50) / 50.0::DOUBLE) AS identity FROM part GROUP BY 1), "
     "src AS (SELECT doc_id, source, CAST(n_chars AS DOUBLE) AS s, quality AS t, coalesce(identity, 0.0) AS identity FROM documents JOIN labels USING (doc_id) LEFT JOIN h USING (source)), "
     "x AS (SELECT stratum, s, t FROM src JOIN (SELECT unnest([1.01, 0.7, 0.5, 0.3]::DOUBLE[]) AS stratum) ON identity < stratum)"
 )

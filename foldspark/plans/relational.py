@@ -9,6 +9,7 @@ from foldspark.functions import scalar as S
 from foldspark.operators import align, sequence
 from foldspark.operators.metrics import top_and_bottom
 from foldspark.plans.registry import query
+from foldspark.sources import tables
 from foldspark.sources.tables import nested, read
 
 # ---- scans and filters ------------------------------------------------------
@@ -43,7 +44,9 @@ def distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("part_prune", "SELECT doc_id, n_chars FROM documents WHERE source = 'src3'")
 def part_prune(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").where("source = 'src3'").select("doc_id", "n_chars")
+    """One partition of the table as the partitioned sink writes it."""
+    stored = tables.stored_by(read(spark, sf, "documents").select("doc_id", "n_chars", "source"), ["source"])
+    return stored.where("source = 'src3'").select("doc_id", "n_chars")
 
 
 @query(
@@ -196,9 +199,9 @@ def semi_flag(spark: SparkSession, sf: str) -> DataFrame:
     return align.flagged(first, places, ["c_nationkey"], "has_supplier").select("c_custkey", "has_closed", "has_supplier")
 
 
-@query("semi_anti", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1")
+@query("semi_anti", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1")
 def semi_anti(spark: SparkSession, sf: str) -> DataFrame:
-    there = read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    there = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     flagged = align.flagged(read(spark, sf, "customer").select("c_custkey", "c_mktsegment"), there, ["c_custkey"], "overlap")
     return flagged.where("overlap = 0").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 

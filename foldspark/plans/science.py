@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foldspark.functions.scalar import half_up
 from foldspark.operators import contacts, graph, kernels, learning, metrics, sequence, spatial, split
 from foldspark.plans.registry import query
+from foldspark.session import checkpointed
 from foldspark.sources.tables import read
 
 XYZ = ["x", "y", "z"]
@@ -470,7 +471,7 @@ def learnable(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows, features = learnable(spark, sf)
-    rows = rows.cache()
+    rows = checkpointed(rows)
     model, _ = learning.fit_trees(rows.where("split = 'train'"), rows.where("split = 'val'"), features, "quality")
     return learning.tree_scores(rows, model, features).select("doc_id", "split", "quality", "y_prob")
 
@@ -478,14 +479,23 @@ def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query("tree_search")
 def tree_search(spark: SparkSession, sf: str) -> DataFrame:
     rows, features = learnable(spark, sf)
-    rows = rows.cache()
+    rows = checkpointed(rows)
     return learning.search(rows.where("split = 'train'"), rows.where("split = 'val'"), features, "quality")
 
 
 @query("tuned_scores")
 def tuned_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows, features = learnable(spark, sf)
-    rows = rows.cache()
+    rows = checkpointed(rows)
     parts = rows.where("split = 'train'"), rows.where("split = 'val'")
     model, _ = learning.retrained(*parts, features, "quality", learning.search(*parts, features, "quality"))
     return learning.tree_scores(rows, model, features).select("doc_id", "split", "quality", "y_prob")
+
+
+@query("feature_importance")
+def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of the gain of all splits, greatest first."""
+    rows, features = learnable(spark, sf)
+    rows = checkpointed(rows)
+    model, _ = learning.fit_trees(rows.where("split = 'train'"), rows.where("split = 'val'"), features, "quality")
+    return learning.importances(rows, model, features)

@@ -42,7 +42,13 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """What the driver and all executors read and write: spark.checkpoint.dir,
+    or a folder under the warehouse where the session has none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def keep_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; where the session has none, under the warehouse."""
+    """Checkpoints go to the shared folder."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

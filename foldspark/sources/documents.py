@@ -44,7 +44,7 @@ def write_documents(rows: DataFrame, path: str) -> None:
         F.transform(F.array_sort(F.collect_list(residue)), lambda x: x["r"]).alias("residues"),
     )
     whole.select("pdb_id", F.to_json(F.struct(*whole.columns)).alias("value")).write.mode("overwrite").partitionBy("pdb_id").text(f"{path}/documents")
-    whole.drop("residues").select(F.to_json(F.struct("pdb_id", "n_residues", "n_true_allosteric")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    whole.drop("residues").select(F.to_json(F.struct("pdb_id", "n_residues", "n_true_allosteric")).alias("value")).repartition(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
 @contextmanager

@@ -4,6 +4,7 @@ nested documents as JSON, models with their threshold."""
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,18 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.operators.boosting import Tree, Trees
+from foldspark.session import shared_folder
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def write_by(df: DataFrame, path: str, by: Sequence[str], *, columns: Sequence[str] | None = None) -> None:
+#: Bytes of shuffled rows for one file.
+FILE_BYTES = 256 << 20
+
+
+def write_by(df: DataFrame, path: str, by: Sequence[str], *, columns: Sequence[str] | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Partitioned Parquet; only the partitions present in ``df`` are replaced.
-    Rows are brought together by partition first, so none is split into as
-    many files as there are tasks."""
+
+    Rows are rebalanced by partition first: small partitions share a task, and
+    one with most of the rows is split over as many tasks, and files, as it has
+    ``file_bytes``."""
     chosen = df.select(*columns) if columns else df
-    chosen.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
+    conf = df.sparkSession.conf
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = conf.get(size, None)
+    conf.set(size, str(file_bytes))  # read when the write runs, which is here
+    try:
+        evened = chosen.hint("rebalance", *(F.col(c) for c in by))
+        evened.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
+    finally:
+        conf.unset(size) if before is None else conf.set(size, before)
+
+
+def stored_by(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The table written by partition in the shared folder, for many readers
+    that each want some of its partitions."""
+    path = f"{shared_folder(df.sparkSession)}/by-{uuid.uuid4().hex}"
+    write_by(df, path, by)
+    return df.sparkSession.read.parquet(path)
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:

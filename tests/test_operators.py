@@ -43,6 +43,48 @@ def test_assembled_fills_whole_entities_that_do_not_fit(spark):
     assert [(r["x"], r["has_b"]) for r in rows] == [(0.0, False), (0.0, False), (4.0, True)]
 
 
+def test_assembled_takes_the_last_of_repeated_keys_and_adds_no_rows(spark):
+    base = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1), ("q", 2), ("r", 1), ("r", 1), (None, 1)], "e string, i int")
+    # p: a repeated key and a missing one; q: a repeated key, all there; r: a repeated base row and a foreign key
+    rows = [("p", 1, 1.0, 1), ("p", 1, 2.0, 2), ("q", 1, 3.0, 2), ("q", 1, 4.0, 1), ("q", 2, None, 1), ("r", 1, 5.0, 1), ("r", 9, 6.0, 1)]
+    block = spark.createDataFrame(rows, "e string, i int, x double, ord int")
+    other = spark.createDataFrame([("r", 1, 7.0)], "e string, i int, y double")
+    out = align.assembled(base, {"b": (block, {"x": 0.0}), "c": (other.withColumn("ord", F.lit(0)), {"y": -1.0})}, ["e", "i"], "e", order="ord")
+    got = sorted((str(r["e"]), r["i"], r["x"], r["has_b"], r["y"], r["has_c"]) for r in out.collect())
+    assert got == [
+        ("None", 1, 0.0, False, -1.0, False), ("p", 1, 0.0, False, -1.0, False), ("p", 2, 0.0, False, -1.0, False), ("q", 1, 3.0, True, -1.0, False),
+        ("q", 2, 0.0, True, -1.0, False), ("r", 1, 0.0, False, 7.0, True), ("r", 1, 0.0, False, 7.0, True),
+    ]
+
+
+def test_assembly_reads_each_block_once(spark):
+    base = spark.range(10).select((F.col("id") % 2).alias("e"), F.col("id").alias("i"))
+    blocks = {n: (base.withColumn(f"{n}_x", F.lit(1.0)), {f"{n}_x": 0.0}) for n in "abcdefgh"}
+    plan = align.assembled(base, blocks, ["i"], "e")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") <= 2 + plan.count("AdaptiveSparkPlan") and plan.count("Union") <= 2
+
+
+def test_side_chain_centre_of_alternate_locations(spark):
+    atoms = [("GLY", 1, "CA", 1.0, 0.4, 0), ("GLY", 1, "CA", 2.0, 0.6, 1), ("SER", 2, "CB", 4.0, 0.5, 2), ("SER", 2, "CB", 6.0, 0.5, 3), ("SER", 2, "OG", 8.0, 1.0, 4)]
+    df = spark.createDataFrame(atoms, "resname string, resnum int, atom string, x double, occupancy double, ord int").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    for n in (1, 3):
+        got = {r["resnum"]: r["x"] for r in contacts.side_chain_centre(df.repartition(n), ["resname", "resnum"]).collect()}
+        assert got == {1: 2.0, 2: 6.0}
+
+
+def test_similar_pairs_of_repeated_rows(spark):
+    text = "one two three four five six seven"
+    a = spark.createDataFrame([(1, text), (1, text), (2, text + " eight nine"), (3, None), (4, "one two")], "id long, text string")
+    b = spark.createDataFrame([(7, text), (7, text)], "id long, text string")
+    got = {(r["id_a"], r["id_b"]): r["distance"] for r in split.similar_pairs(a, b, "text", ("id", "id")).collect()}
+    assert got == {(1, 7): 0.0, (2, 7): pytest.approx(1 - 5 / 7)}
+
+
+def test_class_weight(spark):
+    df = spark.createDataFrame([(1,)] * 4 + [(0,)] * 36, "t int")
+    assert learning.class_weight(df, "t") == 3.0 and learning.class_weight(df.where("t = 0"), "t") == 1.0
+
+
 def test_not_done_respects_versions(spark):
     todo = spark.createDataFrame([(1,), (2,)], "k int")
     done = spark.createDataFrame([(1, "old")], "k int, version string")

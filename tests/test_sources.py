@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from foldspark import schema
@@ -173,3 +174,35 @@ def test_embeddings_are_means_over_windows(spark):
     assert {i: emb[0] for i, emb in rows.items()} == {i: float(ord(c)) for i, c in enumerate("ABCDEFGHIJ")}
     # windows start at 0, 3 and 6; the last has four letters
     assert {i: emb[1] for i, emb in rows.items()} == {0: 6, 1: 6, 2: 6, 3: 6, 4: 6, 5: 6, 6: 5, 7: 5, 8: 5, 9: 4}
+
+
+def test_a_hot_partition_is_written_by_several_tasks(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [("hot" if i % 10 < 7 else f"cold{i % 3}", i, rng.bytes(200).hex()) for i in range(20_000)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["split", "i", "x"])).repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    tables.write_by(df, f"{tmp_path}/t", ["split"], columns=["split", "i", "x"], file_bytes=1 << 20)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) == before
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "t/split=hot").glob("*.parquet"))
+    assert len(sizes) >= 3 and sizes[-1] <= 2.5 * sizes[len(sizes) // 2]
+    assert len(list((tmp_path / "t/split=cold1").glob("*.parquet"))) <= 2
+    back = spark.read.parquet(f"{tmp_path}/t")
+    assert sorted(map(tuple, back.select("split", "i", "x").collect())) == sorted(rows)
+    # only the partitions at hand are replaced, and only the columns chosen are written
+    tables.write_by(df.where("split = 'hot'").limit(5), f"{tmp_path}/t", ["split"], columns=["split", "i"])
+    assert spark.read.parquet(f"{tmp_path}/t/split=hot").columns == ["i"] and back.where("split <> 'hot'").count() == 6000
+
+
+def test_files_are_discovered_by_family_and_entity(spark, tmp_path):
+    for family, entity in (("f1", "1ABC"), ("f1", "2XYZ"), ("f2", "3DEF")):
+        (tmp_path / family / entity).mkdir(parents=True)
+        (tmp_path / family / entity / "model.pdb").write_text("x")
+        (tmp_path / family / entity / "notes.txt").write_text("x")
+    found = annotations.discovered(spark, str(tmp_path), "*.pdb").select("family", "pdb_id").collect()
+    assert sorted(map(tuple, found)) == [("f1", "1ABC"), ("f1", "2XYZ"), ("f2", "3DEF")]
+
+
+def test_hits_of_a_search(spark, tmp_path):
+    (tmp_path / "hits.tsv").write_text("1ABC_A\t9XYZ\t0.95\n1ABC_B\t8XYZ\t0.5\nbroken\n")
+    rows = annotations.tsv(spark, f"{tmp_path}/hits.tsv", schema.HITS).collect()
+    assert [tuple(r)[:3] for r in rows] == [("1ABC_A", "9XYZ", 0.95), ("1ABC_B", "8XYZ", 0.5)]

@@ -63,47 +63,89 @@ def class_shares(edges: DataFrame, entity: str, label: str, classes: Sequence, p
     return near.groupBy(entity, "i").agg(*((F.sum((F.col(f"b.{label}") == c).cast("long")) / n).alias(f"{prefix}_{c}") for c in classes))
 
 
-def near_points(some: DataFrame, points: DataFrame, dims: int) -> DataFrame:
-    """(_e, i, d, j) for points ``a`` against all points ``b`` within ``_r``, by
-    cells of side ``_r``; both tables have (_e, _r, row)."""
-    cells = lambda row: [F.floor(F.get(F.col(row)["at"], k) / F.col("_r")).cast("long").alias(f"_c{k}") for k in range(dims)]
-    shifts = F.array(*(F.array(*(F.lit(x).cast("long") for x in s)) for s in product((-1, 0, 1), repeat=dims)))
-    left = some.select("_e", "_r", F.col("row").alias("a"), *cells("row")).withColumn("_s", F.explode(shifts))
-    left = left.select("_e", "_r", "a", *((F.col(f"_c{k}") + F.get("_s", k)).alias(f"_c{k}") for k in range(dims)))
-    right = points.select("_e", F.col("row").alias("b"), *cells("row"))
-    met = left.join(right, ["_e", *(f"_c{k}" for k in range(dims))]).where("a.id <> b.id")
-    gap = F.aggregate(F.zip_with("a.all", "b.all", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return met.withColumn("d", F.sqrt(gap)).where("d <= _r").select("_e", F.col("a.id").alias("i"), "d", F.col("b.id").alias("j"))
+#: Halvings of an entity's box: a cell of the last level has 2^-20 of its side.
+LEVELS = 20
+
+
+def at_level(cells: Sequence[str], level: Column) -> list[Column]:
+    """Cell coordinates of the last level as those of a level above."""
+    return [F.call_function("shiftright", F.col(c), F.lit(LEVELS) - level) for c in cells]
+
+
+def with_cells(places: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """``places`` with ``cells``, their cell of the last level, and ``_side``,
+    the longest side of their entity's box."""
+    low, high = ([f(F.get("at", n)).alias(f"{a}{n}") for n in range(len(cells))] for f, a in ((F.min, "_l"), (F.max, "_h")))
+    spread = [F.col(f"_h{n}") - F.col(f"_l{n}") for n in range(len(cells))]
+    boxes = places.groupBy("_e").agg(*low, *high, F.sum("w").alias("_n"))
+    boxes = boxes.withColumn("_side", F.greatest(*spread, F.lit(1e-300)))
+    scale = F.lit(float(1 << LEVELS)) / F.col("_side")
+    cell = {c: F.least(F.floor((F.get("at", n) - F.col(f"_l{n}")) * scale).cast("long"), F.lit((1 << LEVELS) - 1)) for n, c in enumerate(cells)}
+    return places.join(boxes, "_e").withColumns(cell).drop(*(f"{a}{n}" for n in range(len(cells)) for a in ("_l", "_h")))
+
+
+def deepest_levels(places: DataFrame, cells: Sequence[str], least: int) -> DataFrame:
+    """(_e, cells, level): the smallest cell around each that holds ``least``
+    points, by counts of all cells of all levels; 0, the whole box, if none does."""
+    ends = places.groupBy("_e", *cells).agg(F.sum("w").alias("w"))
+    every = ends.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    up = [c.alias(f"_u{n}") for n, c in enumerate(at_level(cells, F.col("level")))]
+    full = every.groupBy("_e", "level", *up).agg(F.sum("w").alias("c")).where(F.col("c") >= least).drop("c")
+    met = every.select("_e", "level", *cells, *up).join(full, ["_e", "level", *(f"_u{n}" for n in range(len(cells)))])
+    best = met.groupBy("_e", *cells).agg(F.max("level").alias("level"))
+    return ends.drop("w").join(best, ["_e", *cells], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+
+
+def near_places(todo: DataFrame, places: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """(_e, level, all, d, w) of places within one side of a cell of the level
+    of each place to do, by the cells around it.  Places are filed under the
+    levels that their entity has to do, and no others."""
+    steps = F.array(*(F.array(*(F.lit(x).cast("long") for x in s)) for s in product((-1, 0, 1), repeat=len(cells))))
+    asked = todo.select("_e", "level", F.col("all").alias("a"), "_side", *(c.alias(f"_u{n}") for n, c in enumerate(at_level(cells, F.col("level")))), F.explode(steps).alias("_s"))
+    asked = asked.select("_e", "level", "a", "_side", *((F.col(f"_u{n}") + F.get("_s", n)).alias(f"_u{n}") for n in range(len(cells))))
+    filed = places.join(todo.select("_e", "level").distinct(), "_e")
+    filed = filed.select("_e", "level", F.col("all").alias("b"), "w", *(c.alias(f"_u{n}") for n, c in enumerate(at_level(cells, F.col("level")))))
+    met = asked.join(filed, ["_e", "level", *(f"_u{n}" for n in range(len(cells)))])
+    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    # at level 0 the box is one cell, and all of it counts
+    reach = F.when(F.col("level") > 0, F.col("_side") / F.pow(F.lit(2.0), F.col("level"))).otherwise(F.lit(float("inf")))
+    return met.withColumn("d", F.sqrt(gap)).where(F.col("d") <= reach).select("_e", F.col("a").alias("all"), "d", "w")
 
 
 def packing_density(points: DataFrame, entity: str, ident: str, coords: Sequence[str], k: int = 12) -> DataFrame:
-    """1 / (mean distance of the k nearest + 1e-8), by entity.
-
-    Neighbours are looked for in grid cells of a radius that holds about twice
-    k points at an even density; points with fewer than k that near look again
-    at twice the radius, until each has k or all the others of its entity.
+    """1 / (mean distance of the k nearest + 1e-8), by entity.  Points without
+    a coordinate, and those alone in their entity, have none.
+
+    Cells adapt to the points: a box is halved as long as the half around a
+    point holds more than k, so a dense region has small cells and an outlier a
+    large one, and neither makes the other look far.  Neighbours within a
+    cell's side are in it and the cells around it; points with fewer than k
+    there look again in cells twice as large.  Points at one place are one row
+    with a weight, however many they are.
     """
-    dims = min(3, len(coords))
-    row = F.struct(F.col(ident).alias("id"), F.array(*coords[:dims]).alias("at"), F.array(*coords).alias("all"))
-    spread = [F.max(c) - F.min(c) for c in coords[:dims]]
-    longest = F.greatest(*spread, F.lit(1e-9)) if dims > 1 else F.greatest(spread[0], F.lit(1e-9))
-    sizes = points.groupBy(F.col(entity).alias("_e")).agg(F.count(F.lit(1)).alias("_n"), longest.alias("_l"))
-    sizes = sizes.withColumn("_r", F.col("_l") * F.pow(F.lit(2.0 * k) / F.col("_n"), F.lit(1.0 / dims)) / 2)
-    todo = all_points = checkpointed(points.select(F.col(entity).alias("_e"), row.alias("row")).join(sizes, "_e").where("_n > 1"))
-    found = None
-    while not todo.isEmpty():
-        w = Window.partitionBy("_e", "i").orderBy("d", "j")
-        near = near_points(todo, all_points, dims).withColumns({"_k": F.row_number().over(w), "_m": F.count(F.lit(1)).over(Window.partitionBy("_e", "i"))}).where(F.col("_k") <= k)
-        means = near.groupBy(F.col("_e").alias("_of"), "i").agg(F.avg("d").alias("d"), F.first("_m").alias("_m"))
-        judged = checkpointed(todo.join(means, (F.col("_e") == F.col("_of")) & (F.col("row.id") == F.col("i")), "left").select("_e", "row", "_n", "_l", "_r", "d", "_m"))
-        done = (F.coalesce("_m", F.lit(0)) >= F.least(F.lit(k), F.col("_n") - 1))
-        part = judged.where(done).select("_e", F.col("row.id").alias("i"), "d")
+    cells = [f"_q{n}" for n in range(min(3, len(coords)))]
+    known = points.where(" and ".join(f"`{c}` is not null" for c in coords)).select(F.col(entity).alias("_e"), F.col(ident).alias("i"), F.array(*(F.col(c).cast("double") for c in coords)).alias("all"))
+    weighed = known.groupBy("_e", "all").agg(F.count(F.lit(1)).alias("w"))
+    places = checkpointed(with_cells(weighed.withColumn("at", F.slice("all", 1, len(cells))), cells).where("_n > 1"))
+    todo = places.join(deepest_levels(places, cells, k + 1), ["_e", *cells]).select("_e", "all", "_side", "_n", "level", *cells)
+    wanted, found = F.least(F.lit(k), F.col("_n") - 1).cast("long"), None
+    while True:
+        # each has a point at least, so k + 1 places are enough; Spark limits groups before it shuffles them
+        first = F.row_number().over(Window.partitionBy("_e", "all").orderBy("d"))
+        some = near_places(todo, places, cells).withColumn("_k", first).where(F.col("_k") <= k + 1)
+        near = some.groupBy("_e", "all").agg(F.sum("w").alias("_c"), F.array_sort(F.collect_list(F.struct("d", "w"))).alias("_near"))
+        judged = checkpointed(todo.join(near, ["_e", "all"], "left"))
+        # the place itself is among those found, and one of its points is the one that asks
+        done = (F.coalesce("_c", F.lit(0)) > wanted) | (F.col("level") == 0)
+        part = judged.where(done).select("_e", "all", wanted.alias("k"), "_near")
         found = part if found is None else found.unionByName(part)
-        todo = judged.where(~done).select("_e", "row", "_n", "_l", (2 * F.col("_r")).alias("_r"))
-        all_points = all_points.withColumn("_r", 2 * F.col("_r"))
-    if found is None:
-        return points.select(entity, F.col(ident).alias("i"), F.lit(None).cast("double").alias("density")).limit(0)
-    return found.select(F.col("_e").alias(entity), "i", (1.0 / (F.col("d") + 1e-8)).alias("density"))
+        todo = judged.where(~done).select("_e", "all", "_side", "_n", (F.col("level") - 1).alias("level"), *cells)
+        if todo.isEmpty():
+            break
+    # the k + 1 nearest, the first of them at no distance
+    take = "aggregate(_near, named_struct('s', 0.0D, 'open', k + 1), (a, x) -> named_struct('s', a.s + x.d * least(x.w, a.open), 'open', a.open - least(x.w, a.open))).s"
+    density = found.select("_e", "all", (1.0 / (F.expr(take) / F.col("k") + 1e-8)).alias("density"))
+    return known.join(density, ["_e", "all"]).select(F.col("_e").alias(entity), "i", "density")
 
 
 def centroid_distance(points: DataFrame, entity: str, coords: Sequence[str]) -> DataFrame:

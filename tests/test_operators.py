@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -537,6 +538,38 @@ def test_nearest_neighbours_equal_brute_force_at_any_density(spark):
     assert got == pytest.approx(want)
 
 
+def density_by_hand(xyz: np.ndarray, k: int) -> np.ndarray:
+    d = np.linalg.norm(xyz[:, None] - xyz[None], axis=2) + np.diag(np.full(len(xyz), np.inf))
+    return 1 / (np.sort(d, axis=1)[:, :k].mean(axis=1) + 1e-8)
+
+
+@pytest.mark.parametrize("dims", [1, 2, 4])
+def test_nearest_neighbours_in_any_number_of_dimensions(spark, dims):
+    rng = np.random.default_rng(dims)
+    xyz = np.concatenate([rng.normal(0, 1, (80, dims)), rng.normal(5, 1e-4, (40, dims)), np.full((9, dims), 7.0)])
+    names = [f"x{n}" for n in range(dims)]
+    df = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(xyz)] + [("a", 999, *[None] * dims)], f"e string, i int, {', '.join(f'{n} double' for n in names)}")
+    got = {r["i"]: r["density"] for r in spatial.packing_density(df, "e", "i", names, 6).collect()}
+    assert got == pytest.approx(dict(enumerate(density_by_hand(xyz, 6))))
+    assert spatial.packing_density(df.limit(0), "e", "i", names, 6).count() == 0
+
+
+def test_an_outlier_does_not_make_other_points_look_far(spark):
+    rng = np.random.default_rng(9)
+    even = rng.uniform(0, 1, (4000, 3))
+    far = np.concatenate([even, [[1e5, 0, 0]]])
+    compared = {}
+    for name, xyz in (("even", even), ("far", far)):
+        df = spark.createDataFrame(pd.DataFrame({"e": "a", "i": range(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]}))
+        got = {r["i"]: r["density"] for r in spatial.packing_density(df, "e", "i", ["x", "y", "z"]).collect()}
+        assert got == pytest.approx(dict(enumerate(density_by_hand(xyz, 12))))
+        places = spatial.with_cells(df.select(F.col("e").alias("_e"), F.array("x", "y", "z").alias("at"), F.array("x", "y", "z").alias("all"), F.lit(1).alias("w")), ["_q0", "_q1", "_q2"])
+        todo = places.join(spatial.deepest_levels(places, ["_q0", "_q1", "_q2"], 13), ["_e", "_q0", "_q1", "_q2"])
+        joined = spatial.near_places(todo, places, ["_q0", "_q1", "_q2"])
+        compared[name] = joined.count()
+    assert compared["far"] <= 2 * compared["even"] + 2 * len(far)
+
+
 def test_data_set_from_blocks_to_files(spark, tmp_path):
     base = spark.createDataFrame([(e, i) for e in "abcdefghij" for i in range(6)], "pdb_id string, resnum int")
     wide = lambda n, drop="": base.where(f"pdb_id <> '{drop}'").select("*", *((F.col("resnum") * (k + 1)).cast("double").alias(f"{n}_{k}") for k in range(4 if n == "frustration" else schema.BLOCKS[n])))

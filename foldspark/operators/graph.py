@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark import session
@@ -44,7 +40,7 @@ def clustering(nodes: DataFrame, edges: DataFrame, entity: str) -> DataFrame:
     return out.withColumn("clustering", F.when(F.col("k") >= 2, 2.0 * F.col("triangles") / pairs).otherwise(0.0)).drop("k")
 
 
-def checkpointed(df: DataFrame, k: int) -> DataFrame:
+def checkpointed(df: DataFrame, k: int = 0) -> DataFrame:
     return session.checkpointed(df)
 
 
@@ -80,77 +76,96 @@ def pagerank(nodes: DataFrame, edges: DataFrame, entity: str, *, damping: float
     return now.select(entity, "i", "rank")
 
 
-# ---- kernels over one entity's graph ----------------------------------------
-
-
-def adjacency(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    a = np.zeros((n, n), bool)
-    a[i, j] = a[j, i] = True
-    return a
-
-
-def levels(adj: np.ndarray, source: int) -> Iterator[np.ndarray]:
-    """Breadth-first frontiers from a node, as masks."""
-    seen = np.zeros(len(adj), bool)
-    front = seen.copy()
-    front[source] = True
-    while front.any():
-        yield front
-        seen |= front
-        front = adj[front].any(axis=0) & ~seen
-
-
-def closeness(adj: np.ndarray) -> np.ndarray:
-    """(r - 1) / sum of distances, times (r - 1) / (n - 1) for r reached nodes."""
-    n = len(adj)
-    out = np.zeros(n)
-    for s in range(n):
-        reached, total = 0, 0
-        for d, front in enumerate(levels(adj, s)):
-            size = int(front.sum())
-            reached, total = reached + size, total + d * size
-        if total:
-            out[s] = (reached - 1) / total * (reached - 1) / (n - 1)
-    return out
-
-
-def betweenness(adj: np.ndarray, pivots: np.ndarray | None = None) -> np.ndarray:
-    """Share of shortest paths through a node; from ``pivots`` only, if given,
-    scaled up to all sources.  Path counts advance a whole frontier at once."""
-    n = len(adj)
-    out = np.zeros(n)
-    a = adj.astype(float)
-    sources = np.arange(n) if pivots is None else pivots
-    for s in sources:
-        fronts = list(levels(adj, int(s)))
-        paths = np.zeros(n)
-        paths[s] = 1.0
-        for before, front in zip(fronts, fronts[1:], strict=False):
-            paths[front] = (a[front] * np.where(before, paths, 0.0)).sum(axis=1)
-        share = np.zeros(n)
-        for before, front in list(zip(fronts, fronts[1:], strict=False))[::-1]:
-            credit = np.where(front, (1 + share) / np.where(paths > 0, paths, 1), 0.0)
-            share[before] += paths[before] * (a[before] * credit).sum(axis=1)
-        share[s] = 0.0
-        out += share
-    if n > 2:
-        out *= n / len(sources) / ((n - 1) * (n - 2))
-    return out
-
-
-def centralities(edges: DataFrame, nodes: DataFrame, entity: str, *, exact_up_to: int = 500, pivots: int = 200, seed: int = 42) -> DataFrame:
-    """(entity, i, closeness, betweenness, status), one entity at a time."""
-    kind = dict(nodes.dtypes)
-
-    def run(own_nodes: pd.DataFrame, own_edges: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(own_nodes["i"].to_numpy())
-        n = len(ids)
-        out = pd.DataFrame({entity: own_nodes[entity].iloc[0] if n else None, "i": ids, "closeness": 0.0, "betweenness": 0.0, "status": "ok"})
-        if n < 3 or not len(own_edges):
-            return out.assign(status="too small")
-        adj = adjacency(n, np.searchsorted(ids, own_edges["i"]), np.searchsorted(ids, own_edges["j"]))
-        chosen = np.random.default_rng(seed).choice(n, min(n, pivots), replace=False) if n > exact_up_to else None
-        return out.assign(closeness=closeness(adj), betweenness=betweenness(adj, chosen))
-
-    schema = f"{entity} {kind[entity]}, i {kind['i']}, closeness double, betweenness double, status string"
-    return nodes.select(entity, "i").groupBy(entity).cogroup(edges.select(entity, "i", "j").groupBy(entity)).applyInPandas(run, schema)
+# ---- shortest paths ---------------------------------------------------------
+
+
+def numbered(nodes: DataFrame, entity: str, buckets: int = 1024) -> DataFrame:
+    """(entity, i, at, n): places 0, 1, ... of an entity's nodes by digest, and
+    how many there are.  Buckets of the digest are ordered apart, so that no
+    task orders a whole entity."""
+    digest = F.xxhash64("i")
+    dealt = nodes.select(entity, "i", F.pmod(digest, F.lit(buckets)).cast("int").alias("_b"), digest.alias("_h"))
+    counts = dealt.groupBy(entity, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(entity).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(entity, "_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_o"), F.sum("_c").over(Window.partitionBy(entity)).alias("n"))
+    own = F.row_number().over(Window.partitionBy(entity, "_b").orderBy("_h", "i")) - 1
+    return dealt.withColumn("_r", own).join(offsets, [entity, "_b"]).select(entity, "i", (F.col("_r") + F.col("_o")).alias("at"), "n")
+
+
+def closeness(nodes: DataFrame, links: DataFrame, entity: str) -> DataFrame:
+    """(entity, i, closeness): (r - 1) / sum of distances, times (r - 1) / (n - 1)
+    for r reached nodes, by a breadth-first search from all nodes at once.
+
+    Sources are bits, 64 to a word.  A round sends each node's new words to its
+    neighbours, where they are or-ed before they are shuffled; a bit crosses a
+    link once in all.  ``nodes`` are ``numbered``; ``links`` go both ways."""
+    word, bit = F.floor(F.col("at") / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    front = seen = checkpointed(nodes.select(entity, "i", word.alias("word"), bit.alias("bits")))
+    reached, d = None, 0
+    while True:
+        d += 1
+        sent = front.join(links, [entity, "i"]).groupBy(entity, F.col("j").alias("i"), "word").agg(F.bit_or("bits").alias("sent"))
+        both = seen.join(sent, [entity, "i", "word"], "full").withColumn("fresh", F.coalesce("sent", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long")))))
+        step = checkpointed(both.select(entity, "i", "word", F.coalesce("bits", F.lit(0).cast("long")).bitwiseOR(F.col("fresh")).alias("bits"), "fresh"))
+        front = step.where("fresh <> 0").select(entity, "i", "word", F.col("fresh").alias("bits"))
+        new = front.groupBy(entity, "i").agg(F.sum(F.bit_count("bits")).alias("c"), F.sum(F.bit_count("bits") * d).alias("t"))
+        reached = new if reached is None else reached.unionByName(new)
+        if front.isEmpty():
+            break
+        seen = step.drop("fresh")
+    total = reached.groupBy(entity, "i").agg(F.sum("c").alias("r"), F.sum("t").alias("t"))
+    score = F.col("r") / F.col("t") * F.col("r") / (F.col("n") - 1)
+    return nodes.join(total, [entity, "i"], "left").select(entity, "i", F.coalesce(score, F.lit(0.0)).alias("closeness"))
+
+
+def betweenness(nodes: DataFrame, links: DataFrame, entity: str, pivots: int | None = None) -> DataFrame:
+    """(entity, i, betweenness): the share of shortest paths through a node.
+
+    Searches from all sources advance together, a level a round, with the
+    number of shortest paths to each node; then dependencies go back level by
+    level.  With ``pivots`` only so many nodes of an entity (the first by
+    digest) are sources, and sums are scaled up to all of them."""
+    chosen = nodes if pivots is None else nodes.where(F.col("at") < pivots)
+    key = [entity, "s", "v"]
+    front = checkpointed(chosen.select(entity, F.col("i").alias("s"), F.col("i").alias("v"), F.lit(1.0).alias("c")))
+    fronts = [front]
+    over = links.select(entity, F.col("i").alias("v"), F.col("j").alias("w"))
+    while not front.isEmpty():
+        ahead = front.join(over, [entity, "v"]).groupBy(entity, "s", F.col("w").alias("v")).agg(F.sum("c").alias("c"))
+        for known in fronts[-2:]:  # a neighbour is a level away at most
+            ahead = ahead.join(known.select(*key), key, "left_anti")
+        front = checkpointed(ahead)
+        fronts.append(front)
+    share, total = None, None
+    for level in range(len(fronts) - 2, 0, -1):
+        here = fronts[level].select(*key, "c", F.lit(0.0).alias("share")) if share is None else fronts[level].join(share, key, "left").select(*key, "c", F.coalesce("share", F.lit(0.0)).alias("share"))
+        here = checkpointed(here)
+        own = here.groupBy(entity, F.col("v").alias("i")).agg(F.sum("share").alias("b"))
+        total = own if total is None else total.unionByName(own)
+        back = here.select(entity, "s", "v", ((1 + F.col("share")) / F.col("c")).alias("x")).join(over, [entity, "v"])
+        sums = back.groupBy(entity, "s", F.col("w").alias("v")).agg(F.sum("x").alias("x"))
+        share = fronts[level - 1].join(sums, key).select(*key, (F.col("c") * F.col("x")).alias("share"))
+    n = F.col("n")
+    used = n if pivots is None else F.least(n, F.lit(pivots))
+    scale = F.when(n > 2, n / used / ((n - 1) * (n - 2))).otherwise(0.0)
+    if total is None:
+        return nodes.select(entity, "i", F.lit(0.0).alias("betweenness"))
+    sums = total.groupBy(entity, "i").agg(F.sum("b").alias("b"))
+    return nodes.join(sums, [entity, "i"], "left").select(entity, "i", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def centralities(edges: DataFrame, nodes: DataFrame, entity: str, *, exact_up_to: int = 500, pivots: int = 200) -> DataFrame:
+    """(entity, i, closeness, betweenness, status) of undirected graphs.
+
+    Closeness is exact.  Betweenness is exact in entities of up to
+    ``exact_up_to`` nodes and estimated from ``pivots`` sources in larger ones
+    (``status`` says "sampled"); pass a greater ``exact_up_to`` for exact values."""
+    known = checkpointed(numbered(nodes.select(entity, "i").distinct(), entity))
+    links = checkpointed(ends(edges.select(entity, "i", "j").where("i <> j"), entity).distinct())
+    linked = links.select(entity).distinct().withColumn("_linked", F.lit(True))
+    small, large = known.where(F.col("n") <= exact_up_to), known.where(F.col("n") > exact_up_to)
+    between = betweenness(small, links, entity).unionByName(betweenness(large, links, entity, pivots))
+    status = F.when((F.col("n") < 3) | F.col("_linked").isNull(), "too small").when(F.col("n") > exact_up_to, "sampled").otherwise("ok")
+    out = known.join(closeness(known, links, entity), [entity, "i"]).join(between, [entity, "i"]).join(linked, entity, "left")
+    tiny = status == "too small"
+    return out.select(entity, "i", *(F.when(tiny, 0.0).otherwise(F.col(c)).alias(c) for c in ("closeness", "betweenness")), status.alias("status"))

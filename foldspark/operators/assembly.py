@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark import schema
-from foldspark.operators import align, learning
+from foldspark.operators import align, learning, projection
 from foldspark.sources.tables import write_by
 
 
@@ -59,10 +59,12 @@ def build(rows: DataFrame, splits: DataFrame, entity: str, features: Sequence[st
     train = joined.where("split = 'train'")
     scaler = learning.fit_scaler(train, features)
     out = learning.scaled(joined, scaler)
+    metadata = {"features": list(features), "scaler": scaler, "axes": 0, "explained": None}
     if vector:
-        model, mean = learning.fit_projection(train, vector, axes)
-        out = learning.projected(out, vector, model, mean, "axes").drop(vector)
-    return out, {"features": list(features), "scaler": scaler, "axes": axes if vector else 0}
+        model = projection.fit_projection(train, vector, axes)
+        out = projection.projected(out, vector, model, "axes").drop(vector)
+        metadata |= {"axes": axes, "explained": float(model.explained.sum())}
+    return out, metadata
 
 
 def write_dataset(rows: DataFrame, metadata: dict, path: str) -> None:
@@ -70,5 +72,5 @@ def write_dataset(rows: DataFrame, metadata: dict, path: str) -> None:
     write_by(rows, f"{path}/data", ["split"])
     spark = rows.sparkSession
     scaler = [(c, float(m), float(s)) for c, (m, s) in metadata["scaler"].items()]
-    kind = "features array<string>, scaler array<struct<feature: string, mean: double, deviation: double>>, axes int"
-    spark.createDataFrame([(metadata["features"], scaler, metadata["axes"])], kind).write.mode("overwrite").parquet(f"{path}/metadata")
+    kind = "features array<string>, scaler array<struct<feature: string, mean: double, deviation: double>>, axes int, explained double"
+    spark.createDataFrame([(metadata["features"], scaler, metadata["axes"], metadata["explained"])], kind).write.mode("overwrite").parquet(f"{path}/metadata")

@@ -10,8 +10,6 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,23 +29,6 @@ def scaled(df: DataFrame, scaler: Mapping[str, tuple[float, float]]) -> DataFram
     return df.withColumns({c: (clean(F.col(c)) - F.lit(m)) / F.lit(s) for c, (m, s) in scaler.items()})
 
 
-def fit_projection(train: DataFrame, vector: str, k: int) -> tuple[PCAModel, list[float]]:
-    """Principal axes and the mean to take off first (the model itself does not centre)."""
-    n = train.select(F.size(vector).alias("n")).first()["n"]
-    mean = train.agg(F.array(*(F.avg(F.get(F.col(vector), i).cast("double")) for i in range(n))).alias("m")).first()["m"]
-    centred = train.select(array_to_vector(centre(vector, mean)).alias("_v"))
-    return PCA(k=k, inputCol="_v", outputCol="_p").fit(centred), mean
-
-
-def centre(vector: str, mean: Sequence[float]):
-    return F.transform(F.col(vector), lambda x, i: x.cast("double") - F.get(F.array(*map(F.lit, mean)), i))
-
-
-def projected(df: DataFrame, vector: str, model: PCAModel, mean: Sequence[float], name: str) -> DataFrame:
-    out = model.transform(df.withColumn("_v", array_to_vector(centre(vector, mean))))
-    return out.withColumn(name, vector_to_array("_p")).drop("_v", "_p")
-
-
 def class_weight(df: DataFrame, truth: str) -> float:
     """sqrt(negatives / positives)."""
     row = df.agg(F.sum(F.col(truth).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).first()

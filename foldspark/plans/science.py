@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import half_up
-from foldspark.operators import contacts, graph, kernels, learning, metrics, sequence, spatial, split
+from foldspark.operators import contacts, graph, kernels, learning, metrics, projection, sequence, spatial, split
 from foldspark.plans.registry import query
 from foldspark.session import checkpointed
 from foldspark.sources.tables import read
@@ -453,12 +453,32 @@ def standardize(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("c_custkey", *(half_up(F.col(c)).alias(c) for c in ("c_acctbal", "c_nationkey")))
 
 
+def labelled_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = read(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return rows, split.cluster_split(rows, "label").where("split = 'train'")
+
+
 @query("pca_project")
 def pca_project(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    train = split.cluster_split(rows, "label").where("split = 'train'")
-    model, mean = learning.fit_projection(train, "embedding", 8)
-    return learning.projected(rows, "embedding", model, mean, "axes").select("vec_id", "axes")
+    rows, train = labelled_vectors(spark, sf)
+    model = projection.fit_projection(train, "embedding", 8)
+    return projection.projected(rows, "embedding", model, "axes").select("vec_id", "axes")
+
+
+@query(
+    "pca_variance",
+    "WITH c AS (SELECT DISTINCT label AS k FROM embeddings), n AS (SELECT k, row_number() OVER (ORDER BY md5(k || ':42'), k) - 1 AS r, count(*) OVER () AS n FROM c), "
+    "t AS (SELECT vec_id, embedding FROM embeddings JOIN n ON k = label WHERE r < floor(n * 0.70)), "
+    "x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS k FROM t), "
+    "d AS (SELECT k, var_samp(v) AS s FROM x GROUP BY k) "
+    f"SELECT count(*) AS axes, {_f6('sum(s)')} AS variance, 1.0::DOUBLE AS explained FROM d",
+)
+def pca_variance(spark: SparkSession, sf: str) -> DataFrame:
+    """All axes together have the variance of all dimensions."""
+    rows, train = labelled_vectors(spark, sf)
+    width = rows.select(F.size("embedding")).first()[0]
+    found = projection.variances(rows, projection.fit_projection(train, "embedding", width))
+    return found.agg(F.count(F.lit(1)).alias("axes"), half_up(F.sum("variance")).alias("variance"), half_up(F.sum("explained")).alias("explained"))
 
 
 def learnable(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldspark import schema
 from foldspark.functions import scalar as S
-from foldspark.operators import align, assembly, boosting, contacts, evaluation, graph, kernels, learning, metrics, running, sequence, spatial, split
+from foldspark.operators import align, assembly, boosting, contacts, evaluation, graph, kernels, learning, metrics, projection, running, sequence, spatial, split
 from foldspark.sources import tables
 
 
@@ -366,8 +366,8 @@ def test_scaler_uses_the_population_deviation(spark):
 def test_projection_is_centred(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(5, 1, (60, 4)))], "id int, v array<double>")
-    model, mean = learning.fit_projection(df, "v", 2)
-    axes = np.array([r["p"] for r in learning.projected(df, "v", model, mean, "p").collect()])
+    model = projection.fit_projection(df, "v", 2)
+    axes = np.array([r["p"] for r in projection.projected(df, "v", model, "p").collect()])
     assert np.allclose(axes.mean(axis=0), 0, atol=1e-9)
 
 
@@ -553,8 +553,8 @@ def test_projection_equals_the_singular_vectors(spark):
     rng = np.random.default_rng(17)
     v = rng.normal(size=(80, 5)) * [5, 3, 1, 0.5, 0.1]
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id int, v array<double>")
-    model, mean = learning.fit_projection(df, "v", 3)
-    got = np.array([r["p"] for r in learning.projected(df, "v", model, mean, "p").orderBy("id").collect()])
+    model = projection.fit_projection(df, "v", 3)
+    got = np.array([r["p"] for r in projection.projected(df, "v", model, "p").orderBy("id").collect()])
     centred = v - v.mean(axis=0)
     _, _, axes = np.linalg.svd(centred, full_matrices=False)
     assert np.allclose(np.abs(got), np.abs(centred @ axes[:3].T), atol=1e-8)
@@ -578,6 +578,21 @@ def test_nearest_neighbours_equal_brute_force_at_any_density(spark):
     assert got == pytest.approx(want)
 
 
+def test_randomised_axes_equal_the_singular_vectors_of_many_partitions(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 40)) * np.r_[9.0, 6.0, 4.0, np.full(37, 0.5)] + 3.0
+    table = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*table, (900, None), (901, [1.0]), (902, [None] * 40)], "id int, v array<double>").repartition(70)  # added up in two steps
+    model = projection.fit_projection(df, "v", 3)
+    centred = x - x.mean(0)
+    _, values, rows = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(np.abs(np.sum(model.axes * rows[:3].T, axis=0)), 1.0, atol=1e-9)
+    assert np.allclose(model.variance, values[:3] ** 2 / 599, rtol=1e-9) and model.explained.sum() == pytest.approx((values[:3] ** 2).sum() / (values**2).sum())
+    got = {r["id"]: r["p"] for r in projection.projected(df, "v", model, "p").collect()}
+    assert got[900] is None and got[901] is None and got[902] is None
+    assert np.allclose([got[i] for i in range(600)], centred @ model.axes)
+
+
 def density_by_hand(xyz: np.ndarray, k: int) -> np.ndarray:
     d = np.linalg.norm(xyz[:, None] - xyz[None], axis=2) + np.diag(np.full(len(xyz), np.inf))
     return 1 / (np.sort(d, axis=1)[:, :k].mean(axis=1) + 1e-8)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from foldspark import schema
@@ -122,6 +123,54 @@ def test_stream_skips_what_is_done(spark, tmp_path):
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == [1, 2, 11, 12]
 
 
+def test_a_batch_that_dies_is_published_once(spark, tmp_path, monkeypatch):
+    src, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    df = spark.createDataFrame([(i, "a") for i in range(20)], "k int, v string")
+    df.where("k < 10").write.parquet(src)
+    whole = resume.publish
+    run = lambda: resume.staged(resume.arriving(spark, src, df.schema, 1), lambda d: d, out, ["k"], mark).awaitTermination()
+    keys = lambda: sorted(r["k"] for r in resume.published(spark, out, "1").collect())
+
+    def before(spark, written, target):
+        raise RuntimeError("killed after its write")
+
+    def after(spark, written, target):
+        whole(spark, written, target)
+        raise RuntimeError("killed before the stream notes it")
+
+    for kill in (before, after):
+        monkeypatch.setattr(resume, "publish", kill)
+        with pytest.raises(Exception, match="killed"):
+            run()
+    assert len(list((tmp_path / "out" / "_written").iterdir())) == 1  # left by the first, never read
+    monkeypatch.setattr(resume, "publish", whole)
+    run()
+    assert keys() == list(range(10))
+    df.where("k >= 5").write.mode("append").parquet(src)  # some keys come again
+    run()
+    run()
+    assert keys() == list(range(20))
+
+
+def test_stages_resume_after_the_last_published_one(spark, tmp_path):
+    calls = []
+
+    def step(name, fail=False):
+        def run(rows):
+            calls.append(name)
+            if fail:
+                raise RuntimeError("died")
+            return rows.withColumn("x", F.col("x") + 1)
+
+        return name, run
+
+    first = spark.createDataFrame([(1,)], "x int")
+    with pytest.raises(RuntimeError):
+        resume.resumed(spark, str(tmp_path / "p"), [step("a b"), step("c", fail=True)], first)
+    assert resume.resumed(spark, str(tmp_path / "p"), [step("a b"), step("c"), step("d")], first).first()["x"] == 4
+    assert calls == ["a b", "c", "c", "d"]
+
+
 def test_documents_manifest_and_log(spark, tmp_path):
     rows = spark.createDataFrame([("1ABC", i, "A", 10 + i, "GLY", int(i == 1), 0, 0.123456 * i) for i in range(3)] + [("2DEF", 0, "B", -5, "ALA", 0, 1, 0.5)], "pdb_id string, ord int, chain string, resnum int, resname string, y_true int, is_active_site int, y_prob double")
     documents.write_documents(rows, str(tmp_path))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldspark import schema
 from foldspark.functions.scalar import half_up
-from foldspark.operators import assembly, evaluation, metrics
+from foldspark.operators import assembly, evaluation, metrics, placement
 from foldspark.plans.registry import query
 from foldspark.plans.science import _f6, _ranking_sql
 from foldspark.sources.tables import read
@@ -177,6 +177,13 @@ def largest_first(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.largest_first(sizes, "user_id", "n", 6).select("user_id", "n", "place", "worker")
 
 
+@query("size_placement")
+def size_placement(spark: SparkSession, sf: str) -> DataFrame:
+    """Users to six workers by the number of their events, longest first."""
+    sizes = read(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return placement.placed(sizes, "user_id", F.col("n"), 6)
+
+
 @query(
     "manifest_lines",
     "SELECT to_json({'conv_id': conv_id, 'n_turns': n_turns, 'first_role': first_role}) AS value FROM (SELECT conv_id, count(*) AS n_turns, arg_min(role, (turn, role)) AS first_role FROM conversations GROUP BY conv_id)",

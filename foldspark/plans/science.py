@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import half_up
-from foldspark.operators import contacts, graph, kernels, learning, metrics, projection, sequence, spatial, split
+from foldspark.operators import contacts, graph, kernels, learning, metrics, placement, projection, sequence, spatial, split
 from foldspark.plans.registry import query
 from foldspark.session import checkpointed
 from foldspark.sources.tables import read
@@ -246,7 +246,7 @@ def graph_centralities(spark: SparkSession, sf: str) -> DataFrame:
 def kernel_query(name: str, kernel, columns: list[str]) -> None:
     @query(name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return kernels.per_entity(points(spark, sf, scale=30.0), "e", "id", XYZ, kernel, columns, least=5)
+        return placement.per_entity(points(spark, sf, scale=30.0), "e", "id", XYZ, kernel, columns, least=5)
 
 
 kernel_query("gnm_modes", kernels.fluctuations, ["fluct", "slow", "fast", "stiffness", "ratio"])
@@ -266,7 +266,7 @@ _AREA_SQL = (
 @query("accessible_area", _AREA_SQL)
 def accessible_area(spark: SparkSession, sf: str) -> DataFrame:
     own = points(spark, sf, scale=30.0).withColumn("radius", F.lit(1.7))
-    return kernels.per_entity(own, "e", "id", XYZ, kernels.accessible_area, ["area"], "radius").withColumn("area", half_up(F.col("area")))
+    return placement.per_entity(own, "e", "id", XYZ, kernels.accessible_area, ["area"], "radius").withColumn("area", half_up(F.col("area")))
 
 
 @query("secondary_structure")
@@ -278,7 +278,7 @@ def secondary_structure(spark: SparkSession, sf: str) -> DataFrame:
         n, ca, c, o = (xyz[:, 3 * k : 3 * k + 3] for k in range(4))
         return np.array(["-HE".index(s) for s in kernels.secondary_structure(n, ca, c, o)], float)
 
-    return kernels.per_entity(rows, "e", "id", [f"c{k}" for k in range(12)], code, ["code"])
+    return placement.per_entity(rows, "e", "id", [f"c{k}" for k in range(12)], code, ["code"])
 
 
 # ---- metrics ----------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldspark import schema
 from foldspark.functions import scalar as S
-from foldspark.operators import align, assembly, boosting, contacts, evaluation, graph, kernels, learning, metrics, projection, running, sequence, spatial, split
+from foldspark.operators import align, assembly, boosting, contacts, evaluation, graph, kernels, learning, metrics, placement, projection, running, sequence, spatial, split
 from foldspark.sources import tables
 
 
@@ -563,7 +563,7 @@ def test_projection_equals_the_singular_vectors(spark):
 def test_kernels_say_what_is_too_small(spark):
     rows = [("a", i, float(i), 0.0, 0.0) for i in range(3)] + [("b", i, float(i), float(i % 3), float(i % 2)) for i in range(9)]
     df = spark.createDataFrame(rows, "e string, i int, x double, y double, z double")
-    got = kernels.per_entity(df, "e", "i", ["x", "y", "z"], kernels.fluctuations, ["f", "s", "h", "k", "r"], least=5).collect()
+    got = placement.per_entity(df, "e", "i", ["x", "y", "z"], kernels.fluctuations, ["f", "s", "h", "k", "r"], least=5).collect()
     assert {(r["e"], r["status"], r["f"] is None) for r in got} == {("a", "too small", True), ("b", "ok", False)}
 
 
@@ -593,6 +593,49 @@ def test_randomised_axes_equal_the_singular_vectors_of_many_partitions(spark):
     assert np.allclose([got[i] for i in range(600)], centred @ model.axes)
 
 
+def test_placement_is_within_four_thirds_of_the_best(spark):
+    rng = np.random.default_rng(11)
+    costs = [*map(float, rng.integers(1, 40, 300)), 400.0, 390.0, *[25.0] * 5000]  # some large ones, and a hot size
+    df = spark.createDataFrame(list(enumerate(costs)), "k int, c double").repartition(4)
+    before = placement.RANKED_AT_ONCE
+    placement.RANKED_AT_ONCE = 700  # the hot size is ranked by several tasks
+    try:
+        out = placement.placed(df, "k", F.col("c"), 7).collect()
+    finally:
+        placement.RANKED_AT_ONCE = before
+    assert sorted(r["k"] for r in out) == list(range(len(costs)))
+    load = np.zeros(7)
+    for r in out:
+        load[r["worker"]] += r["c"]
+    best = max(sum(costs) / 7, max(costs))
+    assert load.max() <= 4 / 3 * best
+    few = placement.placed(spark.createDataFrame([(k, c) for k, c in enumerate([9.0, 9.0, 8.0, 3.0, 3.0, 1.0])], "k int, c double"), "k", F.col("c"), 2).collect()
+    assert max(sum(r["c"] for r in few if r["worker"] == w) for w in (0, 1)) <= 4 / 3 * 17
+    assert placement.placed(df.limit(0), "k", F.col("c"), 3).count() == 0
+
+
+def test_equal_items_fill_the_least_loaded():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        load, cost, count = rng.random(5) * 10, float(rng.random() * 3 + 0.1), int(rng.integers(0, 60))
+        own = load.copy()
+        for _ in range(count):
+            own[np.argmin(own)] += cost
+        got = placement.levelled(load, cost, count)
+        assert got.sum() == count and (load + got * cost).max() == pytest.approx(max(own.max(), load.max()) if count else load.max())
+
+
+def test_kernels_run_on_whole_entities_wherever_batches_end(spark):
+    rows = [(e, i, float(i), 0.0, 0.0) for e, n in enumerate([1, 40, 3, 500, 7]) for i in range(n)]
+    df = spark.createDataFrame(rows, "e int, i int, x double, y double, z double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = placement.per_entity(df, "e", "i", ["x", "y", "z"], lambda xyz: np.full(len(xyz), xyz[:, 0].sum()), ["total"], workers=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["e"], r["i"]): r["total"] for r in got} == {(e, i): float(sum(range(n))) for e, n in enumerate([1, 40, 3, 500, 7]) for i in range(n)}
+
+
 def density_by_hand(xyz: np.ndarray, k: int) -> np.ndarray:
     d = np.linalg.norm(xyz[:, None] - xyz[None], axis=2) + np.diag(np.full(len(xyz), np.inf))
     return 1 / (np.sort(d, axis=1)[:, :k].mean(axis=1) + 1e-8)

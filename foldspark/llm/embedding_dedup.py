@@ -54,8 +54,9 @@ GRID_DIMS, BOX_DIMS = 8, 12
 BOX = BOX_DIMS + 2
 FANOUT = 16
 LEAF = 256
-#: There are at least so many blocks, and a block has so many vectors at most.
-BLOCKS, BLOCK_ROWS = 8, 65_536
+#: There are at least so many blocks, and a block has so many vectors, and bytes
+#: of them in double precision, at most.
+BLOCKS, BLOCK_ROWS, BLOCK_BYTES = 8, 65_536, 32 << 20
 #: Columns compared with a leaf at once.
 TILE = 8192
 #: Lengths of vectors that have their own axes.
@@ -290,8 +291,9 @@ def joined(vectors: DataFrame, kind: str, cosine: float, block_rows: int, sample
     names = [f"_c{j}" for j in range(GRID_DIMS + 1)]
     layout = f"_id long, _size long, _vector array<{kind}>, " + ", ".join(f"{c} int" for c in names)
     placed = vectors.select("_id", "_size", "_vector").mapInArrow(gridded(axes, eps), layout)
-    n_blocks = max(BLOCKS, -(-vectors.count() // block_rows))
-    n_rows = -(-vectors.count() // n_blocks)
+    n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_vector")), F.lit(1))).first()
+    n_blocks = max(BLOCKS, -(-n // max(1, min(block_rows, BLOCK_BYTES // (8 * width)))))
+    n_rows = -(-n // n_blocks)
     ordered = placed.repartitionByRange(*names, "_id").sortWithinPartitions(*names, "_id").select("_id", "_size", "_vector").coalesce(n_blocks)
     blocks = cut(ordered.mapInArrow(intervals(axes, max(1, n_rows)), "part int, seq int, width int, ids binary, sizes binary, vectors binary, low array<double>, high array<double>"))
     # the rank of a block: its place in its partition, after all earlier ones

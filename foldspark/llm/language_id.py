@@ -35,13 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm._common import cut, prepare
-from foldspark.llm.token_counts import portions
 from foldspark.llm.words import _STEPS, mixed
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
+#: Characters held at once; fewer if there are many languages to score.
+CHARACTERS = 1 << 19
 
 
 @cache
@@ -50,11 +51,10 @@ def letters() -> np.ndarray:
 
 
 def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order, the bucket at every character (``BUCKETS`` where the
+    """Of lower-cased texts: for each order, the bucket at every character (``BUCKETS`` where the
     n-gram would leave its text); where texts begin; which have a letter."""
-    lowered = [t.lower() for t in texts]
-    chars = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.r_[0, np.cumsum([len(t) for t in lowered])].astype(np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
     row = np.repeat(np.arange(len(texts)), np.diff(at))
     wide = chars.astype(np.uint64)
     buckets = []
@@ -74,6 +74,38 @@ def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
     return buckets, at, lettered
 
 
+def pieces(texts: pa.Array, most: int) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """(rows, pieces, own): lower-cased texts, the long ones cut into pieces of
+    ``most`` characters and the two after them, of which the first ``own``
+    begin n-grams here; about ``most`` characters at a time."""
+    rows: list[int] = []
+    held: list[str] = []
+    owns: list[int] = []
+    size = 0
+    for row, text in enumerate(texts.to_pylist()):
+        whole = (text or "").lower()
+        for begin in range(0, max(1, len(whole)), most):
+            rows.append(row)
+            held.append(whole[begin : begin + most + max(ORDERS) - 1])
+            owns.append(min(most, len(whole) - begin))
+            size += owns[-1]
+            if size >= most:
+                yield rows, held, owns
+                rows, held, owns, size = [], [], [], 0
+    if held:
+        yield rows, held, owns
+
+
+def own_features(held: list[str], owns: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """``features`` without the n-grams that begin in the piece after."""
+    buckets, at, lettered = features(held)
+    for k, (text, own) in enumerate(zip(held, owns, strict=True)):
+        if len(text) > own:
+            for b in buckets:
+                b[at[k] + own : at[k] + len(text)] = BUCKETS
+    return buckets, at, lettered
+
+
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of rows ``at[i]`` to ``at[i + 1]``; empty stretches give 0."""
     out = np.zeros((len(at) - 1, *values.shape[1:]), values.dtype)
@@ -88,8 +120,8 @@ def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         labels = np.array(batch.column(1).to_pylist(), object)
-        for rows, texts in portions(batch.column(0)):
-            buckets, at, _ = features(texts)
+        for rows, held, owns in pieces(batch.column(0), CHARACTERS):
+            buckets, at, _ = own_features(held, owns)
             own = labels[rows]
             for label in set(own.tolist()):
                 chosen = np.repeat(own == label, np.diff(at))
@@ -123,12 +155,14 @@ def fit(counts: DataFrame, names: list[str]) -> np.ndarray:
     return total
 
 
-def scores(texts: list[str], prior: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scores(texts: pa.Array, prior: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log scores (text by language), and which texts have a letter."""
-    buckets, at, lettered = features(texts)
-    score = np.repeat(prior[None, :], len(texts), axis=0)
-    for b in buckets:
-        score += sums(matrix[b], at)
+    score, lettered = np.repeat(prior[None, :], len(texts), axis=0), np.zeros(len(texts), bool)
+    for rows, held, owns in pieces(texts, max(1 << 12, CHARACTERS * 4 // len(prior))):
+        buckets, at, found = own_features(held, owns)
+        for b in buckets:
+            np.add.at(score, rows, sums(matrix[b], at))
+        np.logical_or.at(lettered, rows, found)
     return score, lettered
 
 
@@ -164,20 +198,17 @@ def identify(
             names, prior, matrix = model.value
             for batch in batches:
                 best, top, total = (batch.column(width + i).to_pylist() for i in range(3))
-                for rows, own in joined_portions(batch.column(at)):
-                    score, lettered = scores(own, prior, matrix)
-                    peak, high = score.argmax(axis=1), score.max(axis=1)
-                    share = np.exp(score - high[:, None]).sum(axis=1)
-                    for k, row in enumerate(rows):
-                        if not lettered[k]:
-                            continue
-                        if top[row] is None:
-                            best[row], top[row], total[row] = names[peak[k]], float(high[k]), float(share[k])
-                        elif high[k] > top[row]:  # of equals, the one that sorts first
-                            best[row], total[row] = names[peak[k]], float(share[k] + total[row] * np.exp(top[row] - high[k]))
-                            top[row] = float(high[k])
-                        else:
-                            total[row] += float(share[k] * np.exp(high[k] - top[row]))
+                score, lettered = scores(batch.column(at), prior, matrix)
+                peak, high = score.argmax(axis=1), score.max(axis=1)
+                share = np.exp(score - high[:, None]).sum(axis=1)
+                for row in np.flatnonzero(lettered).tolist():
+                    if top[row] is None:
+                        best[row], top[row], total[row] = names[peak[row]], float(high[row]), float(share[row])
+                    elif high[row] > top[row]:  # of equals, the one that sorts first
+                        best[row], total[row] = names[peak[row]], float(share[row] + total[row] * np.exp(top[row] - high[row]))
+                        top[row] = float(high[row])
+                    else:
+                        total[row] += float(share[row] * np.exp(high[row] - top[row]))
                 carried = [pa.array(best, pa.string()), pa.array(top, pa.float64()), pa.array(total, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *carried], batch.schema.names)
 
@@ -191,18 +222,3 @@ def identify(
         out = out.mapInArrow(scored(spark.sparkContext.broadcast((own, np.array([p for _, p in block]), fit(counts, own)))), schema)
     return out.select(*(F.col(f"`{n}`") for n in docs.columns), F.col("__lid_best").alias("lang_pred"), F.coalesce(1 / F.col("__lid_total"), F.lit(0.0)).alias("score"))
 
-
-def joined_portions(texts: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
-    """Portions of whole texts."""
-    rows: list[int] = []
-    held: list[str] = []
-    size = 0
-    for row, text in enumerate(texts.to_pylist()):
-        rows.append(row)
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= 1 << 19:
-            yield rows, held
-            rows, held, size = [], [], 0
-    if held:
-        yield rows, held

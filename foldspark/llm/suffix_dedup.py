@@ -505,7 +505,9 @@ def whole_copies(owned: DataFrame) -> DataFrame:
         "__sx_doc", F.hash("__sx_text").alias("__sx_print"), F.octet_length("__sx_text").cast("long").alias("__sx_size"), F.xxhash64("__sx_text").alias("h1"), F.xxhash64(F.lit(1), "__sx_text").alias("h2")
     )
     held = digests.groupBy("h1", "h2").agg(F.min("__sx_doc").alias("least"), F.max("__sx_doc").alias("most")).where("least < most").drop("most")
-    return cut(digests.join(held, ["h1", "h2"]).where("__sx_doc > least").select("__sx_doc", "__sx_print", "__sx_size").distinct())
+    # nothing above the join needs a text's documents together, so a hot text is split
+    found = cut(digests.join(held, ["h1", "h2"]).where("__sx_doc > least").select("__sx_doc", "__sx_print", "__sx_size"))
+    return found.distinct()
 
 
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 50, hot: int = HOT_DOCS) -> DataFrame:

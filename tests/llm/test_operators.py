@@ -3,9 +3,11 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from foldspark.llm import embedding_dedup, language_id
 from foldspark.llm import quality_rules as rules
 from foldspark.llm.components import components
 from foldspark.llm.embedding_dedup import axes_of, near_duplicates, near_leaves, turned, unit
@@ -214,6 +216,17 @@ def test_clustered_vectors_are_mostly_skipped():
         assert ((x[:, None] - y[None]) ** 2).sum(axis=2).min() > eps**2
 
 
+def test_wide_embeddings_are_blocked_by_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    centre = rng.normal(size=(10, 1536))
+    own = centre[rng.integers(0, 10, 90)] + rng.normal(scale=0.2, size=(90, 1536))
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 8 * 1536 * 7)  # seven vectors a block
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(df).collect()}
+    u = unit(own)
+    assert got == dict(enumerate(((u @ u.T) >= 0.95).sum(axis=1) - 1))
+
+
 def test_embeddings_over_many_leaves_and_blocks(spark):
     rng = np.random.default_rng(14)
     centre = rng.normal(size=(60, 24))
@@ -374,6 +387,40 @@ def test_language_id(spark, docs, empty):
     assert identify(empty, F.lit(True)).count() == 0
 
 
+def test_pieces_of_long_texts_have_the_n_grams_of_the_whole():
+    rng = np.random.default_rng(21)
+    texts = pa.array(["", None, "a", "AB", "\u039f\u03a3 \u0130x", *("".join(rng.choice(list("abc \u00c9\u03a3"), int(n))) for n in rng.integers(0, 300, 12))])
+    for most in (1, 2, 3, 7, 64, 10_000):
+        got, lettered = np.zeros((len(texts), language_id.BUCKETS + 1), int), np.zeros(len(texts), bool)
+        for rows, held, owns in language_id.pieces(texts, most):
+            assert sum(map(len, held)) <= 2 * most + 300
+            buckets, at, found = language_id.own_features(held, owns)
+            np.logical_or.at(lettered, rows, found)
+            for b in buckets:
+                np.add.at(got, (np.repeat(rows, np.diff(at)), b), 1)
+        for row, text in enumerate(texts.to_pylist()):
+            buckets, _, found = language_id.features([(text or "").lower()])
+            want = sum(np.bincount(b, minlength=language_id.BUCKETS + 1) for b in buckets)
+            assert (got[row, :-1] == want[:-1]).all() and lettered[row] == found[0]
+
+
+def test_language_of_very_long_texts(spark):
+    long = {1: "der die das und nicht " * 100_000, 2: "the and of that with " * 100_000}
+    rows = [(i + 10, ("der die das und nicht ein schule " if i % 2 else "the and of that with is school ") * 3, "de" if i % 2 else "en") for i in range(40)]
+    df = spark.createDataFrame([*rows, *((i, t, None) for i, t in long.items())], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(df, F.lit(True)).collect()}
+    assert got[1] == ("de", 1.0) and got[2] == ("en", 1.0)
+
+
+def test_language_of_odd_rows(spark, docs):
+    got = bag(identify(docs, F.lit(True)).select("doc_id", "lang_pred", "lang").collect())
+    assert sum(got.values()) == len(PAIRS) and {(6, "und"), (7, "und"), (8, "und"), (16, "und")} <= {k[:2] for k in got}
+    assert all(pred in ("de", "en") for (i, pred, _) in got if i not in (6, 7, 8, 16))
+    tied = spark.createDataFrame([(1, "abc", "zz"), (2, "abc", "yy"), (3, "cba", None), (4, "cba", None)], "doc_id long, text string, lang string")
+    for k in (64, 1):  # equal scores, in one block of languages and across blocks
+        assert {r["lang_pred"] for r in identify(tied, F.lit(True), languages=k).collect()} == {"yy"}
+
+
 def test_language_scores_equal_naive_bayes_in_plain_python(spark):
     rng = np.random.default_rng(20)
     letters = {"xx": "aabbccdd éß", "yy": "aaccddee fñ", "zz": "abcdefgh 🙂"}

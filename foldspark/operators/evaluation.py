@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.operators.metrics import nested_strata
+from foldspark.operators.metrics import best_threshold, confusion, nested_strata, ranking, threshold_scores
 from foldspark.operators.sequence import positions
 
 
@@ -31,6 +31,22 @@ def report(rows: DataFrame, homology: DataFrame, entity: str, score: str, truth:
     return with_baseline(nested_strata(with_homology(rows, homology, entity), "max_identity", limits, score, truth))
 
 
+def model_report(scored: DataFrame, split: str, truth: str, score: str, *, chosen_on: str = "val") -> DataFrame:
+    """(split, n, positives, auroc, ap, baseline, lift, threshold, tn, fp, fn,
+    tp, precision, recall, f1, mcc): how a model does on each part, at the
+    threshold of greatest F1 on the part ``chosen_on``.  A score of at least
+    the threshold counts as positive; without one (the part is empty or has no
+    positives) the columns from ``threshold`` on are null."""
+    chosen = best_threshold(scored.where(F.col(split) == chosen_on), [], score, truth).first()
+    ranks = with_baseline(ranking(scored, [split], score, truth))
+    if chosen is None:
+        whole = {c: F.lit(None).cast("long") for c in ("tn", "fp", "fn", "tp")}
+        return ranks.withColumns({"threshold": F.lit(None).cast("double"), **whole, **{c: F.lit(None).cast("double") for c in ("precision", "recall", "f1", "mcc")}})
+    table = confusion(scored, [split], truth, F.col(score).cast("double") >= chosen["threshold"])
+    made = threshold_scores(*(F.col(c) for c in ("tn", "fp", "fn", "tp")))
+    return ranks.join(table.withColumn("threshold", F.lit(chosen["threshold"])).select(split, "threshold", "tn", "fp", "fn", "tp").withColumns(made), split)
+
+
 def counts_by_threshold(rows: DataFrame, value: str, limits: Sequence[float]) -> DataFrame:
     """(threshold, below, at_least), nulls left out, from one aggregate."""
     col = F.col(value)

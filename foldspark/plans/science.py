@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import half_up
-from foldspark.operators import contacts, graph, kernels, learning, metrics, placement, projection, sequence, spatial, split
+from foldspark.operators import contacts, evaluation, graph, kernels, learning, metrics, placement, projection, sequence, spatial, split
 from foldspark.plans.registry import query
 from foldspark.session import checkpointed
 from foldspark.sources.tables import read
@@ -512,6 +512,13 @@ def tuned_scores(spark: SparkSession, sf: str) -> DataFrame:
     return learning.tree_scores(rows, model, features).select("doc_id", "split", "quality", "y_prob")
 
 
+@query("tuned_report")
+def tuned_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The best trial fitted again, its threshold from the validation part, and
+    how it does on every part."""
+    return evaluation.model_report(checkpointed(tuned_scores(spark, sf)), "split", "quality", "y_prob")
+
+
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Shares of the gain of all splits, greatest first."""

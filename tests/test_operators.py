@@ -593,6 +593,28 @@ def test_randomised_axes_equal_the_singular_vectors_of_many_partitions(spark):
     assert np.allclose([got[i] for i in range(600)], centred @ model.axes)
 
 
+def test_model_report_chooses_the_threshold_on_the_validation_part(spark):
+    rng = np.random.default_rng(31)
+    rows = [(p, int(t), float(np.clip(0.3 * t + rng.normal(0.4, 0.2), 0, 1))) for p, n in (("train", 200), ("val", 120), ("test", 80)) for t in rng.integers(0, 2, n)]
+    df = spark.createDataFrame(rows, "split string, t int, s double")
+    got = {r["split"]: r for r in evaluation.model_report(df, "split", "t", "s").collect()}
+    val = [(t, s) for p, t, s in rows if p == "val"]
+
+    def f1(at, part):
+        tp, fp, fn = (sum(1 for t, s in part if (t, s >= at) == c) for c in ((1, True), (0, True), (1, False)))
+        return 2 * tp / (2 * tp + fp + fn)
+
+    best = max(f1(s, val) for _, s in val)
+    for part in ("train", "val", "test"):
+        own = [(t, s) for p, t, s in rows if p == part]
+        assert got[part]["threshold"] == got["val"]["threshold"] and got[part]["f1"] == pytest.approx(f1(got["val"]["threshold"], own))
+        assert got[part]["auroc"] == pytest.approx(np.mean([(a > b) + (a == b) / 2 for t, a in own if t for u, b in own if not u]))
+        assert got[part]["tn"] + got[part]["fp"] + got[part]["fn"] + got[part]["tp"] == len(own)
+    assert got["val"]["f1"] == pytest.approx(best)
+    bare = evaluation.model_report(df.where("split = 'test'"), "split", "t", "s").first()
+    assert bare["threshold"] is None and bare["f1"] is None and bare["auroc"] == pytest.approx(got["test"]["auroc"])
+
+
 def test_placement_is_within_four_thirds_of_the_best(spark):
     rng = np.random.default_rng(11)
     costs = [*map(float, rng.integers(1, 40, 300)), 400.0, 390.0, *[25.0] * 5000]  # some large ones, and a hot size

@@ -68,7 +68,7 @@ def residues(df: DataFrame, ident: str, sequence: str) -> DataFrame:
 def words(df: DataFrame, ident: str, text: str, stem: int = 6) -> DataFrame:
     """(id, letters, classes) of texts as sequences of words; words that agree
     in their first letters, case aside, are similar."""
-    found = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    found = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")
     split = df.select(F.col(ident).alias("id"), found.alias("w"))
     return split.select("id", F.transform("w", lambda w: F.hash(w)).alias("letters"), F.transform("w", lambda w: F.hash(F.lower(F.left(w, F.lit(stem))))).alias("classes"))
 
@@ -163,12 +163,26 @@ def aligner(s: Scoring):
     return run
 
 
-def aligned(pairs: DataFrame, left: DataFrame, right: DataFrame, scoring: Scoring) -> DataFrame:
+def letters_of(sequences: DataFrame, wanted: DataFrame, few: int) -> DataFrame:
+    """(id, letters), one row an id, of the wanted ids; a counted few are
+    picked where the sequences are read."""
+    wanted = checkpointed(wanted.distinct())
+    picked = F.broadcast(wanted) if wanted.count() <= few else wanted
+    return sequences.select("id", "letters").join(picked, "id", "left_semi").dropDuplicates(["id"])
+
+
+def aligned(pairs: DataFrame, left: DataFrame, right: DataFrame, scoring: Scoring, few: int = BROADCAST_SEEDS) -> DataFrame:
     """(a, b, score, identity, cover_a, cover_b) of pairs (a, b, diagonal)."""
     ship_package(pairs.sparkSession)
+    pairs = checkpointed(pairs)
     kinds = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
-    with_a = pairs.join(left.select(F.col("id").alias("a"), F.col("letters").alias("a_letters")), "a")
-    both = with_a.join(right.select(F.col("id").alias("b"), F.col("letters").alias("b_letters")), "b")
+    sides = [pairs.select(F.col(c).alias("id")) for c in "ab"]
+    if left is right:
+        own = other = checkpointed(letters_of(left, sides[0].unionByName(sides[1]), few))
+    else:
+        own, other = letters_of(left, sides[0], few), letters_of(right, sides[1], few)
+    with_a = pairs.join(own.select(F.col("id").alias("a"), F.col("letters").alias("a_letters")), "a")
+    both = with_a.join(other.select(F.col("id").alias("b"), F.col("letters").alias("b_letters")), "b")
     # like lengths side by side, as a batch takes as many steps as its longest pair
     rows = both.select("a", "b", "a_letters", "b_letters", "diagonal").sortWithinPartitions(F.size("a_letters"))
     return rows.mapInArrow(aligner(scoring), f"a {kinds[0]}, b {kinds[1]}, score long, identity double, cover_a double, cover_b double")
@@ -217,25 +231,36 @@ def search(queries: DataFrame, targets: DataFrame, *, k: int = 3, drift: int = 8
 # ---- clusters ---------------------------------------------------------------
 
 
-def distinct_sequences(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sequences that differ, each by its least id; and (id, least) of all."""
+def twins(sequences: DataFrame) -> DataFrame:
+    """(id, least, n): the least id of an equal sequence, and the length."""
     # a leading constant makes the second digest independent of the first
-    print_of = [F.xxhash64("letters").alias("h1"), F.xxhash64(F.lit(1), "letters").alias("h2")]
-    named = sequences.where(F.col("id").isNotNull()).select("id", *print_of)
-    least = named.groupBy("h1", "h2").agg(F.min("id").alias("least"))
-    twins = named.join(least, ["h1", "h2"]).select("id", "least").distinct()
-    kept = sequences.join(least.select(F.col("least").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    return kept.where(F.size("letters") > 0), twins
+    print_of = [F.xxhash64("letters").alias("h1"), F.xxhash64(F.lit(1), "letters").alias("h2"), F.size("letters").alias("n")]
+    named = checkpointed(sequences.where(F.col("id").isNotNull()).select("id", *print_of))
+    least = named.groupBy("h1", "h2", "n").agg(F.min("id").alias("least"))
+    return checkpointed(named.join(least, ["h1", "h2", "n"]).select("id", "least", "n")).distinct()
 
 
-def candidate_pairs(sequences: DataFrame, k: int, seeds: int, cover: float) -> DataFrame:
+def seeds_of(sequences: DataFrame, k: int, seeds: int) -> DataFrame:
+    """(id, n, h, p): about ``seeds`` k-mers of each sequence, those of least
+    hash; the share of hashes kept follows the length, so like sequences keep
+    the same.  No sequence is sorted."""
+    n = F.size("letters")
+    share = F.least(F.lit(1.0), F.lit(float(seeds)) / F.greatest(n - k + 1, F.lit(1)))
+    limit = (share * F.lit(float((1 << 63) - 1))).cast("long")
+    low = lambda x: F.call_function("shiftrightunsigned", x["h"], F.lit(1))
+    every = sequences.where(n >= k).select("id", n.alias("n"), kmers(k).alias("all"), limit.alias("limit"))
+    kept = F.array_append(F.filter("all", lambda x: low(x) <= F.col("limit")), F.array_min("all"))
+    return every.select("id", "n", F.inline(kept)).distinct()
+
+
+def candidate_pairs(sequences: DataFrame, known: DataFrame, k: int, seeds: int, cover: float) -> DataFrame:
     """(a, b, diagonal): sequences with the longest one of a k-mer and class of
     length; b is the longer.  Lengths of a class differ by a factor 1 / cover,
-    and each sequence also meets the class above its own."""
-    n = F.size("letters")
-    some = F.slice(F.array_sort(F.array_distinct(kmers(k))), 1, seeds)
-    own = F.floor(F.log(n.cast("double")) / float(-np.log(cover))).cast("int")
-    sent = sequences.select("id", n.alias("n"), own.alias("own"), F.inline(some)).withColumn("kind", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    and each sequence also meets the class above its own.  Of equal sequences
+    (``known``: ``twins``) only the one of least id is sent."""
+    own = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(cover))).cast("int")
+    once = seeds_of(sequences, k, seeds).join(known.where("id = least").select("id"), "id", "left_semi")
+    sent = once.withColumn("own", own).withColumn("kind", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     first = F.struct(-F.col("n"), F.col("id"))
     longest = sent.where("kind = own").groupBy("h", "kind").agg(F.min_by(F.struct("id", "p"), first).alias("top"))
     met = sent.join(longest, ["h", "kind"]).where(F.col("id") != F.col("top.id"))
@@ -273,17 +298,17 @@ def set_cover(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return heads.select("id", F.col("id").alias("cluster")).unionByName(owner.select(F.col("v").alias("id"), "cluster"))
 
 
-def cluster_links(sequences: DataFrame, *, k: int = 3, seeds: int = 20, least_identity: float = 0.3, least_cover: float = 0.8, scoring: Scoring = Scoring()) -> DataFrame:
+def cluster_links(sequences: DataFrame, known: DataFrame, *, k: int = 3, seeds: int = 20, least_identity: float = 0.3, least_cover: float = 0.8, scoring: Scoring = Scoring()) -> DataFrame:
     """Aligned pairs of distinct sequences, identical and covering enough."""
-    pairs = checkpointed(candidate_pairs(sequences, k, seeds, least_cover))
-    found = aligned(pairs, sequences, sequences, scoring)
+    found = aligned(candidate_pairs(sequences, known, k, seeds, least_cover), sequences, sequences, scoring)
     return found.where((F.col("identity") >= least_identity) & (F.col("cover_a") >= least_cover) & (F.col("cover_b") >= least_cover))
 
 
 def sequence_clusters(sequences: DataFrame, *, k: int = 3, seeds: int = 20, least_identity: float = 0.3, least_cover: float = 0.8, scoring: Scoring = Scoring()) -> DataFrame:
-    """(id, cluster): clusters are named by their representative's id."""
-    differ, twins = distinct_sequences(sequences)
-    differ, twins = checkpointed(differ), checkpointed(twins)
-    links = cluster_links(differ, k=k, seeds=seeds, least_identity=least_identity, least_cover=least_cover, scoring=scoring)
-    found = set_cover(differ.select("id", F.size("letters").alias("n")), links)
-    return twins.join(found.withColumnRenamed("id", "least"), "least", "left").select("id", F.coalesce("cluster", "least").alias("cluster"))
+    """(id, cluster): clusters are named by their representative's id.  Empty
+    sequences are clusters of their own; a row without an id is in none."""
+    known = twins(sequences)
+    links = cluster_links(sequences, known, k=k, seeds=seeds, least_identity=least_identity, least_cover=least_cover, scoring=scoring)
+    found = set_cover(known.where("id = least and n > 0").select("id", "n"), links)
+    joined = known.join(found.withColumnRenamed("id", "least"), "least", "left")
+    return joined.select("id", F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("cluster", "least")).alias("cluster"))

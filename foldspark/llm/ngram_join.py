@@ -37,7 +37,7 @@ text is handled whole; rows that share an id stay rows of their own but share
 their least id as documents do when their sets link; an empty table gives an
 empty table; other input columns are ignored, whatever their names.
 
-Shape at scale: three scans.  Tokens of a task are combined before they are
+Shape at scale: four scans.  Tokens of a task are combined before they are
 sent, so that a token in a third of all documents is one record a task, and
 packed by exchange group.  Blocks of a list are bounded on both sides.  Texts
 of nodes that a candidate pair holds are shuffled once, compressed; the sketch

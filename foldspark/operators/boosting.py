@@ -56,18 +56,20 @@ class Trees:
         return total / total.sum() if total.sum() > 0 else total
 
 
-def auroc(truth: np.ndarray, score: np.ndarray) -> float:
-    """Pairs won, ties half; 0.5 for a single class."""
+def auroc(truth: np.ndarray, score: np.ndarray, times: np.ndarray | None = None) -> float:
+    """Pairs won, ties half; 0.5 for a single class.  ``times``: how often a row counts."""
     values, at = np.unique(score, return_inverse=True)
-    pos, neg = (np.bincount(at, weights=truth == t, minlength=len(values)) for t in (1, 0))
+    times = np.ones(len(score)) if times is None else times
+    pos, neg = (np.bincount(at, weights=(truth == t) * times, minlength=len(values)) for t in (1, 0))
     pairs = pos.sum() * neg.sum()
     return float((pos * (np.cumsum(neg) - neg / 2)).sum() / pairs) if pairs else 0.5
 
 
-def average_precision(truth: np.ndarray, score: np.ndarray) -> float:
-    """The step-wise area; 0 without positives."""
+def average_precision(truth: np.ndarray, score: np.ndarray, times: np.ndarray | None = None) -> float:
+    """The step-wise area; 0 without positives.  ``times``: how often a row counts."""
     values, at = np.unique(-score, return_inverse=True)
-    pos, n = np.bincount(at, weights=truth, minlength=len(values)), np.bincount(at, minlength=len(values))
+    times = np.ones(len(score)) if times is None else times
+    pos, n = np.bincount(at, weights=truth * times, minlength=len(values)), np.bincount(at, weights=times, minlength=len(values))
     return float((pos * np.cumsum(pos) / np.cumsum(n)).sum() / pos.sum()) if pos.sum() else 0.0
 
 
@@ -80,6 +82,22 @@ def edges_of(column: np.ndarray) -> np.ndarray:
     return values[1:]
 
 
+def distinct(x: np.ndarray, truth: np.ndarray, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that no tree tells apart, once each: their bins, one of their rows,
+    truth, and how many they are."""
+    bins = np.column_stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(edges)]).astype(np.int64)
+    key = truth.astype(np.int64)
+    for f in range(bins.shape[1]):  # named anew for each feature, so that no key overflows
+        key = np.unique(key * (BINS + 1) + bins[:, f], return_inverse=True)[1]
+    _, first, times = np.unique(key, return_index=True, return_counts=True)
+    return bins[first], x[first], truth[first], times
+
+
+def drawn(rng: np.random.Generator, times: np.ndarray, n: int) -> np.ndarray:
+    """How many of each kind a draw of ``n`` rows without replacement has."""
+    return times if n >= times.sum() else rng.multivariate_hypergeometric(times, n, method="marginals")
+
+
 def soft(g: np.ndarray, alpha: float) -> np.ndarray:
     return np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0)
 
@@ -145,29 +163,35 @@ def fit(
 ) -> Trees:
     """Up to ``rounds`` trees, cut to the prefix of greatest average precision
     on the held rows (all of them, if none are held) before ``patience`` rounds
-    without gain.  ``min_child`` bounds the sum of second derivatives."""
+    without gain.  ``min_child`` bounds the sum of second derivatives.
+
+    Trees see bins only, so rows of equal bins and truth are one row that
+    counts several times; a round's cost follows the distinct ones."""
     base = 0.0
     model = Trees(base, [])
     if not len(x):
         return model
     rng = np.random.default_rng(seed)
     edges = [edges_of(x[:, f]) for f in range(x.shape[1])]
-    bins = np.column_stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(edges)]).astype(np.int64)
+    n_rows = max(1, int(subsample * len(x)))
+    bins, x, truth, times = distinct(x, truth, edges)
+    _, x_held, truth_held, times_held = distinct(x_held, truth_held, edges)
     w = np.where(truth == 1, weight, 1.0)
     margin, margin_held = np.full(len(x), base), np.full(len(x_held), base)
     best, best_at = -1.0, 0
-    n_columns, n_rows = max(1, int(columns * x.shape[1])), max(1, int(subsample * len(x)))
+    n_columns = max(1, int(columns * x.shape[1]))
     for k in range(rounds):
         p = 1.0 / (1.0 + np.exp(-margin))
-        g, h = w * (p - truth), w * p * (1 - p)
-        rows = np.sort(rng.permutation(len(x))[:n_rows])
+        taken = drawn(rng, times, n_rows)
+        g, h = taken * w * (p - truth), taken * w * p * (1 - p)
+        rows = np.flatnonzero(taken)
         chosen = np.sort(rng.permutation(x.shape[1])[:n_columns])
         tree = grown(bins, edges, g, h, rows, chosen, depth, rate, min_child, gamma, alpha, lam)
         model.trees.append(tree)
         margin += tree.scores(x)
         if len(x_held):
             margin_held += tree.scores(x_held)
-            ap = average_precision(truth_held, margin_held)
+            ap = average_precision(truth_held, margin_held, times_held)
             if ap > best + 1e-12:
                 best, best_at = ap, k + 1
             elif k + 1 - best_at >= patience:

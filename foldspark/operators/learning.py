@@ -145,13 +145,14 @@ def search(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, x = [], shared.value[0]
+            edges = [boosting.edges_of(x[:, f]) for f in range(x.shape[1])] if len(x) else [np.zeros(0)] * x.shape[1]
+            _, held, truth_of, times = boosting.distinct(*shared.value[2:], edges)
             for row in batch.to_pylist():
                 params = {n: row[n] for n in ("depth", "rate", "min_child", "gamma", "subsample", "columns", "alpha", "lam", "weight")}
                 model = boosting.fit(*shared.value, rounds=rounds, patience=patience, seed=seed, **params)
-                scores = model.probability(shared.value[2])
-                truth_of = shared.value[3]
-                out.append(row | {"ap": boosting.average_precision(truth_of, scores), "auroc": boosting.auroc(truth_of, scores), "n_trees": len(model.trees)})
+                scores = model.probability(held)
+                out.append(row | {"ap": boosting.average_precision(truth_of, scores, times), "auroc": boosting.auroc(truth_of, scores, times), "n_trees": len(model.trees)})
             yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(layout))
 
     layout = spark.createDataFrame([], TRIALS).schema

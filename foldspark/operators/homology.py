@@ -259,7 +259,8 @@ def candidate_pairs(sequences: DataFrame, known: DataFrame, k: int, seeds: int,
     and each sequence also meets the class above its own.  Of equal sequences
     (``known``: ``twins``) only the one of least id is sent."""
     own = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(cover))).cast("int")
-    once = seeds_of(sequences, k, seeds).join(known.where("id = least").select("id"), "id", "left_semi")
+    # read twice below: kept, as texts would be split and hashed again
+    once = checkpointed(seeds_of(sequences, k, seeds).join(known.where("id = least").select("id"), "id", "left_semi"))
     sent = once.withColumn("own", own).withColumn("kind", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     first = F.struct(-F.col("n"), F.col("id"))
     longest = sent.where("kind = own").groupBy("h", "kind").agg(F.min_by(F.struct("id", "p"), first).alias("top"))

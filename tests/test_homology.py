@@ -149,3 +149,11 @@ def test_empty_tables(spark):
     assert homology.sequence_clusters(none).count() == 0
     assert homology.search(none, none).count() == 0 and homology.search(some, none).count() == 0
     assert dict(homology.sequence_clusters(some).collect()) == {1: 1, 2: 2}
+
+
+def test_seeds_are_made_once(spark, families):
+    """Both readers of the seeds get them kept: neither splits texts again."""
+    seqs = homology.residues(spark.createDataFrame(families, "id long, seq string"), "id", "seq")
+    pairs = homology.candidate_pairs(seqs, homology.twins(seqs), 5, 40, 0.8)
+    assert "xxhash64" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count() > 0

@@ -82,20 +82,31 @@ def edges_of(column: np.ndarray) -> np.ndarray:
     return values[1:]
 
 
-def distinct(x: np.ndarray, truth: np.ndarray, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def distinct(x: np.ndarray, truth: np.ndarray, edges: list[np.ndarray], times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows that no tree tells apart, once each: their bins, one of their rows,
-    truth, and how many they are."""
+    truth, and how many they are.  ``times``: how often a given row counts."""
     bins = np.column_stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(edges)]).astype(np.int64)
     key = truth.astype(np.int64)
     for f in range(bins.shape[1]):  # named anew for each feature, so that no key overflows
         key = np.unique(key * (BINS + 1) + bins[:, f], return_inverse=True)[1]
-    _, first, times = np.unique(key, return_index=True, return_counts=True)
-    return bins[first], x[first], truth[first], times
+    _, first, at, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    if times is not None:
+        counts = np.bincount(at, weights=times, minlength=len(first)).astype(np.int64)
+    return bins[first], x[first], truth[first], counts
+
+
+def standing(bins: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """A row of each of the bins: the lower edges."""
+    columns = [np.append(np.float32(-np.inf), e)[bins[:, f]] for f, e in enumerate(edges)]
+    return np.column_stack(columns).astype(np.float32) if columns else np.zeros((len(bins), 0), np.float32)
 
 
 def drawn(rng: np.random.Generator, times: np.ndarray, n: int) -> np.ndarray:
-    """How many of each kind a draw of ``n`` rows without replacement has."""
-    return times if n >= times.sum() else rng.multivariate_hypergeometric(times, n, method="marginals")
+    """How many of each kind a draw of ``n`` rows without replacement has.  From
+    10^9 rows on, where numpy has no such draw, each row is drawn for itself."""
+    if n >= (rows := times.sum()):
+        return times
+    return rng.multivariate_hypergeometric(times, n, method="marginals") if rows < 10**9 else rng.binomial(times, n / rows)
 
 
 def soft(g: np.ndarray, alpha: float) -> np.ndarray:
@@ -160,22 +171,26 @@ def fit(
     weight: float = 1.0,
     patience: int = 30,
     seed: int = 42,
+    edges: list[np.ndarray] | None = None,
+    times: np.ndarray | None = None,
+    times_held: np.ndarray | None = None,
 ) -> Trees:
     """Up to ``rounds`` trees, cut to the prefix of greatest average precision
     on the held rows (all of them, if none are held) before ``patience`` rounds
     without gain.  ``min_child`` bounds the sum of second derivatives.
 
     Trees see bins only, so rows of equal bins and truth are one row that
-    counts several times; a round's cost follows the distinct ones."""
+    counts several times; a round's cost follows the distinct ones.  Rows may be
+    given so, with the ``edges`` of all and how many each is."""
     base = 0.0
     model = Trees(base, [])
     if not len(x):
         return model
     rng = np.random.default_rng(seed)
-    edges = [edges_of(x[:, f]) for f in range(x.shape[1])]
-    n_rows = max(1, int(subsample * len(x)))
-    bins, x, truth, times = distinct(x, truth, edges)
-    _, x_held, truth_held, times_held = distinct(x_held, truth_held, edges)
+    edges = [edges_of(x[:, f]) for f in range(x.shape[1])] if edges is None else edges
+    bins, x, truth, times = distinct(x, truth, edges, times)
+    n_rows = max(1, int(subsample * int(times.sum())))
+    _, x_held, truth_held, times_held = distinct(x_held, truth_held, edges, times_held)
     w = np.where(truth == 1, weight, 1.0)
     margin, margin_held = np.full(len(x), base), np.full(len(x_held), base)
     best, best_at = -1.0, 0

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from foldspark.functions.scalar import clean
 from foldspark.operators import boosting
+from foldspark.operators.running import running_totals
 from foldspark.session import checkpointed, ship_package
 
 
@@ -38,38 +39,77 @@ def class_weight(df: DataFrame, truth: str) -> float:
 # ---- boosted trees ----------------------------------------------------------
 
 
-def gathered(df: DataFrame, features: Sequence[str], truth: str, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features (single precision, ``clean``) and truth of at most about
-    ``max_rows`` rows, drawn by a hash of the row, in an order that does not
-    depend on partitions."""
-    values = [clean(F.col(c)).alias(f"_f{k}") for k, c in enumerate(features)]
-    rows = df.where(F.col(truth).isNotNull()).select(*values, F.col(truth).cast("int").alias("_t"))
-    n = rows.count()
-    draw = F.pmod(F.xxhash64(F.lit(9), *(F.col(c) for c in rows.columns)), F.lit(1_000_000))
-    table = rows.where(draw < F.lit(int(1e6 * min(1.0, max_rows / max(n, 1))))).toArrow()
-    held = np.column_stack([table[c].to_numpy() for c in table.column_names]) if table.num_rows else np.zeros((0, len(features) + 1))
+def edges_over(rows: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
+    """``boosting.edges_of`` each feature over all rows: values are counted, a
+    prefix scan places them, and those at the quantiles are read."""
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col(c).alias("x")) for k, c in enumerate(features))))
+    counts = checkpointed(rows.select(values.alias("_v")).groupBy("_v.f", "_v.x").agg(F.count(F.lit(1)).alias("n")))
+    sizes = counts.groupBy("f").agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
+    placed = running_totals(counts, ["f"], "x", ["n"]).join(F.broadcast(sizes), "f")
+    last = F.col("_rows") - F.col("before_n") - 1  # places of a value: from last - n + 1 to last
+    spots = F.transform(F.sequence(F.lit(1), F.lit(boosting.BINS - 1)), lambda k: F.ceil(k * (F.col("_rows") - 1) / boosting.BINS))
+    wanted = (F.col("_values") <= boosting.BINS) | F.exists(spots, lambda at: (at <= last) & (at > last - F.col("n")))
+    found = placed.where(wanted).select("f", "x", (F.col("_values") > boosting.BINS).alias("cut")).toPandas()  # at most BINS rows a feature
+    out = []
+    for k in range(len(features)):
+        own = found[found["f"] == k].sort_values("x")
+        out.append(own["x"].to_numpy(np.float32)[0 if own["cut"].any() else 1 :])
+    return out
+
+
+def gathered(df: DataFrame, features: Sequence[str], truth: str, edges: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All rows with a truth, as kinds that trees can't tell apart: a row of
+    each (single precision, ``clean``), its truth, how many they are, and the
+    edges of the bins (of these rows, unless given).
+
+    Rows are counted by bins and truth in Spark; the driver gets the kinds, at
+    most 2 * 64 ^ features and as many as there are rows."""
+    names = [f"_f{k}" for k in range(len(features))]
+    rows = df.where(F.col(truth).isNotNull()).select(*(clean(F.col(c)).cast("float").alias(n) for n, c in zip(names, features, strict=True)), F.col(truth).cast("int").alias("_t"))
+    if edges is None:
+        rows = checkpointed(rows)
+        edges = edges_over(rows, names)
+    ship_package(df.sparkSession)
+    layout = df.sparkSession.createDataFrame([], ", ".join(f"{n} int" for n in names) + ", _t int, _n long").schema
+    schema = to_arrow_schema(layout)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch[n].to_numpy() for n in names])
+            bins, _, own, times = boosting.distinct(x, batch["_t"].to_numpy(), edges)
+            columns = [*bins.T.astype(np.int32), own.astype(np.int32), times.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=schema)
+
+    kinds = rows.mapInArrow(run, layout).groupBy(*names, "_t").agg(F.sum("_n").alias("_n")).toArrow()
+    held = np.column_stack([kinds[c].to_numpy() for c in (*names, "_t", "_n")]).astype(np.int64)
     held = held[np.lexsort(held.T[::-1])]
-    return held[:, :-1].astype(np.float32), held[:, -1].astype(np.int64)
+    return boosting.standing(held[:, :-2], edges), held[:, -2], held[:, -1], edges
+
+
+def both(train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str) -> dict:
+    """What ``boosting.fit`` takes: kinds of all rows of both, by the edges of the first."""
+    x, own, times, edges = gathered(train, features, truth)
+    x_held, own_held, times_held, _ = gathered(validation, features, truth, edges)
+    return {"x": x, "truth": own, "x_held": x_held, "truth_held": own_held, "edges": edges, "times": times, "times_held": times_held}
 
 
 def fit_trees(
-    train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, max_rows: int = 1_000_000, weight: float | None = None, **params
+    train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, weight: float | None = None, **params
 ) -> tuple[boosting.Trees, int]:
     """Boosted trees cut to the prefix to use, and its length: that of greatest
     validation average precision before ``patience`` rounds without gain.
 
-    They are fitted in one task on at most about ``max_rows`` rows, a
-    documented bound; scoring (``tree_scores``) covers all rows.  Positives
-    weigh sqrt(negatives / positives) of all rows unless ``weight`` is given."""
+    They are fitted on all rows, in one task that has them as kinds
+    (``gathered``).  Positives weigh sqrt(negatives / positives) of all rows
+    unless ``weight`` is given."""
     if weight is None:
         weight = class_weight(train, truth)
-    data = [*gathered(train, features, truth, max_rows), *gathered(validation, features, truth, max_rows)]
     spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(data)
+    shared = spark.sparkContext.broadcast(both(train, validation, features, truth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
-            model = boosting.fit(*shared.value, weight=weight, **params)
+            model = boosting.fit(**shared.value, weight=weight, **params)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     ship_package(spark)
@@ -128,7 +168,7 @@ def proposed(trial: int, done: list[dict], heaviest: float, trials: int, seed: i
 
 
 def search(
-    train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, trials: int = 100, at_once: int = 20, rounds: int = 2000, patience: int = 50, seed: int = 42, max_rows: int = 1_000_000, study: str | None = None
+    train: DataFrame, validation: DataFrame, features: Sequence[str], truth: str, *, trials: int = 100, at_once: int = 20, rounds: int = 2000, patience: int = 50, seed: int = 42, study: str | None = None
 ) -> DataFrame:
     """One row a trial: a seeded search over nine parameters for the greatest
     validation average precision.  ``at_once`` trials run side by side, one a
@@ -137,20 +177,19 @@ def search(
     ``study`` is a folder of Parquet to which every batch of trials is
     appended; a search that finds trials there goes on behind them."""
     spark = train.sparkSession
-    data = [*gathered(train, features, truth, max_rows), *gathered(validation, features, truth, max_rows)]
-    positives = int(data[1].sum())
-    heaviest = (len(data[1]) - positives) / max(positives, 1)
+    data = both(train, validation, features, truth)
+    positives = int(data["times"][data["truth"] == 1].sum())
+    heaviest = (int(data["times"].sum()) - positives) / max(positives, 1)
     shared = spark.sparkContext.broadcast(data)
     ship_package(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, x = [], shared.value[0]
-            edges = [boosting.edges_of(x[:, f]) for f in range(x.shape[1])] if len(x) else [np.zeros(0)] * x.shape[1]
-            _, held, truth_of, times = boosting.distinct(*shared.value[2:], edges)
+            out = []
+            held, truth_of, times = (shared.value[k] for k in ("x_held", "truth_held", "times_held"))
             for row in batch.to_pylist():
                 params = {n: row[n] for n in ("depth", "rate", "min_child", "gamma", "subsample", "columns", "alpha", "lam", "weight")}
-                model = boosting.fit(*shared.value, rounds=rounds, patience=patience, seed=seed, **params)
+                model = boosting.fit(**shared.value, rounds=rounds, patience=patience, seed=seed, **params)
                 scores = model.probability(held)
                 out.append(row | {"ap": boosting.average_precision(truth_of, scores, times), "auroc": boosting.auroc(truth_of, scores, times), "n_trees": len(model.trees)})
             yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(layout))

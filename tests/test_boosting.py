@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from foldspark.operators import boosting
+from foldspark.operators import boosting, learning
 
 
 def rows(n, seed=2):
@@ -40,3 +40,28 @@ def test_draws_are_without_replacement():
         got = boosting.drawn(rng, times, 300)
         assert got.sum() == 300 and (got <= times).all()
     assert (boosting.drawn(rng, times, 544) == times).all()
+
+
+def test_bins_and_counts_of_spark_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=5_003), rng.integers(0, 7, 5_003), np.zeros(5_003), rng.integers(-50, 50, 5_003) / 8]).astype(np.float32)
+    t = (rng.random(len(x)) < 0.3).astype(np.int64)
+    names = ["a", "b", "c", "d"]
+    rows = spark.createDataFrame([(*map(float, r), int(y)) for r, y in zip(x, t, strict=True)], ", ".join(f"{n} double" for n in names) + ", t int").repartition(5)
+    got, truth, times, edges = learning.gathered(rows, names, "t")
+    wanted = [boosting.edges_of(x[:, f]) for f in range(4)]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(edges, wanted, strict=True))
+    bins, _, own, counts = boosting.distinct(x, t, wanted)
+    again = boosting.distinct(got, truth, edges, times)
+    assert sorted(map(tuple, np.column_stack([bins, own, counts]).tolist())) == sorted(map(tuple, np.column_stack([again[0], again[2], again[3]]).tolist()))
+
+
+def test_trees_are_fitted_on_more_rows_than_a_million(spark):
+    n = 2_000_000
+    rows = spark.range(n).selectExpr("CAST(id % 4 AS DOUBLE) AS x", "CAST(id % 4 = 0 AS INT) AS t")
+    model, _ = learning.fit_trees(rows, rows.limit(0), ["x"], "t", weight=1.0, rounds=1, depth=1, rate=1.0, subsample=1.0, columns=1.0, lam=1e6)
+    # all rows in a leaf: gradients -1/2 where true, 1/2 else, curvature 1/4
+    assert model.trees[0].value[1:] == pytest.approx([n / 8 / (n / 16 + 1e6), -3 * n / 8 / (3 * n / 16 + 1e6)])
+    found = learning.search(rows, rows, ["x"], "t", trials=1, at_once=1, rounds=2).first()
+    assert found["auroc"] == 1.0
+    assert (learning.gathered(rows, ["x"], "t")[2] == n // 4).all()
